@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, quality_rules, simhash, token_store
+from . import decontaminate, packing, pii, quality_rules, secrets, simhash, token_store, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii": pii.op1_pii,
         "op2_packing": packing.op2_packing,
         "op3_quality_rules": quality_rules.op3_quality_rules,
+        "op4_secrets": secrets.op4_secrets,
         "op6_simhash": simhash.op6_simhash,
+        "op7_url_filter": url_filter.op7_url_filter,
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op10_token_store": token_store.op10_token_store,
     }
@@ -22,5 +25,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_quality_rules": quality_rules.SQL,
+        "op7_url_filter": url_filter.SQL,
         "op8_decontaminate": decontaminate.SQL,
     }
