@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, pii, quality_rules, secrets, simhash, token_store, url_filter
+from . import decontaminate, language_crf, packing, pii, pu_quality, quality_rules, secrets, simhash, token_store, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,9 +15,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_packing": packing.op2_packing,
         "op3_quality_rules": quality_rules.op3_quality_rules,
         "op4_secrets": secrets.op4_secrets,
+        "op5_pu_quality": pu_quality.op5_pu_quality,
         "op6_simhash": simhash.op6_simhash,
         "op7_url_filter": url_filter.op7_url_filter,
         "op8_decontaminate": decontaminate.op8_decontaminate,
+        "op9_language": language_crf.op9_language,
         "op10_token_store": token_store.op10_token_store,
     }
 

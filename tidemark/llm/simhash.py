@@ -221,6 +221,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     return fp.join(found.select(F.col("node").alias("fp"), F.col("label").alias("component")), "fp", "left").select(key, "fp", "component")
 
 
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``docs`` (all columns) with one row of each component: that with the smallest key. Null keys stay as they are."""
+    found = near_duplicates(docs, text, key)
+    kept = checkpointed(found.where(F.col(key) == F.col("component")).groupBy(key).agg(F.count("*").alias("_n")))
+    out = docs.join(kept.select(key), key, "left_semi")
+    if not kept.where("_n > 1").isEmpty():  # rows with the same key in one component
+        out = out.dropDuplicates([key])
+    return out.unionByName(docs.where(F.col(key).isNull())).select(docs.columns)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(
