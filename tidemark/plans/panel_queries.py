@@ -304,11 +304,11 @@ def latest_complete_year(spark: SparkSession, d: str) -> DataFrame:
     return p.join(F.broadcast(years), "year").groupBy("entity").agg(F.round(F.avg("value"), 8).alias("mean"), F.count("*").alias("months"))
 
 
-@query("""SELECT p_partkey AS part, p_type AS label FROM part WHERE regexp_matches(lower(p_type), 'steel|brass') AND regexp_matches(lower(p_brand), '#[1-3]')""")
+@query("""SELECT p_partkey AS part, p_type AS label FROM part WHERE regexp_matches(lower(p_type), 'economy|promo') AND regexp_matches(lower(p_brand), '#[1-3]')""")
 def label_filters(spark: SparkSession, d: str) -> DataFrame:
     """Each pattern must match one of the label columns it names."""
     p = read(spark, d, "part").select("p_partkey", "p_type", "p_brand")
-    patterns = {"steel|brass": ["p_type"], "#[1-3]": ["p_brand"]}
+    patterns = {"economy|promo": ["p_type"], "#[1-3]": ["p_brand"]}
     for pattern, cols in patterns.items():
         p = p.where(F.exists(F.array(*(F.lower(c) for c in cols)), lambda c: c.rlike(pattern)))
     return p.select(F.col("p_partkey").alias("part"), F.col("p_type").alias("label"))
