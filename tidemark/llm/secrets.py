@@ -117,9 +117,10 @@ def find_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", radiu
 
 
 def redact(docs: DataFrame, text: str = "text", radius: int = RADIUS, mask: str = MASK) -> DataFrame:
-    """``docs`` with every span, base or linked, replaced by ``mask``; overlapping spans by one."""
-    found = _with_spans(docs, text, radius)
-    t = F.col(text)
+    """``docs`` with every span, base or linked, replaced by ``mask``; overlapping spans by one. A null text stays null."""
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(f"`{text}`").alias("_t"))
+    found = _with_spans(whole, "_t", radius)
+    t = F.col("_t")
 
     def cut(acc: Column, x: Column) -> Column:
         before = F.substring(t, acc["at"] + 1, x["s"] - acc["at"])
@@ -128,7 +129,8 @@ def redact(docs: DataFrame, text: str = "text", radius: int = RADIUS, mask: str
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     clean = F.aggregate("_spans", start, cut, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
-    return found.withColumn(text, F.when(F.size("_spans") > 0, clean).otherwise(t)).drop("_base", "_spans")
+    found = found.select("_row", F.when(F.size("_spans") > 0, clean).otherwise(t).alias("_t"))
+    return found.select(*(F.col("_t").alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in docs.columns))
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,20 +100,21 @@ def judge_urls(
     """(key, host, path, rule, verdict, source): ``source`` is rule, alias or default."""
     u = F.col("u")
     read = pages.select(F.col(key).alias("k"), F.col(url).alias("u"), targets(F.col(url), F.col(html)).alias("to"))
-    read = read.select("k", host_of(u).alias("host"), path_of(u).alias("path"), normal_form(u).alias("node"), F.transform("to", normal_form).alias("to"))
+    read = read.select("k", host_of(u).alias("host"), path_of(u).alias("path"), normal_form(u).alias("node"), F.transform("to", lambda x: F.struct(normal_form(x).alias("node"), matched_rule(host_of(x), path_of(x), rules)["allow"].alias("allow"))).alias("to"))
     read = checkpointed(read.withColumn("hit", matched_rule(F.col("host"), F.col("path"), rules)))
 
-    edges = read.where(F.size("to") > 0).select(F.col("node").alias("a"), F.explode("to").alias("b")).where("a <> b").distinct()
+    edges = read.where(F.size("to") > 0).select(F.col("node").alias("a"), F.explode("to.node").alias("b")).where("a <> b").distinct()
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     labels = components(nodes.withColumn("weight", F.col("node")), edges) if not edges.isEmpty() else None
+    named = read.where("node is not null")
+    known = named.where("hit is not null").select("node", F.col("hit.allow").alias("allow")).unionByName(
+        named.where(F.size("to") > 0).select(F.inline("to")).where("allow is not null and node is not null")
+    )  # decisions of pages, and of targets that need not be pages
+    known = known.groupBy("node").agg(F.max("allow").alias("allow"))
     if labels is not None:
-        read = read.join(labels, "node", "left").withColumn("node", F.coalesce("label", "node"))
-    decided = (
-        read.where("hit is not null and node is not null")
-        .groupBy("node")
-        .agg(F.max("hit.allow").alias("any_allow"))
-        .select("node", F.when(F.col("any_allow"), "allow").otherwise("block").alias("alias"))
-    )
+        relabel = lambda df: df.join(labels, "node", "left").withColumn("node", F.coalesce("label", "node")).drop("label")
+        read, known = relabel(read), relabel(known).groupBy("node").agg(F.max("allow").alias("allow"))
+    decided = known.select("node", F.when(F.col("allow"), "allow").otherwise("block").alias("alias"))
     ruled = read.where("hit is not null").select("k", "host", "path", "hit", F.lit(None).cast("string").alias("alias"))
     open_ = read.where("hit is null").join(decided, "node", "left").select("k", "host", "path", "hit", "alias")
     out = ruled.unionByName(open_)
@@ -150,7 +151,7 @@ WITH RECURSIVE p AS (
         FROM (SELECT r, url, host, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS t FROM p WHERE contains(url, '://'))
         WHERE regexp_matches(t, '(?i)\brel\s*=\s*["'']?canonical\b|\bhttp-equiv\s*=\s*["'']?refresh\b'))
 ), forms AS (
-  SELECT r, target, regexp_replace(
+  SELECT r, target, u, regexp_replace(
     translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
     || regexp_replace(regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '/+$', '')
     || regexp_replace(regexp_replace('&' || regexp_extract(u, '(?s)^.*?://[^?#]*\?([^#]*)', 1), '&(?:utm_[^=&]*|ref|fbclid|gclid)=[^&]*', '', 'g'), '^&*', '?'),
@@ -163,6 +164,11 @@ WITH RECURSIVE p AS (
 ), label AS (SELECT n, min(m) AS l FROM reach GROUP BY n), own AS (
   SELECT p.*, rule, v, l FROM p LEFT JOIN (SELECT * FROM hits WHERE place = 1) USING (r)
   LEFT JOIN (SELECT r, node FROM forms WHERE NOT target) USING (r) LEFT JOIN label ON node = n
-), d AS (SELECT l, CASE WHEN bool_or(v = 'allow') THEN 'allow' ELSE 'block' END AS alias FROM own WHERE v IS NOT NULL AND l IS NOT NULL GROUP BY l)
+), dec AS (
+  SELECT l, v FROM (SELECT node, (SELECT v FROM rules x WHERE (hh = x.h OR ends_with(hh, '.' || x.h)) AND starts_with(pp, x.p)
+                                  ORDER BY length(x.h || x.p) DESC, v LIMIT 1) AS v
+    FROM (SELECT node, translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS hh,
+                 regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS pp FROM forms)) JOIN label ON node = n
+), d AS (SELECT l, CASE WHEN bool_or(v = 'allow') THEN 'allow' ELSE 'block' END AS alias FROM dec WHERE v IS NOT NULL GROUP BY l)
 SELECT page_id, host, path, rule, coalesce(v, alias, 'allow') AS verdict FROM own LEFT JOIN d USING (l)
 """
