@@ -106,17 +106,21 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def _descend(p: Sample, u: Sample, slope, steps: int, rate: float, decay: float) -> Model:
-    """Adam on all rows; ``slope(zp, zu)`` gives the derivative of the risk by each logit."""
+    """Adam on all rows; ``slope(zp, zu)`` gives the risk and its derivative by each logit. The iterate of least risk wins,
+    so a small sample on which the steps run away still gives a usable model."""
+    least, best = np.inf, None
     model = Model(np.zeros(len(MEASURES)), np.zeros(BUCKETS), 0.5)
     m = v = np.zeros(len(MEASURES) + BUCKETS)
     for k in range(1, steps + 1):
-        dp, du = slope(p.logits(model), u.logits(model))
+        risk, dp, du = slope(p.logits(model), u.logits(model))
+        if risk < least:
+            least, best = risk, (model.dense, model.words)
         g = p.gradient(dp) + u.gradient(du)
         g[len(MEASURES) :] += decay * model.words
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
         model.dense, model.words = model.dense - step[: len(MEASURES)], model.words - step[len(MEASURES) :]
-    return model
+    return Model(*best, 0.5)
 
 
 def estimate_prior(p: Sample, u: Sample, steps: int = 60) -> float:
@@ -124,7 +128,12 @@ def estimate_prior(p: Sample, u: Sample, steps: int = 60) -> float:
     half = lambda s, k: s.part(np.arange(k, len(s.words), 2))
     pa_, ua, pb, ub = half(p, 0), half(u, 0), half(p, 1), half(u, 1)
     n_p, n_u = max(1, len(pa_.words)), max(1, len(ua.words))
-    model = _descend(pa_, ua, lambda zp, zu: ((_sigmoid(zp) - 1) / n_p, _sigmoid(zu) / n_u), steps, 0.1, 1e-3)
+
+    def slope(zp: np.ndarray, zu: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        risk = np.logaddexp(0, -zp).sum() / n_p + np.logaddexp(0, zu).sum() / n_u
+        return risk, (_sigmoid(zp) - 1) / n_p, _sigmoid(zu) / n_u
+
+    model = _descend(pa_, ua, slope, steps, 0.1, 1e-3)
     zp, zu = np.sort(pb.logits(model)), np.sort(ub.logits(model))
     if not len(zp) or not len(zu):
         return 0.5
@@ -138,11 +147,12 @@ def estimate_prior(p: Sample, u: Sample, steps: int = 60) -> float:
 def fit_nnpu(p: Sample, u: Sample, prior: float, steps: int = 200) -> Model:
     n_p, n_u = len(p.words), len(u.words)
 
-    def slope(zp: np.ndarray, zu: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def slope(zp: np.ndarray, zu: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+        risk = prior * np.logaddexp(0, -zp).mean() + max(0.0, negative)
         if negative >= 0:
-            return prior * (_sigmoid(zp) - 1 - _sigmoid(zp)) / n_p, _sigmoid(zu) / n_u
-        return prior * _sigmoid(zp) / n_p, -_sigmoid(zu) / n_u  # against the gradient of the negative part
+            return risk, np.full(n_p, -prior / n_p), _sigmoid(zu) / n_u  # the logistic losses of P differ by its logit
+        return risk, prior * _sigmoid(zp) / n_p, -_sigmoid(zu) / n_u  # against the gradient of the negative part
 
     model = _descend(p, u, slope, steps, 0.3, 1e-4)
     model.prior = prior
