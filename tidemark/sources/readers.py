@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,9 +92,14 @@ def sdmx_series(spark: SparkSession, path: str, labels: DataFrame | None = None)
 def block_csv(spark: SparkSession, path: str, encoding: str = "cp1251") -> DataFrame:
     """Blocks parted by blank lines, each a title, a line of years and rows of values: (file, title, name, year, value).
 
-    A file is one row here; such files are kilobytes.
+    A file is one row here; such files are kilobytes. Spark's own decode knows no single-byte Cyrillic charset.
     """
-    raw = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.decode("content", encoding).alias("t"))
+
+    @F.pandas_udf("string")
+    def decoded(content: pd.Series) -> pd.Series:
+        return content.map(lambda b: b.decode(encoding))
+
+    raw = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), decoded("content").alias("t"))
     block = raw.select("file", F.explode(F.split(F.replace("t", F.lit("\r"), F.lit("")), r"\n\s*\n")).alias("b"))
     lines = block.select("file", F.filter(F.split("b", "\n"), lambda x: F.trim(x) != "").alias("l")).where(F.size("l") >= 3)
     rows = lines.select("file", F.col("l")[0].alias("title"), F.split(F.col("l")[1], ";").alias("years"), F.explode(F.slice("l", 3, 100000)).alias("r"))
