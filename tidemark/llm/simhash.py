@@ -85,8 +85,11 @@ def _signed(x: int) -> int:
 def buckets(distinct_fp: DataFrame) -> DataFrame:
     """(members array<long>) for every key that at least two distinct fingerprints share."""
     keys = F.array(*(F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for i, m in enumerate(_MASKS)))
+    spread = int(distinct_fp.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # 28 rows come of each: more tasks than bytes ask for
     return (
-        distinct_fp.select("fp", F.explode(keys).alias("x"))
+        distinct_fp.select("fp")
+        .repartition(spread, "fp")
+        .select("fp", F.explode(keys).alias("x"))
         .groupBy("x")
         .agg(F.collect_list("fp").alias("members"))
         .where(F.size("members") > 1)
@@ -215,9 +218,9 @@ def links(distinct_fp: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3) -> DataFrame:
     """(key, fp, component): every row of ``docs`` with the smallest key of its component."""
     fp = checkpointed(fingerprints(docs, text, key, shingle))
-    distinct = fp.groupBy("fp").agg(F.min(key).alias("weight"))
-    nodes = distinct.select(F.col("fp").alias("node"), "weight")
-    found = components(nodes, links(distinct.select("fp")))
+    nodes = checkpointed(fp.groupBy(F.col("fp").alias("node")).agg(F.min(key).alias("weight")))
+    found = checkpointed(components(nodes, links(nodes.select(F.col("node").alias("fp")))))
+    # both sides are plain shuffles, so that a fingerprint with very many copies is split between tasks
     return fp.join(found.select(F.col("node").alias("fp"), F.col("label").alias("component")), "fp", "left").select(key, "fp", "component")
 
 
