@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpointed, table
+from .secrets import positions_sql
 from .spans import count_kind, matches, of_kind, rendered
 
 KINDS = ("email", "ip", "card", "phone")
@@ -144,3 +145,56 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents"))
     counts = [count_kind(F.col("base"), k).alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(rendered(F.col("base")), 256).alias("base_sha256"), rendered(F.col("spans")).alias("spans"))
+
+
+def _rounds_sql(limits: Limits) -> str:
+    """The rounds of ``scored_patterns`` as CTEs; the last one is named patterns."""
+    out, labels = [], "SELECT inst, min(seed) AS kind FROM edges WHERE seed IS NOT NULL GROUP BY inst"
+    for i in range(limits.rounds):
+        out.append(f"l{i} AS ({labels})")
+        out.append(f"k{i} AS (SELECT ctx, inst, kind FROM edges LEFT JOIN l{i} USING (inst))")
+        out.append(f"c{i} AS (SELECT ctx, kind, count(*) AS n, sum(count(*)) OVER (PARTITION BY ctx) AS total FROM k{i} GROUP BY ctx, kind)")
+        out.append(
+            f"p{i} AS (SELECT ctx, kind, n / (total + 0.5::DOUBLE) AS confidence FROM c{i} WHERE kind IS NOT NULL AND n >= {limits.support} AND n / (total + 0.5::DOUBLE) >= {limits.pattern})"
+        )
+        out.append(
+            f"s{i} AS (SELECT inst, kind, 1 - exp(sum(ln(1 - least(confidence, 0.999::DOUBLE)))) AS score FROM (SELECT ctx, inst FROM k{i} WHERE kind IS NULL) JOIN p{i} USING (ctx) GROUP BY ALL)"
+        )
+        labels = f"SELECT * FROM l{i} UNION ALL SELECT inst, arg_max(kind, (score, kind)) FROM s{i} WHERE score >= {limits.instance} GROUP BY inst"
+    last = limits.rounds - 1
+    return ", ".join([*out, f"patterns AS (SELECT ctx, arg_max(kind, (confidence, kind)) AS kind FROM p{last} GROUP BY ctx)"])
+
+
+SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+{positions_sql({"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "card": "[0-9](?:[ -]?[0-9])+", "phone": PHONE})},
+luhn AS (
+  SELECT m, sum(CASE WHEN i % 2 = 1 THEN v WHEN v > 4 THEN 2 * v - 9 ELSE 2 * v END) AS total
+  FROM (SELECT m, i, digits[len(digits) - i + 1]::INT AS v FROM (SELECT m, digits, unnest(range(1, len(digits) + 1)) AS i
+    FROM (SELECT DISTINCT m, string_split(regexp_replace(m, '[^0-9]', '', 'g'), '') AS digits FROM found WHERE kind = 'card'))) GROUP BY m
+), base AS (
+  SELECT r, kind, rank, s, e FROM found LEFT JOIN luhn USING (m) WHERE CASE kind WHEN 'email' THEN true
+    WHEN 'ip' THEN regexp_full_match(m, '{_OCTET}(?:\.{_OCTET}){{3}}')
+    WHEN 'card' THEN length(regexp_replace(m, '[^0-9]', '', 'g')) BETWEEN 14 AND 19 AND total % 10 = 0
+    ELSE length(regexp_replace(m, '[^0-9]', '', 'g')) BETWEEN 10 AND 15 END
+), {positions_sql({"mention": r"\S*[0-9@]\S*"}, name="token")}, mentions AS (
+  SELECT r, s + length(regexp_extract(m, '^(.*?){_CORE}', 1)) AS s, regexp_extract(m, '{_CORE}') AS inst,
+         lower(regexp_replace(regexp_extract(g, '(\S{{1,32}}\s+\S{{1,32}})\s*$', 1), '\s+', ' ', 'g')) AS ctx FROM token
+), chosen AS (
+  SELECT r, s, s + length(inst) AS e, inst, ctx FROM mentions
+  WHERE ctx <> '' AND (length(regexp_replace(inst, '[^0-9]', '', 'g')) >= 5 OR contains(inst, '@')) AND length(inst) <= 64
+), seeded AS (
+  SELECT c.*, (SELECT arg_min(b.kind, (b.s, b.rank)) FROM base b WHERE b.r = c.r AND b.s < c.e AND b.e > c.s) AS seed FROM chosen c
+), edges AS (SELECT ctx, inst, min(seed) AS seed FROM seeded GROUP BY ctx, inst),
+{_rounds_sql(Limits())},
+more AS (
+  SELECT DISTINCT r, p.kind, list_position(['email', 'ip', 'card', 'phone'], p.kind) - 1 AS rank, s, e
+  FROM seeded JOIN patterns p USING (ctx) WHERE seed IS NULL
+), b AS (
+  SELECT r, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in KINDS)}, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS x FROM base GROUP BY r
+), a AS (
+  SELECT r, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS x FROM (SELECT * FROM base UNION ALL SELECT * FROM more) GROUP BY r
+)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in KINDS)}, sha256(coalesce(b.x, '')) AS base_sha256, coalesce(a.x, '') AS spans
+FROM d LEFT JOIN b USING (r) LEFT JOIN a USING (r)
+"""

@@ -26,7 +26,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_pii": pii.SQL,
         "op3_quality_rules": quality_rules.SQL,
+        "op4_secrets": secrets.SQL,
         "op7_url_filter": url_filter.SQL,
         "op8_decontaminate": decontaminate.SQL,
     }

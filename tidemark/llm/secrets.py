@@ -34,9 +34,9 @@ _TIE = "[\"']?+ *+[:=] *+[\"']?+"
 ASSIGN = rf"(?:{_NAMES}){_TIE}[A-Za-z0-9+/_.=-]++"
 ACCESS = r"AKIA[A-Z0-9]++"
 HEX = r"(?<![0-9a-f])[0-9a-f]{16,}+"
-WEAK_ACCESS = rf"\b(?:{'|'.join(map(_either, ('username', 'user', 'login', 'client_id', 'access_key_id', 'account')))}){_TIE}[A-Za-z0-9@._-]{{3,}}+"
-WEAK_SECRET = rf"\b(?:{_NAMES}|{'|'.join(map(_either, ('pass', 'pwd', 'credential', 'private_key', 'bearer')))}){_TIE}[^\s\"',;]{{6,}}+"
-ENDPOINT = r"\b(?:https?|ftp|jdbc:[a-z]++|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]++"
+WEAK_ACCESS = rf"(?<![A-Za-z0-9_])(?:{'|'.join(map(_either, ('username', 'user', 'login', 'client_id', 'access_key_id', 'account')))}){_TIE}[A-Za-z0-9@._-]{{3,}}+"
+WEAK_SECRET = rf"(?<![A-Za-z0-9_])(?:{_NAMES}|{'|'.join(map(_either, ('pass', 'pwd', 'credential', 'private_key', 'bearer')))}){_TIE}[^\s\"',;]{{6,}}+"
+ENDPOINT = r"(?<![A-Za-z0-9_])(?:https?|ftp|jdbc:[a-z]++|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]++"
 
 #: Kinds in order, with their roles.
 KINDS = ("assign", "access", "hex", "weak_access", "weak_secret", "endpoint")
@@ -137,3 +137,50 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(table(spark, sf_dir, "documents"))
     counts = [count_kind(F.col("base"), k).alias(f"n_{k}") for k in KINDS[:3]]
     return found.select("doc_id", *counts, F.sha2(rendered(F.col("base")), 256).alias("base_sha256"), rendered(F.col("spans")).alias("spans"))
+
+
+def _plain(pattern: str) -> str:
+    """The same pattern for an engine without lookbehind and possessive quantifiers, quoted for SQL."""
+    for a, b in (("(?<![A-Za-z0-9_])", r"\b"), ("(?<![0-9a-f])", ""), ("?+", "?"), ("*+", "*"), ("++", "+"), ("}+", "}")):
+        pattern = pattern.replace(a, b)
+    return pattern.replace("'", "''")
+
+
+def positions_sql(patterns: dict[str, str], source: str = "d", name: str = "found") -> str:
+    """CTEs that give (r, kind, rank, s, e, m) of all matches of the texts (r, t) of ``source``."""
+    parts = " UNION ALL ".join(
+        f"SELECT r, '{k}' AS kind, {i} AS rank, regexp_extract_all(t, '{p}') AS ms, string_split_regex(t, '{p}') AS gs FROM {source}"
+        for i, (k, p) in enumerate(patterns.items())
+    )
+    return f"""{name}_l AS ({parts}), {name}_u AS (
+  SELECT r, kind, rank, unnest(ms) AS m, unnest(gs[1:len(ms)]) AS g, unnest(range(1, len(ms) + 1)) AS i FROM {name}_l WHERE len(ms) > 0
+), {name} AS (
+  SELECT r, kind, rank, s, s + length(m) AS e, m, g FROM (SELECT *, (sum(length(g) + length(m)) OVER (PARTITION BY r, kind ORDER BY i) - length(m))::BIGINT AS s FROM {name}_u)
+)"""
+
+
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+{positions_sql({k: _plain(p) for k, p in zip(KINDS, (ASSIGN, ACCESS, HEX, WEAK_ACCESS, WEAK_SECRET, ENDPOINT), strict=True)})},
+base AS (
+  SELECT * FROM found WHERE rank < 3 AND CASE kind WHEN 'assign' THEN length(regexp_extract(m, '^(?:{_plain(_NAMES)}){_plain(_TIE)}([A-Za-z0-9+/_.=-]+)$', 1)) >= 12
+    WHEN 'access' THEN length(m) >= 18 ELSE true END
+), weak AS (
+  SELECT * FROM found f WHERE rank >= 3 AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = f.r AND b.s < f.e AND b.e > f.s)
+), parts AS (
+  SELECT *, CASE WHEN kind IN ('access', 'weak_access') THEN 'access' WHEN kind = 'endpoint' THEN 'endpoint' ELSE 'secret' END AS role
+  FROM (SELECT * FROM base UNION ALL SELECT * FROM weak)
+), more AS (
+  SELECT * FROM parts w WHERE rank >= 3 AND EXISTS (SELECT 1 FROM parts p WHERE p.r = w.r AND p.e >= w.s - {RADIUS} AND p.s <= w.e + {RADIUS}
+    AND CASE WHEN w.role = 'secret' THEN p.role IN ('access', 'endpoint') ELSE p.role = 'secret' END)
+), b AS (
+  SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS x FROM base GROUP BY r
+), a AS (
+  SELECT r, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS x
+  FROM (SELECT r, kind, rank, s, e FROM base UNION ALL SELECT r, kind, rank, s, e FROM more) GROUP BY r
+)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+       sha256(coalesce(b.x, '')) AS base_sha256, coalesce(a.x, '') AS spans
+FROM d LEFT JOIN b USING (r) LEFT JOIN a USING (r)
+"""
