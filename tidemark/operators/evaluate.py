@@ -161,3 +161,21 @@ def cluster_bootstrap(clusters: DataFrame, draws: int, draw_index) -> DataFrame:
 def p_value(null: Column, real: Column) -> Column:
     """(1 + number of null results at most the real one) / (1 + number of null results)."""
     return (1 + F.sum((null <= real).cast("int"))) / (1 + F.count(null))
+
+
+def event_effect(pred: DataFrame, flag: str, by: Sequence[str]) -> DataFrame:
+    """Mean relative error of flagged points less that of the others."""
+    r, f = F.col("y") / F.col("yhat") - 1, F.coalesce(F.col(flag), F.lit(False))
+    return pred.where("y is not null and yhat is not null").groupBy(*by).agg(
+        (F.avg(F.when(f, r)) - F.avg(F.when(~f, r))).alias("effect"), F.sum(f.cast("long")).alias("flagged")
+    )
+
+
+def slices(pred: DataFrame, flags: dict[str, Column], base: str, other: str, margin: float = 0.01) -> DataFrame:
+    """(slice, points, change_pct, verdict) of one model against another on slices that may overlap."""
+    member = F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in flags.items())))
+    long = pred.where("y is not null and yhat is not null").withColumn("slice", F.explode(member)).withColumn("_e", F.abs(F.col("y") - F.col("yhat")))
+    mean = lambda m: F.avg(F.when(F.col("model") == m, F.col("_e")))
+    found = long.groupBy("slice").agg(mean(base).alias("a"), mean(other).alias("b"), F.count(F.when(F.col("model") == other, 1)).alias("points"))
+    verdict = F.when(F.col("b") < (1 - margin) * F.col("a"), "better").when(F.col("b") > (1 + margin) * F.col("a"), "worse").otherwise("same")
+    return found.select("slice", "points", ((F.col("b") / F.col("a") - 1) * 100).alias("change_pct"), verdict.alias("verdict"))

@@ -101,3 +101,20 @@ def neighbour_region(rows: DataFrame, order: str, region: str, by: Sequence[str]
     near = F.array_distinct(F.concat(F.slice(F.reverse(before), 1, k), F.slice(after, 1, k)))
     agreed = F.when(F.size(near) == 1, F.element_at(near, 1))
     return rows.withColumn("_near", near).withColumn("resolved", F.coalesce(F.col(region), agreed)).drop("_near")
+
+
+def assign_events(events: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(event_id, region, entity, level): an entity by its exact key in the region; else by the one key of the region that the
+    place is a prefix of, where exactly one is; else the region alone, if the dictionary has it; else dropped."""
+    cols = ["event_id", "region", "entity", "level"]
+    keys = unique_only(dictionary, ["region", "key"])
+    exact = events.join(keys.withColumnRenamed("key", "place"), ["region", "place"]).withColumn("level", F.lit("exact"))
+    rest = events.join(exact.select("event_id"), "event_id", "left_anti")
+    places = rest.select("region", "place").distinct()  # few, however many events there are
+    pairs = prefix_join(dictionary.select("region", "key", "entity"), "key", places, "place", 4, ["region"])
+    one = pairs.groupBy("region", "place").agg(F.min("entity").alias("entity"), F.countDistinct("entity").alias("n")).where("n = 1").drop("n")
+    prefix = rest.join(one, ["region", "place"]).withColumn("level", F.lit("prefix"))
+    left = rest.join(prefix.select("event_id"), "event_id", "left_anti")
+    none = F.lit(None).cast(dictionary.schema["entity"].dataType)
+    region = left.join(dictionary.select("region").distinct(), "region").withColumn("entity", none).withColumn("level", F.lit("region"))
+    return exact.select(cols).unionByName(prefix.select(cols)).unionByName(region.select(cols))

@@ -51,9 +51,10 @@ def headerless_codes(spark: SparkSession, path: str, section: str = "1") -> Data
     return rows.select(code.alias("code"), F.trim("name").alias("name")).where(F.col("name") != "")
 
 
-def stateful_header(rows: DataFrame, order: str, header: Column, name: str) -> DataFrame:
-    """Rows below a header row carry it; header rows themselves go. ``order`` is the row's place in its file."""
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+def stateful_header(rows: DataFrame, order: str, header: Column, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """Rows below a header row carry it; header rows themselves go. ``order`` is the row's place in its file, ``by`` names
+    the file where there are several."""
+    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("_h", header).withColumn(name, F.last("_h", ignorenulls=True).over(w)).where("_h is null").drop("_h")
 
 
