@@ -122,7 +122,11 @@ def forward_choice(spark: SparkSession, d: str) -> DataFrame:
     return test.groupBy("model", "origin").agg(F.round(F.avg(F.abs(F.col("y") - F.col("yhat"))), 4).alias("mae"))
 
 
-@query()
+@query("""WITH e AS (SELECT event_id, (user_id % 25)::INT AS region, CASE event_id % 3 WHEN 0 THEN printf('supplier#%09d', user_id) WHEN 1 THEN 'supplier#00000000' ELSE 'elsewhere' END AS place FROM events),
+s AS (SELECT s_suppkey, s_nationkey AS region, lower(s_name) AS key FROM supplier), u AS (SELECT region, key FROM s GROUP BY 1, 2 HAVING count(*) = 1),
+lv AS (SELECT event_id, CASE WHEN EXISTS (SELECT 1 FROM u WHERE u.region = e.region AND u.key = e.place) THEN 'exact'
+WHEN (SELECT count(DISTINCT s_suppkey) FROM s WHERE s.region = e.region AND starts_with(s.key, e.place)) = 1 THEN 'prefix' WHEN e.region IN (SELECT region FROM s) THEN 'region' END AS level FROM e)
+SELECT level, count(*)::BIGINT AS n, count(DISTINCT event_id)::BIGINT AS events FROM lv WHERE level IS NOT NULL GROUP BY 1""")
 def coded_event_assignment(spark: SparkSession, d: str) -> DataFrame:
     """Place names of events assigned to suppliers: the exact key in the region, then a prefix, then the region alone."""
     s = read(spark, d, "supplier").select(F.col("s_suppkey").alias("entity"), F.col("s_nationkey").alias("region"), F.lower("s_name").alias("key"))

@@ -119,7 +119,8 @@ def region_share_join(spark: SparkSession, d: str) -> DataFrame:
     return X.weighted_mentions(own, regional, pl).select("entity", "month", F.round("w", 6).alias("w"))
 
 
-@query()
+@query("""SELECT p_partkey AS part, lower(to_base(list_reduce(list_concat([2166136261::BIGINT], [ascii(c)::BIGINT FOR c IN string_split(p_name, '')]),
+lambda h, c: (xor(h, c) * 16777619) % 4294967296), 36)) AS code FROM part""")
 def fnv_codes(spark: SparkSession, d: str) -> DataFrame:
     """Short hashes of names, in base 36."""
     return read(spark, d, "part").select(F.col("p_partkey").alias("part"), fnv1a_base36(F.col("p_name")).alias("code"))
@@ -140,7 +141,8 @@ def fuzzy_cascade(spark: SparkSession, d: str) -> DataFrame:
     return J.cascade_match(s.select(name.alias("name"), "region"), s)
 
 
-@query()
+@query(f"""WITH {SQL_PLACES}, p AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY entity) AS pos, CASE WHEN entity % 7 <> 0 THEN region END AS known FROM places)
+SELECT entity, region, known, coalesce(known, max(known) OVER (PARTITION BY region ORDER BY pos ROWS BETWEEN 50 PRECEDING AND 50 FOLLOWING)) AS resolved FROM p""")
 def neighbour_disambiguation(spark: SparkSession, d: str) -> DataFrame:
     """A list ordered by region with every seventh region unknown, filled where its neighbours agree."""
     pl = places(spark, d).withColumn("pos", F.row_number().over(Window.partitionBy("region").orderBy("entity")))
@@ -161,6 +163,6 @@ def gazetteer_tags(spark: SparkSession, d: str) -> DataFrame:
     return J.pattern_tags(docs.select("doc_id", "text"), "text", patterns, "doc_id").groupBy("entity").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_doc"))
 
 
-@query()
+@query("""SELECT p_partkey AS part, array_to_string([substr(x, 1, 4) FOR x IN list_sort(string_split(lower(p_name), ' '))], ' ') AS stem FROM part""")
 def stem_keys(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").select(F.col("p_partkey").alias("part"), stem_key(F.col("p_name"), 4).alias("stem"))

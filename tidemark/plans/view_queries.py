@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import decimal_comma
 from ..operators import quality as Q
-from .base import FIRST, LAST, SQL_CAT, SQL_PANEL, SQL_PLACES, category_panel, panel, places, query, read
+from .base import FIRST, LAST, SQL, SQL_CAT, SQL_PANEL, SQL_PLACES, category_panel, panel, places, query, read
 from .join_queries import SQL_NP, SQL_ORD, nation_panel, order_months
 from .panel_queries import robust_z_candidates
 
@@ -56,7 +56,8 @@ def entity_json(spark: SparkSession, d: str) -> DataFrame:
     return per.groupBy("entity").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "points"))))).alias("json"))
 
 
-@query()
+@query(f"""WITH c AS ({SQL["robust_z_candidates"]}) SELECT year, count(*) FILTER (metric = 'revenue')::BIGINT AS revenue, count(*) FILTER (metric = 'quantity')::BIGINT AS quantity
+FROM c WHERE caution = '' GROUP BY 1""")
 def shock_overview(spark: SparkSession, d: str) -> DataFrame:
     """Candidates by year and metric, without those that carry a caution."""
     found = robust_z_candidates(spark, d).where("caution = ''")
