@@ -106,8 +106,8 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def _descend(p: Sample, u: Sample, slope, steps: int, rate: float, decay: float) -> Model:
-    """Adam on all rows; ``slope(zp, zu)`` gives the risk and its derivative by each logit. The iterate of least risk wins,
-    so a small sample on which the steps run away still gives a usable model."""
+    """Adam on all rows; ``slope(zp, zu)`` gives the risk and its derivative by each logit. The last iterate wins, unless
+    the steps ran away from the least risk seen, as they can on a few rows; then it is that one."""
     least, best = np.inf, None
     model = Model(np.zeros(len(MEASURES)), np.zeros(BUCKETS), 0.5)
     m = v = np.zeros(len(MEASURES) + BUCKETS)
@@ -120,7 +120,8 @@ def _descend(p: Sample, u: Sample, slope, steps: int, rate: float, decay: float)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
         model.dense, model.words = model.dense - step[: len(MEASURES)], model.words - step[len(MEASURES) :]
-    return Model(*best, 0.5)
+    risk = slope(p.logits(model), u.logits(model))[0]
+    return model if risk <= 1.5 * least + 0.05 else Model(*best, 0.5)
 
 
 def estimate_prior(p: Sample, u: Sample, steps: int = 60) -> float:
