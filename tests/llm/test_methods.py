@@ -285,6 +285,24 @@ def test_removing_spans_and_documents(spark):
     assert [r.doc_id for r in decontaminate.remove_contaminated(docs, items).orderBy("doc_id").collect()] == [2, 3, 4]
 
 
+def test_removal_judges_the_union_of_all_blocks(spark, sf_dir):
+    one, two = ([f"{c}{i}" for i in range(13)] for c in "ab")
+    rest = [f"r{i}" for i in range(400)]
+    mixed = " ".join([*one, *rest[:200], *two, *rest[200:]])  # 3 % and 3 %: 26 of 426 words
+    touching = " ".join(["x", *one, *two, "y"])
+    docs = spark.createDataFrame([(1, mixed), (2, " ".join([*one, *rest])), (3, None), (4, touching), (5, "")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(one)), (2, " ".join(two)), (3, f"{one[12]} {two[0]}")], "item_id long, text string")
+    for size in (1, 1 << 20):
+        kept = decontaminate.remove_contaminated(docs, items, block_bytes=size).collect()
+        assert sorted(r.doc_id for r in kept) == [2, 3, 5]
+        cut = {r.doc_id: r.text for r in decontaminate.remove_contaminated(docs, items, unit="span", block_bytes=size).collect()}
+        assert cut == {1: f" {' '.join(rest[:200])}  {' '.join(rest[200:])}", 2: f" {' '.join(rest)}", 3: None, 4: "x  y", 5: ""}
+    docs, items = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    want = {r.doc_id for r in decontaminate.contamination(docs, items).collect() if not (r.n_hit > 0 and 20 * r.n_hit >= r.n_words)}
+    got = [r.doc_id for r in decontaminate.remove_contaminated(docs, items, block_bytes=2000).select("doc_id").collect()]
+    assert len(got) == len(want) < docs.count() and set(got) == want
+
+
 # language
 def _brute_marginals(e, t):
     """Forward-backward word by word."""

@@ -182,34 +182,59 @@ def is_contaminated(n_hit, n_words):
     return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", unit: str = "document") -> DataFrame:
+def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of one document from several blocks, merged as ``contamination`` merges them."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and out[-1][1] >= a:
+            out[-1] = out[-1][0], max(out[-1][1], b)
+        else:
+            out.append((a, b))
+    return out
+
+
+def remove_contaminated(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", unit: str = "document", block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
     """``docs`` (all columns) without contaminated documents, or with every hit span cut out of the text.
 
-    ``unit`` is "document" or "span". A cut takes the bytes from the first to the last word of a merged hit.
+    ``unit`` is "document" or "span". A cut takes the bytes from the first to the last word of a merged hit. A batch of
+    documents is scanned for every block before it is judged or cut, once, on the union of the hits; the windows of one
+    block are in memory at a time.
     """
-    shared = [docs.sparkSession.sparkContext.broadcast(b) for b in _blocks(benchmark, "item_id", "text", BLOCK_BYTES)]
+    shared = [docs.sparkSession.sparkContext.broadcast(b) for b in _blocks(benchmark, "item_id", "text", block_bytes)]
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only = NGrams(shared[0].value if shared else []) if len(shared) < 2 else None
         for batch in batches:
-            for block in shared or [None]:
-                grams = NGrams(block.value if block else [])
-                keep, texts_out = [], []
+            hits: list[list[tuple[int, int]]] = [[] for _ in range(batch.num_rows)]
+            for grams in [only] if only else (NGrams(block.value) for block in shared):
+                at = 0
                 for _, texts in utf8_slices(batch, text, 256):
-                    found = [words(t) for t in texts]
-                    counts, spans, _ = grams.scan(found)
-                    keep += [not (h > 0 and 20 * h >= len(w)) for h, w in zip(counts, found, strict=True)]
-                    if unit == "span":
-                        texts_out += [_cut(t, w, s) if s else t for t, w, s in zip(texts, found, spans, strict=True)]
-                if unit == "span":
-                    was_null = batch.column(text).is_null()
-                    cut = pa.array([t.decode() for t in texts_out], pa.string())
-                    cut = pa.compute.if_else(was_null, pa.scalar(None, pa.string()), cut)
-                    columns = [cut if c == text else batch.column(c) for c in names]
-                    batch = pa.RecordBatch.from_arrays(columns, names=names)
-                else:
-                    batch = batch.filter(pa.array(keep, pa.bool_()))
-            yield batch
+                    for i, spans in enumerate(grams.scan([words(t) for t in texts])[1], at):
+                        hits[i] += spans
+                    at += len(texts)
+            hits = [_union(x) if x else x for x in hits]
+            if not any(hits):
+                yield batch
+            elif unit == "span":
+                at, texts_out = 0, []
+                for _, texts in utf8_slices(batch, text, 256):
+                    texts_out += [_cut(t, words(t), s) if s else t for t, s in zip(texts, hits[at : at + len(texts)], strict=True)]
+                    at += len(texts)
+                was_null = batch.column(text).is_null()
+                cut = pa.array([t.decode() for t in texts_out], pa.string())
+                cut = pa.compute.if_else(was_null, pa.scalar(None, pa.string()), cut)
+                columns = [cut if c == text else batch.column(c) for c in names]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+            else:
+                at, keep = 0, []
+                for _, texts in utf8_slices(batch, text, 256):
+                    for t, spans in zip(texts, hits[at : at + len(texts)], strict=True):
+                        keep.append(not spans or not is_contaminated(sum(b - a for a, b in spans), len(words(t))))
+                    at += len(texts)
+                yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
