@@ -7,6 +7,7 @@ import os
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -193,6 +194,38 @@ def test_pu_fit_without_positives(spark):
     assert pu_quality.score(docs, None).first().score == 0.5
 
 
+def _collected(monkeypatch, df) -> list[int]:
+    """Fills with the number of rows of each collect from now on."""
+    sizes, collect = [], type(df).collect
+
+    def counted(self):
+        rows = collect(self)
+        sizes.append(len(rows))
+        return rows
+
+    monkeypatch.setattr(type(df), "collect", counted)
+    return sizes
+
+
+def _first_ids(ids) -> list[int]:
+    """Ids outside the held-out fold, in the order of their hashes."""
+    return sorted((i for i in ids if not H.held_out(i)), key=lambda i: np.int64(np.uint64(xxhash.xxh64_intdigest(str(i).encode(), seed=42)).view(np.int64)))
+
+
+def test_pu_sample_counts_ids_however_often_they_are_repeated(spark, monkeypatch):
+    ids = _first_ids(range(100))
+    hot_p, hot_u = [i for i in ids if i % 2][0], [i for i in ids if i % 2 == 0][0]
+    rows = [(i, f"text of {i}") for i in range(100)] + [(i, f"again {j}") for i in (hot_p, hot_u) for j in range(200)] + [(None, "no id")] * 200
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(pu_quality, "estimate_prior", lambda p, u: 0.5)
+    monkeypatch.setattr(pu_quality, "fit_nnpu", lambda p, u, prior: seen.append((len(p.words), len(u.words))))
+    sizes = _collected(monkeypatch, docs)
+    pu_quality.fit(docs, labels, positives=10, unlabelled=20)
+    assert seen == [(10, 20)] and max(sizes) == 30
+
+
 # simhash
 def _brute_roots(fps):
     comp = H.components(dict(enumerate(fps)))
@@ -361,6 +394,20 @@ def test_language_of_held_out_and_code_switched_text(spark):
     assert 1 <= switches[1] <= 6 and switches[2] <= 2
 
 
+def test_language_sample_holds_every_language_and_each_id_once(spark, monkeypatch):
+    ids = _first_ids(range(1000))
+    hot, rare = ids[0], ids[-3:]
+    rows = [(i, f"text {i}", "xx" if i in rare else "de" if i % 10 == 0 else "en") for i in range(1000)]
+    rows += [(hot, f"again {j}", "de" if hot % 10 == 0 else "en") for j in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(language_crf, "train", lambda texts, langs: (texts, langs))
+    sizes = _collected(monkeypatch, docs)
+    texts, langs = language_crf.fit(docs, sample_docs=40)
+    assert {x: langs.count(x) for x in set(langs)} == {"xx": 3, "de": 18, "en": 19} and max(sizes) == 40
+    assert len(set(texts)) == 40 and sum(t.startswith("again") or t == f"text {hot}" for t in texts) <= 1
+    assert language_crf._quotas({"a": 5, "b": 1, "c": 9}, 2) == {"b": 1, "a": 1, "c": 1}
+
+
 # tokens
 @settings(deadline=None, max_examples=150)
 @given(st.text(max_size=60))

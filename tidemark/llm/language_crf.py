@@ -5,8 +5,8 @@ word. A word's features are hashed character n-grams of two to four bytes with b
 its affixes) and log-odds of a lexicon. Forward-backward gives each word's posterior; a document's language is the one
 with the largest mean posterior over its words.
 
-Training takes at most ``sample_docs`` labelled documents (a documented bound). One half makes the lexicon; of the other
-half, pieces from different documents are spliced into sequences, which teaches the transitions. Everything else covers
+Training takes at most ``sample_docs`` labelled documents (a documented bound), one row for each id, in equal shares of the
+languages as far as they have so many, and at least one of each language. One half makes the lexicon; of the other half, pieces from different documents are spliced into sequences, which teaches the transitions. Everything else covers
 all rows and whole texts.
 
 Long texts are exact, too: chains are cut into segments whose transfer matrices are multiplied along the document, so
@@ -25,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import gather_runs, held_out, table
@@ -270,13 +270,38 @@ def train(texts: list[str | None], langs: list[str], epochs: int = 12, sequences
     return crf
 
 
+def _quotas(counts: dict[str, int], total: int) -> dict[str, int]:
+    """Equal shares of ``total``; what a rare language leaves goes to the others; one for each language at least."""
+    out, left = {}, max(total, len(counts))
+    for i, lang in enumerate(sorted(counts, key=lambda x: (counts[x], x))):
+        out[lang] = min(counts[lang], left // (len(counts) - i))
+        left -= out[lang]
+    return out
+
+
 def fit(docs: DataFrame, sample_docs: int = 2000, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Crf | None:
-    """A model from at most ``sample_docs`` labelled documents outside the held-out fold, chosen by hashed id."""
-    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(key)))
-    ids = known.select(key).distinct().orderBy(F.xxhash64(F.col(key).cast("string")), key).limit(sample_docs)
-    rows = known.select(key, text, lang).join(F.broadcast(ids), key).collect()  # whole texts of a bounded number of rows
-    rows = sorted(rows, key=lambda r: (str(r[key]), r[text]))[:sample_docs]
-    return train([r[text] for r in rows], [r[lang] for r in rows])
+    """A model from at most ``sample_docs`` labelled documents outside the held-out fold, chosen for each language by hashed id.
+
+    Only a table of more languages than ``sample_docs`` gives more: one document of each.
+    """
+    spark, top = docs.sparkSession, 1 << 31
+    known = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("lang"))
+    known = known.where(F.col("lang").isNotNull() & F.col("t").isNotNull() & F.col("k").isNotNull() & ~held_out(F.col("k")))
+    ids = known.select("k", "lang").distinct()
+    counts = {r["lang"]: r["n"] for r in ids.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    if not counts:
+        return None
+    quotas = _quotas(counts, sample_docs)
+    # draws are uniform: below ``bound`` are about twice as many ids as wanted, so only few are ranked
+    limits = [(x, q, min(top, (2 * q + 100) * top // counts[x] + 1)) for x, q in quotas.items()]
+    limits = F.broadcast(spark.createDataFrame(limits, "lang string, quota long, bound long"))
+    drawn = ids.withColumn("draw", F.pmod(F.xxhash64(F.col("k").cast("string")), F.lit(top))).join(limits, "lang").where("draw < bound")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "k"))
+    chosen = F.broadcast(drawn.withColumn("place", place).where("place <= quota").select("k", "lang", "place"))
+    rows = known.join(chosen, ["k", "lang"]).groupBy("lang", "place")
+    rows = rows.agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t")).alias("one"))  # one row of a repeated id
+    rows = sorted(rows.select("lang", "place", "one.t").collect(), key=lambda r: (r["lang"], r["place"]))  # whole texts of those ids
+    return train([r["t"] for r in rows], [r["lang"] for r in rows])
 
 
 def identify(docs: DataFrame, crf: Crf | None, text: str = "text", key: str = "doc_id") -> DataFrame:

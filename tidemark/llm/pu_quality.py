@@ -9,8 +9,9 @@ text measures and hashed words minimises the non-negative unbiased risk
 a model tells P from U on one half of the sample; on the other half, the share of U above a threshold over that of P
 bounds the prior, and the smallest bound, with its sampling error, is taken.
 
-The fit uses at most ``positives`` and ``unlabelled`` rows (bounds, by hashed id; parameters of ``fit``). Texts become feature
-rows on the executors; only those bounded rows reach the driver. Every document is scored.
+The fit uses at most ``positives`` and ``unlabelled`` ids (bounds, by hashed id; parameters of ``fit``), one row for each
+however often it is repeated. Texts become feature rows on the executors; only those bounded rows reach the driver. Every
+document is scored.
 
 Cases: a null text is empty and is scored like any other (its measures are zero); labels of absent documents, null
 labels and repeated label rows are harmless; without positives or unlabelled rows every score is 0.5; an empty
@@ -167,28 +168,33 @@ def _features(rows: DataFrame, text: str) -> list:
                 found = [Doc(t) for t in texts]
                 yield pa.RecordBatch.from_arrays(
                     [
+                        part.column("place"),
                         part.column("positive"),
                         pa.array([measures(d) for d in found], pa.list_(pa.float64())),
                         pa.array([hashed_words(d) for d in found], pa.list_(pa.int32())),
                     ],
-                    names=["positive", "dense", "words"],
+                    names=["place", "positive", "dense", "words"],
                 )
 
-    return rows.select("positive", text).mapInArrow(run, "positive boolean, dense array<double>, words array<int>").collect()
+    schema = f"place {rows.schema['place'].dataType.simpleString()}, positive boolean, dense array<double>, words array<int>"
+    return rows.select("place", "positive", text).mapInArrow(run, schema).collect()
 
 
 def fit(
     docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled: int = 6000, text: str = "text", key: str = "doc_id"
 ) -> Model | None:
-    """A model from at most ``positives`` trusted and ``unlabelled`` other rows, none of the held-out fold."""
+    """A model from at most ``positives`` trusted and ``unlabelled`` other ids, none of the held-out fold, a row for each."""
     order = F.xxhash64(F.col(key).cast("string"))
     trusted = labels.where((F.col("quality") == 1) & ~held_out(F.col(key))).select(key).distinct()
     some_p = trusted.orderBy(order, key).limit(positives).withColumn("positive", F.lit(True))
-    others = docs.where(~held_out(F.col(key))).select(key).join(trusted, key, "left_anti")
-    some_u = others.orderBy(order, key).limit(unlabelled).distinct().withColumn("positive", F.lit(False))
+    others = docs.where(F.col(key).isNotNull() & ~held_out(F.col(key))).select(key).distinct().join(trusted, key, "left_anti")
+    some_u = others.orderBy(order, key).limit(unlabelled).withColumn("positive", F.lit(False))
     chosen = F.broadcast(some_p.unionByName(some_u))  # at most positives + unlabelled ids
-    rows = _features(docs.select(key, text).join(chosen, key), text)
-    rows = [r for r in rows if r["positive"]][:positives], [r for r in rows if not r["positive"]][:unlabelled]
+    rows = docs.select(key, text).join(chosen, key).groupBy(key, "positive")
+    rows = rows.agg(F.min(F.struct(F.xxhash64(text).alias("h"), F.col(text).alias("t"))).alias("one"))  # of repeated ids, too
+    rows = _features(rows.select(F.col(key).alias("place"), "positive", F.col("one.t").alias(text)), text)
+    rows = sorted(rows, key=lambda r: r["place"])  # the halves of the prior's estimate don't hang on the shuffle
+    rows = [r for r in rows if r["positive"]], [r for r in rows if not r["positive"]]
     if not all(rows):
         return None
     p, u = (Sample(np.array([r["dense"] for r in part]), [np.array(r["words"], np.int64) for r in part]) for part in rows)
