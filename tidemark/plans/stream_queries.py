@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.detect import START
 from ..streaming import events as S
 from .base import query, read
 
 
-def stream(spark: SparkSession, d: str) -> DataFrame:
-    found = S.source(spark, d, "events.parquet", read(spark, d, "events").schema)
+def stream(spark: SparkSession, d: str, per_trigger: int | None = 8) -> DataFrame:
+    found = S.stored(spark, d, "events.parquet", read(spark, d, "events").schema, per_trigger)
     return found.withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need an instant
 
 
@@ -22,16 +23,16 @@ def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT event_id, user_id, event_type FROM events""")
 def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
-    """Every file's rows arrive twice; each event id stays once."""
+    """Every file's rows arrive twice; each event id stays once. A stored table's files have no order in time, so nothing is late."""
     s = stream(spark, d)
-    return S.run_available(S.deduplicated(s.unionByName(s)).select("event_id", "user_id", "event_type"))
+    return S.run_available(S.deduplicated(s.unionByName(s), late=None).select("event_id", "user_id", "event_type"))
 
 
 @query("""WITH e AS (SELECT user_id, ts, (ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR)::INT AS fresh FROM events WHERE event_type = 'error'),
 s AS (SELECT user_id, ts, sum(coalesce(fresh, 0)) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e)
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*)::BIGINT AS n FROM s GROUP BY user_id, k""")
 def stream_session(spark: SparkSession, d: str) -> DataFrame:
-    return S.run_available(S.sessions(stream(spark, d).where("event_type = 'error'"), ["user_id"]), "complete")
+    return S.run_available(S.sessions(stream(spark, d).where("event_type = 'error'"), ["user_id"], late=None), "complete")
 
 
 @query("""WITH RECURSIVE z AS (SELECT user_id AS entity, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS t, value AS z FROM events),
@@ -39,6 +40,7 @@ e0 AS (SELECT entity, avg(z) AS level FROM z WHERE t < 2 GROUP BY 1), ew AS (SEL
 SELECT z.entity, z.t, 0.3::DOUBLE * z.z + 0.7::DOUBLE * ew.level, abs(z.z - ew.level) FROM ew JOIN z ON z.entity = ew.entity AND z.t = ew.t + 1)
 SELECT entity, count(*)::BIGINT AS n, round(max(score), 4) AS top, round(sum(score), 3) AS total FROM ew WHERE t >= 2 GROUP BY 1""")
 def stream_ewma(spark: SparkSession, d: str) -> DataFrame:
-    signal = stream(spark, d).select(F.col("user_id").alias("entity"), F.col("event_id").alias("t"), F.col("value").alias("z"))
-    scores = S.run_available(S.online_ewma(signal)).where("score > 0 or t < 0")
+    """All files in one batch, which sorts each series: a stored table's files need not be in the order of t."""
+    signal = stream(spark, d, per_trigger=None).select(F.col("user_id").alias("entity"), F.col("event_id").alias("t"), F.col("value").alias("z"))
+    scores = S.run_available(S.online_ewma(signal)).where(F.col("position") >= START)
     return scores.groupBy("entity").agg(F.count("*").alias("n"), F.round(F.max("score"), 4).alias("top"), F.round(F.sum("score"), 3).alias("total"))

@@ -13,13 +13,22 @@ from pyspark.sql import functions as F
 from ..operators.detect import ALPHA, START
 
 
-def source(spark: SparkSession, folder: str, pattern: str, schema, per_trigger: int = 8) -> DataFrame:
-    """Files as a stream; the checkpoint of the query is the ledger of what was read."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", per_trigger).parquet(folder)
+def source(spark: SparkSession, folder: str, pattern: str, schema, per_trigger: int | None = 8) -> DataFrame:
+    """Files as a stream; the checkpoint of the query is the ledger of what was read. Without ``per_trigger``, all of them at once."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    return (reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader).parquet(folder)
 
 
-def deduplicated(events: DataFrame, key: str = "event_id", ts: str = "ts", late: str = "3 days") -> DataFrame:
-    return events.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
+def stored(spark: SparkSession, folder: str, name: str, schema, per_trigger: int | None = 8) -> DataFrame:
+    """A stored table as a stream: one file of that name in the folder, or a folder of part files."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    parts = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    return source(spark, f"{folder}/{name}", "*", schema, per_trigger) if parts else source(spark, folder, name, schema, per_trigger)
+
+
+def deduplicated(events: DataFrame, key: str = "event_id", ts: str = "ts", late: str | None = "3 days") -> DataFrame:
+    """The first event of each key. Without ``late``, none is dropped for its time and all keys are held as state."""
+    return events.withWatermark(ts, late).dropDuplicatesWithinWatermark([key]) if late else events.dropDuplicates([key])
 
 
 def tumbling_counts(events: DataFrame, keys: list[str], ts: str = "ts", width: str = "1 day", late: str = "3 days") -> DataFrame:
@@ -28,13 +37,14 @@ def tumbling_counts(events: DataFrame, keys: list[str], ts: str = "ts", width: s
     return win.select(*keys, F.col("window.start").alias("start"), "n")
 
 
-def sessions(events: DataFrame, keys: list[str], ts: str = "ts", gap: str = "6 hours", late: str = "3 days") -> DataFrame:
-    win = events.withWatermark(ts, late).groupBy(F.session_window(ts, gap), *keys).agg(F.count("*").alias("n"))
+def sessions(events: DataFrame, keys: list[str], ts: str = "ts", gap: str = "6 hours", late: str | None = "3 days") -> DataFrame:
+    """Episodes of events. Without ``late``, none is dropped for its time (complete mode only)."""
+    win = (events.withWatermark(ts, late) if late else events).groupBy(F.session_window(ts, gap), *keys).agg(F.count("*").alias("n"))
     return win.select(*keys, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
 def online_ewma(signal: DataFrame, key: str = "entity") -> DataFrame:
-    """Scores (key, t, score) as values arrive: the state of a series is its count, sum of first values and level.
+    """Scores (key, t, score, position) as values arrive: the state of a series is its count, sum of first values and level.
 
     Values of a series must arrive in the order of t across batches; within a batch they are sorted.
     """
@@ -48,16 +58,16 @@ def online_ewma(signal: DataFrame, key: str = "entity") -> DataFrame:
         for t, z in sorted((t, z) for f in frames for t, z in zip(f["t"], f["z"], strict=True)):
             if seen < START:
                 level += z / START
-                rows.append((k[0], t, 0.0))
+                rows.append((k[0], t, 0.0, seen))
             else:
-                rows.append((k[0], t, abs(z - level)))
+                rows.append((k[0], t, abs(z - level), seen))
                 level = ALPHA * z + (1 - ALPHA) * level
             seen += 1
         state.update((seen, level))
-        yield pd.DataFrame(rows, columns=[key, "t", "score"])
+        yield pd.DataFrame(rows, columns=[key, "t", "score", "position"])
 
     return signal.groupBy(key).applyInPandasWithState(
-        step, f"`{key}` {kind}, t long, score double", "seen long, level double", "append", GroupStateTimeout.NoTimeout
+        step, f"`{key}` {kind}, t long, score double, position long", "seen long, level double", "append", GroupStateTimeout.NoTimeout
     )
 
 
