@@ -246,3 +246,11 @@ def test_text_functions(spark):
     kinds = [one(T.first_rule(F.lit(t), rules, veto)) for t in ("Введение режима", "О введении изменений", "Отмена введенного", "Прочее")]
     assert kinds == ["intro", "other", "intro", "other"]
     assert one(token_sort_ratio(F.lit("b a"), F.lit("A b"))) == 100.0
+
+
+def test_root_overlap_counts_every_member(spark):
+    from tidemark.plans.panel_queries import root_overlap
+
+    rows = [(i, r) for i in range(1000) for r in ("A", "B") + (("C",) if i % 4 == 0 else ())] + [(5, "A"), (2000, "D"), (None, "A"), (None, "D")]
+    got = sorted(map(tuple, root_overlap(spark.createDataFrame(rows, "o_custkey long, root string")).collect()))
+    assert got == [("A", "B", 1000), ("A", "C", 250), ("A", "D", 0), ("B", "C", 250), ("B", "D", 0), ("C", "D", 0)]

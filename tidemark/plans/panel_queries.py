@@ -360,14 +360,20 @@ def union_distinct(spark: SparkSession, d: str) -> DataFrame:
 c AS (SELECT root, list(DISTINCT o_custkey) AS s, count(DISTINCT o_custkey) n FROM t WHERE o_custkey <= 40 GROUP BY 1)
 SELECT a.root AS left_root, b.root AS right_root, len(list_intersect(a.s, b.s))::BIGINT AS common FROM c a JOIN c b ON a.root < b.root""")
 def candidate_set_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """Overlap of the candidate sets of roots (a handful of priority words); sets are aggregated before they meet."""
+    """Overlap of the candidate sets of roots (a handful of priority words), for the customers that the SQL names."""
     o = read(spark, d, "orders").where("o_custkey <= 40")
-    t = o.select("o_custkey", F.explode(F.regexp_extract_all("o_orderpriority", F.lit("[A-Z]{3,}"), F.lit(0))).alias("root"))
-    c = t.groupBy("root").agg(F.collect_set("o_custkey").alias("s"))
-    a, b = c.select(F.col("root").alias("left_root"), F.col("s").alias("x")), c.select(F.col("root").alias("right_root"), F.col("s").alias("y"))
-    return a.join(b, F.col("left_root") < F.col("right_root")).select(
-        "left_root", "right_root", F.size(F.array_intersect("x", "y")).cast("long").alias("common")
-    )
+    return root_overlap(o.select("o_custkey", F.explode(F.regexp_extract_all("o_orderpriority", F.lit("[A-Z]{3,}"), F.lit(0))).alias("root")))
+
+
+def root_overlap(members: DataFrame, member: str = "o_custkey") -> DataFrame:
+    """(left_root, right_root, common) of all pairs of roots; only the few roots of one member ever meet in a row."""
+    own = members.where(F.col(member).isNotNull()).groupBy(member).agg(F.array_sort(F.collect_set("root")).alias("roots"))
+    left = own.select("roots", F.posexplode("roots").alias("i", "left_root"))
+    met = left.select("left_root", F.explode(F.expr("slice(roots, i + 2, size(roots))")).alias("right_root"))
+    met = met.groupBy("left_root", "right_root").agg(F.count("*").alias("common"))
+    roots = members.select("root").distinct()
+    pairs = roots.toDF("left_root").join(roots.toDF("right_root"), F.col("left_root") < F.col("right_root"))
+    return pairs.join(met, ["left_root", "right_root"], "left").select("left_root", "right_root", F.coalesce("common", F.lit(0)).cast("long").alias("common"))
 
 
 @query(f"""WITH {SQL_CAT} SELECT entity, month, list_sort(list_filter(['A', 'N', 'R'], lambda x: NOT list_contains(list(category), x)))::VARCHAR AS missing FROM cat GROUP BY 1, 2
