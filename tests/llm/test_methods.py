@@ -10,6 +10,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidemark.llm import (
     common,
@@ -298,6 +299,30 @@ def test_rules_and_normal_forms(spark):
     assert forms == ["a.com/b?q=1", "a.com/b?q=1", "a.com/b", "a.com", None]
 
 
+def test_relative_and_encoded_targets(spark):
+    u = "https://A.example.org/x/y/page?q=1#f"
+    cases = [
+        ('<link rel="canonical" href="page2.html">', "https://a.example.org/x/y/page2.html"),
+        ('<link rel="canonical" href="../z?a=../b">', "https://a.example.org/x/z?a=../b"),
+        ('<link rel="canonical" href="./../../../up/.">', "https://a.example.org/up/"),
+        ('<link rel="canonical" href="?id=3&amp;n=2">', "https://a.example.org/x/y/page?id=3&n=2"),
+        ('<link rel="canonical" href="go?to=http://b.net/">', "https://a.example.org/x/y/go?to=http://b.net/"),
+        ('<link rel="canonical" href="/a/../b">', "https://a.example.org/b"),
+        ("<link rel=canonical href='https://a.net/es/?x=1&amp;y=&#x4f60;&#38;amp;'>", "https://a.net/es/?x=1&y=你&amp;"),
+        ("<link rel=canonical href=//b.net/&eacute;&nosuch;&#0;>", "https://b.net/é&nosuch;�"),
+        ("<meta http-equiv=refresh content='0; url=next.html'>", "https://a.example.org/x/y/next.html"),
+        ("""<meta content="3;URL='/r?a=1&amp;b=2'" http-equiv="refresh">""", "https://a.example.org/r?a=1&b=2"),
+        ("<link rel=canonical href='#top'>", None), ("<link rel=canonical href='mailto:a@b.c'>", None), ("<meta http-equiv=refresh content=5>", None),
+    ]
+    df = spark.createDataFrame([(i, u, h) for i, (h, _) in enumerate(cases)], "i long, u string, h string")
+    got = {r.i: r.to for r in df.select("i", url_filter.targets(F.col("u"), F.col("h")).alias("to")).collect()}
+    assert got == {i: [] if want is None else [want] for i, (_, want) in enumerate(cases)}
+    pages = [(1, "https://a.net/es/?x=1&y=2", ""), (2, "https://q.org/1", "<link rel=canonical href='https://a.net/es/?x=1&amp;y=2'>"),
+        (3, "https://q.org/d/3", "<link rel=canonical href='../1'>"), (4, "https://q.org", "<meta http-equiv=refresh content='0; url=d/3'>"), (5, "https://q.org/5", "")]
+    found = url_filter.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r.page_id: (r.verdict, r.source) for r in found} == {1: ("block", "rule"), 2: ("block", "alias"), 3: ("block", "alias"), 4: ("block", "alias"), 5: ("allow", "default")}
+
+
 # decontamination
 def test_blocks_of_the_benchmark_merge(spark, sf_dir):
     docs, items = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")

@@ -5,7 +5,8 @@ longest rule wins, and allow wins a tie. A url that no rule fits takes the decis
 redirect and canonical-link edges (``<link rel=canonical>``, ``<meta http-equiv=refresh>``, and the implied canonical form
 without scheme, fragment, tracking parameters and trailing slash) form components. If a member is allowed by a rule,
 the component is allowed; else if a member is blocked, it is blocked; else it is allowed. A url's own rule always
-stands.
+stands. Targets may hold character references and be relative to the page's url (a base tag is not read); ``SQL`` below
+knows neither, only absolute targets and those that start with a slash, so it is equal on pages without others.
 
 Only built-in functions are used. Rules are a parameter of at most ``MAX_RULES`` entries and are matched in the row.
 Html is read once; everything after that works on urls. Components are those of distinct url forms that have an edge.
@@ -16,7 +17,9 @@ Null html has no edges. Repeated rows get equal results; an empty table gives an
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,28 +73,71 @@ def normal_form(url: Column) -> Column:
     return F.when(url.contains("://"), F.regexp_replace(form, r"\?$", ""))
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute, quoted or bare; empty if it has none."""
+    found = [F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\"'\s>]+))", k) for k in (1, 2, 3)]
+    return F.concat(*found)
+
+
+def decoded(value: Column) -> Column:
+    """``value`` with html's named and numeric character references replaced, in one pass."""
+    names = F.from_json(F.lit(json.dumps({f"&{k}": v for k, v in html5.items() if k.endswith(";")})), "map<string,string>")
+
+    def one(x: Column) -> Column:
+        digits = F.regexp_extract(x, "^&#[xX]?0*([0-9a-fA-F]*)", 1)  # nine or more are beyond all characters
+        code = F.when(F.length(digits) < 9, F.conv(digits, 16, 10).try_cast("long"))
+        code = F.when(x.rlike("^&#[xX]"), code).otherwise(F.when(F.length(digits) < 9, digits.try_cast("long")))
+        good = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(good, code).otherwise(F.lit(0xFFFD))), 8, "0")), "UTF-32")
+        return F.when(x.startswith("&#"), char).otherwise(F.coalesce(F.try_element_at(names, x), x))
+
+    pieces = F.regexp_extract_all(value, F.lit(r"&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[A-Za-z][A-Za-z0-9]*;|[^&]+|&"), F.lit(0))
+    return F.when(value.contains("&"), F.array_join(F.transform(pieces, one), "")).otherwise(value)
+
+
+def _without_dots(path: Column) -> Column:
+    """An absolute path without its segments . and .."""
+    some = F.split(path, "/")
+    kept = F.aggregate(
+        F.slice(some, 2, F.size(some)),
+        F.array().cast("array<string>"),
+        lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x))),
+    )
+    slash = F.when((F.size(kept) > 0) & path.rlike(r"/\.\.?$"), F.lit("/")).otherwise(F.lit(""))
+    plain = F.concat(F.lit("/"), F.array_join(kept, "/"), slash)
+    return F.when(path.rlike(r"/\.\.?(?:/|$)"), plain).otherwise(path)
+
+
+def resolved(ref: Column, url: Column) -> Column:
+    """The absolute url that ``ref`` means on the page ``url``; null if it names the page itself or isn't hierarchical."""
+    scheme, path = F.regexp_extract(url, "(?s)^(.*?)://", 1), path_of(url)
+    root = F.concat(scheme, F.lit("://"), host_of(url))
+    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_extract(path, "(?s)^(.*/)", 1))
+    whole = (
+        F.when(ref.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), ref)
+        .when(ref.rlike("^(?:[A-Za-z][A-Za-z0-9+.-]*:|#|$)"), F.lit(None))
+        .when(ref.startswith("//"), F.concat(scheme, F.lit(":"), ref))
+        .when(ref.startswith("/"), F.concat(root, ref))
+        .when(ref.startswith("?"), F.concat(root, path, ref))
+        .otherwise(F.concat(root, folder, ref))
+    )
+    part = lambda k: F.regexp_extract(whole, r"(?s)^(.*?://[^/?#]*)([^?#]*)(.*)$", k)
+    return F.when(whole.rlike(r"/\.\.?(?:[/?#]|$)"), F.concat(part(1), _without_dots(part(2)), part(3))).otherwise(whole)
+
+
 def targets(url: Column, html: Column) -> Column:
-    """Absolute urls that a page names as its canonical form or refreshes to."""
+    """Absolute urls that a page names as its canonical form or refreshes to. Relative ones are resolved against its url."""
     tags = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
     tags = F.filter(tags, lambda x: x.rlike(r"(?i)\brel\s*=\s*[\"']?canonical\b|\bhttp-equiv\s*=\s*[\"']?refresh\b"))
     raw = F.transform(
         tags,
-        lambda x: F.trim(
-            F.when(x.rlike("(?i)^<link"), F.regexp_extract(x, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)).otherwise(
-                F.regexp_extract(x, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)", 1)
-            )
+        lambda x: F.when(x.rlike("(?i)^<link"), F.trim(decoded(_attribute(x, "href")))).otherwise(
+            F.regexp_extract(decoded(_attribute(x, "content")), r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
         ),
     )
-    scheme = F.regexp_extract(url, "(?s)^(.*?)://", 1)
-    whole = F.transform(
-        raw,
-        lambda x: F.when(x.contains("://"), x)
-        .when(x.startswith("//"), F.concat(scheme, F.lit(":"), x))
-        .when(x.startswith("/"), F.concat(scheme, F.lit("://"), host_of(url), x)),
-    )
     none = F.array().cast("array<string>")
     guard = html.rlike(r"(?i)canonical|refresh") & url.contains("://")
-    return F.when(guard, F.array_compact(whole)).otherwise(none)
+    return F.when(guard, F.array_compact(F.transform(raw, lambda x: resolved(x, url)))).otherwise(none)
 
 
 def judge_urls(
