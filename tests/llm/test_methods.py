@@ -59,9 +59,13 @@ def test_cascade_orders_by_rejections_per_cost_and_stops(spark):
         return b"bad" in d.text
 
     rules = [quality_rules.Rule("slow", slow), quality_rules.Rule("quick", lambda d: b"bad" in d.text), quality_rules.Rule("never", lambda d: False)]
-    docs = spark.createDataFrame([(i, "bad text" if i % 2 else "fine text") for i in range(60)], "doc_id long, text string")
-    order = [x[0] for x in quality_rules.plan_cascade(docs, rules)]
-    assert order[0] == "quick" and order[-1] == "never"
+    fine = " ".join(f"w{j}" for j in range(60))
+    reach = [(i, fine + " bad" if i % 2 else fine) for i in range(60)]
+    docs = spark.createDataFrame([*reach, *((100 + i, "bad") for i in range(500))], "doc_id long, text string")  # those of the base verdict don't count
+    plan = quality_rules.plan_cascade(docs, rules)
+    assert [x[0] for x in plan] == ["quick", "slow", "never"]
+    assert [x[2] for x in plan] == [0.5, 0.0, 0.0] and plan[1][1] > 0.002  # of what "quick" leaves, "slow" rejects nothing
+    order = [x[0] for x in plan]
     words = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor ".split()
     rng = np.random.default_rng(1)
     good = [" ".join(rng.choice(words, 80).tolist() + [f"w{j}" for j in range(80)]) for _ in range(4)]
@@ -292,8 +296,8 @@ def test_rules_and_normal_forms(spark):
     df = spark.createDataFrame([("a.com", "/x/z"), ("s.a.com", "/x/yy"), ("ba.com", "/x"), ("b.com", "/q")], "h string, p string")
     got = [r[0] and (r[0].rule, r[0].allow) for r in df.select(url_filter.matched_rule(F.col("h"), F.col("p"), rules)).collect()]
     assert got == [("a.com/x", False), ("a.com/x/y", True), None, ("b.com/", True)]
-    with pytest.raises(ValueError):
-        url_filter.matched_rule(F.col("h"), F.col("p"), rules * 300)
+    found = {(r.host, r.path): (r.hit.rule, r.hit.allow) for r in url_filter.rule_hits(df.toDF("host", "path"), spark.createDataFrame(rules, "host string, path string, verdict string")).collect()}
+    assert [found.get((r.h, r.p)) for r in df.collect()] == got
     urls = ["HTTP://A.com/b/?utm_source=x&q=1#f", "https://a.com/b?q=1&ref=2", "https://a.com/b/", "https://a.com", "none"]
     forms = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(url_filter.normal_form(F.col("u"))).collect()]
     assert forms == ["a.com/b?q=1", "a.com/b?q=1", "a.com/b", "a.com", None]
@@ -457,6 +461,7 @@ def test_elias_fano_round_trip_and_select(steps, base):
     assert ef.decode().tolist() == values.tolist()
     for i in {0, len(values) // 3, len(values) // 2, len(values) - 1}:
         assert ef.select(i) == values[i]
+        assert ef.select_range(i, len(values)).tolist() == values[i:].tolist() and ef.select_range(0, i).tolist() == values[:i].tolist()
 
 
 def test_elias_fano_is_small():
@@ -472,6 +477,9 @@ def test_shards_split_and_read_back(spark, sf_dir, tmp_path):
     files = sorted(os.listdir(f"{tmp_path}/shards"))
     assert len(files) == manifest.count() > 10 and not any(f.startswith(".") for f in files)
     shard = token_store.Shard.load((tmp_path / "shards" / files[3]).read_bytes())
+    for a, b in ((0, len(shard)), (1, 3), (len(shard) - 1, len(shard))):
+        keys, bounds, some = shard.documents(a, b)
+        assert keys == [shard.keys.select(i) for i in range(a, b)] and [some[x:y].tolist() for x, y in zip(bounds[:-1] - bounds[0], bounds[1:] - bounds[0], strict=True)] == [shard.document(i).tolist() for i in range(a, b)]
     key = int(shard.keys.select(0))
     text = docs.where(f"doc_id = {key}").first().text
     assert shard.document(0).tolist() == [*tokens.direct_ids(tokens.load(tokens.default_path()), text), 1]

@@ -4,26 +4,32 @@ Words are runs of ``[0-9a-z]`` and non-ASCII characters after lower-casing A-Z.
 benchmark item; an item of 1 to 12 words is one window. Every document is scanned with rolling window hashes; a hit in
 the hash set is verified word for word.
 
-The benchmark is broadcast in blocks: a block holds items of at most ``block_bytes`` of text (or one item), so what is
-broadcast is bounded however many items there are; the documents are scanned once for each block, and hits of a document
-from several blocks are merged. Ordinary benchmarks are one block.
+The benchmark is broadcast in blocks: a block holds items of at most ``block_bytes`` of text (or one item). An ordinary
+benchmark is one block, and one scan gives the result. A larger one is worked off block by block: each is broadcast,
+scanned for, and destroyed before the next is read, and its hits are written under the hash of the text that holds
+them; the union of all hits, merged into spans, is joined back to the documents. So no more than one block is ever in
+memory or broadcast, and a document is judged or cut once, on all its hits. A Python worker prepares a block once.
 
 Cases: null and empty texts have no words and are never hit; an item without words has no window; equal items are found
-each; repeated rows of a document are judged row by row (a row number, not the id, keys the merge); an empty benchmark
-or table gives rows without hits or none; extra columns are only passed on by ``remove_contaminated``.
+each; items without an id count as one item that has no name; rows are judged by their text, so repeated ids and rows
+are right; an empty benchmark or table gives rows without hits or none; extra columns are only passed on by
+``remove_contaminated``.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, utf8_slices
+from .common import slices, table, utf8_slices, written
 
 N = 13
 BLOCK_BYTES = 8 << 20
@@ -108,6 +114,74 @@ def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Ite
         yield held
 
 
+_PREPARED: dict[tuple, NGrams] = {}
+
+
+def _prepared(name: str, shared, n: int) -> NGrams:
+    """The windows of a broadcast block; a Python worker keeps those of the last one."""
+    if (name, n) not in _PREPARED:
+        _PREPARED.clear()
+        _PREPARED[name, n] = NGrams(shared.value if shared else [], n)
+    return _PREPARED[name, n]
+
+
+_SPAN = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
+_SPAN_SQL = "array<struct<`from`:long,`to`:long>>"
+
+
+def _span_array(spans: list) -> pa.Array:
+    return pa.array([[{"from": a, "to": b} for a, b in x] for x in spans], _SPAN)
+
+
+def _item_array(items: list[set]) -> pa.Array:
+    return pa.array([sorted(str(i) for i in x if i is not None) + [None] * (None in x) for x in items], pa.list_(pa.string()))
+
+
+def _block_hits(docs: DataFrame, text: str, block: list, n: int) -> DataFrame:
+    """(hash, items, spans) of the distinct texts that one block hits, written; the broadcast is gone afterwards."""
+    shared, name = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = _prepared(name, shared, n)
+        for batch in batches:
+            for _, texts in utf8_slices(batch, text, 256):
+                counts, spans, items = grams.scan([words(t) for t in texts])
+                at = [i for i, k in enumerate(counts) if k]
+                columns = [pa.array([hashlib.sha256(texts[i]).digest() for i in at], pa.binary()), _item_array([items[i] for i in at]), _span_array([spans[i] for i in at])]
+                yield pa.RecordBatch.from_arrays(columns, names=["hash", "items", "spans"])
+
+    found = docs.select(text).mapInArrow(run, f"hash binary, items array<string>, spans {_SPAN_SQL}")
+    found = written(found.groupBy("hash").agg(F.first("items").alias("items"), F.first("spans").alias("spans")))
+    shared.destroy()
+    return found
+
+
+def _all_hits(docs: DataFrame, text: str, blocks: Iterator[list], n: int) -> DataFrame:
+    """(hash, items, spans) of hit texts over all blocks; spans merged. Few rows a text, one from each block that hits it."""
+    found = None
+    for block in blocks:
+        one = _block_hits(docs, text, block, n)
+        found = one if found is None else found.unionByName(one)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items = [{i for part in x for i in part} for x in batch.column("items").to_pylist()]
+            spans = [_union([(y["from"], y["to"]) for part in x for y in part]) for x in batch.column("spans").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("hash"), _item_array(items), _span_array(spans)], names=["hash", "items", "spans"])
+
+    gathered = found.groupBy("hash").agg(F.collect_list("items").alias("items"), F.collect_list("spans").alias("spans"))
+    return written(gathered.mapInArrow(run, f"hash binary, items array<string>, spans {_SPAN_SQL}"))
+
+
+def _split(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> tuple[list | None, Iterator[list]]:
+    """The only block (or nothing) and no more; or None and all blocks, one at a time."""
+    blocks = _blocks(benchmark, item, text, block_bytes)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        return first, iter(())
+    return None, chain([first, second], blocks)
+
+
 def contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -119,63 +193,35 @@ def contamination(
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """(key, n_words, n_hit, items array<string>, spans array<struct<from,to>> in words) for every row of ``docs``."""
-    spark = docs.sparkSession
     key_type = docs.schema[key].dataType.simpleString()
-    schema = f"`{key}` {key_type}, n_words long, n_hit long, items array<string>, spans array<struct<`from`:long,`to`:long>>"
-    span_type = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
-    parts = []
-    for block in _blocks(benchmark, item, item_text, block_bytes):
-        shared = spark.sparkContext.broadcast(block)  # at most block_bytes of text, or a single item
-        parts.append((shared, len(parts)))
-    numbered = docs.select(key, text)
-    if len(parts) > 1:  # hits of a row are merged over the blocks by this number
-        numbered = numbered.withColumn("_row", F.monotonically_increasing_id())
-        schema += ", _row long"
-
-    def scanner(shared, with_row: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            grams = NGrams(shared.value if shared else [], n)
+    only, blocks = _split(benchmark, item, item_text, block_bytes)
+    name = uuid.uuid4().hex
+    if only is None:
+        hits = _all_hits(docs, text, blocks, n)
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part, texts in utf8_slices(batch, text, 256):
-                    found = [words(t) for t in texts]
-                    counts, spans, items = grams.scan(found)
-                    columns = [
-                        part.column(key),
-                        pa.array([len(w) for w in found], pa.int64()),
-                        pa.array(counts, pa.int64()),
-                        pa.array([sorted(map(str, x)) for x in items], pa.list_(pa.string())),
-                        pa.array([[{"from": a, "to": b} for a, b in x] for x in spans], span_type),
-                    ]
-                    names = [key, "n_words", "n_hit", "items", "spans"]
-                    if with_row:
-                        columns.append(part.column("_row"))
-                        names.append("_row")
-                    yield pa.RecordBatch.from_arrays(columns, names=names)
-
-        return run
-
-    if len(parts) < 2:
-        return numbered.mapInArrow(scanner(parts[0][0] if parts else None, False), schema)
-    scans = [numbered.mapInArrow(scanner(shared, True), schema) for shared, _ in parts]
-    merged = scans[0]
-    for other in scans[1:]:
-        merged = merged.unionByName(other)
-    grouped = merged.groupBy("_row").agg(
-        F.first(key).alias(key),
-        F.first("n_words").alias("n_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("raw"),
-    )
-    union = F.aggregate(
-        "raw",
-        F.array().cast("array<struct<`from`:bigint,`to`:bigint>>"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["to"] >= x["from"]),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["from"].alias("from"), F.greatest(F.element_at(acc, -1)["to"], x["to"]).alias("to")))),
-        ).otherwise(F.concat(acc, F.array(x))),
-    )
-    out = grouped.withColumn("spans", union)
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["to"] - x["from"])
-    return out.select(key, "n_words", n_hit.alias("n_hit"), "items", "spans")
+                    sizes, hashes = [len(words(t)) for t in texts], [hashlib.sha256(t).digest() for t in texts]
+                    yield pa.RecordBatch.from_arrays([part.column(key), pa.array(sizes, pa.int64()), pa.array(hashes, pa.binary())], names=[key, "n_words", "hash"])
+
+        rows = docs.select(key, text).mapInArrow(count, f"`{key}` {key_type}, n_words long, hash binary").join(hits, "hash", "left")
+        n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["to"] - x["from"])
+        none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+        return rows.select(key, "n_words", F.coalesce(n_hit, F.lit(0)).alias("n_hit"), none("items", "array<string>"), none("spans", _SPAN_SQL))
+    shared = docs.sparkSession.sparkContext.broadcast(only) if only else None  # at most block_bytes of text, or a single item
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = _prepared(name, shared, n)
+        for batch in batches:
+            for part, texts in utf8_slices(batch, text, 256):
+                found = [words(t) for t in texts]
+                counts, spans, items = grams.scan(found)
+                sizes = pa.array([len(w) for w in found], pa.int64())
+                columns = [part.column(key), sizes, pa.array(counts, pa.int64()), _item_array(items), _span_array(spans)]
+                yield pa.RecordBatch.from_arrays(columns, names=[key, "n_words", "n_hit", "items", "spans"])
+
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {key_type}, n_words long, n_hit long, items array<string>, spans {_SPAN_SQL}")
 
 
 def is_contaminated(n_hit, n_words):
@@ -193,52 +239,60 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _judged(batch: pa.RecordBatch, text: str, unit: str, hits: list) -> pa.RecordBatch:
+    """A batch without its contaminated documents, or with the hit spans cut out of the texts."""
+    if not any(hits):
+        return batch
+    texts = [x or b"" for x in batch.column(text).cast(pa.binary()).to_pylist()]
+    if unit == "span":
+        cut = pa.array([(_cut(t, words(t), s) if s else t).decode() for t, s in zip(texts, hits, strict=True)], pa.string())
+        cut = pc.if_else(batch.column(text).is_null(), pa.scalar(None, pa.string()), cut)
+        return batch.set_column(batch.schema.get_field_index(text), text, cut)
+    keep = [not s or not is_contaminated(sum(b - a for a, b in s), len(words(t))) for t, s in zip(texts, hits, strict=True)]
+    return batch.filter(pa.array(keep, pa.bool_()))
+
+
 def remove_contaminated(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", unit: str = "document", block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
     """``docs`` (all columns) without contaminated documents, or with every hit span cut out of the text.
 
-    ``unit`` is "document" or "span". A cut takes the bytes from the first to the last word of a merged hit. A batch of
-    documents is scanned for every block before it is judged or cut, once, on the union of the hits; the windows of one
-    block are in memory at a time.
+    ``unit`` is "document" or "span". A cut takes the bytes from the first to the last word of a merged hit. Where the
+    benchmark has several blocks, a document is judged or cut once, on the union of their hits.
     """
-    shared = [docs.sparkSession.sparkContext.broadcast(b) for b in _blocks(benchmark, "item_id", "text", block_bytes)]
-    names = docs.columns
+    only, blocks = _split(benchmark, "item_id", "text", block_bytes)
+    name = uuid.uuid4().hex
+    if only is None:
+        row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+        hashed = docs.select(row, F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).alias("hash"))
+        marked = hashed.join(_all_hits(docs, text, blocks, N), "hash", "left").select("row", "spans")
+
+        def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                whole = pa.RecordBatch.from_struct_array(batch.column("row"))
+                for at, part in _placed(slices(whole, text, 256)):
+                    spans = batch.column("spans").slice(at, part.num_rows).to_pylist()
+                    yield _judged(part, text, unit, [[(y["from"], y["to"]) for y in x or ()] for x in spans])
+
+        return marked.mapInArrow(apply, docs.schema)
+    shared = docs.sparkSession.sparkContext.broadcast(only) if only else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only = NGrams(shared[0].value if shared else []) if len(shared) < 2 else None
+        grams = _prepared(name, shared, N)
         for batch in batches:
-            hits: list[list[tuple[int, int]]] = [[] for _ in range(batch.num_rows)]
-            for grams in [only] if only else (NGrams(block.value) for block in shared):
-                at = 0
-                for _, texts in utf8_slices(batch, text, 256):
-                    for i, spans in enumerate(grams.scan([words(t) for t in texts])[1], at):
-                        hits[i] += spans
-                    at += len(texts)
-            hits = [_union(x) if x else x for x in hits]
-            if not any(hits):
-                yield batch
-            elif unit == "span":
-                at, texts_out = 0, []
-                for _, texts in utf8_slices(batch, text, 256):
-                    texts_out += [_cut(t, words(t), s) if s else t for t, s in zip(texts, hits[at : at + len(texts)], strict=True)]
-                    at += len(texts)
-                was_null = batch.column(text).is_null()
-                cut = pa.array([t.decode() for t in texts_out], pa.string())
-                cut = pa.compute.if_else(was_null, pa.scalar(None, pa.string()), cut)
-                columns = [cut if c == text else batch.column(c) for c in names]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-            else:
-                at, keep = 0, []
-                for _, texts in utf8_slices(batch, text, 256):
-                    for t, spans in zip(texts, hits[at : at + len(texts)], strict=True):
-                        keep.append(not spans or not is_contaminated(sum(b - a for a, b in spans), len(words(t))))
-                    at += len(texts)
-                yield batch.filter(pa.array(keep, pa.bool_()))
+            for part, texts in utf8_slices(batch, text, 256):
+                yield _judged(part, text, unit, grams.scan([words(t) for t in texts])[1])
 
     return docs.mapInArrow(run, docs.schema)
 
 
+def _placed(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    at = 0
+    for part in parts:
+        yield at, part
+        at += part.num_rows
+
+
 def _cut(text: bytes, found: list[bytes], spans: list[tuple[int, int]]) -> bytes:
     low, at, places = text.translate(_TABLE), 0, []
     for w in found:
@@ -259,7 +313,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_words",
         "n_hit",
         F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         is_contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
     )
 

@@ -5,39 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import written
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, label): the smallest ``weight`` reachable from each node.
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, label): the smallest ``weight`` reachable from each node; null weights come last.
 
     ``nodes`` is (node, weight) with distinct nodes, ``edges`` is (a, b) over nodes. Only nodes that have an edge take
-    part in the rounds. Each round takes the minimum label of the neighbours (pre-aggregated before its shuffle), then
-    the label that the owner of the present label has reached itself, which halves the remaining path lengths.
+    part in the rounds. Every node points to a node that is smaller (by weight, then by itself) or to itself. In a round,
+    each node hears its neighbours' pointers, and takes the smallest for itself and for the node that it points to, so
+    whole trees are hooked at once; then pointers are replaced by the pointers of their targets. Rounds grow with the
+    logarithm of the longest path. They end when nothing moves, as they must: pointers only get smaller.
+    All minima are pre-aggregated before their shuffle, so a node with very many neighbours is no hot spot.
     """
-    both = checkpointed(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     if both.isEmpty():
         return nodes.select("node", F.col("weight").alias("label"))
     touched = both.select(F.col("a").alias("node")).distinct()
-    state = checkpointed(nodes.join(touched, "node", "left_semi").select("node", "weight", F.col("weight").alias("label")))
-    for _ in range(max_rounds):
-        heard = (
-            both.join(state.select(F.col("node").alias("a"), "label"), "a")
-            .groupBy(F.col("b").alias("node"))
-            .agg(F.min("label").alias("heard"))
-        )
-        stepped = state.join(heard, "node").select("node", "weight", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
-        stepped = checkpointed(stepped)
-        owner = stepped.groupBy(F.col("weight").alias("label")).agg(F.min("label").alias("further"))
-        jumped = stepped.join(owner, "label", "left").select(
-            "node", "weight", "old", F.least("label", F.coalesce("further", "label")).alias("label")
-        )
-        jumped = checkpointed(jumped)
-        moved = jumped.where("label <> old").limit(1).count()
-        state = jumped.select("node", "weight", "label")
-        if not moved:
+    own = F.struct(F.col("weight").isNull().alias("last"), F.col("weight").alias("weight"), F.col("node").alias("node"))
+    state = written(nodes.join(touched, "node", "left_semi").select("node", own.alias("to")))
+    while True:
+        heard = both.join(state.select(F.col("node").alias("a"), "to"), "a").groupBy(F.col("b").alias("node")).agg(F.min("to").alias("heard"))
+        told = state.join(heard, "node")
+        hooks = told.select("node", F.least("to", "heard").alias("to")).union(told.select("to.node", "heard"))
+        stepped = written(hooks.groupBy("node").agg(F.min("to").alias("to")))
+        ahead = stepped.select(F.col("node").alias("at"), F.col("to").alias("further"))
+        jumped = written(stepped.join(ahead, F.col("to.node") == F.col("at")).select("node", F.least("to", "further").alias("to")))
+        moved = jumped.join(state.select("node", F.col("to.node").alias("was")), "node").where("to.node <> was")
+        state = jumped
+        if moved.isEmpty():
             break
-    else:
-        raise RuntimeError("components did not settle")
-    settled = state.select("node", "label")
-    return nodes.join(settled, "node", "left").select("node", F.coalesce("label", "weight").alias("label"))
+    settled = state.select("node", F.col("to.weight").alias("label"), F.lit(True).alias("in"))
+    joined = nodes.join(settled, "node", "left")
+    return joined.select("node", F.when(F.col("in"), F.col("label")).otherwise(F.col("weight")).alias("label"))

@@ -1,19 +1,21 @@
 """Language identification of words by a linear-chain conditional random field.
 
 Every word of a text has a language; neighbours are tied by learned transitions, so code-switched text is labelled word by
-word. A word's features are hashed character n-grams of two to four bytes with boundary marks (those at the marks are
-its affixes) and log-odds of a lexicon. Forward-backward gives each word's posterior; a document's language is the one
-with the largest mean posterior over its words.
+word. A word's features are its prefixes and suffixes of one to four bytes, its inner n-grams of two to four bytes (all
+hashed, each kind for itself), and log-odds of a lexicon. Forward-backward gives each word's posterior; a document's
+language is the one with the largest mean posterior over its words, and its runs of words of one language are reported.
 
-Training takes at most ``sample_docs`` labelled documents (a documented bound), one row for each id, in equal shares of the
-languages as far as they have so many, and at least one of each language. One half makes the lexicon; of the other half, pieces from different documents are spliced into sequences, which teaches the transitions. Everything else covers
-all rows and whole texts.
+Training takes at most ``sample_docs`` labelled documents, one row for each id, in equal shares of the languages as far as
+they have so many, and at least one of each language; of a document over ``doc_chars`` code points, a window of that size
+(both are documented bounds on what reaches the driver). One half makes the lexicon; of the other half, pieces from
+different documents are spliced into sequences, which teaches the transitions. Everything else covers all rows and whole
+texts.
 
 Long texts are exact, too: chains are cut into segments whose transfer matrices are multiplied along the document, so
-the work is vectorised over segments instead of running word by word.
+the work is vectorised over segments instead of running word by word; texts are taken in slices bounded by bytes.
 
-Cases: null texts and texts without a letter are ``und`` with score 0; words without letters are neutral; equal means go
-to the language that sorts first; repeated rows get equal results; without labelled rows all are ``und``; an empty
+Cases: null texts and texts without a letter are ``und`` with score 0 and no runs; words without letters are neutral; equal
+means go to the language that sorts first; repeated rows get equal results; without labelled rows all are ``und``; an empty
 table gives an empty result; extra columns are not passed on.
 """
 
@@ -28,11 +30,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import gather_runs, held_out, table
+from .common import gather_runs, held_out, slices, table
 
 BUCKETS = 1 << 16
 SEGMENT = 128
 NGRAMS = (2, 3, 4)
+AFFIXES = (1, 2, 3, 4)
 
 
 def split_words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
@@ -42,11 +45,19 @@ def split_words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     return split.flatten().dictionary_encode(), offsets - offsets[0]
 
 
+def _hashed(letters: np.ndarray, at: np.ndarray, size: int, kind: int) -> np.ndarray:
+    """Buckets of the ``size`` bytes from each place on; ``kind`` parts prefixes, suffixes and inner n-grams."""
+    h = np.full(len(at), kind * 16 + size, np.uint64)
+    for k in range(size):
+        h = (h ^ letters[at + k]) * np.uint64(0x100000001B3)
+    return ((h ^ (h >> np.uint64(29))) % np.uint64(BUCKETS)).astype(np.int64)
+
+
 @dataclass
 class Words:
-    """Distinct words as bytes with marks around each, and their n-gram buckets."""
+    """Distinct words as bytes, and the buckets of their affixes and n-grams."""
 
-    bucket: np.ndarray  # n-gram buckets of all words
+    bucket: np.ndarray  # buckets of all words
     word: np.ndarray  # the word of each
     key: np.ndarray  # a 64-bit hash of each whole word
     lettered: np.ndarray
@@ -56,30 +67,36 @@ class Words:
         n = len(dictionary)
         _, offsets, data = dictionary.cast(pa.string()).buffers()
         bounds = np.frombuffer(offsets, np.int32)[dictionary.offset : dictionary.offset + n + 1].astype(np.int64)
-        raw = np.frombuffer(data or b"", np.uint8)
         sizes = np.diff(bounds)
-        marked = np.full(int(sizes.sum()) + 2 * n, 1, np.uint64)
-        first = np.cumsum(sizes + 2) - (sizes + 2)
-        inner = gather_runs(first + 1, sizes)
-        letters = raw[gather_runs(bounds[:-1], sizes)]
-        marked[inner] = letters
-        which = np.repeat(np.arange(n), sizes + 2)
+        letters = np.frombuffer(data or b"", np.uint8)[bounds[0] : bounds[-1]].astype(np.uint64) if n else np.zeros(0, np.uint64)
+        first = np.cumsum(sizes) - sizes
+        which = np.repeat(np.arange(n), sizes)
         is_letter = ((letters >= 97) & (letters <= 122)) | (letters >= 128)
-        lettered = np.bincount(np.repeat(np.arange(n), sizes), is_letter, n) > 0
-        place = np.arange(len(marked)) - first[which]
-        key = np.zeros(n, np.uint64)
-        np.add.at(key, which, (marked + np.uint64(7)) * _power(place))
+        lettered = np.bincount(which, is_letter, n) > 0
+        place = np.arange(len(letters)) - first[which]
+        key, some = np.zeros(n, np.uint64), sizes > 0
+        if some.any():
+            key[some] = np.add.reduceat((letters + np.uint64(7)) * _power(place), first[some])
         buckets, words = [], []
-        left = np.repeat(sizes + 2, sizes + 2) - place  # bytes from here to the word's end
+        for g in AFFIXES:
+            long = np.flatnonzero(sizes >= g)
+            for kind, at in ((1, first[long]), (2, first[long] + sizes[long] - g)):
+                buckets.append(_hashed(letters, at, g, kind))
+                words.append(long)
+        left = sizes[which] - place  # bytes from here to the word's end
         for g in NGRAMS:
             at = np.flatnonzero(left >= g)
-            h = np.full(len(at), g, np.uint64)
-            for k in range(g):
-                h = (h ^ marked[at + k]) * np.uint64(0x100000001B3)
-            buckets.append(((h ^ (h >> np.uint64(29))) % np.uint64(BUCKETS)).astype(np.int64))
+            buckets.append(_hashed(letters, at, g, 0))
             words.append(which[at])
         return cls(np.concatenate(buckets), np.concatenate(words), key, lettered)
 
+    def part(self, chosen: np.ndarray) -> Words:
+        """Only the words at sorted places ``chosen``."""
+        new = np.full(len(self.key), -1)
+        new[chosen] = np.arange(len(chosen))
+        of = new[self.word]
+        return Words(self.bucket[of >= 0], of[of >= 0], self.key[chosen], self.lettered[chosen])
+
 
 _POWERS = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
 
@@ -246,6 +263,8 @@ def train(texts: list[str | None], langs: list[str], epochs: int = 12, sequences
     odd_token = token[gather_runs(bounds[:-1][odd], sizes[odd])]
     rng = np.random.default_rng(seed)
     seq, gold = _spliced(odd_token, label[odd], odd_bounds, rng, length, sequences)
+    used = np.unique(seq)
+    words, seq = words.part(used), np.searchsorted(used, seq)  # the words that training meets
     lexical, per_word = crf.lexical(words), np.maximum(np.bincount(words.word, minlength=len(words.key)), 1)
     square = np.full((BUCKETS, k), 1e-8)
     batch = max(1, sequences // 8)
@@ -279,10 +298,13 @@ def _quotas(counts: dict[str, int], total: int) -> dict[str, int]:
     return out
 
 
-def fit(docs: DataFrame, sample_docs: int = 2000, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Crf | None:
+def fit(
+    docs: DataFrame, sample_docs: int = 2000, doc_chars: int = 8000, text: str = "text", lang: str = "lang", key: str = "doc_id"
+) -> Crf | None:
     """A model from at most ``sample_docs`` labelled documents outside the held-out fold, chosen for each language by hashed id.
 
-    Only a table of more languages than ``sample_docs`` gives more: one document of each.
+    Of a longer one, ``doc_chars`` code points from a hashed place on are learned from. Only a table of more languages
+    than ``sample_docs`` gives more: one document of each.
     """
     spark, top = docs.sparkSession, 1 << 31
     known = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("lang"))
@@ -300,23 +322,42 @@ def fit(docs: DataFrame, sample_docs: int = 2000, text: str = "text", lang: str
     chosen = F.broadcast(drawn.withColumn("place", place).where("place <= quota").select("k", "lang", "place"))
     rows = known.join(chosen, ["k", "lang"]).groupBy("lang", "place")
     rows = rows.agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t")).alias("one"))  # one row of a repeated id
-    rows = sorted(rows.select("lang", "place", "one.t").collect(), key=lambda r: (r["lang"], r["place"]))  # whole texts of those ids
+    spare, t = F.length("one.t") - doc_chars, F.col("one.t")
+    window = F.when(spare > 0, F.substring(t, (F.pmod(F.col("one.h"), spare) + 1).cast("int"), F.lit(doc_chars))).otherwise(t)
+    rows = sorted(rows.select("lang", "place", window.alias("t")).collect(), key=lambda r: (r["lang"], r["place"]))
     return train([r["t"] for r in rows], [r["lang"] for r in rows])
 
 
+def _runs(top: np.ndarray, bounds: np.ndarray, languages: list[str]) -> list[str]:
+    """For each text, its runs of equal labels as language:from:to."""
+    fresh = np.zeros(len(top), bool)
+    fresh[bounds[:-1][np.diff(bounds) > 0]] = True
+    fresh[1:] |= top[1:] != top[:-1]
+    starts = np.flatnonzero(fresh)
+    ends, first = np.r_[starts[1:], len(top)], np.searchsorted(starts, bounds)
+    out = []
+    for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+        at, labels = bounds[i], top[starts[a:b]].tolist()
+        out.append(",".join(f"{languages[k]}:{s}:{e}" for k, s, e in zip(labels, (starts[a:b] - at).tolist(), (ends[a:b] - at).tolist(), strict=True)))
+    return out
+
+
 def identify(docs: DataFrame, crf: Crf | None, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, lang_pred, score, n_switches) of every row; n_switches counts changes of language between neighbours."""
+    """(key, lang_pred, score, n_switches, runs) of every row.
+
+    ``runs`` labels the words: language:from:to for each run of neighbours of one language (word places, end exclusive),
+    comma-joined; n_switches is one less than their number. White space at the ends makes empty words that belong to runs.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(crf)  # a fixed number of weights and a bounded lexicon
     key_type = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = shared.value
         for batch in batches:
-            for begin in range(0, batch.num_rows, 1024):
-                part = batch.slice(begin, 1024)
+            for part in slices(batch, text, 1024, 1 << 20):
                 texts = pc.fill_null(part.column(text), "")
                 und = ~pc.match_substring_regex(texts, r"\pL").to_numpy(zero_copy_only=False)
-                pred, score, switches = ["und"] * part.num_rows, np.zeros(part.num_rows), np.zeros(part.num_rows, np.int64)
+                pred, score, runs = ["und"] * part.num_rows, np.zeros(part.num_rows), [""] * part.num_rows
                 if crf:
                     found, bounds = split_words(texts)
                     words, token = Words.of(found.dictionary), found.indices.to_numpy()
@@ -328,17 +369,15 @@ def identify(docs: DataFrame, crf: Crf | None, text: str = "text", key: str = "d
                     best = mean.argmax(axis=1)
                     pred = ["und" if u else crf.languages[b] for u, b in zip(und.tolist(), best.tolist(), strict=True)]
                     score = np.where(und, 0.0, np.clip(mean[np.arange(len(best)), best], 0, 1))
-                    top = gamma.argmax(axis=1)
-                    change = np.r_[0, np.cumsum(np.r_[False, top[1:] != top[:-1]])] if len(top) else np.zeros(1, int)
-                    inner = np.maximum(bounds[1:], np.minimum(bounds[:-1] + 1, bounds[1:]))
-                    switches = change[inner] - change[np.minimum(bounds[:-1] + 1, bounds[1:])]
-                columns = [part.column(key), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(switches, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=[key, "lang_pred", "score", "n_switches"])
+                    runs = ["" if u else x for u, x in zip(und.tolist(), _runs(gamma.argmax(axis=1), bounds, crf.languages), strict=True)]
+                switches = [max(0, x.count(",")) for x in runs]
+                columns = [part.column(key), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(switches, pa.int64()), pa.array(runs, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=[key, "lang_pred", "score", "n_switches", "runs"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {key_type}, lang_pred string, score double, n_switches long")
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {key_type}, lang_pred string, score double, n_switches long, runs string")
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = identify(docs, fit(docs))
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "runs")

@@ -7,7 +7,9 @@ a sequence is filled with the first part of an example, and a last sequence is c
 padding.
 
 The work is done where the rows lie: each task packs the rows of its own partition, holds a bounded pool of waiting
-examples, and numbers its sequences by partition. Nothing is shuffled, and a retried task gives the same result.
+examples (of long documents only what is left of them), and numbers its sequences by partition. Nothing is shuffled, and a
+retried task gives the same result. A piece bears loss on all ids but its first; where answers alone bear loss, as in
+instruction data, ``pack_examples`` takes the counts and never cuts.
 
 Cases: a null text is empty and is its end id alone; longer documents than a sequence are cut; ties go to the example
 that came first; repeated rows are packed each; an empty table gives an empty result; extra columns are not passed on.
@@ -24,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table
 from .tokens import default_path, document_ids
 
 
@@ -88,9 +91,9 @@ class VectorPacker:
                 left -= demand[pick]
                 alive[pick] = False
                 continue
-            if not self.cut or left[2] <= 0:
+            if not self.cut or (out and left[2] <= 0):
                 break
-            longer = alive & (demand[:, 0] > left[0])
+            longer = alive & ~(demand <= left).all(axis=1)  # by tokens or by loss
             if longer.any() or last:
                 pick = int(np.argmax(np.where(longer if longer.any() else alive, demand[:, 0], -1.0)))
                 room = int(min(left[0], left[2] + 1, demand[pick, 0]))  # a piece's first id bears no loss
@@ -145,7 +148,7 @@ def pack_documents(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, number = VectorPacker(limits), TaskContext.get().partitionId() << 32
-        ids_of: dict[int, tuple] = {}  # of documents that wait: key, ids
+        ids_of: dict[int, tuple] = {}  # of documents that wait: key, how many ids, from which on they wait, and those
         serial = 0
 
         def rows(sequences) -> list[tuple]:
@@ -154,33 +157,30 @@ def pack_documents(
             for pieces in sequences:
                 at = 0
                 for doc, start, length in pieces:
-                    name, ids = ids_of[doc]
-                    out.append((name, start, length, zlib.crc32(ids[start : start + length]), len(ids), number, at))
+                    name, total, base, ids = ids_of[doc]
+                    out.append((name, start, length, zlib.crc32(ids[start - base : start - base + length]), total, number, at))
                     at += length
-                    if start + length == len(ids):
-                        done.append(doc)
+                    if start + length == total:
+                        del ids_of[doc]
                 number += 1
             return out
 
         for batch in batches:
             arrow_key[:] = [batch.schema.field(key).type]
-            for begin in range(0, batch.num_rows, 1024):
-                part = batch.slice(begin, 1024)
+            for part in slices(batch, text, 1024):
                 ids, bounds = document_ids(path, part.column(text))
-                names, out, done = part.column(key).to_pylist(), [], []
-                for name, a, b in zip(names, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                    ids_of[serial] = (name, ids[a:b].copy())
+                out = []
+                for name, a, b in zip(part.column(key).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                     whole = (b - a) // limits.tokens * limits.tokens if limits.loss >= limits.tokens - 1 else 0
+                    ids_of[serial] = (name, b - a, 0, ids[a:b])
                     out += rows([[(serial, s, limits.tokens)] for s in range(0, whole, limits.tokens)])
-                    if b - a > whole:
+                    if b - a > whole:  # only what waits is kept
+                        ids_of[serial] = (name, b - a, whole, ids[a + whole : b].copy())
                         packer.add(serial, b - a - whole, b - a - whole - 1, whole)
                     serial += 1
                 out += rows(packer.ready())
-                for doc in done:
-                    del ids_of[doc]
                 if out:
                     yield batch_of(out)
-        done = []
         if out := rows(packer.flush()):
             yield batch_of(out)
 
@@ -235,5 +235,28 @@ def pack_examples(
     return examples.selectExpr(f"`{key}`", f"cast(`{tokens}` as long) as `{tokens}`", f"cast(`{loss}` as long) as `{loss}`").mapInArrow(run, schema)
 
 
+def conversation_examples(turns: DataFrame, tokenizer_path: str | None = None, role: str = "assistant") -> DataFrame:
+    """(conv_id, tokens, loss) of instruction data: the ids of all turns, each with its end id, and those of the answers,
+    which alone bear loss. Null texts are empty; a conversation's turns are counted one by one, so none is gathered."""
+    path = tokenizer_path or default_path()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 1024):
+                counts = np.diff(document_ids(path, part.column("text"))[1])
+                yield pa.RecordBatch.from_arrays([part.column("conv_id"), part.column("answer"), pa.array(counts, pa.int64())], names=["conv_id", "answer", "n"])
+
+    kind = turns.schema["conv_id"].dataType.simpleString()
+    answer = F.coalesce(F.col("role") == role, F.lit(False)).alias("answer")
+    counted = turns.select("conv_id", answer, "text").mapInArrow(run, f"conv_id {kind}, answer boolean, n long")
+    return counted.groupBy("conv_id").agg(F.sum("n").alias("tokens"), F.sum(F.when(F.col("answer"), F.col("n")).otherwise(0)).alias("loss"))
+
+
+def packed_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instruction data of ``conversations`` under all three limits at once: whole examples, few segments, half the tokens with loss."""
+    examples = conversation_examples(table(spark, sf_dir, "conversations"))
+    return pack_examples(examples, "conv_id", "tokens", "loss", Limits(tokens=2048, segments=8, loss=1024))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))

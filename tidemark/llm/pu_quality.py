@@ -5,13 +5,14 @@ text measures and hashed words minimises the non-negative unbiased risk
 
     prior * R+(P) + max(0, R-(U) - prior * R-(P))
 
-(logistic loss; while the second term is negative, its gradient is stepped against). The class prior is estimated first:
+(logistic loss; while the second term is negative, its gradient is stepped against). Steps shrink to zero, and the model is
+the mean of the iterates of the last half, so no iterate is singled out. The class prior is estimated first:
 a model tells P from U on one half of the sample; on the other half, the share of U above a threshold over that of P
-bounds the prior, and the smallest bound, with its sampling error, is taken.
+bounds the prior, and the smallest bound, with its sampling error, is taken; several halvings are averaged.
 
 The fit uses at most ``positives`` and ``unlabelled`` ids (bounds, by hashed id; parameters of ``fit``), one row for each
-however often it is repeated. Texts become feature rows on the executors; only those bounded rows reach the driver. Every
-document is scored.
+however often it is repeated. Texts become feature rows on the executors, 32 KB each at most; only those bounded rows reach
+the driver. Every document is scored.
 
 Cases: a null text is empty and is scored like any other (its measures are zero); labels of absent documents, null
 labels and repeated label rows are harmless; without positives or unlabelled rows every score is 0.5; an empty
@@ -34,35 +35,36 @@ from .quality_rules import Doc
 
 BUCKETS = 1 << 14
 THRESHOLD = 0.3
+#: ASCII punctuation; each character's share has a measure of its own.
+PUNCTUATION = bytes(i for i in range(33, 127) if not chr(i).isalnum())
 MEASURES = (
-    "bias", "log_words", "word_length", "symbols", "pipes", "shouts", "repeats", "top_word", "duplicate_lines", "upper", "digits", "distinct"
+    "bias", "log_words", "word_length", "repeats", "top_word", "duplicate_lines", "upper", "digits", "distinct", "letterless", "exclaimed",
+    *(f"share_{chr(c)}" for c in PUNCTUATION),
 )
+_MARKS = np.frombuffer(PUNCTUATION, np.uint8)
 
 
-def measures(doc: Doc) -> list[float]:
-    n, size = max(1, len(doc.words)), max(1, len(doc.text))
-    upper = sum(doc.text.count(bytes([c])) for c in range(65, 91))
-    digits = sum(doc.text.count(bytes([c])) for c in range(48, 58))
-    pipes = doc.text.count(b"|")
+def measures(doc: Doc) -> np.ndarray:
+    n, size, counts = max(1, len(doc.words)), max(1, len(doc.text)), doc.byte_counts
     distinct = int(doc.word_ids.max()) + 1 if doc.words else 0
-    return [
+    head = [
         1.0,
         np.log1p(len(doc.words)) / 5,
         doc.word_chars / n / 10,
-        min(3.0, (doc.n_symbols - pipes) / n),
-        4 * min(1.0, pipes / n),
-        2 * doc.n_shouts / n,
         2 * doc.n_repeat_words / n,
         4 * doc.top_word / n if n >= 20 else 0.0,
         2 * doc.n_dup_lines / max(1, len(doc.lines)),
-        4 * upper / size,
-        4 * digits / size,
+        4 * counts[65:91].sum() / size,
+        4 * counts[48:58].sum() / size,
         distinct / n,
+        2 * doc.n_letterless / n,
+        2 * doc.n_exclaimed / n,
     ]
+    return np.r_[head, 4 * np.minimum(1.0, counts[_MARKS] / n)]
 
 
-def hashed_words(doc: Doc) -> list[int]:
-    return sorted({zlib.crc32(w.lower()) % BUCKETS for w in set(doc.words)})
+def hashed_words(doc: Doc) -> np.ndarray:
+    return np.array(sorted({zlib.crc32(w.lower()) % BUCKETS for w in set(doc.words)}), "<u2")
 
 
 @dataclass
@@ -98,7 +100,7 @@ class Model:
 
     def score(self, doc: Doc) -> float:
         at = hashed_words(doc)
-        z = float(np.dot(measures(doc), self.dense)) + (float(self.words[at].sum()) / np.sqrt(len(at)) if at else 0.0)
+        z = float(np.dot(measures(doc), self.dense)) + (float(self.words[at].sum()) / np.sqrt(len(at)) if len(at) else 0.0)
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
@@ -107,56 +109,61 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def _descend(p: Sample, u: Sample, slope, steps: int, rate: float, decay: float) -> Model:
-    """Adam on all rows; ``slope(zp, zu)`` gives the risk and its derivative by each logit. The last iterate wins, unless
-    the steps ran away from the least risk seen, as they can on a few rows; then it is that one."""
-    least, best = np.inf, None
-    model = Model(np.zeros(len(MEASURES)), np.zeros(BUCKETS), 0.5)
-    m = v = np.zeros(len(MEASURES) + BUCKETS)
+    """Adam on all rows with steps that shrink to zero; ``slope(zp, zu)`` gives the risk's derivative by each logit. The
+    model is the mean of the last half of the iterates."""
+    w, total, size = np.zeros(len(MEASURES) + BUCKETS), 0.0, len(MEASURES)
+    model = Model(w[:size], w[size:], 0.5)
+    m = v = np.zeros(len(w))
     for k in range(1, steps + 1):
-        risk, dp, du = slope(p.logits(model), u.logits(model))
-        if risk < least:
-            least, best = risk, (model.dense, model.words)
+        dp, du = slope(p.logits(model), u.logits(model))
         g = p.gradient(dp) + u.gradient(du)
-        g[len(MEASURES) :] += decay * model.words
+        g[size:] += decay * model.words
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        step = rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
-        model.dense, model.words = model.dense - step[: len(MEASURES)], model.words - step[len(MEASURES) :]
-    risk = slope(p.logits(model), u.logits(model))[0]
-    return model if risk <= 1.5 * least + 0.05 else Model(*best, 0.5)
-
-
-def estimate_prior(p: Sample, u: Sample, steps: int = 60) -> float:
-    """The share of positives in U: smallest ratio of tail masses of U and P under a model that tells them apart."""
-    half = lambda s, k: s.part(np.arange(k, len(s.words), 2))
-    pa_, ua, pb, ub = half(p, 0), half(u, 0), half(p, 1), half(u, 1)
-    n_p, n_u = max(1, len(pa_.words)), max(1, len(ua.words))
-
-    def slope(zp: np.ndarray, zu: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        risk = np.logaddexp(0, -zp).sum() / n_p + np.logaddexp(0, zu).sum() / n_u
-        return risk, (_sigmoid(zp) - 1) / n_p, _sigmoid(zu) / n_u
-
-    model = _descend(pa_, ua, slope, steps, 0.1, 1e-3)
-    zp, zu = np.sort(pb.logits(model)), np.sort(ub.logits(model))
-    if not len(zp) or not len(zu):
+        w = w - rate * (1 - (k - 1) / steps) * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
+        model = Model(w[:size], w[size:], 0.5)
+        if 2 * k > steps:
+            total = total + w
+    mean = total / max(1, steps - steps // 2)
+    return Model(mean[:size], mean[size:], 0.5)
+
+
+def estimate_prior(p: Sample, u: Sample, steps: int = 60, splits: int = 5) -> float:
+    """The share of positives in U, averaged over random halvings: a model learns to tell P from U on one half; on the
+    other, the smallest ratio of the tail masses of U and P, over tails that hold at least 30 % of P, bounds the share."""
+    if min(len(p.words), len(u.words)) < 2:
         return 0.5
-    shares = np.linspace(0.05, 1, 39)
-    cuts = zp[np.minimum(len(zp) - 1, ((1 - shares) * len(zp)).astype(int))]
-    tail = lambda z: 1 - np.searchsorted(z, cuts, "left") / len(z)
-    slack = 0.5 / np.sqrt(len(zp)) + 0.5 / np.sqrt(len(zu))
-    return float(np.clip(((tail(zu) + slack) / tail(zp)).min(), 0.05, 0.98))
+    found, shares = [], np.linspace(0.3, 1, 29)
+    for seed in range(splits):
+        rng = np.random.default_rng(seed)
+        at_p, at_u = rng.permutation(len(p.words)), rng.permutation(len(u.words))
+        pa_, ua, pb, ub = p.part(at_p[::2]), u.part(at_u[::2]), p.part(at_p[1::2]), u.part(at_u[1::2])
+        slope = lambda zp, zu: ((_sigmoid(zp) - 1) / len(zp), _sigmoid(zu) / len(zu))
+        model = _descend(pa_, ua, slope, steps, 0.1, 1e-3)
+        zp, zu = np.sort(pb.logits(model)), np.sort(ub.logits(model))
+        cuts = zp[np.minimum(len(zp) - 1, ((1 - shares) * len(zp)).astype(int))]
+        tail = lambda z: 1 - np.searchsorted(z, cuts, "left") / len(z)  # noqa: E731, B023
+        slack = 0.25 / np.sqrt(len(zp)) + 0.25 / np.sqrt(len(zu))
+        found.append(((tail(zu) + slack) / tail(zp)).min())
+    return float(np.clip(np.mean(found), 0.05, 0.98))
+
+
+def risk(zp: np.ndarray, zu: np.ndarray, prior: float) -> float:
+    """The non-negative unbiased risk of logits on P and U."""
+    negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    return prior * np.logaddexp(0, -zp).mean() + max(0.0, negative)
+
+
+def risk_slope(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """The direction by each logit: the risk's derivative, or against that of the negative part while this is below zero."""
+    negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    if negative >= 0:
+        return np.full(len(zp), -prior / len(zp)), _sigmoid(zu) / len(zu)  # the logistic losses of P differ by its logit
+    return prior * _sigmoid(zp) / len(zp), -_sigmoid(zu) / len(zu)
 
 
 def fit_nnpu(p: Sample, u: Sample, prior: float, steps: int = 200) -> Model:
-    n_p, n_u = len(p.words), len(u.words)
-
-    def slope(zp: np.ndarray, zu: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        risk = prior * np.logaddexp(0, -zp).mean() + max(0.0, negative)
-        if negative >= 0:
-            return risk, np.full(n_p, -prior / n_p), _sigmoid(zu) / n_u  # the logistic losses of P differ by its logit
-        return risk, prior * _sigmoid(zp) / n_p, -_sigmoid(zu) / n_u  # against the gradient of the negative part
-
-    model = _descend(p, u, slope, steps, 0.3, 1e-4)
+    slope = lambda zp, zu: risk_slope(zp, zu, prior)
+    model = _descend(p, u, slope, steps, 0.3, 1e-2)
     model.prior = prior
     return model
 
@@ -171,12 +178,12 @@ def _features(rows: DataFrame, text: str) -> list:
                         part.column("place"),
                         part.column("positive"),
                         pa.array([measures(d) for d in found], pa.list_(pa.float64())),
-                        pa.array([hashed_words(d) for d in found], pa.list_(pa.int32())),
+                        pa.array([hashed_words(d).tobytes() for d in found], pa.binary()),
                     ],
                     names=["place", "positive", "dense", "words"],
                 )
 
-    schema = f"place {rows.schema['place'].dataType.simpleString()}, positive boolean, dense array<double>, words array<int>"
+    schema = f"place {rows.schema['place'].dataType.simpleString()}, positive boolean, dense array<double>, words binary"
     return rows.select("place", "positive", text).mapInArrow(run, schema).collect()
 
 
@@ -197,7 +204,7 @@ def fit(
     rows = [r for r in rows if r["positive"]], [r for r in rows if not r["positive"]]
     if not all(rows):
         return None
-    p, u = (Sample(np.array([r["dense"] for r in part]), [np.array(r["words"], np.int64) for r in part]) for part in rows)
+    p, u = (Sample(np.array([r["dense"] for r in part]), [np.frombuffer(r["words"], "<u2").astype(np.int64) for r in part]) for part in rows)
     return fit_nnpu(p, u, estimate_prior(p, u))
 
 

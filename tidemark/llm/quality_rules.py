@@ -1,9 +1,11 @@
 """Quality rules as a short-circuit cascade.
 
 A rule is a named predicate on a document that is true when the document fails. ``plan_cascade`` measures on a bounded
-sample, on the executors, what each rule costs a document and how many documents it rejects, and orders the rules by
-rejections per second. ``apply_cascade`` evaluates them in that order and stops at the first that fails; the verdict of
-a document does not depend on the order, only the work does.
+sample, on the executors, what each rule costs a document that reaches the cascade: after the base verdict let it pass,
+with the base measures already made. Which rules fail together is counted, too, so the order is built rule by rule: the
+next one has the most rejections per second among the documents that the rules before it leave. ``apply_cascade``
+evaluates them in that order and stops at the first that fails; the verdict of a document does not depend on the order,
+only the work does.
 
 Cases: a null text counts as empty (no words; every measure zero); lines are split at ``\\n`` only; repeated rows are
 judged row by row; an empty table gives an empty result; extra input columns are not passed on, so they can't clash.
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import table, utf8_slices
 
 SYMBOLS = b"#*$%&|<>"
+BULLETS = ("-".encode(), b"*", "\u2022".encode())
+_NO_LETTER = bytes(i for i in range(128) if not chr(i).isalpha())
 
 
 class Doc:
@@ -88,8 +92,34 @@ class Doc:
         return int(np.bincount(self.word_ids).max()) if self.words else 0
 
     @cached_property
-    def n_shouts(self) -> int:
-        return sum(w.endswith(b"!!") for w in self.words)
+    def byte_counts(self) -> np.ndarray:
+        return np.bincount(np.frombuffer(self.text, np.uint8), minlength=256)
+
+    @cached_property
+    def n_exclaimed(self) -> int:
+        return sum(w.endswith(b"!") for w in self.words)
+
+    @cached_property
+    def n_letterless(self) -> int:
+        """Words without a letter; all characters beyond ASCII count as letters."""
+        return sum(not w.translate(None, _NO_LETTER) for w in self.words)
+
+    @cached_property
+    def n_bullets(self) -> int:
+        return sum(x.lstrip().startswith(BULLETS) for x in self.lines)
+
+    @cached_property
+    def n_ellipses(self) -> int:
+        return sum(x.rstrip().endswith((b"...", "\u2026".encode())) for x in self.lines)
+
+    @property
+    def base_failed(self) -> bool:
+        n = len(self.words)
+        return n < 50 or 100 * self.n_repeat_words > 50 * n
+
+    def base(self) -> tuple:
+        """The measures that every document is reported with, and the base verdict."""
+        return len(self.words), self.word_chars, self.n_symbols, self.n_dup_lines, self.n_repeat_words, self.base_failed
 
 
 @dataclass(frozen=True)
@@ -101,7 +131,10 @@ class Rule:
 #: All limits are far from ordinary prose: a rule rejects only what is plainly boilerplate, a table or noise.
 RULES: tuple[Rule, ...] = (
     Rule("symbols", lambda d: 4 * d.n_symbols > len(d.words)),
-    Rule("shouting", lambda d: 10 * d.n_shouts > 3 * len(d.words)),
+    Rule("exclamations", lambda d: 10 * d.n_exclaimed > 3 * len(d.words)),
+    Rule("no_letters", lambda d: 10 * d.n_letterless > 4 * len(d.words)),
+    Rule("bullets", lambda d: 10 * d.n_bullets > 9 * len(d.lines)),
+    Rule("ellipses", lambda d: 10 * d.n_ellipses > 3 * len(d.lines)),
     Rule("duplicate_lines", lambda d: 2 * d.n_dup_lines > len(d.lines)),
     Rule("one_word", lambda d: 10 * d.top_word > 3 * len(d.words)),
     Rule("word_length", lambda d: d.word_chars < 2 * len(d.words) or d.word_chars > 15 * len(d.words)),
@@ -111,32 +144,46 @@ RULES: tuple[Rule, ...] = (
 def plan_cascade(
     docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", key: str = "doc_id", sample_rows: int = 2000
 ) -> list[tuple[str, float, float]]:
-    """(rule, seconds a document, share rejected), best rejections per second first.
+    """(rule, seconds a document, share of what reaches it that it rejects), in the order of the cascade.
 
-    The sample holds about ``sample_rows`` rows, whatever the table's size: rows whose hashed key falls below a share.
+    The sample holds about ``sample_rows`` rows, whatever the table's size: rows whose hashed key and text fall below a
+    share. What comes back from it is a row for each set of rules that fail together, at most one a sampled row.
     """
     total = docs.count()
     keep = min(1.0, sample_rows / max(total, 1))
-    sample = docs.where(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 20)) < int(keep * (1 << 20)) + 1)
+    sample = docs.where(F.pmod(F.xxhash64(F.col(key).cast("string"), F.col(text)), F.lit(1 << 20)) < int(keep * (1 << 20)) + 1)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spent, failed, n = [0.0] * len(rules), [0] * len(rules), 0
         for batch in batches:
             for _, texts in utf8_slices(batch, text):
+                masks, spent = [], []
                 for t in texts:
-                    n += 1
+                    doc = Doc(t)
+                    if doc.base()[-1]:
+                        continue  # never reaches the cascade
+                    mask, seconds = 0, []
                     for i, rule in enumerate(rules):
-                        doc = Doc(t)  # afresh, so that a rule pays for the measures it needs
                         began = time.perf_counter()
-                        failed[i] += bool(rule.fails(doc))
-                        spent[i] += time.perf_counter() - began
-        yield pa.RecordBatch.from_pydict({"rule": [r.name for r in rules], "s": spent, "failed": failed, "n": [n] * len(rules)})
-
-    found = sample.select(text).mapInArrow(measure, "rule string, s double, failed long, n long")
-    rows = found.groupBy("rule").agg(F.sum("s").alias("s"), F.sum("failed").alias("failed"), F.sum("n").alias("n")).collect()
-    seen = {r["rule"]: (r["s"] / max(r["n"], 1), r["failed"] / max(r["n"], 1)) for r in rows}
-    plan = [(r.name, *seen.get(r.name, (0.0, 0.0))) for r in rules]
-    return sorted(plan, key=lambda x: (-x[2] / max(x[1], 1e-9), x[0]))
+                        mask |= bool(rule.fails(doc)) << i
+                        seconds.append(time.perf_counter() - began)
+                    masks.append(mask), spent.append(seconds)
+                yield pa.RecordBatch.from_arrays([pa.array(masks, pa.int64()), pa.array(spent, pa.list_(pa.float64()))], names=["mask", "s"])
+
+    found = sample.select(text).mapInArrow(measure, "mask long, s array<double>")
+    seconds = [F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(len(rules))]
+    rows = found.groupBy("mask").agg(F.count("*").alias("n"), *seconds).collect()
+    reached = max(1, sum(r["n"] for r in rows))
+    cost = [sum(r[f"s{i}"] for r in rows) / reached for i in range(len(rules))]
+    alone = [sum(r["n"] for r in rows if r["mask"] >> i & 1) / reached for i in range(len(rules))]  # decides between equals
+    alive, left, plan = {r["mask"]: r["n"] for r in rows}, set(range(len(rules))), []
+    while left:
+        here = max(1, sum(alive.values()))
+        share = {i: sum(n for m, n in alive.items() if m >> i & 1) / here for i in left}
+        pick = min(left, key=lambda i: (-share[i] / max(cost[i], 1e-9), -alone[i] / max(cost[i], 1e-9), rules[i].name))
+        plan.append((rules[pick].name, cost[pick], share[pick]))
+        left.discard(pick)
+        alive = {m: n for m, n in alive.items() if not m >> pick & 1}
+    return plan
 
 
 def apply_cascade(
@@ -159,10 +206,9 @@ def apply_cascade(
                 rows = []
                 for t in texts:
                     d = Doc(t)
-                    n = len(d.words)
-                    base = n < 50 or 100 * d.n_repeat_words > 50 * n
-                    rule = None if base else next((r.name for r in chain if r.fails(d)), None)
-                    rows.append((n, d.word_chars, d.n_symbols, d.n_dup_lines, d.n_repeat_words, base, rule, not base and rule is None))
+                    measured = d.base()
+                    rule = None if d.base_failed else next((r.name for r in chain if r.fails(d)), None)
+                    rows.append((*measured, rule, not d.base_failed and rule is None))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(key), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=[key, *names]
                 )
@@ -191,7 +237,8 @@ WITH d AS (
          length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
          length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
          [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS ln,
-         len([x FOR x IN w IF ends_with(x, '!!')])::BIGINT AS n_shouts
+         len([x FOR x IN w IF ends_with(x, '!')])::BIGINT AS n_exclaimed,
+         len([x FOR x IN w IF NOT regexp_matches(x, '[A-Za-z\x{80}-\x{10FFFF}]')])::BIGINT AS n_letterless
   FROM d
 ), p AS (
   SELECT doc_id, unnest(range(1, greatest(n_words - 1, 1))) AS i, w FROM m WHERE n_words >= 3
@@ -205,11 +252,14 @@ WITH d AS (
     SELECT doc_id, x, count(*) AS c FROM (SELECT doc_id, unnest(w) AS x FROM m) GROUP BY doc_id, x) GROUP BY doc_id
 ), f AS (
   SELECT m.doc_id, n_words, word_chars, n_symbols, (len(ln) - len(list_distinct(ln)))::BIGINT AS n_dup_lines,
-         coalesce(n_repeat_words, 0) AS n_repeat_words, len(ln) AS n_lines, coalesce(top_word, 0) AS top_word, n_shouts
+         coalesce(n_repeat_words, 0) AS n_repeat_words, len(ln) AS n_lines, coalesce(top_word, 0) AS top_word, n_exclaimed, n_letterless,
+         len([x FOR x IN ln IF regexp_matches(x, '^[\x20\x09-\x0D]*[-*\x{2022}]')]) AS n_bullets,
+         len([x FOR x IN ln IF regexp_matches(x, '(?:\.\.\.|\x{2026})[\x20\x09-\x0D]*$')]) AS n_ellipses
   FROM m LEFT JOIN r USING (doc_id) LEFT JOIN v USING (doc_id)
 ), b AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR 4 * n_symbols > n_words OR 10 * n_shouts > 3 * n_words OR 2 * n_dup_lines > n_lines
+       NOT (base_failed OR 4 * n_symbols > n_words OR 10 * n_exclaimed > 3 * n_words OR 10 * n_letterless > 4 * n_words
+            OR 10 * n_bullets > 9 * n_lines OR 10 * n_ellipses > 3 * n_lines OR 2 * n_dup_lines > n_lines
             OR 10 * top_word > 3 * n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words) AS kept
 FROM b
 """

@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_language": language_crf.op9_language,
         "op10_token_store": token_store.op10_token_store,
+        "packed_conversations": packing.packed_conversations,
     }
 
 

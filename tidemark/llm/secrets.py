@@ -5,11 +5,11 @@ runs. Weak parts are not evidence alone: user and client names, short or unusual
 weak part is reported only where a complementary one (access identifier, secret, endpoint: two different roles, one of
 them a secret) lies in its scope, that is, within ``radius`` code points in the same document.
 
-The interval join is a sweep in the row: parts are sorted by start; on the way forward each part learns how far the parts
-of each role before it reach, on the way back where the next of each role starts. Both directions are linear, no pairs are made
+The interval join is a sweep in the row: parts are sorted by start; each part learns how far the parts of each role before
+it reach, and where the next of each role starts. Both are running values by doubling (n log n steps), no pairs are made
 and nothing is shuffled. Only built-in functions are used.
 
-Cases: a null text is empty and has no spans; parts at equal places are ordered by kind; repeated rows get equal
+Cases: a null text is empty and has no spans; texts of any length and any number of parts take n log n steps at most; parts at equal places are ordered by kind; repeated rows get equal
 results; an empty table gives an empty result; extra columns pass through ``redact`` and are dropped by ``find_secrets``.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .spans import count_kind, matches, of_kind, rendered
+from .spans import count_kind, let, matches, of_kind, outside, rendered, running
 
 RADIUS = 200
 MASK = "[SECRET]"
@@ -44,17 +44,23 @@ ROLE = {"assign": "secret", "access": "access", "hex": "secret", "weak_access":
 ROLES = ("access", "secret", "endpoint")
 
 
+def _tied(text: Column) -> Column:
+    """A cheap test: without one of these no name is tied to a value."""
+    return F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))
+
+
 def base_spans(text: Column) -> Column:
     assign = F.filter(
-        matches(text, ASSIGN), lambda x: F.length(F.regexp_extract(x["m"], rf"^(?:{_NAMES}){_TIE}([A-Za-z0-9+/_.=-]+)$", 1)) >= 12
+        matches(text, ASSIGN, _tied(text)), lambda x: F.length(F.regexp_extract(x["m"], rf"^(?:{_NAMES}){_TIE}([A-Za-z0-9+/_.=-]+)$", 1)) >= 12
     )
-    access = F.filter(matches(text, ACCESS), lambda x: F.length(x["m"]) >= 18)
+    access = F.filter(matches(text, ACCESS, F.contains(text, F.lit("AKIA"))), lambda x: F.length(x["m"]) >= 18)
     found = [of_kind(x, k, i) for i, (k, x) in enumerate(zip(KINDS, (assign, access, matches(text, HEX)), strict=False))]
     return F.array_sort(F.concat(*found))
 
 
 def weak_parts(text: Column) -> Column:
-    found = [of_kind(matches(text, p), k, i) for i, (k, p) in enumerate(zip(KINDS[3:], (WEAK_ACCESS, WEAK_SECRET, ENDPOINT), strict=True), 3)]
+    ways = ((WEAK_ACCESS, _tied(text)), (WEAK_SECRET, _tied(text)), (ENDPOINT, F.contains(text, F.lit("://"))))
+    found = [of_kind(matches(text, p, guard), k, i) for i, (k, (p, guard)) in enumerate(zip(KINDS[3:], ways, strict=True), 3)]
     return F.array_sort(F.concat(*found))
 
 
@@ -69,22 +75,11 @@ def linked(parts: Column, radius: int = RADIUS) -> Column:
     """The weak ones of the sorted ``parts`` that have a complementary part in their scope."""
     far = 1 << 30
 
-    def sweep(order: Column, forward: bool) -> Column:
-        """Each part with, by role, the furthest end before it or the nearest start after it."""
-        best = F.greatest if forward else F.least
-        start = F.struct(*(F.lit(-far if forward else far).alias(r) for r in ROLES), F.array().cast(
-            "array<struct<access:int,secret:int,endpoint:int>>").alias("out"))
-
-        def step(acc: Column, x: Column) -> Column:
-            place = x["e"] if forward else x["s"]
-            now = F.struct(*(acc[r].alias(r) for r in ROLES))
-            moved = [F.when(_role(x["kind"]) == r, best(acc[r], place)).otherwise(acc[r]).alias(r) for r in ROLES]
-            out = F.concat(acc["out"], F.array(now)) if forward else F.concat(F.array(now), acc["out"])
-            return F.struct(*moved, out.alias("out"))
-
-        return F.aggregate(order, start, step, lambda acc: acc["out"])
-
-    rows = F.arrays_zip(parts.alias("p"), sweep(parts, True).alias("b"), sweep(F.reverse(parts), False).alias("a"))
+    def reach(p: Column, end: str, none: int, best) -> Column:
+        """For each part, by role, the best end of the parts up to it."""
+        places = F.transform(p, lambda x: F.struct(*(F.when(_role(x["kind"]) == r, x[end]).otherwise(F.lit(none)).alias(r) for r in ROLES)))
+        pick = lambda a, b: F.struct(*(best(a[r], b[r]).alias(r) for r in ROLES))
+        return running(places, pick, F.struct(*(F.lit(none).alias(r) for r in ROLES)))
 
     def near(x: Column, role: str) -> Column:
         return (x["b"][role] >= x["p"]["s"] - radius) | (x["a"][role] <= x["p"]["e"] + radius)
@@ -93,16 +88,19 @@ def linked(parts: Column, radius: int = RADIUS) -> Column:
         role = _role(x["p"]["kind"])
         return F.when(role == "secret", near(x, "access") | near(x, "endpoint")).otherwise(near(x, "secret"))
 
-    weak = F.filter(rows, lambda x: (x["p"]["rank"] >= 3) & complementary(x))
-    return F.transform(weak, lambda x: x["p"])
+    def swept(p: Column) -> Column:
+        rows = F.arrays_zip(p.alias("p"), reach(p, "e", -far, F.greatest).alias("b"), F.reverse(reach(F.reverse(p), "s", far, F.least)).alias("a"))
+        weak = F.filter(rows, lambda x: (x["p"]["rank"] >= 3) & complementary(x))
+        return F.transform(weak, lambda x: x["p"])
+
+    return let(parts, swept)
 
 
 def _with_spans(docs: DataFrame, text: str, radius: int) -> DataFrame:
     """``docs`` with _base and _spans. The steps are projections of their own, so each pattern runs once."""
     t = F.coalesce(F.col(text), F.lit(""))
     found = docs.withColumns({"_base": base_spans(t), "_weak": weak_parts(t)})
-    outside = F.filter("_weak", lambda w: ~F.exists("_base", lambda b: (b["s"] < w["e"]) & (b["e"] > w["s"])))
-    found = found.withColumn("_weak", F.when(F.size("_weak") > 0, outside).otherwise(F.col("_weak")))
+    found = found.withColumn("_weak", outside(F.col("_weak"), F.col("_base")))
     found = found.withColumn("_parts", F.when(F.size("_weak") > 0, F.array_sort(F.concat("_base", "_weak"))).otherwise(F.col("_weak")))
     more = F.when(F.size("_parts") > 1, linked(F.col("_parts"), radius)).otherwise(F.slice("_parts", 1, 0))
     found = found.withColumn("_more", more)
@@ -116,20 +114,39 @@ def find_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", radiu
     return found.select(key, F.col("_base").alias("base"), F.col("_spans").alias("spans"))
 
 
+#: Code points of the blocks that a text is cut from, so that a piece is never sought from the text's start.
+BLOCK = 4096
+
+
+def _without(text: Column, spans: Column, mask: str) -> Column:
+    """``text`` with the sorted ``spans`` masked, overlapping or touching ones by one mask each where they start anew."""
+
+    def piece(blocks: Column, a: Column, b: Column) -> Column:
+        """Code points a to b (exclusive) of the text: the blocks that hold them, cut."""
+        first, last = F.floor(a / BLOCK).cast("int"), F.floor((b - 1) / BLOCK).cast("int")
+        held = F.array_join(F.slice(blocks, first + 1, last - first + 1), "")
+        return F.when(b > a, F.substring(held, a - first * BLOCK + 1, b - a)).otherwise("")
+
+    def cut(blocks: Column) -> Column:
+        ends = running(F.transform(spans, lambda x: x["e"]), F.greatest, F.lit(0))
+
+        def around(done: Column) -> Column:
+            """Before each span that starts where no earlier one reaches: what lies between, and the mask; then the rest."""
+            before = F.concat(F.array(F.lit(0)), F.slice(done, 1, F.size(done) - 1))
+            shown = F.zip_with(spans, before, lambda x, at: F.when(x["s"] >= at, F.concat(piece(blocks, at, x["s"]), F.lit(mask))).otherwise(""))
+            return F.concat(F.array_join(shown, ""), piece(blocks, F.element_at(done, -1), F.length(text)))
+
+        return let(ends, around)
+
+    return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)), cut)
+
+
 def redact(docs: DataFrame, text: str = "text", radius: int = RADIUS, mask: str = MASK) -> DataFrame:
     """``docs`` with every span, base or linked, replaced by ``mask``; overlapping spans by one. A null text stays null."""
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(f"`{text}`").alias("_t"))
     found = _with_spans(whole, "_t", radius)
     t = F.col("_t")
-
-    def cut(acc: Column, x: Column) -> Column:
-        before = F.substring(t, acc["at"] + 1, x["s"] - acc["at"])
-        out = F.when(x["s"] >= acc["at"], F.concat(acc["out"], before, F.lit(mask))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), out.alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("_spans", start, cut, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
-    found = found.select("_row", F.when(F.size("_spans") > 0, clean).otherwise(t).alias("_t"))
+    found = found.select("_row", F.when(F.size("_spans") > 0, _without(t, F.col("_spans"), mask)).otherwise(t).alias("_t"))
     return found.select(*(F.col("_t").alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in docs.columns))
 
 
@@ -155,7 +172,7 @@ def positions_sql(patterns: dict[str, str], source: str = "d", name: str = "foun
     return f"""{name}_l AS ({parts}), {name}_u AS (
   SELECT r, kind, rank, unnest(ms) AS m, unnest(gs[1:len(ms)]) AS g, unnest(range(1, len(ms) + 1)) AS i FROM {name}_l WHERE len(ms) > 0
 ), {name} AS (
-  SELECT r, kind, rank, s, s + length(m) AS e, m, g FROM (SELECT *, (sum(length(g) + length(m)) OVER (PARTITION BY r, kind ORDER BY i) - length(m))::BIGINT AS s FROM {name}_u)
+  SELECT r, kind, rank, s, s + length(m) AS e, m, g, i FROM (SELECT *, (sum(length(g) + length(m)) OVER (PARTITION BY r, kind ORDER BY i) - length(m))::BIGINT AS s FROM {name}_u)
 )"""
 
 

@@ -218,20 +218,33 @@ def links(distinct_fp: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3) -> DataFrame:
     """(key, fp, component): every row of ``docs`` with the smallest key of its component."""
     fp = checkpointed(fingerprints(docs, text, key, shingle))
-    nodes = checkpointed(fp.groupBy(F.col("fp").alias("node")).agg(F.min(key).alias("weight")))
+    nodes = checkpointed(fp.groupBy(F.col("fp").alias("node")).agg(F.min(key).alias("weight")))  # null ids don't count
     found = checkpointed(components(nodes, links(nodes.select(F.col("node").alias("fp")))))
     # both sides are plain shuffles, so that a fingerprint with very many copies is split between tasks
     return fp.join(found.select(F.col("node").alias("fp"), F.col("label").alias("component")), "fp", "left").select(key, "fp", "component")
 
 
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``docs`` (all columns) with one row of each component: that with the smallest key. Null keys stay as they are."""
-    found = near_duplicates(docs, text, key)
-    kept = checkpointed(found.where(F.col(key) == F.col("component")).groupBy(key).agg(F.count("*").alias("_n")))
-    out = docs.join(kept.select(key), key, "left_semi")
-    if not kept.where("_n > 1").isEmpty():  # rows with the same key in one component
-        out = out.dropDuplicates([key])
-    return out.unionByName(docs.where(F.col(key).isNull())).select(docs.columns)
+    """``docs`` (all columns) with one row of each component: that with the smallest key, null keys last.
+
+    Rows are told apart by key and content, so a key that occurs again with another text is judged by that text. Of rows
+    with the smallest key in one component, that of the smallest content hash stays; of wholly equal rows, one.
+    """
+    content = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
+    marked = docs.select(F.struct(F.col(key).alias("key"), content.alias("content")).alias("one"), F.col(text).alias("t"))
+    found = near_duplicates(marked, "t", "one").withColumn("key", F.col("one.key")).withColumn("content", F.col("one.content"))
+    rows = found.groupBy("component", "key", "content").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("key").isNull().alias("last"), "key", "content", "n")).alias("w")
+    kept = checkpointed(rows.groupBy("component").agg(first).select(F.col("w.key").alias("_key"), F.col("w.content").alias("_content"), F.col("w.n").alias("_n")))
+    named = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(key).alias("k"), content.alias("content"))
+
+    def of(winners: DataFrame) -> DataFrame:
+        return named.join(winners, F.col("k").eqNullSafe(F.col("_key")) & (F.col("content") == F.col("_content")), "left_semi")
+
+    out = of(kept.where("_n = 1"))
+    if not kept.where("_n > 1").isEmpty():  # only where whole rows are repeated
+        out = out.unionByName(of(kept.where("_n > 1")).dropDuplicates(["k", "content"]))
+    return out.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,10 @@ the component is allowed; else if a member is blocked, it is blocked; else it is
 stands. Targets may hold character references and be relative to the page's url (a base tag is not read); ``SQL`` below
 knows neither, only absolute targets and those that start with a slash, so it is equal on pages without others.
 
-Only built-in functions are used. Rules are a parameter of at most ``MAX_RULES`` entries and are matched in the row.
-Html is read once; everything after that works on urls. Components are those of distinct url forms that have an edge.
+Only built-in functions are used. A few rules (up to ``IN_ROW``) are matched in the row, as one expression. More, or rules
+that are a table (host, path, verdict), of any number, are matched by an equi-join: a url meets them under each suffix of its host and each
+length of path that some rule of that suffix has. Both ways give the same. Html is read once; everything after that
+works on urls. Components are those of distinct url forms that have an edge.
 
 Cases: a null url, or one without ``://``, has an empty host and path and no rule; it is allowed, and joins no component.
 Null html has no edges. Repeated rows get equal results; an empty table gives an empty result; extra columns are not passed on.
@@ -27,7 +29,8 @@ from pyspark.sql import functions as F
 from .common import checkpointed, table
 from .graph import components
 
-MAX_RULES = 1000
+#: Rules that are matched in the row; more of them make a table.
+IN_ROW = 64
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: The rules of the contract query.
@@ -51,9 +54,7 @@ def path_of(url: Column) -> Column:
 
 
 def matched_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] = RULES) -> Column:
-    """struct<rule, verdict> of the longest rule that fits, else null."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} are matched in the row")
+    """struct<n, allow, rule> of the longest rule that fits, else null; one expression for each rule."""
     none = F.lit(None).cast("struct<n:int,allow:boolean,rule:string>")
     found = [
         F.when(
@@ -65,6 +66,27 @@ def matched_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str
     return F.greatest(*found, none, none)
 
 
+def rule_hits(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """(host, path, hit) of the distinct (host, path) of ``urls`` that a rule of the table fits: struct<n, allow, rule>.
+
+    A host's suffixes are joined to the lengths of their rules' paths, then each url's path heads of these lengths to the
+    rules themselves; both joins are on equal keys, and a url has as many rows as suffixes times lengths, whatever the rules.
+    """
+    plain = rules.select(F.translate("host", _UPPER, _LOWER).alias("suffix"), F.col("path").alias("head"), (F.col("verdict") == "allow").alias("allow"))
+    plain = plain.groupBy("suffix", "head").agg(F.max("allow").alias("allow"))
+    sizes = plain.groupBy("suffix").agg(F.array_sort(F.collect_set(F.length("head"))).alias("sizes"))
+    labels = F.split("host", r"\.")
+    places = F.sequence(F.lit(1), F.size(labels))
+    suffixes = F.transform(places, lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
+    seen = urls.where("host <> ''").select("host", "path").distinct()
+    hosts = seen.select("host").distinct().select("host", F.explode(suffixes).alias("suffix")).join(sizes, "suffix")
+    heads = seen.join(hosts, "host").select("host", "path", "suffix", F.explode("sizes").alias("n")).where(F.col("n") <= F.length("path"))
+    heads = heads.select("host", "path", "suffix", F.substring("path", F.lit(1), F.col("n")).alias("head"))
+    rule = F.concat("suffix", "head")
+    hit = F.struct(F.length(rule).alias("n"), F.col("allow"), rule.alias("rule"))
+    return heads.join(plain, ["suffix", "head"]).groupBy("host", "path").agg(F.max(hit).alias("hit"))
+
+
 def normal_form(url: Column) -> Column:
     """Host in lower case, path and query, without tracking parameters, fragment and trailing slash; null if no ``://``."""
     query = F.regexp_extract(url, r"(?s)^.*?://[^?#]*\?([^#]*)", 1)
@@ -141,29 +163,37 @@ def targets(url: Column, html: Column) -> Column:
 
 
 def judge_urls(
-    pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url: str = "url", html: str = "html", key: str = "page_id"
+    pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame = RULES, url: str = "url", html: str = "html", key: str = "page_id"
 ) -> DataFrame:
     """(key, host, path, rule, verdict, source): ``source`` is rule, alias or default."""
-    u = F.col("u")
+    u, spark = F.col("u"), pages.sparkSession
     read = pages.select(F.col(key).alias("k"), F.col(url).alias("u"), targets(F.col(url), F.col(html)).alias("to"))
-    read = read.select("k", host_of(u).alias("host"), path_of(u).alias("path"), normal_form(u).alias("node"), F.transform("to", lambda x: F.struct(normal_form(x).alias("node"), matched_rule(host_of(x), path_of(x), rules)["allow"].alias("allow"))).alias("to"))
-    read = checkpointed(read.withColumn("hit", matched_rule(F.col("host"), F.col("path"), rules)))
+    place = lambda x: F.struct(normal_form(x).alias("node"), host_of(x).alias("host"), path_of(x).alias("path"))
+    read = read.select("k", host_of(u).alias("host"), path_of(u).alias("path"), normal_form(u).alias("node"), F.transform("to", place).alias("to"))
+    if isinstance(rules, DataFrame) or len(rules) > IN_ROW:
+        listed = rules if isinstance(rules, DataFrame) else spark.createDataFrame(list(rules), "host string, path string, verdict string")
+        read = checkpointed(read)
+        hits = checkpointed(rule_hits(read.select("host", "path").union(read.select(F.inline("to")).select("host", "path")), listed))
+        with_hit = lambda df: df.join(hits, ["host", "path"], "left")
+        read = checkpointed(with_hit(read))
+    else:
+        with_hit = lambda df: df.withColumn("hit", matched_rule(F.col("host"), F.col("path"), rules))
+        read = checkpointed(with_hit(read))
 
     edges = read.where(F.size("to") > 0).select(F.col("node").alias("a"), F.explode("to.node").alias("b")).where("a <> b").distinct()
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     labels = components(nodes.withColumn("weight", F.col("node")), edges) if not edges.isEmpty() else None
-    named = read.where("node is not null")
-    known = named.where("hit is not null").select("node", F.col("hit.allow").alias("allow")).unionByName(
-        named.where(F.size("to") > 0).select(F.inline("to")).where("allow is not null and node is not null")
-    )  # decisions of pages, and of targets that need not be pages
+    known = read.where("node is not null and hit is not null").select("node", F.col("hit.allow").alias("allow"))
+    aimed = with_hit(read.where(F.size("to") > 0).select(F.inline("to")).where("node is not null")).where("hit is not null")
+    known = known.unionByName(aimed.select("node", F.col("hit.allow").alias("allow")))  # of pages, and of targets that need not be pages
     known = known.groupBy("node").agg(F.max("allow").alias("allow"))
     if labels is not None:
         relabel = lambda df: df.join(labels, "node", "left").withColumn("node", F.coalesce("label", "node")).drop("label")
         read, known = relabel(read), relabel(known).groupBy("node").agg(F.max("allow").alias("allow"))
     decided = known.select("node", F.when(F.col("allow"), "allow").otherwise("block").alias("alias"))
-    ruled = read.where("hit is not null").select("k", "host", "path", "hit", F.lit(None).cast("string").alias("alias"))
-    open_ = read.where("hit is null").join(decided, "node", "left").select("k", "host", "path", "hit", "alias")
-    out = ruled.unionByName(open_)
+    named, cols = F.col("hit").isNull() & F.col("node").isNotNull(), ["k", "host", "path", "hit"]
+    alone = read.where(~named).select(*cols, F.lit(None).cast("string").alias("alias"))  # a rule of its own, or no url: no join, so no hot null
+    out = alone.unionByName(read.where(named).join(decided, "node", "left").select(*cols, "alias"))
     own = F.when(F.col("hit.allow"), "allow").when(~F.col("hit.allow"), "block")
     source = F.when(F.col("hit").isNotNull(), "rule").when(F.col("alias").isNotNull(), "alias").otherwise("default")
     return out.select(
