@@ -27,12 +27,16 @@ def odd_dir(spark, tmp_path_factory, sf_dir) -> str:
         (11, "https://mixed.example.org/a", '<LINK REL="canonical" HREF="//b.example.net/fr/1">'), (12, "https://com/x", ""), (13, "https://notexample.com/en/", ""), (14, "https://k.com?/en/", ""),
     ]
     spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "1 as node", "2 as k", "3 as hit").write.parquet(f"{folder}/pages.parquet")
+    turns = [(1, 0, "user", "ask " * 30), (1, 1, "assistant", "tell " * 50), (2, 0, None, None), (2, None, "assistant", ""), (None, 0, "assistant", "no talk"),
+        (3, 0, "user", "very long " * 3000), (3, 1, "assistant", "short"), (4, 0, "assistant", "answer " * 1500), (4, 0, "assistant", "answer " * 1500)]
+    turns += [(10 + i, j, "user" if j % 2 == 0 else "assistant", "word " * (10 + 7 * i % 90)) for i in range(60) for j in range(4)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as tokens", "2 as loss", "3 as n").write.parquet(f"{folder}/conversations.parquet")
     return str(folder)
 
 
 @pytest.fixture(scope="session")
 def empty_dir(spark, odd_dir, tmp_path_factory) -> str:
     folder = tmp_path_factory.mktemp("none")
-    for name in ("documents", "labels", "benchmark", "pages"):
+    for name in ("documents", "labels", "benchmark", "pages", "conversations"):
         spark.read.parquet(f"{odd_dir}/{name}.parquet").limit(0).write.parquet(f"{folder}/{name}.parquet")
     return str(folder)

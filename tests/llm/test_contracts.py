@@ -113,6 +113,30 @@ def test_packing(spark, tables, texts, ids):
         assert total <= 2048 and total & (total - 1) == 0  # cut at powers of two: no padding at all
 
 
+def test_packed_conversations(spark, tables):
+    t, want = load(default_path()), {}
+    for r in spark.read.parquet(f"{tables}/conversations.parquet").collect():
+        n, loss = want.get(r.conv_id, (0, 0))
+        size = len(direct_ids(t, r.text or "")) + 1
+        want[r.conv_id] = n + size, loss + size * (r.role == "assistant")
+    rows = QUERIES["packed_conversations"](spark, tables).collect()
+    assert pairs((r.conv_id, (r.tokens, r.loss)) for r in rows) == pairs(want.items())
+    sequences: dict = {}
+    for r in rows:
+        sequences.setdefault(r.sequence_id, []).append(r)
+    for found in sequences.values():
+        n, loss = sum(r.tokens for r in found), sum(r.loss for r in found)
+        if any(r.oversized for r in found):
+            assert len(found) == 1 and (n > 2048 or loss > 1024)
+        else:
+            assert n <= 2048 and loss <= 1024 and len(found) <= 8
+        at = sorted((r.offset, r.tokens) for r in found)
+        assert [a for a, _ in at] == [sum(k for _, k in at[:i]) for i in range(len(at))]
+    fitting = [x for x in want.values() if x[0] <= 2048 and x[1] <= 1024]
+    least = max(sum(x[0] for x in fitting) / 2048, sum(x[1] for x in fitting) / 1024, len(fitting) / 8)
+    assert len(sequences) - (len(want) - len(fitting)) <= 1.5 * least + 2 * 8  # within half of what any packing needs, but for each task's last
+
+
 def test_scores(spark, tables, texts):
     quality = QUERIES["op5_pu_quality"](spark, tables).collect()
     language = QUERIES["op9_language"](spark, tables).collect()
