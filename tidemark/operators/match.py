@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ratio import token_sort_ratio
+from ..functions.ratio import sorted_words, token_sort_ratio
 from ..functions.text import norm_key, stem_key
 
 
@@ -50,27 +50,61 @@ def prefix_join(left: DataFrame, name: str, queries: DataFrame, prefix: str, siz
 def pattern_tags(texts: DataFrame, text: str, patterns: DataFrame, key: str) -> DataFrame:
     """(key, entity) where an entity's pattern occurs in the text.
 
-    ``patterns``: entity, stem, pattern, region, ambiguous. Texts meet patterns by an equi-join on word stems; the regular
-    expression only verifies. Names that several entities share count only with their region's name in the text.
+    ``patterns``: entity, stem, pattern, region, ambiguous. Texts meet patterns by an equi-join on word stems, without
+    their text; a text is then fetched once, for all the patterns that its stems lead to, and the regular expressions
+    only verify. Names that several entities share count only with their region's name in the text. ``key`` is unique.
     """
     stems = F.array_distinct(F.transform(F.split(norm_key(F.col(text)), " "), lambda w: F.substring(w, 1, 5)))
-    words = texts.select(key, text, F.explode(stems).alias("stem"))
-    hit = words.join(patterns, "stem").where(F.expr(f"{text} rlike pattern"))
-    near = F.lower(F.col(text)).contains(F.lower(F.col("region")))
-    return hit.where(~F.col("ambiguous") | near).select(key, "entity").distinct()
+    words = texts.select(key, F.explode(stems).alias("stem"))
+    led = words.join(patterns, "stem").groupBy(key).agg(F.collect_set(F.struct("entity", "pattern", "region", "ambiguous")).alias("_p"))
+    low = F.lower(F.col(text))
+    good = lambda p: F.rlike(F.col(text), p["pattern"]) & (~p["ambiguous"] | low.contains(F.lower(p["region"])))
+    hit = texts.select(key, text).join(led, key).select(key, F.explode(F.filter("_p", good)).alias("p"))
+    return hit.select(key, F.col("p.entity").alias("entity")).distinct()
 
 
-def cascade_match(names: DataFrame, dictionary: DataFrame, cutoff: float = 92, block: Column | None = None) -> DataFrame:
+def _pieces(length: Column, cutoff: float) -> Column:
+    """array<struct<i, start, size>>: the pieces into which a title of ``length`` is cut, one more than the most edits that
+    a name as similar as ``cutoff`` can differ by, so that one piece at least is in the name unchanged."""
+    count = F.floor(length * (100 - cutoff) / cutoff + 1e-9).cast("int") + 1
+    base, longer = F.floor(length / count).cast("int"), length % count
+    row = lambda i: F.struct(i.alias("i"), (i * base + F.greatest(i - (count - longer), F.lit(0))).alias("start"), (base + (i >= count - longer).cast("int")).alias("size"))
+    return F.transform(F.sequence(F.lit(0), count - 1), row)
+
+
+def similar_names(left: DataFrame, right: DataFrame, on: Sequence[str], cutoff: float) -> DataFrame:
+    """Pairs of ``left`` (name) and ``right`` (title) that share ``on`` and whose token-sort ratio is at least ``cutoff``.
+
+    No pair is lost: a title's sorted words are cut into more pieces than the edits allowed, and a name offers, for each
+    length that its partner may have, all its substrings where such a piece may lie. These meet in an equi-join, and
+    the ratio decides.
+    """
+    a = left.withColumn("_x", sorted_words(F.col("name"))).withColumn("_n", F.length("_x"))
+    b = right.withColumn("_y", sorted_words(F.col("title"))).withColumn("_len", F.length("_y"))
+    kept = b.select("*", F.explode(_pieces(F.col("_len"), cutoff)).alias("_p"))
+    kept = kept.select(*right.columns, "_len", F.col("_p.i").alias("_i"), F.substring("_y", F.col("_p.start") + 1, F.col("_p.size")).alias("_s"))
+    low, high = F.ceil(F.col("_n") * cutoff / 100 - 1e-9).cast("int"), F.floor(F.col("_n") * 100 / cutoff + 1e-9).cast("int")
+    offered = a.select("*", F.explode(F.sequence(low, high)).alias("_len")).select("*", F.explode(_pieces(F.col("_len"), cutoff)).alias("_p"))
+    reach = F.floor(F.col("_len") * (100 - cutoff) / cutoff + 1e-9).cast("int")
+    first, end = F.greatest(F.col("_p.start") - reach, F.lit(0)), F.least(F.col("_p.start") + reach, F.col("_n") - F.col("_p.size"))
+    places = F.when(end >= first, F.sequence(first, end)).otherwise(F.array().cast("array<int>"))
+    offered = offered.withColumn("_at", F.explode(places)).select(*left.columns, "_len", F.col("_p.i").alias("_i"), F.substring("_x", F.col("_at") + 1, F.col("_p.size")).alias("_s"))
+    met = offered.join(kept, [*on, "_len", "_i", "_s"]).drop("_len", "_i", "_s").distinct()
+    return met.withColumn("score", token_sort_ratio(F.col("name"), F.col("title"))).where(F.col("score") >= cutoff)
+
+
+def cascade_match(names: DataFrame, dictionary: DataFrame, cutoff: float = 92) -> DataFrame:
     """(name, region, entity, match, score, candidates): exact, then normalised, then stems, then fuzzy; each step only
     sees what the one before left. More than one candidate at a step is ambiguous and matches nothing.
 
-    Fuzzy candidates share the region and the first letters, so the work is bounded by block sizes.
+    All candidates are of the name's region; within it, no fuzzy candidate at or above the cutoff is missed.
     """
     left = names.select("name", "region").distinct()
     found = None
 
     def settle(pairs: DataFrame, how: str) -> DataFrame:
-        best = pairs.withColumn("_top", F.max("score").over(Window.partitionBy("name", "region"))).where("score = _top")
+        best = pairs.groupBy("name", "region").agg(F.max("score").alias("_top"))
+        best = pairs.join(best, ["name", "region"]).where("score = _top")
         return best.groupBy("name", "region").agg(
             F.min("entity").alias("entity"), F.countDistinct("entity").alias("candidates"), F.max("score").alias("score"), F.lit(how).alias("match")
         )
@@ -82,11 +116,7 @@ def cascade_match(names: DataFrame, dictionary: DataFrame, cutoff: float = 92, b
         done = settle(a.join(b, ["region", "_k"]).withColumn("score", F.lit(100.0)), how)
         found = done if found is None else found.unionByName(done)
         left = left.join(done.select("name", "region"), ["name", "region"], "left_anti")
-    first = lambda c: F.substring(norm_key(c), 1, 2)
-    a = left.withColumn("_k", block if block is not None else first(F.col("name")))
-    b = dictionary.select("entity", "region", "title", first(F.col("title")).alias("_k"))
-    fuzzy = a.join(b, ["region", "_k"]).withColumn("score", token_sort_ratio(F.col("name"), F.col("title"))).where(F.col("score") >= cutoff)
-    found = found.unionByName(settle(fuzzy, "fuzzy"))
+    found = found.unionByName(settle(similar_names(left, dictionary.select("entity", "region", "title"), ["region"], cutoff), "fuzzy"))
     unsure = F.col("candidates") > 1
     return found.select(
         "name", "region", F.when(~unsure, F.col("entity")).alias("entity"), F.when(unsure, "ambiguous").otherwise(F.col("match")).alias("match"), "score", "candidates"
@@ -94,13 +124,13 @@ def cascade_match(names: DataFrame, dictionary: DataFrame, cutoff: float = 92, b
 
 
 def neighbour_region(rows: DataFrame, order: str, region: str, by: Sequence[str], k: int = 3) -> DataFrame:
-    """Fill an unknown region where the k nearest known ones before and after in the list all agree."""
-    w = Window.partitionBy(*by).orderBy(order)
-    before = F.collect_list(region).over(w.rowsBetween(-50, -1))
-    after = F.collect_list(region).over(w.rowsBetween(1, 50))
-    near = F.array_distinct(F.concat(F.slice(F.reverse(before), 1, k), F.slice(after, 1, k)))
-    agreed = F.when(F.size(near) == 1, F.element_at(near, 1))
-    return rows.withColumn("_near", near).withColumn("resolved", F.coalesce(F.col(region), agreed)).drop("_near")
+    """Fill an unknown region where the k nearest known ones before and after in the list, however far, all agree.
+    ``by`` names the list a row belongs to."""
+    over = f"OVER (PARTITION BY {', '.join(f'`{c}`' for c in by)} ORDER BY `{order}`)"
+    near = [F.expr(f"{side}(`{region}`, {i}) IGNORE NULLS {over}") for side in ("lag", "lead") for i in range(1, k + 1)]
+    found = rows.withColumn("_near", F.array_distinct(F.array_compact(F.array(*near))))
+    agreed = F.when(F.size("_near") == 1, F.element_at("_near", 1))
+    return found.withColumn("resolved", F.coalesce(F.col(region), agreed)).drop("_near")
 
 
 def assign_events(events: DataFrame, dictionary: DataFrame) -> DataFrame:

@@ -9,9 +9,10 @@ from ..operators import detect as D
 from ..operators import evaluate as E
 from ..operators import match as J
 from ..operators import quality as Q
-from .base import SQL_PANEL, SQL_PLACES, places, query, read
+from ..session import checkpointed
+from .base import SQL_PANEL, SQL_PLACES, places, query, read, setting
 from .detect_queries import FARS, SQL_EWMA, SQL_INJECTED, SQL_LABELS, _injected, _scored, sql24, sql_z, window24
-from .forecast_queries import CUT, ORIGINS, SQL_PRED, predictions
+from .forecast_queries import _CUT, _LATEST, SQL_PRED, predictions
 
 
 @query()
@@ -20,7 +21,7 @@ def detector_comparison(spark: SparkSession, d: str) -> DataFrame:
     the detector of largest recall, then smallest delay, at the lowest rate."""
     p = window24(spark, d)
     labels = D.shift_labels(p.select("entity").distinct())
-    z = D.local_growth(D.inject(p, labels)).cache()  # five detectors read it; a row a series and month
+    z = checkpointed(D.local_growth(D.inject(p, labels)))  # five detectors read it; a row a series and month
     raw = D.local_growth(D.inject(p, labels), remove_common=False)
     scores = {"ewma": _scored(z, D.ewma), "cusum": _scored(z, D.cusum), "zscore": D.zscore(z), "zscore_raw": D.zscore(raw)}
     bayes = D.bocpd(D.signals(z)).select("entity", F.posexplode("score").alias("t", "score")).withColumn("t", F.col("t").cast("long"))
@@ -56,7 +57,7 @@ b AS (SELECT o.*, n.mae AS base FROM o JOIN o n ON n.origin = o.origin AND n.mod
 SELECT model, round(avg(mae), 4) AS mean_mae, round(arg_max(mae, origin), 4) AS last_mae, arg_max(origin, round(mae, 6)) AS worst_origin, count(*) FILTER (mae < base)::BIGINT AS better FROM b GROUP BY 1""")
 def model_table(spark: SparkSession, d: str) -> DataFrame:
     """Each model's mean, last and worst window, and the windows in which it beats the last value."""
-    o = predictions(spark, d).groupBy("model", "origin").agg(F.avg(F.abs(F.col("y") - F.col("yhat"))).alias("mae"))
+    o = predictions(setting(spark, d)).groupBy("model", "origin").agg(F.avg(F.abs(F.col("y") - F.col("yhat"))).alias("mae"))
     base = o.where("model = 'naive'").select("origin", F.col("mae").alias("base"))
     return o.join(base, "origin").groupBy("model").agg(
         F.round(F.avg("mae"), 4).alias("mean_mae"),
@@ -69,7 +70,7 @@ def model_table(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {SQL_PRED}, m AS (SELECT h, model, avg(abs(y - yhat)) AS mae FROM pred GROUP BY 1, 2)
 SELECT h, arg_min(model, round(mae, 6)) AS best, round(min(mae), 4) AS mae, round(1 - min(mae) / any_value(mae) FILTER (model = 'naive'), 6) AS gain FROM m GROUP BY 1""")
 def horizon_overview(spark: SparkSession, d: str) -> DataFrame:
-    m = predictions(spark, d).groupBy(F.col("h").cast("long").alias("h"), "model").agg(F.avg(F.abs(F.col("y") - F.col("yhat"))).alias("mae"))
+    m = predictions(setting(spark, d)).groupBy(F.col("h").cast("long").alias("h"), "model").agg(F.avg(F.abs(F.col("y") - F.col("yhat"))).alias("mae"))
     naive = F.max(F.when(F.col("model") == "naive", F.col("mae")))
     return m.groupBy("h").agg(
         F.min_by("model", F.round("mae", 6)).alias("best"), F.round(F.min("mae"), 4).alias("mae"), F.round(1 - F.min("mae") / naive, 6).alias("gain")
@@ -80,7 +81,7 @@ def horizon_overview(spark: SparkSession, d: str) -> DataFrame:
 SELECT model, count(*)::BIGINT AS n, round(avg(abs(y - yhat)), 4) AS mae_old, round(avg(abs(y - yhat * 1.4::DOUBLE)), 4) AS mae_new, avg(abs(y - yhat * 1.4::DOUBLE)) <= 1.25 * avg(abs(y - yhat)) AS ok FROM n GROUP BY 1""")
 def model_gate(spark: SparkSession, d: str) -> DataFrame:
     """A run whose forecasts are all too high, against the run before, on points whose facts are unchanged."""
-    old = predictions(spark, d, ("naive", "seasonal", "drift", "national"))
+    old = predictions(setting(spark, d), ("naive", "seasonal", "drift", "national"))
     found = Q.model_gate(old.withColumn("yhat", F.col("yhat") * 1.4), old)
     return found.select("model", "n", F.round("mae_old", 4).alias("mae_old"), F.round("mae_new", 4).alias("mae_new"), "ok")
 
@@ -96,29 +97,31 @@ def event_study(spark: SparkSession, d: str) -> DataFrame:
 
     ev = read(spark, d, "lineitem").where("l_quantity = 50 and l_discount >= 0.09")
     ev = ev.select(F.col("l_suppkey").alias("entity"), month_idx("l_shipdate").alias("month")).distinct().withColumn("flag", F.lit(True))
-    return E.event_effect(predictions(spark, d, ("drift",)).join(ev, ["entity", "month"], "left"), "flag", ["origin"]).select("origin", F.round("effect", 6).alias("effect"), "flagged")
+    return E.event_effect(predictions(setting(spark, d), ("drift",)).join(ev, ["entity", "month"], "left"), "flag", ["origin"]).select("origin", F.round("effect", 6).alias("effect"), "flagged")
 
 
 @query(f"""WITH {SQL_PRED}, {SQL_PLACES}, s AS (SELECT p.*, region, nation FROM pred p JOIN places USING (entity) WHERE model IN ('drift', 'seasonal')),
-u AS (SELECT model, y, yhat, unnest(list_filter_) AS slice FROM (SELECT *, [x FOR x IN [CASE WHEN region = 'ASIA' THEN 'asia' END, CASE WHEN h = 1 THEN 'next_month' END, CASE WHEN origin >= {CUT} THEN 'late' END, 'all'] IF x IS NOT NULL] AS list_filter_ FROM s)),
+u AS (SELECT model, y, yhat, unnest(list_filter_) AS slice FROM (SELECT *, [x FOR x IN [CASE WHEN region = 'ASIA' THEN 'asia' END, CASE WHEN h = 1 THEN 'next_month' END, CASE WHEN origin >= {_CUT} THEN 'late' END, 'all'] IF x IS NOT NULL] AS list_filter_ FROM s)),
 m AS (SELECT slice, avg(abs(y - yhat)) FILTER (model = 'seasonal') AS a, avg(abs(y - yhat)) FILTER (model = 'drift') AS b, count(*) FILTER (model = 'drift')::BIGINT AS points FROM u GROUP BY 1)
 SELECT slice, points, round((b / a - 1) * 100, 4) AS change_pct, CASE WHEN b < 0.99 * a THEN 'better' WHEN b > 1.01 * a THEN 'worse' ELSE 'same' END AS verdict FROM m""")
 def slice_evaluation(spark: SparkSession, d: str) -> DataFrame:
     """One model against another on overlapping slices, with a verdict."""
-    pred = predictions(spark, d, ("drift", "seasonal")).join(places(spark, d), "entity")
-    slices = {"asia": F.col("region") == "ASIA", "next_month": F.col("h") == 1, "late": F.col("origin") >= CUT, "all": F.lit(True)}
+    at = setting(spark, d)
+    pred = predictions(at, ("drift", "seasonal")).join(places(spark, d), "entity")
+    slices = {"asia": F.col("region") == "ASIA", "next_month": F.col("h") == 1, "late": F.col("origin") >= at.cut, "all": F.lit(True)}
     found = E.slices(pred, slices, "seasonal", "drift")
     return found.select("slice", "points", F.round("change_pct", 4).alias("change_pct"), "verdict")
 
 
 @query(f"""WITH {SQL_PRED} SELECT model, origin, round(avg(abs(y - yhat)), 4) AS mae FROM pred WHERE model = (SELECT arg_min(model, m) FROM (SELECT model, round(avg(abs(y - yhat)), 6) AS m FROM pred
-WHERE model NOT LIKE 'ens_%' AND month <= {ORIGINS[-1]} GROUP BY 1)) AND origin = {ORIGINS[-1]} GROUP BY 1, 2""")
+WHERE model NOT LIKE 'ens_%' AND month <= {_LATEST} GROUP BY 1)) AND origin = {_LATEST} GROUP BY 1, 2""")
 def forward_choice(spark: SparkSession, d: str) -> DataFrame:
     """The model that was best on what the last origin knows, and its error from there."""
-    pred = predictions(spark, d)
-    known = pred.where(~F.col("model").startswith("ens_") & (F.col("month") <= ORIGINS[-1]))
+    at = setting(spark, d)
+    pred = predictions(at)
+    known = pred.where(~F.col("model").startswith("ens_") & (F.col("month") <= at.origins[-1]))
     best = E.metrics(known).agg(F.min_by("model", F.round("mae", 6)).alias("model"))
-    test = pred.where(F.col("origin") == ORIGINS[-1]).join(F.broadcast(best), "model")
+    test = pred.where(F.col("origin") == at.origins[-1]).join(F.broadcast(best), "model")
     return test.groupBy("model", "origin").agg(F.round(F.avg(F.abs(F.col("y") - F.col("yhat"))), 4).alias("mae"))
 
 

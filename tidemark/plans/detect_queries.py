@@ -8,21 +8,21 @@ from pyspark.sql import functions as F
 from ..operators import detect as D
 from ..operators import features as X
 from ..operators import panel as P
-from .base import LAST, SQL_CAT, SQL_PANEL, category_panel, panel, query, read
+from .base import S_24, S_LAST, SQL_CAT, SQL_PANEL, Setting, category_panel, query, read, setting
 
-A = LAST - 23
 
-
-def window24(spark: SparkSession, d: str, by_category: bool = False) -> DataFrame:
-    keys = ["entity", "category"] if by_category else ["entity"]
-    p = category_panel(spark, d) if by_category else panel(spark, d)
-    return P.full_history(p, keys, A, LAST).select(*keys, (F.col("month") - A).alias("t"), "value")
+def window24(spark: SparkSession, d: str, by_category: bool = False, at: Setting | None = None) -> DataFrame:
+    s = at or setting(spark, d)
+    keys, p = (["entity", "category"], category_panel(spark, d)) if by_category else (["entity"], s.panel)
+    first = s.last - 23
+    return P.full_history(p, keys, first, s.last).select(*keys, (F.col("month") - first).alias("t"), "value")
 
 
 def sql24(table: str = "panel", name: str = "fp", keys: str = "entity") -> str:
+    inside = f"month BETWEEN {S_24} AND {S_LAST}"
     return (
-        f"{name} AS (SELECT {keys}, month - {A} AS t, value FROM {table} WHERE month BETWEEN {A} AND {LAST} AND ({keys}) IN "
-        f"(SELECT ({keys}) FROM {table} WHERE month BETWEEN {A} AND {LAST} GROUP BY {keys} HAVING count(*) = 24))"
+        f"{name} AS (SELECT {keys}, month - {S_24} AS t, value FROM {table} WHERE {inside} AND ({keys}) IN "
+        f"(SELECT ({keys}) FROM {table} WHERE {inside} GROUP BY {keys} HAVING count(*) = 24))"
     )
 
 
@@ -95,7 +95,7 @@ def segmentation(spark: SparkSession, d: str) -> DataFrame:
 SQL_CATZ = f"{sql24('cat', 'fc', 'entity, category')}, {sql_z('fc', 'entity, category', 'category')}"
 
 
-@query(f"""WITH {SQL_CAT}, {SQL_CATZ} SELECT entity, t, round(avg(greatest(least(z, 8::DOUBLE), -8::DOUBLE)) * sqrt(count(*)), 5) AS z FROM z GROUP BY 1, 2""")
+@query(f"""WITH {SQL_PANEL}, {SQL_CAT}, {SQL_CATZ} SELECT entity, t, round(avg(greatest(least(z, 8::DOUBLE), -8::DOUBLE)) * sqrt(count(*)), 5) AS z FROM z GROUP BY 1, 2""")
 def category_signal(spark: SparkSession, d: str) -> DataFrame:
     z = D.local_growth(window24(spark, d, by_category=True), ["entity", "category"], ["category"])
     return D.category_signal(z).withColumn("z", F.round("z", 5))
@@ -152,13 +152,14 @@ def alarm_episodes(spark: SparkSession, d: str) -> DataFrame:
     return peak.agg(F.round(F.max("score"), 5).alias("peak"))
 
 
-@query(f"""WITH RECURSIVE {SQL_PANEL}, {sql24()}, {sql_z()}, {SQL_EWMA}, ev AS (SELECT DISTINCT l_suppkey AS entity, (year(l_shipdate) * 12 + month(l_shipdate) - 1) - {A} - 12 AS t
+@query(f"""WITH RECURSIVE {SQL_PANEL}, {sql24()}, {sql_z()}, {SQL_EWMA}, ev AS (SELECT DISTINCT l_suppkey AS entity, (year(l_shipdate) * 12 + month(l_shipdate) - 1) - {S_24} - 12 AS t
 FROM lineitem WHERE l_quantity >= 49 AND l_discount >= 0.09), e2 AS (SELECT entity, t FROM ev UNION SELECT entity, t + 1 FROM ev)
 SELECT entity, t, (score > 2.5 OR (score > 1.2 AND (entity, t) IN (SELECT (entity, t) FROM e2))) AS alarm FROM ew WHERE t >= 2""")
 def two_key_alarm(spark: SparkSession, d: str) -> DataFrame:
     """Months with a large discounted line stand for events; an event counts in its month and the next."""
-    s = _scored(D.local_growth(window24(spark, d)), D.ewma).where("t >= 2")
+    at = setting(spark, d)
+    s = _scored(D.local_growth(window24(spark, d, at=at)), D.ewma).where("t >= 2")
     li = read(spark, d, "lineitem").where("l_quantity >= 49 and l_discount >= 0.09")
-    ev = li.select(F.col("l_suppkey").alias("entity"), (P.month_idx("l_shipdate") - A - 12).alias("t"))
+    ev = li.select(F.col("l_suppkey").alias("entity"), (P.month_idx("l_shipdate") - (at.last - 23) - 12).alias("t"))
     ev = ev.union(ev.select("entity", (F.col("t") + 1).alias("t"))).distinct().withColumn("event", F.lit(True))
     return s.join(ev, ["entity", "t"], "left").select("entity", "t", X.two_key_alarm(F.col("score"), F.col("event"), 2.5, 1.2).alias("alarm"))

@@ -9,17 +9,16 @@ from ..operators import evaluate as E
 from ..operators import forecast as M
 from ..operators import panel as P
 from ..operators.detect import lcg
-from .base import FIRST, LAST, SQL_CAT, SQL_FULL, SQL_PANEL, SQL_PLACES, category_panel, panel, places, query
+from ..session import checkpointed
+from .base import S_FIRST, S_LAST, SQL_CAT, SQL_FULL, SQL_PANEL, SQL_PLACES, Setting, category_panel, places, query, setting
 from .detect_queries import SQL_LCG
 
 HORIZONS = (1, 2, 3)
-ORIGINS = M.rolling_origins(LAST, 3, 7)
 MEMBERS = ("seasonal", "drift", "national")
-CUT = ORIGINS[3]
 
 
-def full(spark: SparkSession, d: str) -> DataFrame:
-    return P.full_history(panel(spark, d), ["entity"], FIRST, LAST)
+def full(at: Setting) -> DataFrame:
+    return P.full_history(at.panel, ["entity"], at.first, at.last)
 
 
 def national_growth(p: DataFrame) -> DataFrame:
@@ -28,9 +27,9 @@ def national_growth(p: DataFrame) -> DataFrame:
     return total.withColumn("growth", F.col("v") / F.lag("v", 12).over(Window.orderBy("month")) - 1).where("growth is not null").select("month", "growth")
 
 
-def predictions(spark: SparkSession, d: str, models: tuple[str, ...] = ("naive", "seasonal", "drift", "national", "factor")) -> DataFrame:
-    p = full(spark, d)
-    pts = M.points(p, ORIGINS, HORIZONS)
+def predictions(at: Setting, models: tuple[str, ...] = ("naive", "seasonal", "drift", "national", "factor")) -> DataFrame:
+    p = full(at)
+    pts = M.points(p, at.origins, HORIZONS)
     make = {
         "naive": lambda: M.naive(p, pts),
         "seasonal": lambda: M.seasonal(p, pts),
@@ -49,9 +48,14 @@ def shown(pred: DataFrame) -> DataFrame:
     return pred.select("model", "entity", "origin", F.col("h").cast("long").alias("h"), "month", "y", F.round("yhat", 4).alias("yhat"))
 
 
-_VALUES = ", ".join(f"({o})" for o in ORIGINS)
+def _origins(count: int = 7) -> str:
+    """The last ``count`` of the seven origins."""
+    return f"(SELECT z - 3 - i AS o FROM win, range({count}) q(i))"
+
+
+_CUT, _LATEST = f"({S_LAST} - 6)", f"({S_LAST} - 3)"
 SQL_PTS = f"""pts AS (SELECT entity, o::BIGINT AS origin, h::BIGINT AS h, (o + h)::BIGINT AS month FROM (SELECT DISTINCT entity FROM full_panel),
-(VALUES {_VALUES}) a(o), (VALUES (1), (2), (3)) b(h))"""
+{_origins()} a(o), (VALUES (1), (2), (3)) b(h))"""
 SQL_NAT = """nt AS (SELECT month, round(sum(value), 2) v FROM full_panel GROUP BY 1), ng AS (SELECT a.month, a.v / b.v - 1 AS growth FROM nt a JOIN nt b ON b.month = a.month - 12)"""
 _PTS = "SELECT '{0}' AS model, p.entity, p.origin, p.h, p.month, {1} AS yhat FROM pts p LEFT JOIN full_panel s ON s.entity = p.entity AND s.month = p.month - 12"
 _FACTOR = """LEFT JOIN lv ON lv.entity = p.entity AND lv.month = p.origin LEFT JOIN {0} f0 ON {1}f0.month = p.origin LEFT JOIN {0} ft ON {2}ft.month = p.month - 12
@@ -77,32 +81,32 @@ def _sql_model(name: str) -> str:
 
 @query(_sql_model("naive"))
 def backtest_naive(spark: SparkSession, d: str) -> DataFrame:
-    return shown(predictions(spark, d, ("naive",)))
+    return shown(predictions(setting(spark, d), ("naive",)))
 
 
 @query(_sql_model("seasonal"))
 def backtest_seasonal(spark: SparkSession, d: str) -> DataFrame:
-    return shown(predictions(spark, d, ("seasonal",)))
+    return shown(predictions(setting(spark, d), ("seasonal",)))
 
 
 @query(_sql_model("drift"))
 def backtest_drift(spark: SparkSession, d: str) -> DataFrame:
-    return shown(predictions(spark, d, ("drift",)))
+    return shown(predictions(setting(spark, d), ("drift",)))
 
 
 @query(_sql_model("national"))
 def backtest_national(spark: SparkSession, d: str) -> DataFrame:
-    return shown(predictions(spark, d, ("national",)))
+    return shown(predictions(setting(spark, d), ("national",)))
 
 
 @query(_sql_model("factor"))
 def factor_only_forecast(spark: SparkSession, d: str) -> DataFrame:
-    return shown(predictions(spark, d, ("factor",)))
+    return shown(predictions(setting(spark, d), ("factor",)))
 
 
 @query(f"WITH {SQL_PANEL}, {SQL_FULL}, {SQL_LV}, {SQL_FNAT} SELECT entity, month, round(l - f, 6) AS deviation, round(f, 6) AS factor FROM lv JOIN nf USING (month)")
 def factor_national(spark: SparkSession, d: str) -> DataFrame:
-    f = M.common_factor(full(spark, d))
+    f = M.common_factor(full(setting(spark, d)))
     return f.select("entity", "month", F.round(F.col("l") - F.col("f"), 6).alias("deviation"), F.round("f", 6).alias("factor"))
 
 
@@ -111,7 +115,7 @@ s AS (SELECT region, count(DISTINCT entity) AS n FROM lv JOIN places USING (enti
 SELECT entity, lv.month, region, round(nf.f + (r.f - nf.f) * n / (n + 10.0::DOUBLE), 6) AS factor FROM lv JOIN places USING (entity) JOIN nf ON nf.month = lv.month
 JOIN r USING (region) JOIN s USING (region) WHERE r.month = lv.month""")
 def factor_regional(spark: SparkSession, d: str) -> DataFrame:
-    p = full(spark, d).join(places(spark, d).select("entity", "region"), "entity", "left")
+    p = full(setting(spark, d)).join(places(spark, d).select("entity", "region"), "entity", "left")
     return M.common_factor(p, 10.0).join(places(spark, d), "entity").select("entity", "month", "region", F.round("f", 6).alias("factor"))
 
 
@@ -120,7 +124,7 @@ SELECT model, coalesce(h, -1) AS h, coalesce(origin, -1) AS origin, count(*)::BI
 round(1 - sum((y - yhat) ** 2) / (sum(y * y) - sum(y) ** 2 / count(*)), 5) AS r2, round(1 - sum((y - yhat) ** 2) / sum(yc * yc), 5) AS r2_within
 FROM c GROUP BY GROUPING SETS ((model), (model, h), (model, origin)) HAVING sum(yc * yc) > 0""")
 def metric_cuts(spark: SparkSession, d: str) -> DataFrame:
-    m = E.metric_cuts(predictions(spark, d)).where("r2_within is not null")
+    m = E.metric_cuts(predictions(setting(spark, d))).where("r2_within is not null")
     digits = {"mae": 4, "wape": 6, "r2": 5, "r2_within": 5}
     return m.select("model", F.col("h").cast("long").alias("h"), "origin", "n", *(F.round(c, k).alias(c) for c, k in digits.items()))
 
@@ -128,36 +132,39 @@ def metric_cuts(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {SQL_PRED} SELECT entity, origin, h, month, any_value(y) AS y, round(avg(yhat), 4) AS yhat FROM pred WHERE model IN ('seasonal', 'drift', 'national') AND yhat IS NOT NULL
 GROUP BY 1, 2, 3, 4 HAVING count(*) = 3""")
 def ensemble_mean(spark: SparkSession, d: str) -> DataFrame:
-    found = E.ensemble_mean(predictions(spark, d, MEMBERS), MEMBERS, "ens_mean")
+    found = E.ensemble_mean(predictions(setting(spark, d), MEMBERS), MEMBERS, "ens_mean")
     return found.select("entity", "origin", F.col("h").cast("long").alias("h"), "month", "y", F.round("yhat", 4).alias("yhat"))
 
 
 @query(f"""WITH {SQL_PRED}, b AS (SELECT a.model AS a, b.model AS b, k, a.origin, a.month, abs(a.y - (k * a.yhat + (10 - k) * b.yhat) / 10) AS e FROM pred a JOIN pred b
-USING (entity, origin, h, month), range(11) r(k) WHERE a.model < b.model), s AS (SELECT a, b, k, avg(e) FILTER (month <= {CUT}) AS f, avg(e) FILTER (origin >= {CUT}) AS t FROM b GROUP BY 1, 2, 3)
+USING (entity, origin, h, month), range(11) r(k) WHERE a.model < b.model), s AS (SELECT a, b, k, avg(e) FILTER (month <= {_CUT}) AS f, avg(e) FILTER (origin >= {_CUT}) AS t FROM b GROUP BY 1, 2, 3)
 SELECT a, b, k / 10 AS weight, round(f, 4) AS mae_fit, round(t, 4) AS mae_test FROM s QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY round(f, 6), k) = 1""")
 def pair_blend_grid(spark: SparkSession, d: str) -> DataFrame:
-    found = E.pair_blends(predictions(spark, d), CUT)
+    at = setting(spark, d)
+    found = E.pair_blends(predictions(at), at.cut)
     return found.select("a", "b", "weight", F.round("mae_fit", 4).alias("mae_fit"), F.round("mae_test", 4).alias("mae_test"))
 
 
-@query(f"""WITH {SQL_PRED}, c AS (SELECT o AS o_at, pred.* FROM pred, (VALUES {', '.join(f'({o})' for o in ORIGINS[2:])}) v(o)),
+@query(f"""WITH {SQL_PRED}, c AS (SELECT o AS o_at, pred.* FROM pred, {_origins(5)} v(o)),
 pa AS (SELECT o_at, model, avg(abs(y - yhat)) AS past FROM c WHERE month <= o_at GROUP BY 1, 2), pk AS (SELECT *, row_number() OVER (PARTITION BY o_at ORDER BY round(past, 6), model) AS rank FROM pa),
 t AS (SELECT c.o_at, entity, h, any_value(y) AS y, avg(yhat) a_mean, quantile_cont(yhat, 0.5) a_median, avg(yhat) FILTER (rank <= 1) a_best, avg(yhat) FILTER (rank <= 3) a_top3,
 avg(yhat) FILTER (rank <= 5) a_top5, sum(yhat / past) FILTER (rank <= 5) / sum(1 / past) FILTER (rank <= 5) a_inv FROM c JOIN pk USING (o_at, model) WHERE origin = c.o_at GROUP BY 1, 2, 3),
 u AS (SELECT o_at, y, unnest(['mean', 'median', 'best', 'top3', 'top5', 'inverse_mae']) AS way, unnest([a_mean, a_median, a_best, a_top3, a_top5, a_inv]) AS v FROM t)
 SELECT way, o_at::BIGINT AS origin, round(avg(abs(y - v)), 4) AS mae FROM u GROUP BY 1, 2""")
 def rolling_selection(spark: SparkSession, d: str) -> DataFrame:
-    return E.rolling_selection(predictions(spark, d), ORIGINS[2:]).select("way", F.col("origin").cast("long").alias("origin"), F.round("mae", 4).alias("mae"))
+    at = setting(spark, d)
+    return E.rolling_selection(predictions(at), at.origins[2:]).select("way", F.col("origin").cast("long").alias("origin"), F.round("mae", 4).alias("mae"))
 
 
 @query()
 def greedy_selection(spark: SparkSession, d: str) -> DataFrame:
     """Members chosen greedily on what is known at the fourth origin, and the error of each prediction's mean after it."""
-    pred = predictions(spark, d).cache()
-    chosen = E.greedy_selection(pred, CUT)
+    at = setting(spark, d)
+    pred = checkpointed(predictions(at))
+    chosen = E.greedy_selection(pred, at.cut)
     counts = {m: chosen.count(m) for m in chosen}
     weight = F.element_at(F.create_map(*(F.lit(x) for kv in counts.items() for x in kv)), F.col("model"))
-    some = pred.where(F.col("model").isin(list(counts)) & (F.col("origin") >= CUT)).withColumn("w", weight)
+    some = pred.where(F.col("model").isin(list(counts)) & (F.col("origin") >= at.cut)).withColumn("w", weight)
     mean = some.groupBy(*E.POINT).agg(F.first("y").alias("y"), (F.sum(F.col("w") * F.col("yhat")) / F.sum("w")).alias("yhat"))
     return mean.groupBy("origin").agg(F.lit("+".join(chosen)).alias("members"), F.round(F.avg(F.abs(F.col("y") - F.col("yhat"))), 4).alias("mae"))
 
@@ -170,25 +177,26 @@ FROM pc JOIN cm ON cm.model = pc.model AND cm.h = pc.h{3} GROUP BY ALL)"""
 
 @query(f"WITH {SQL_PRED}, {SQL_PARTS.format('pred', '', '', '')} SELECT model, h, round(exp(lo) - 1, 6) AS lo, round(exp(hi) - 1, 6) AS hi FROM bd")
 def error_band(spark: SparkSession, d: str) -> DataFrame:
-    return E.error_band(predictions(spark, d)).select("model", F.col("h").cast("long").alias("h"), F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
+    return E.error_band(predictions(setting(spark, d))).select("model", F.col("h").cast("long").alias("h"), F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
 @query(f"WITH {SQL_PRED} SELECT model, h, round(quantile_cont(y / yhat - 1, 0.1), 6) AS lo, round(quantile_cont(y / yhat - 1, 0.9), 6) AS hi FROM pred WHERE y IS NOT NULL GROUP BY 1, 2")
 def raw_band(spark: SparkSession, d: str) -> DataFrame:
-    return E.raw_band(predictions(spark, d)).select("model", F.col("h").cast("long").alias("h"), F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
+    return E.raw_band(predictions(setting(spark, d))).select("model", F.col("h").cast("long").alias("h"), F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
-@query(f"""WITH {SQL_PRED}, at_ AS (SELECT o AS o_at, pred.* FROM pred, (VALUES {', '.join(f'({o})' for o in ORIGINS[3:])}) v(o)), known AS (SELECT * FROM at_ WHERE month <= o_at),
+@query(f"""WITH {SQL_PRED}, at_ AS (SELECT o AS o_at, pred.* FROM pred, {_origins(4)} v(o)), known AS (SELECT * FROM at_ WHERE month <= o_at),
 {SQL_PARTS.format('known', 'o_at, ', 'pc.o_at, ', ' AND cm.o_at = pc.o_at')}, t AS (SELECT a.*, exp(lo) - 1 AS lo, exp(hi) - 1 AS hi FROM at_ a LEFT JOIN bd USING (o_at, model, h) WHERE origin = a.o_at)
 SELECT model, o_at::BIGINT AS origin, round(avg(coalesce((y / yhat - 1 BETWEEN lo AND hi)::INT, 0)), 6) AS coverage, round(avg(hi - lo), 5) AS width, count(*)::BIGINT AS n FROM t GROUP BY 1, 2""")
 def rolling_coverage(spark: SparkSession, d: str) -> DataFrame:
-    found = E.rolling_coverage(predictions(spark, d), ORIGINS[3:])
+    at = setting(spark, d)
+    found = E.rolling_coverage(predictions(at), at.origins[3:])
     return found.select("model", F.col("origin").cast("long").alias("origin"), F.round("coverage", 6).alias("coverage"), F.round("width", 5).alias("width"), "n")
 
 
 @query(f"""WITH {SQL_PRED} SELECT a.model AS a, b.model AS b, round(corr(a.y - a.yhat, b.y - b.yhat), 6) AS corr FROM pred a JOIN pred b USING (entity, origin, h, month) WHERE a.model < b.model GROUP BY 1, 2""")
 def error_correlation(spark: SparkSession, d: str) -> DataFrame:
-    return E.error_correlation(predictions(spark, d)).withColumn("corr", F.round("corr", 6))
+    return E.error_correlation(predictions(setting(spark, d))).withColumn("corr", F.round("corr", 6))
 
 
 @query(f"""WITH {SQL_PRED}, e AS (SELECT model, entity, avg(abs(y / yhat - 1)) AS ape FROM pred WHERE model NOT LIKE 'ens_%' GROUP BY 1, 2),
@@ -196,24 +204,24 @@ b AS (SELECT arg_min(model, m) AS model FROM (SELECT model, round(avg(abs(y - yh
 SELECT entity, model, round(ape, 6) AS ape FROM e JOIN b USING (model) ORDER BY ape DESC, entity LIMIT 15""")
 def worst_entities(spark: SparkSession, d: str) -> DataFrame:
     """A report: the fifteen series on which the best honest model errs most."""
-    pred = predictions(spark, d).where(~F.col("model").startswith("ens_"))
+    pred = predictions(setting(spark, d)).where(~F.col("model").startswith("ens_"))
     best = E.metrics(pred).agg(F.min_by("model", F.round("mae", 6)).alias("model"))
     ape = pred.join(F.broadcast(best), "model").groupBy("entity", "model").agg(F.avg(F.abs(F.col("y") / F.col("yhat") - 1)).alias("ape"))
     return ape.orderBy(F.desc("ape"), "entity").limit(15).withColumn("ape", F.round("ape", 6))
 
 
-TARGETS = list(range(LAST - 5, LAST + 1))
 _H = (1, 3, 6, 12)
 
 
-@query(f"""WITH {SQL_PANEL}, {SQL_FULL}, q AS (SELECT entity, h, t AS month, t - h AS origin FROM (SELECT DISTINCT entity FROM full_panel), (VALUES {', '.join(f'({t})' for t in TARGETS)}) a(t),
+@query(f"""WITH {SQL_PANEL}, {SQL_FULL}, q AS (SELECT entity, h, t AS month, t - h AS origin FROM (SELECT DISTINCT entity FROM full_panel), (SELECT z - i AS t FROM win, range(6) q(i)) a(t),
 (VALUES (1), (3), (6), (12), (18)) b(h)), f AS (SELECT q.*, y.value AS y, CASE WHEN h <= 12 THEN s.value END AS yhat FROM q JOIN full_panel y ON y.entity = q.entity AND y.month = q.month
 JOIN full_panel s ON s.entity = q.entity AND s.month = q.month - 12)
 SELECT h::BIGINT AS h, count(*)::BIGINT AS n, round(avg((yhat IS NOT NULL)::INT), 6) AS coverage, round(CASE WHEN count(yhat) = count(*) THEN avg(abs(y - yhat)) END, 4) AS mae FROM f GROUP BY 1""")
 def horizon_coverage(spark: SparkSession, d: str) -> DataFrame:
     """All horizons on the same target months; a horizon that isn't fully covered has no error figure."""
-    p = full(spark, d)
-    pts = p.where(F.col("month").isin(TARGETS)).select("entity", "month").withColumn("h", F.explode(F.array(*map(F.lit, (*_H, 18)))))
+    at = setting(spark, d)
+    p = full(at)
+    pts = p.where(F.col("month").between(at.last - 5, at.last)).select("entity", "month").withColumn("h", F.explode(F.array(*map(F.lit, (*_H, 18)))))
     pts = pts.withColumn("origin", F.col("month") - F.col("h"))
     made = pts.join(M.seasonal(p, pts).select("entity", "h", "month", "yhat"), ["entity", "h", "month"], "left")
     whole = F.count("yhat") == F.count("*")
@@ -227,18 +235,19 @@ def horizon_coverage(spark: SparkSession, d: str) -> DataFrame:
 def _hierarchy(spark: SparkSession, d: str) -> DataFrame:
     """(entity, origin, h, month, category, yhat, total, y, err, err_total): seasonal drift of a nation's flags and of its total."""
     keys = ["entity", "category"]
+    at = setting(spark, d)
     named = category_panel(spark, d).join(places(spark, d), "entity").groupBy(F.col("nation").alias("entity"), "category", "month")
-    cat = P.full_history(named.agg(F.round(F.sum("value"), 2).alias("value")), keys, FIRST, LAST)
+    cat = checkpointed(P.full_history(named.agg(F.round(F.sum("value"), 2).alias("value")), keys, at.first, at.last))
     three = cat.groupBy("entity", "month").agg(F.count("*").alias("k"), F.round(F.sum("value"), 2).alias("value")).where("k = 3").drop("k")
     cat = cat.join(three.select("entity", "month"), ["entity", "month"], "left_semi")
-    parts = M.with_fact(M.seasonal_drift(cat, M.points(cat, ORIGINS, HORIZONS, keys), keys=keys), cat, keys)
-    total = M.with_fact(M.seasonal_drift(three, M.points(three, ORIGINS, HORIZONS)), three)
+    parts = M.with_fact(M.seasonal_drift(cat, M.points(cat, at.origins, HORIZONS, keys), keys=keys), cat, keys)
+    total = M.with_fact(M.seasonal_drift(three, M.points(three, at.origins, HORIZONS)), three)
 
     def known(pred: DataFrame, by: list[str]) -> DataFrame:
         """Root mean square relative error of targets up to each origin."""
-        at = pred.select(*by, "month", ((F.col("y") - F.col("yhat")) / F.col("yhat")).alias("e"))
+        errors = pred.select(*by, "month", ((F.col("y") - F.col("yhat")) / F.col("yhat")).alias("e"))
         o = pred.select("origin").distinct()
-        return at.join(F.broadcast(o), at.month <= o.origin).groupBy(*by, "origin").agg(F.sqrt(F.avg(F.col("e") ** 2)).alias("s"))
+        return errors.join(F.broadcast(o), errors.month <= o.origin).groupBy(*by, "origin").agg(F.sqrt(F.avg(F.col("e") ** 2)).alias("s"))
 
     parts = parts.join(known(parts, keys).withColumnRenamed("s", "err"), [*keys, "origin"], "left")
     total = total.join(known(total, ["entity"]).withColumnRenamed("s", "err_total"), ["entity", "origin"], "left")
@@ -247,11 +256,11 @@ def _hierarchy(spark: SparkSession, d: str) -> DataFrame:
 
 _DRIFT = """SELECT {k}, p.origin, p.h, p.month, b.value * (SELECT sum(n.value) FROM {t} n WHERE {on} AND n.month BETWEEN p.origin - 2 AND p.origin)
 / (SELECT sum(n.value) FROM {t} n WHERE {on} AND n.month BETWEEN p.origin - 14 AND p.origin - 12) AS yhat, y.value AS y
-FROM (SELECT DISTINCT {d}, o::BIGINT AS origin, h::BIGINT AS h, (o + h)::BIGINT AS month FROM {t}, (VALUES VALS) a(o), (VALUES (1), (2), (3)) b(h)) p
-JOIN {t} b ON {bo} AND b.month = p.month - 12 JOIN {t} y ON {yo} AND y.month = p.month""".replace("VALS", _VALUES)
-SQL_HIER = f"""{SQL_CAT}, {SQL_PLACES}, nc AS (SELECT nation AS entity, category, month, round(sum(value), 2) AS value FROM cat JOIN places USING (entity) GROUP BY 1, 2, 3),
-c0 AS (SELECT entity, category, month, value FROM nc WHERE month BETWEEN {FIRST} AND {LAST} AND (entity, category) IN (SELECT (entity, category) FROM nc
-WHERE month BETWEEN {FIRST} AND {LAST} GROUP BY entity, category HAVING count(*) = {LAST - FIRST + 1})),
+FROM (SELECT DISTINCT {d}, o::BIGINT AS origin, h::BIGINT AS h, (o + h)::BIGINT AS month FROM {t}, ORIGINS a(o), (VALUES (1), (2), (3)) b(h)) p
+JOIN {t} b ON {bo} AND b.month = p.month - 12 JOIN {t} y ON {yo} AND y.month = p.month""".replace("ORIGINS", _origins())
+SQL_HIER = f"""{SQL_PANEL}, {SQL_CAT}, {SQL_PLACES}, nc AS (SELECT nation AS entity, category, month, round(sum(value), 2) AS value FROM cat JOIN places USING (entity) GROUP BY 1, 2, 3),
+c0 AS (SELECT entity, category, month, value FROM nc WHERE month BETWEEN {S_FIRST} AND {S_LAST} AND (entity, category) IN (SELECT (entity, category) FROM nc
+WHERE month BETWEEN {S_FIRST} AND {S_LAST} GROUP BY entity, category HAVING count(*) = {S_LAST} - {S_FIRST} + 1)),
 th AS (SELECT entity, month, round(sum(value), 2) AS value FROM c0 GROUP BY 1, 2 HAVING count(*) = 3), c3 AS (SELECT * FROM c0 WHERE entity IN (SELECT entity FROM th)),
 pa AS ({_DRIFT.format(k='p.entity, p.category', t='c3', d='entity, category', on='n.entity = p.entity AND n.category = p.category', bo='b.entity = p.entity AND b.category = p.category', yo='y.entity = p.entity AND y.category = p.category')}),
 tp AS ({_DRIFT.format(k='p.entity', t='th', d='entity', on='n.entity = p.entity', bo='b.entity = p.entity', yo='y.entity = p.entity')}),
@@ -292,7 +301,7 @@ SELECT round((SELECT avg(abs(g - x)) FROM g), 6) AS mae_real, round(min(mae), 6)
 round((1 + count(*) FILTER (mae <= (SELECT avg(abs(g - x)) FROM g))) / (1 + count(*)), 6) AS p FROM n""")
 def permutation_null(spark: SparkSession, d: str) -> DataFrame:
     """Growth predicted by last month's growth, against targets shuffled among series within each month."""
-    p = full(spark, d).withColumn("b", P.lag_months("value", 12, ["entity"])).withColumn("g", P.log_growth(F.col("value"), F.col("b")))
+    p = full(setting(spark, d)).withColumn("b", P.lag_months("value", 12, ["entity"])).withColumn("g", P.log_growth(F.col("value"), F.col("b")))
     g = p.withColumn("x", P.lag_months("g", 1, ["entity"])).where("g is not null and x is not null").select("entity", "month", "g", "x")
     s = g.withColumn("seed", F.explode(F.sequence(F.lit(1), F.lit(SEEDS))))
     w = Window.partitionBy("seed", "month")
@@ -316,7 +325,7 @@ m AS (SELECT draw, sum(s) / sum(n) AS mean FROM q JOIN c ON c.c = (z // 97) % k
 SELECT round(quantile_cont(mean, 0.025), 4) AS lo, (SELECT round(sum(s) / sum(n), 4) FROM c) AS mean, round(quantile_cont(mean, 0.975), 4) AS hi, count(*)::BIGINT AS draws FROM m""")
 def cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """Mean error difference of two models, resampling nations (a fixed dimension of 25)."""
-    pred = predictions(spark, d, ("drift", "seasonal"))
+    pred = predictions(setting(spark, d), ("drift", "seasonal"))
     wide = pred.groupBy(*E.POINT).pivot("model", ["drift", "seasonal"]).agg(F.first(F.abs(F.col("y") - F.col("yhat"))))
     e = wide.join(places(spark, d), "entity").groupBy("nation").agg(F.round(F.sum(F.col("drift") - F.col("seasonal")), 4).alias("s"), F.count("*").alias("n"))
     clusters = e.select((F.row_number().over(Window.orderBy("nation")) - 1).cast("long").alias("c"), "s", "n")
@@ -326,7 +335,8 @@ def cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
 
 def _ml(backend: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        found = M.global_model(M.supervised(full(spark, d), HORIZONS), ORIGINS[-1], backend)
+        at = setting(spark, d)
+        found = M.global_model(M.supervised(full(at), HORIZONS), at.origins[-1], backend)
         return found.select("entity", "origin", "h", "month", "y", F.round("yhat", 2).alias("yhat"))
 
     run.__name__ = f"{backend}_forecast"
@@ -340,20 +350,23 @@ for _backend in ("ridge", "random_forest", "gbt"):
 
 @query()
 def ets_forecast(spark: SparkSession, d: str) -> DataFrame:
-    return M.ets_deviation(M.common_factor(full(spark, d)), ORIGINS, 3).withColumn("yhat", F.round("yhat", 4))
+    at = setting(spark, d)
+    return M.ets_deviation(M.common_factor(full(at)), at.origins, 3).withColumn("yhat", F.round("yhat", 4))
 
 
 @query()
 def fourier_trend_forecast(spark: SparkSession, d: str) -> DataFrame:
-    return M.fourier_trend(full(spark, d), ORIGINS, 3).withColumn("yhat", F.round("yhat", 4))
+    at = setting(spark, d)
+    return M.fourier_trend(full(at), at.origins, 3).withColumn("yhat", F.round("yhat", 4))
 
 
-@query(f"""WITH {SQL_PANEL}, {SQL_FULL}, f AS (SELECT s.entity, s.month + 12 AS month, s.month + 12 - {LAST} AS h, s.value * (SELECT sum(n.value) FROM full_panel n WHERE n.entity = s.entity AND n.month BETWEEN {LAST - 2} AND {LAST})
-/ (SELECT sum(n.value) FROM full_panel n WHERE n.entity = s.entity AND n.month BETWEEN {LAST - 14} AND {LAST - 12}) AS yhat, s.value FROM full_panel s WHERE s.month BETWEEN {LAST - 11} AND {LAST - 9})
+@query(f"""WITH {SQL_PANEL}, {SQL_FULL}, f AS (SELECT s.entity, s.month + 12 AS month, s.month + 12 - {S_LAST} AS h, s.value * (SELECT sum(n.value) FROM full_panel n WHERE n.entity = s.entity AND n.month BETWEEN {S_LAST} - 2 AND {S_LAST})
+/ (SELECT sum(n.value) FROM full_panel n WHERE n.entity = s.entity AND n.month BETWEEN {S_LAST} - 14 AND {S_LAST} - 12) AS yhat, s.value FROM full_panel s WHERE s.month BETWEEN {S_LAST} - 11 AND {S_LAST} - 9)
 SELECT entity, month::BIGINT AS month, h::BIGINT AS h, round(yhat, 4) AS yhat, quantile_cont(ln(yhat / value), 0.5) OVER (PARTITION BY h) BETWEEN -0.5 AND 0.5 AS plausible FROM f""")
 def forward_forecast(spark: SparkSession, d: str) -> DataFrame:
     """From the last month on, where there is no fact; with a check of the median growth."""
-    p = full(spark, d)
-    pred = M.seasonal_drift(p, M.points(p, [LAST], HORIZONS)).join(p.select("entity", (F.col("month") + 12).alias("month"), "value"), ["entity", "month"])
+    at = setting(spark, d)
+    p = full(at)
+    pred = M.seasonal_drift(p, M.points(p, [at.last], HORIZONS)).join(p.select("entity", (F.col("month") + 12).alias("month"), "value"), ["entity", "month"])
     growth = F.percentile(F.ln(F.col("yhat") / F.col("value")), 0.5).over(Window.partitionBy("h"))
     return pred.select("entity", "month", F.col("h").cast("long").alias("h"), F.round("yhat", 4).alias("yhat"), growth.between(-0.5, 0.5).alias("plausible"))

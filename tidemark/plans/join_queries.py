@@ -64,11 +64,11 @@ def active_interval_months(spark: SparkSession, d: str) -> DataFrame:
     return X.active_months(starts, ["customer"], "m", ends, "m", 3)
 
 
-@query("""WITH q AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS prefix FROM part WHERE p_size = 11)
+@query("""WITH q AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS prefix FROM part)
 SELECT p_partkey AS part, prefix FROM part JOIN q ON starts_with(p_name, prefix)""")
 def prefix_match(spark: SparkSession, d: str) -> DataFrame:
     p = read(spark, d, "part")
-    q = p.where("p_size = 11").select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("prefix")).distinct()
+    q = p.select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("prefix")).distinct()
     return J.prefix_join(p.select(F.col("p_partkey").alias("part"), "p_name"), "p_name", q, "prefix").select("part", "prefix")
 
 
@@ -126,9 +126,21 @@ def fnv_codes(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").select(F.col("p_partkey").alias("part"), fnv1a_base36(F.col("p_name")).alias("code"))
 
 
-@query()
+_NORM = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
+_SORTED = f"array_to_string(list_sort(string_split({_NORM}, ' ')), ' ')"
+_STEM = f"array_to_string([substr(x, 1, 5) FOR x IN list_sort(string_split({_NORM}, ' ')) IF x <> ''], ' ')"
+
+
+@query(f"""WITH s AS (SELECT s_suppkey AS entity, s_nationkey AS region, 'Trade house ' || replace(s_name, '#', ' ') AS title FROM supplier),
+n AS (SELECT DISTINCT region, CASE entity % 4 WHEN 0 THEN title WHEN 1 THEN upper(title || '.') WHEN 2 THEN array_to_string(list_reverse(string_split(title, ' ')), ' ') ELSE 'y' || title END AS name FROM s),
+p AS (SELECT name, n.region, entity, CASE WHEN name = title THEN 1 WHEN {_NORM.format('name')} = {_NORM.format('title')} THEN 2 WHEN {_STEM.format('name')} = {_STEM.format('title')} THEN 3 ELSE 4 END AS step,
+100 * (1 - levenshtein({_SORTED.format('name')}, {_SORTED.format('title')}) / greatest(length({_SORTED.format('name')}), length({_SORTED.format('title')}))) AS ratio FROM n JOIN s ON n.region = s.region),
+g AS (SELECT name, region, entity, step, CASE WHEN step < 4 THEN 100 ELSE ratio END AS score FROM p WHERE step < 4 OR ratio >= 92),
+f AS (SELECT * FROM g QUALIFY step = min(step) OVER (PARTITION BY name, region)), t AS (SELECT * FROM f QUALIFY score = max(score) OVER (PARTITION BY name, region))
+SELECT name, region, CASE WHEN count(DISTINCT entity) = 1 THEN min(entity) END AS entity, CASE WHEN count(DISTINCT entity) > 1 THEN 'ambiguous' ELSE ['exact', 'normalised', 'stem', 'fuzzy'][min(step)] END AS match,
+round(max(score), 6) AS score, count(DISTINCT entity)::BIGINT AS candidates FROM t GROUP BY 1, 2""")
 def fuzzy_cascade(spark: SparkSession, d: str) -> DataFrame:
-    """Supplier names, some with a changed case, word order or letter, matched back to their dictionary by nation."""
+    """Supplier names, some with a changed case, word order or a letter before the first, matched back to their dictionary by nation."""
     s = read(spark, d, "supplier").select(
         F.col("s_suppkey").alias("entity"), F.col("s_nationkey").alias("region"), F.concat(F.lit("Trade house "), F.replace("s_name", F.lit("#"), F.lit(" "))).alias("title")
     )
@@ -136,31 +148,40 @@ def fuzzy_cascade(spark: SparkSession, d: str) -> DataFrame:
     kind = F.col("entity") % 4
     name = (
         F.when(kind == 0, F.col("title")).when(kind == 1, F.upper(F.concat("title", F.lit("."))))
-        .when(kind == 2, F.array_join(F.reverse(words), " ")).otherwise(F.concat("title", F.lit("x")))
+        .when(kind == 2, F.array_join(F.reverse(words), " ")).otherwise(F.concat(F.lit("y"), "title"))
     )
-    return J.cascade_match(s.select(name.alias("name"), "region"), s)
+    return J.cascade_match(s.select(name.alias("name"), "region"), s).withColumn("score", F.round("score", 6))
+
+
+_NEAR = ", ".join(f"{side}(known, {i} IGNORE NULLS) OVER w" for side in ("lag", "lead") for i in (1, 2, 3))
 
 
-@query(f"""WITH {SQL_PLACES}, p AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY entity) AS pos, CASE WHEN entity % 7 <> 0 THEN region END AS known FROM places)
-SELECT entity, region, known, coalesce(known, max(known) OVER (PARTITION BY region ORDER BY pos ROWS BETWEEN 50 PRECEDING AND 50 FOLLOWING)) AS resolved FROM p""")
+@query(f"""WITH {SQL_PLACES}, p AS (SELECT *, entity % 16 AS list, CASE WHEN entity % 7 <> 0 THEN region END AS known FROM places),
+k AS (SELECT *, [{_NEAR}] AS near FROM p WINDOW w AS (PARTITION BY list ORDER BY nation, entity))
+SELECT entity, region, known, coalesce(known, CASE WHEN list_unique(near) = 1 THEN list_max(near) END) AS resolved FROM k""")
 def neighbour_disambiguation(spark: SparkSession, d: str) -> DataFrame:
-    """A list ordered by region with every seventh region unknown, filled where its neighbours agree."""
-    pl = places(spark, d).withColumn("pos", F.row_number().over(Window.partitionBy("region").orderBy("entity")))
-    holes = pl.withColumn("known", F.when(F.col("entity") % 7 != 0, F.col("region")))
-    return J.neighbour_region(holes, "pos", "known", ["region"]).select("entity", "region", "known", "resolved")
+    """Sixteen lists of suppliers in order of their nations' names; every seventh region is unknown, and filled where the
+    three nearest known ones before and after agree. Neighbours differ where nations of two regions meet."""
+    holes = places(spark, d).withColumn("list", F.col("entity") % 16).withColumn("known", F.when(F.col("entity") % 7 != 0, F.col("region")))
+    ordered = holes.withColumn("place", F.struct("nation", "entity"))
+    return J.neighbour_region(ordered, "place", "known", ["list"]).select("entity", "region", "known", "resolved")
 
 
-@query()
+@query(r"""WITH w AS (SELECT doc_id, lang, unnest(list_distinct(regexp_extract_all(text, '\b([A-Z][a-z]{6,})\b', 1))) AS w FROM documents),
+n AS (SELECT w, min(lang) AS region, count(DISTINCT lang) > 1 AS ambiguous FROM w GROUP BY 1 HAVING count(*) >= 5), d AS (SELECT doc_id, any_value(text) AS text FROM documents GROUP BY 1),
+h AS (SELECT DISTINCT doc_id, w FROM w JOIN n USING (w) JOIN d USING (doc_id) WHERE NOT ambiguous OR contains(lower(text), lower(n.region)))
+SELECT w AS entity, count(*)::BIGINT AS documents, min(doc_id) AS first_doc FROM h GROUP BY 1""")
 def gazetteer_tags(spark: SparkSession, d: str) -> DataFrame:
     """Documents that name an entry of a gazetteer made of frequent capitalised words of the corpus; names that two
-    sources share are ambiguous and need their source's language beside them."""
+    languages share are ambiguous and need their language's name beside them."""
     docs = read(spark, d, "documents").select("doc_id", "text", "lang")
-    word = docs.select("lang", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b(\p{Lu}\p{Ll}{6,})\b"), F.lit(1)))).alias("w"))
+    word = docs.select("lang", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b([A-Z][a-z]{6,})\b"), F.lit(1)))).alias("w"))
     names = word.groupBy("w").agg(F.count("*").alias("n"), F.min("lang").alias("region"), F.countDistinct("lang").alias("k")).where("n >= 5")
     patterns = names.select(
         F.col("w").alias("entity"), F.substring(F.lower("w"), 1, 5).alias("stem"), F.concat(F.lit(r"\b"), "w", F.lit(r"\b")).alias("pattern"), "region", (F.col("k") > 1).alias("ambiguous")
     )
-    return J.pattern_tags(docs.select("doc_id", "text"), "text", patterns, "doc_id").groupBy("entity").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_doc"))
+    one = docs.dropDuplicates(["doc_id"]).select("doc_id", "text")
+    return J.pattern_tags(one, "text", patterns, "doc_id").groupBy("entity").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_doc"))
 
 
 @query("""SELECT p_partkey AS part, array_to_string([substr(x, 1, 4) FOR x IN list_sort(string_split(lower(p_name), ' '))], ' ') AS stem FROM part""")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import panel as P
-from .base import FIRST, LAST, MI, SQL_CAT, SQL_FULL, SQL_PANEL, SQL_PLACES, category_panel, panel, places, query, read
+from .base import MI, SQL_CAT, SQL_FULL, SQL_PANEL, SQL_PLACES, category_panel, panel, places, query, read, setting
 
 E, EC = ["entity"], ["entity", "category"]
 
@@ -34,7 +34,8 @@ def entity_month_grid(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {SQL_PANEL}, {SQL_FULL} SELECT entity, month, value FROM full_panel")
 def full_history_series(spark: SparkSession, d: str) -> DataFrame:
-    return P.full_history(panel(spark, d), E, FIRST, LAST).select("entity", "month", "value")
+    s = setting(spark, d)
+    return P.full_history(s.panel, E, s.first, s.last).select("entity", "month", "value")
 
 
 @query(f"""WITH {SQL_PANEL}, {SQL_PLACES} SELECT region, coalesce(nation, '') AS nation, coalesce(year, -1) AS year, grouping(region, nation, year)::BIGINT AS level,
@@ -356,12 +357,12 @@ def union_distinct(spark: SparkSession, d: str) -> DataFrame:
     return c.union(read(spark, d, "supplier").where("s_acctbal > 5000").select("s_nationkey")).distinct()
 
 
-@query("""WITH t AS (SELECT DISTINCT o_custkey, unnest(regexp_extract_all(o_orderpriority, '[A-Z]{3,}')) AS root FROM orders),
-c AS (SELECT root, list(DISTINCT o_custkey) AS s, count(DISTINCT o_custkey) n FROM t WHERE o_custkey <= 40 GROUP BY 1)
-SELECT a.root AS left_root, b.root AS right_root, len(list_intersect(a.s, b.s))::BIGINT AS common FROM c a JOIN c b ON a.root < b.root""")
+@query("""WITH t AS (SELECT DISTINCT o_custkey, unnest(regexp_extract_all(o_orderpriority, '[A-Z]{3,}')) AS root FROM orders WHERE o_custkey IS NOT NULL),
+r AS (SELECT DISTINCT root FROM t), m AS (SELECT a.root AS left_root, b.root AS right_root, count(*)::BIGINT AS common FROM t a JOIN t b USING (o_custkey) WHERE a.root < b.root GROUP BY 1, 2)
+SELECT x.root AS left_root, y.root AS right_root, coalesce(common, 0)::BIGINT AS common FROM r x JOIN r y ON x.root < y.root LEFT JOIN m ON left_root = x.root AND right_root = y.root""")
 def candidate_set_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """Overlap of the candidate sets of roots (a handful of priority words), for the customers that the SQL names."""
-    o = read(spark, d, "orders").where("o_custkey <= 40")
+    """Overlap of the candidate sets of roots: for each pair of priority words, the customers that have both."""
+    o = read(spark, d, "orders")
     return root_overlap(o.select("o_custkey", F.explode(F.regexp_extract_all("o_orderpriority", F.lit("[A-Z]{3,}"), F.lit(0))).alias("root")))
 
 

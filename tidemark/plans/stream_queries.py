@@ -28,11 +28,11 @@ def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     return S.run_available(S.deduplicated(s.unionByName(s), late=None).select("event_id", "user_id", "event_type"))
 
 
-@query("""WITH e AS (SELECT user_id, ts, (ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR)::INT AS fresh FROM events WHERE event_type = 'error'),
+@query("""WITH e AS (SELECT user_id, ts, (ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR)::INT AS fresh FROM events),
 s AS (SELECT user_id, ts, sum(coalesce(fresh, 0)) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e)
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*)::BIGINT AS n FROM s GROUP BY user_id, k""")
 def stream_session(spark: SparkSession, d: str) -> DataFrame:
-    return S.run_available(S.sessions(stream(spark, d).where("event_type = 'error'"), ["user_id"], late=None), "complete")
+    return S.run_available(S.sessions(stream(spark, d), ["user_id"], late=None), "complete")
 
 
 @query("""WITH RECURSIVE z AS (SELECT user_id AS entity, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS t, value AS z FROM events),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import decimal_comma
 from ..operators import quality as Q
-from .base import FIRST, LAST, SQL, SQL_CAT, SQL_PANEL, SQL_PLACES, category_panel, panel, places, query, read
+from .base import S_FIRST, S_LAST, SQL, SQL_CAT, SQL_PANEL, SQL_PLACES, category_panel, panel, places, query, read, setting
 from .join_queries import SQL_NP, SQL_ORD, nation_panel, order_months
 from .panel_queries import robust_z_candidates
 
@@ -25,24 +25,26 @@ def entity_search(spark: SparkSession, d: str) -> DataFrame:
     return page.crossJoin(total).select(F.col("s_suppkey").alias("entity"), F.col("s_name").alias("name"), "rank", "total")
 
 
-@query(f"""WITH {SQL_PANEL}, y AS (SELECT entity, month // 12 AS year, month % 12 AS m, value FROM panel),
-g AS (SELECT a.entity, sum(a.value) / sum(b.value) - 1 AS growth, count(*)::BIGINT AS common FROM y a JOIN y b ON a.entity = b.entity AND a.m = b.m AND a.year = 2000 AND b.year = 1999 GROUP BY 1)
+@query(f"""WITH {SQL_PANEL}, y AS (SELECT entity, month // 12 AS year, month % 12 AS m, value FROM panel), l AS (SELECT (z + 1) // 12 - 1 AS ly FROM win),
+g AS (SELECT a.entity, sum(a.value) / sum(b.value) - 1 AS growth, count(*)::BIGINT AS common FROM l, y a JOIN y b ON a.entity = b.entity AND a.m = b.m AND a.year = ly AND b.year = ly - 1 GROUP BY 1)
 SELECT s.s_suppkey AS entity, round(avg(y.value), 8) AS mean, count(y.value)::BIGINT AS months, round(any_value(growth), 6) AS growth, any_value(common) AS common
-FROM supplier s LEFT JOIN y ON y.entity = s.s_suppkey AND y.year = 2000 LEFT JOIN g ON g.entity = s.s_suppkey GROUP BY 1""")
+FROM supplier s LEFT JOIN y ON y.entity = s.s_suppkey AND y.year = (SELECT ly FROM l) LEFT JOIN g ON g.entity = s.s_suppkey GROUP BY 1""")
 def entity_table(spark: SparkSession, d: str) -> DataFrame:
-    """Last year's mean, and growth over the months that both years have."""
-    y = panel(spark, d).select("entity", F.floor(F.col("month") / 12).alias("year"), (F.col("month") % 12).alias("m"), "value")
-    now, ago = y.where("year = 2000"), y.where("year = 1999").select("entity", "m", F.col("value").alias("before"))
+    """The last whole year's mean, and growth over the months that it and the year before have."""
+    at = setting(spark, d)
+    year = (at.last + 1) // 12 - 1
+    y = at.panel.select("entity", F.floor(F.col("month") / 12).alias("year"), (F.col("month") % 12).alias("m"), "value")
+    now, ago = y.where(F.col("year") == year), y.where(F.col("year") == year - 1).select("entity", "m", F.col("value").alias("before"))
     g = now.join(ago, ["entity", "m"]).groupBy("entity").agg((F.sum("value") / F.sum("before") - 1).alias("growth"), F.count("*").alias("common"))
     mean = now.groupBy("entity").agg(F.round(F.avg("value"), 8).alias("mean"), F.count("*").alias("months"))
     s = read(spark, d, "supplier").select(F.col("s_suppkey").alias("entity"))
     return s.join(mean, "entity", "left").join(g, "entity", "left").select("entity", "mean", F.coalesce("months", F.lit(0)).alias("months"), F.round("growth", 6).alias("growth"), "common")
 
 
-@query(f"""WITH {SQL_CAT} SELECT entity, string_agg(category || ':' || month || '=' || printf('%.2f', value), ';' ORDER BY category, month) AS series, count(*)::BIGINT AS points FROM cat WHERE month BETWEEN {LAST - 2} AND {LAST} GROUP BY 1""")
+@query(f"""WITH {SQL_CAT} SELECT entity, string_agg(category || ':' || month || '=' || printf('%.2f', value), ';' ORDER BY category, month) AS series, count(*)::BIGINT AS points FROM cat GROUP BY 1""")
 def entity_detail(spark: SparkSession, d: str) -> DataFrame:
-    """Nested series of an entity, sorted, as text."""
-    c = category_panel(spark, d).where(F.col("month").between(LAST - 2, LAST))
+    """Nested series of an entity, all months, sorted, as text."""
+    c = category_panel(spark, d)
     rows = c.groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("category", "month", "value"))).alias("a"))
     text = F.transform("a", lambda r: F.concat(r["category"], F.lit(":"), r["month"].cast("string"), F.lit("="), F.format_string("%.2f", r["value"])))
     return rows.select("entity", F.array_join(text, ";").alias("series"), F.size("a").cast("long").alias("points"))
@@ -64,9 +66,9 @@ def shock_overview(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("year").pivot("metric", ["revenue", "quantity"]).agg(F.count("entity")).fillna(0)
 
 
-@query(f"""WITH {SQL_PANEL} SELECT entity, month, replace(printf('%.2f', value), '.', ',') AS value FROM panel WHERE month = {LAST}""")
+@query(f"""WITH {SQL_PANEL} SELECT entity, month, replace(printf('%.2f', value), '.', ',') AS value FROM panel""")
 def decimal_comma_export(spark: SparkSession, d: str) -> DataFrame:
-    return panel(spark, d).where(F.col("month") == LAST).select("entity", "month", decimal_comma(F.col("value")).alias("value"))
+    return panel(spark, d).select("entity", "month", decimal_comma(F.col("value")).alias("value"))
 
 
 @query(f"""WITH {SQL_PANEL}, k AS (SELECT entity, month, value, CASE WHEN value / lag(value) OVER (PARTITION BY entity ORDER BY month) > 10 OR value / lag(value) OVER (PARTITION BY entity ORDER BY month) < 0.1 THEN 1 ELSE 0 END AS j FROM panel),
@@ -97,20 +99,21 @@ def parts_equal_total(spark: SparkSession, d: str) -> DataFrame:
     return both.groupBy("month").agg(F.count("*").alias("n"), F.sum((F.abs(F.col("parts") - F.col("value")) > 0.05).cast("long")).alias("off"))
 
 
-@query(f"""WITH {SQL_PANEL}, {SQL_PLACES} SELECT region, count(DISTINCT entity)::BIGINT AS entities, round(sum(value), 2) AS total, max(month) AS last_month, count(*) FILTER (month BETWEEN {FIRST} AND {LAST})::BIGINT AS rows_inside
+@query(f"""WITH {SQL_PANEL}, {SQL_PLACES} SELECT region, count(DISTINCT entity)::BIGINT AS entities, round(sum(value), 2) AS total, max(month) AS last_month, count(*) FILTER (month BETWEEN {S_FIRST} AND {S_LAST})::BIGINT AS rows_inside
 FROM panel JOIN places USING (entity) GROUP BY 1""")
 def summary_numbers(spark: SparkSession, d: str) -> DataFrame:
-    return panel(spark, d).join(places(spark, d), "entity").groupBy("region").agg(
+    at = setting(spark, d)
+    return at.panel.join(places(spark, d), "entity").groupBy("region").agg(
         F.countDistinct("entity").alias("entities"), F.round(F.sum("value"), 2).alias("total"), F.max("month").alias("last_month"),
-        F.sum(F.col("month").between(FIRST, LAST).cast("long")).alias("rows_inside"),
+        F.sum(F.col("month").between(at.first, at.last).cast("long")).alias("rows_inside"),
     )
 
 
-@query(f"""WITH {SQL_PANEL}, {SQL_PLACES}, r AS (SELECT p.entity, p.month, p.value, region FROM panel p JOIN places USING (entity) WHERE p.month BETWEEN {LAST - 5} AND {LAST})
+@query(f"""WITH {SQL_PANEL}, {SQL_PLACES}, r AS (SELECT p.entity, p.month, p.value, region FROM panel p JOIN places USING (entity))
 SELECT entity, month, round(value / sum(value) OVER (PARTITION BY region, month), 6) AS share, rank() OVER (PARTITION BY region, month ORDER BY value DESC)::BIGINT AS place FROM r""")
 def region_ranking(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("region", "month")
-    r = panel(spark, d).where(F.col("month").between(LAST - 5, LAST)).join(places(spark, d), "entity")
+    r = panel(spark, d).join(places(spark, d), "entity")
     return r.select("entity", "month", F.round(F.col("value") / F.sum("value").over(w), 6).alias("share"), F.rank().over(w.orderBy(F.desc("value"))).cast("long").alias("place"))
 
 

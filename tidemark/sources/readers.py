@@ -53,7 +53,7 @@ def headerless_codes(spark: SparkSession, path: str, section: str = "1") -> Data
 
 def stateful_header(rows: DataFrame, order: str, header: Column, name: str, by: Sequence[str] = ()) -> DataFrame:
     """Rows below a header row carry it; header rows themselves go. ``order`` is the row's place in its file, ``by`` names
-    the file where there are several."""
+    the file. Without ``by`` all rows are one file, which one task reads: only for a single small file."""
     w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("_h", header).withColumn(name, F.last("_h", ignorenulls=True).over(w)).where("_h is null").drop("_h")
 
@@ -103,7 +103,7 @@ def block_csv(spark: SparkSession, path: str, encoding: str = "cp1251") -> DataF
     raw = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), decoded("content").alias("t"))
     block = raw.select("file", F.explode(F.split(F.replace("t", F.lit("\r"), F.lit("")), r"\n\s*\n")).alias("b"))
     lines = block.select("file", F.filter(F.split("b", "\n"), lambda x: F.trim(x) != "").alias("l")).where(F.size("l") >= 3)
-    rows = lines.select("file", F.col("l")[0].alias("title"), F.split(F.col("l")[1], ";").alias("years"), F.explode(F.slice("l", 3, 100000)).alias("r"))
+    rows = lines.select("file", F.col("l")[0].alias("title"), F.split(F.col("l")[1], ";").alias("years"), F.explode(F.slice("l", F.lit(3), F.size("l"))).alias("r"))
     cells = rows.select("file", "title", "years", F.split("r", ";").alias("c")).select("file", "title", F.col("c")[0].alias("name"), F.posexplode(F.arrays_zip("years", "c")).alias("pos", "x"))
     return cells.where("pos > 0").select("file", "title", "name", F.regexp_extract("x.years", "[0-9]{4}", 0).try_cast("int").alias("year"), number(F.col("x.c")).alias("value"))
 
@@ -128,13 +128,37 @@ def html_listing(pages: DataFrame, html: str, item: str, fields: Mapping[str, st
 
 
 def coded_events(spark: SparkSession, path: str, columns: Mapping[str, int], width: int, country: tuple[str, str]) -> DataFrame:
-    """Headerless tab-separated exports of ``width`` columns: some columns by place, one country, bad numbers null."""
-    schema = ", ".join(f"c{i} string" for i in range(width))
-    raw = spark.read.csv(path, schema=schema, sep="\t", header=False, mode="DROPMALFORMED")
-    rows = raw.select(*(F.col(f"c{i}").alias(k) for k, i in columns.items()))
+    """Headerless tab-separated exports of ``width`` columns: some columns by place, one country, bad numbers null.
+
+    Lines of another width are not events; ``other_widths`` counts them, so none goes unnoticed.
+    """
+    cells = _cells(spark, path).where(F.size("c") == width)
+    rows = cells.select(*(F.nullif(F.col("c")[i], F.lit("")).alias(k) for k, i in columns.items()))
     return rows.where(F.col(country[0]) == country[1])
 
 
+def other_widths(spark: SparkSession, path: str, width: int) -> DataFrame:
+    """(file, width, lines): what ``coded_events`` leaves out."""
+    cells = _cells(spark, path).where(F.size("c") != width)
+    return cells.groupBy("file", F.size("c").alias("width")).agg(F.count("*").alias("lines"))
+
+
+def _cells(spark: SparkSession, path: str) -> DataFrame:
+    lines = spark.read.text(path).where(F.length("value") > 0)
+    return lines.select(F.input_file_name().alias("file"), F.split("value", "\t", -1).alias("c"))
+
+
+def deduplicated_dump(spark: SparkSession, path: str, schema: str, key: str, newest: str, sep: str = "|") -> DataFrame:
+    """A large separated dump with a header, one row for each key: the newest, of equal ones the first by content.
+
+    A key's rows are reduced before the shuffle, so a key that is repeated very often is no hot spot.
+    """
+    raw = csv(spark, path, schema, sep=sep).where(F.col(key).isNotNull())
+    row = F.struct(*(c for c in raw.columns if c != key))
+    best = raw.groupBy(key).agg(F.max_by(row.alias("row"), F.struct(F.col(newest), F.xxhash64(*raw.columns))).alias("row"))
+    return best.select(key, "row.*").select(raw.columns)
+
+
 def listed_between(manifest: DataFrame, url: str, start: str, end: str) -> DataFrame:
     """Manifest rows whose url carries a time stamp of 14 digits inside [start, end]."""
     stamp = F.regexp_extract(url, "([0-9]{14})", 1)

@@ -11,32 +11,45 @@ from pyspark.sql import functions as F
 from ..functions.text import decimal_comma
 
 
-def content_hash(df: DataFrame) -> tuple[int, int]:
-    """(rows, order-free hash) of a table's content: a bag hash, so neither order nor file layout counts."""
-    h = F.xxhash64(*(F.col(f"`{c}`") for c in sorted(df.columns)))
-    row = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.pmod(h, F.lit(1 << 31))), F.lit(0)).alias("h")).first()
-    return row["n"], row["h"]
+def content_hash(df: DataFrame) -> tuple[int, int, int]:
+    """(rows, two order-free hashes) of a table's content: sums of independent 64-bit row hashes, so neither order nor
+    file layout counts."""
+    columns = [F.col(f"`{c}`") for c in sorted(df.columns)]
+    total = lambda h: F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
+    row = df.agg(F.count("*").alias("n"), total(F.xxhash64(*columns)).alias("a"), total(F.xxhash64(F.lit("other"), *columns)).alias("b")).first()
+    return row["n"], int(row["a"]), int(row["b"])
 
 
 def write_if_changed(df: DataFrame, path: str) -> bool:
     """Write Parquet unless what is there has the same content; returns whether it wrote.
 
-    The new content goes to a private folder first and is then moved, so a reader never sees half of it.
+    The new content goes to a private folder first; then the old one is moved aside, the new one is moved in, and only then
+    is the old one deleted. A crash leaves whole tables at every step: the next write first puts back one that was left
+    aside. Between the two moves a reader finds no table; readers that can't wait use ``publish``.
     """
     spark = df.sparkSession
     fs, target = _hadoop(spark, path)
+    aside = _path(spark, f"{path.rstrip('/')}.old")
+    if not fs.exists(target) and fs.exists(aside):
+        fs.rename(aside, target)
     if fs.exists(target):
         if content_hash(spark.read.parquet(path)) == content_hash(df):
             return False
     private = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
     df.write.parquet(private)
-    fs.delete(target, True)
-    fs.rename(_path(spark, private), target)
+    if fs.exists(target):
+        fs.delete(aside, True)
+        if not fs.rename(target, aside):
+            raise OSError(f"{path} can't be moved aside")
+    if not fs.rename(_path(spark, private), target):
+        raise OSError(f"{private} can't be moved in")
+    fs.delete(aside, True)
     return True
 
 
 def publish(tables: Mapping[str, DataFrame], folder: str) -> str:
-    """All tables as one new version with a _meta table of row counts; the pointer file is replaced last."""
+    """All tables as one new version with a table of row counts; the pointer file is replaced last, in one atomic rename,
+    so a reader sees the old version or the new one, whole."""
     spark = next(iter(tables.values())).sparkSession
     version = f"v-{uuid.uuid4().hex}"
     counts = []
@@ -45,8 +58,15 @@ def publish(tables: Mapping[str, DataFrame], folder: str) -> str:
         counts.append((name, spark.read.parquet(f"{folder}/{version}/{name}").count()))
     meta = spark.createDataFrame(counts, "table string, rows long").withColumn("published_at", F.current_timestamp())
     meta.coalesce(1).write.parquet(f"{folder}/{version}/_tables")
-    pointer = spark.createDataFrame([(version,)], "value string").coalesce(1)
-    pointer.write.mode("overwrite").text(f"{folder}/current")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    fs, fresh = _hadoop(spark, f"{folder}/{version}/_pointer")
+    out = fs.create(fresh, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    current = fs.makeQualified(_path(spark, f"{folder}/current"))
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(current.toUri(), conf).rename(fs.makeQualified(fresh), current, overwrite)
     return version
 
 
