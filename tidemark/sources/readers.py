@@ -36,10 +36,10 @@ def recoded(df: DataFrame, column: str, codes: Mapping[str, str]) -> DataFrame:
     return df.withColumn(column, F.when(code.isNotNull(), code).otherwise(F.raise_error(message).cast("string")))
 
 
-def valid_version(df: DataFrame, key: str, year: int, since: str = "year_from", until: str = "year_to") -> DataFrame:
-    """Of each key, the version valid in ``year``, else the latest."""
+def valid_version(df: DataFrame, key: str, year: int, since: str = "year_from", until: str = "year_to", tie: str | None = None) -> DataFrame:
+    """Of each key, the version valid in ``year``, else the latest; ``tie`` orders equal ones."""
     valid = (F.col(since) <= year) & (F.coalesce(until, F.lit(9999)) >= year)
-    w = Window.partitionBy(key).orderBy(valid.desc(), F.coalesce(until, F.lit(9999)).desc(), F.col(since).desc())
+    w = Window.partitionBy(key).orderBy(valid.desc(), F.coalesce(until, F.lit(9999)).desc(), F.col(since).desc(), *([F.col(tie)] if tie else []))
     return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
@@ -58,9 +58,9 @@ def stateful_header(rows: DataFrame, order: str, header: Column, name: str, by:
     return rows.withColumn("_h", header).withColumn(name, F.last("_h", ignorenulls=True).over(w)).where("_h is null").drop("_h")
 
 
-def calendar_days(spark: SparkSession, path: str) -> DataFrame:
+def calendar_days(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Calendar JSON {year, months: [{month, days: "1,2*,3+"}]} to (date, kind): off, short (*) or moved (+) days."""
-    raw = spark.read.json(path, multiLine=True, schema="year int, months array<struct<month:int,days:string>>")
+    raw = spark.read.json(path, multiLine=multi_line, schema="year int, months array<struct<month:int,days:string>>")
     days = raw.select("year", F.explode("months").alias("m")).select("year", "m.month", F.explode(F.split("m.days", ",")).alias("d"))
     day = F.regexp_extract("d", "[0-9]+", 0).cast("int")
     kind = F.when(F.col("d").endswith("*"), "short").when(F.col("d").endswith("+"), "moved").otherwise("off")
@@ -113,9 +113,9 @@ def with_path_code(df: DataFrame, pattern: str, name: str) -> DataFrame:
     return df.withColumn(name, F.regexp_extract(F.input_file_name(), pattern, 1))
 
 
-def weather(spark: SparkSession, path: str) -> DataFrame:
+def weather(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """JSON {region, daily: {time: [...], temp: [...], rain: [...]}} to daily rows."""
-    raw = spark.read.json(path, multiLine=True, schema="region string, daily struct<time:array<string>,temp:array<double>,rain:array<double>>")
+    raw = spark.read.json(path, multiLine=multi_line, schema="region string, daily struct<time:array<string>,temp:array<double>,rain:array<double>>")
     rows = raw.select("region", F.inline(F.arrays_zip("daily.time", "daily.temp", "daily.rain")))
     names = rows.columns
     return rows.select("region", F.to_date(names[1]).alias("date"), F.col(names[2]).alias("temp"), F.col(names[3]).alias("rain"))
