@@ -1,4 +1,4 @@
-"""Every registered query with SQL gives the same rows as DuckDB; the others give rows."""
+"""Every registered query with SQL gives the same rows as DuckDB."""
 
 from __future__ import annotations
 
@@ -32,10 +32,10 @@ def test_same_rows_as_sql(spark, sf_dir, duck, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in SQL])
-def test_runs(spark, sf_dir, name):
-    found = QUERIES[name](spark, sf_dir)
-    assert found.columns and found.count() >= 0
+def test_every_other_query_has_a_test_of_its_own():
+    assert {n for n in QUERIES if n not in SQL} == {
+        "greedy_selection", "ridge_forecast", "random_forest_forecast", "gbt_forecast", "ridge_covariates_forecast", "ets_forecast", "fourier_trend_forecast", "embedding_classifier_cv", "classifier_report", "feature_importance"
+    }  # fmt: skip; in test_learned.py
 
 
 def test_entry():

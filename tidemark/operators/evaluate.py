@@ -171,6 +171,23 @@ def event_effect(pred: DataFrame, flag: str, by: Sequence[str]) -> DataFrame:
     )
 
 
+def effect_interval(pred: DataFrame, flag: str, cluster: str, draws: int, draw_index) -> DataFrame:
+    """(effect, lo, hi, draws): mean relative error of flagged points less that of the others, and its quantiles under
+    resampling of whole clusters, which are aggregated first; ``draw_index`` as in ``cluster_bootstrap``."""
+    r, f = F.col("y") / F.col("yhat") - 1, F.coalesce(F.col(flag), F.lit(False))
+    known = pred.where("y is not null and yhat is not null")
+    sums = {"sf": F.sum(F.when(f, r)), "so": F.sum(F.when(~f, r)), "nf": F.count(F.when(f, 1)), "no": F.count(F.when(~f, 1))}
+    rows = known.groupBy(cluster).agg(*(F.coalesce(F.round(c, 9) if k[0] == "s" else c, F.lit(0)).alias(k) for k, c in sums.items()))
+    rows = rows.select((F.row_number().over(Window.orderBy(cluster)) - 1).cast("long").alias("c"), *sums)  # a row a cluster
+    effect = lambda p: F.try_divide(F.sum(f"{p}sf"), F.sum(f"{p}nf")) - F.try_divide(F.sum(f"{p}so"), F.sum(f"{p}no"))
+    table = rows.agg(F.map_from_entries(F.collect_list(F.struct("c", F.struct(*sums)))).alias("m"), F.count("*").alias("k"))
+    runs = pred.sparkSession.range(draws).select(F.col("id").alias("draw")).crossJoin(F.broadcast(table))  # one row
+    slots = runs.select("draw", "m", "k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("slot"))
+    taken = slots.select("draw", F.col("m")[draw_index(F.col("draw"), F.col("slot"), F.col("k"))].alias("x"))
+    found = taken.groupBy("draw").agg(effect("x.").alias("e")).agg(F.percentile("e", [0.025, 0.975]).alias("q"), F.count("*").alias("draws"))
+    return rows.agg(effect("").alias("effect")).crossJoin(found).select("effect", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"), "draws")
+
+
 def slices(pred: DataFrame, flags: dict[str, Column], base: str, other: str, margin: float = 0.01) -> DataFrame:
     """(slice, points, change_pct, verdict) of one model against another on slices that may overlap."""
     member = F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in flags.items())))

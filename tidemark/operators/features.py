@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -95,6 +95,27 @@ def active_months(intervals: DataFrame, keys: Sequence[str], start: str, ends: D
     return both.select(*keys, F.explode(F.sequence("at", last)).alias("month")).distinct()
 
 
+def known_active_months(starts: DataFrame, keys: Sequence[str], start: str, ends: DataFrame, end: str, default: int) -> DataFrame:
+    """Months in which an act counts as active by what was published then: from its publication for ``default`` months, or
+    until the month in which a later end is published. Unlike ``active_months``, no month knows of an end to come."""
+    both = starts.select(*keys, F.col(start).alias("at"), F.lit(1).alias("is_start")).unionByName(
+        ends.select(*keys, F.col(end).alias("at"), F.lit(0).alias("is_start"))
+    )
+    after = Window.partitionBy(*keys).orderBy("at").rangeBetween(1, Window.unboundedFollowing)
+    both = both.withColumn("stop", F.min(F.when(F.col("is_start") == 0, F.col("at"))).over(after)).where("is_start = 1")
+    last = F.least(F.col("at") + default, F.coalesce("stop", F.col("at") + default)) - 1
+    return both.select(*keys, F.explode(F.sequence("at", last)).alias("month")).distinct()
+
+
+def region_tags(text: Column, aliases: Mapping[str, str], special: Mapping[str, tuple[str, str]]) -> Column:
+    """Regions that a text names, in the order of ``aliases``: by one of the region's own names, or by a special city of
+    it (pattern, region) whose name says nothing of the region."""
+    found = F.array(*(F.when(text.rlike(p), F.lit(r)) for r, p in aliases.items()))
+    cities = F.array(*(F.when(text.rlike(p), F.lit(r)) for p, r in special.values()))
+    named = F.array_union(F.array_compact(found), F.array_compact(cities))
+    return F.filter(F.array(*map(F.lit, aliases)), lambda r: F.array_contains(named, r))
+
+
 def weighted_mentions(own: DataFrame, regional: DataFrame, members: DataFrame, share: float = 0.3) -> DataFrame:
     """Entity rows at full weight plus region rows that reach each member of the region at ``share``."""
     reach = regional.join(members, "region").withColumn("w", F.col("w") * share)

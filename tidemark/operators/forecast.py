@@ -207,46 +207,72 @@ def supervised(panel: DataFrame, horizons: Sequence[int]) -> DataFrame:
 FEATURES = ("g1", "g2", "g3", "drift3", "mom", "common", "common_before", "h", "moy")
 
 
-def global_model(rows: DataFrame, origin: int, backend: str = "ridge", seeds: Sequence[int] = (1,), offset: str | None = None) -> DataFrame:
-    """A model over all series, trained on targets known at the origin, weighted by the base level; averaged over seeds.
-
-    Backends: ridge, random_forest, gbt (absolute loss). ``offset`` names a column that is taken from the target and
-    added back. Features that are null in all training rows are left out; others are filled by their median.
-    """
+def _trained(rows: DataFrame, origin: int, backend: str, seeds: Sequence[int], offset: str | None, features: Sequence[str]) -> tuple[list, list[str], DataFrame, Column]:
+    """Fitted pipelines, one a seed; the names of their input columns; the rows to predict; and the offset."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, VectorAssembler
     from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 
     shift = F.col(offset) if offset else F.lit(0.0)
-    rows = rows.withColumn("label", F.col("g") - shift).withColumn("h", F.col("h").cast("double"))
+    rows = rows.withColumn("label", F.col("g") - shift).withColumns({c: F.col(c).cast("double") for c in features})
     train = rows.where((F.col("month") <= origin) & F.col("label").isNotNull() & (F.col("base") > 0))
     mean = train.agg(F.avg("base").alias("_m"))
     train = train.crossJoin(F.broadcast(mean)).withColumn("weight", F.col("base") / F.col("_m"))  # one row; weights of mean 1
     test = rows.where((F.col("t") == origin) & (F.col("base") > 0))
-    filled = train.agg(*(F.count(c).alias(c) for c in FEATURES)).first()
-    names = [c for c in FEATURES if filled[c]]
+    filled = train.agg(*(F.count(c).alias(c) for c in features)).first()
+    names = [c for c in features if filled[c]]
     numeric = [c for c in names if c != "moy"]
     stages = [Imputer(inputCols=numeric, outputCols=[f"{c}_i" for c in numeric], strategy="median")]
     inputs = [f"{c}_i" for c in numeric]
     if backend == "ridge":
         stages += [OneHotEncoder(inputCol="moy", outputCol="moy_v", handleInvalid="keep"), VectorAssembler(inputCols=[*inputs, "moy_v"], outputCol="raw")]
         stages += [StandardScaler(inputCol="raw", outputCol="features", withMean=True)]
+        columns = [*numeric, *(f"moy_{k}" for k in range(13))]
     else:
         stages += [VectorAssembler(inputCols=[*inputs, "moy"], outputCol="features")]
-    out = None
+        columns = [*numeric, "moy"]
+    models = []
     for seed in seeds:
         model = {
             "ridge": lambda: LinearRegression(regParam=0.1, elasticNetParam=0.0, weightCol="weight"),
             "random_forest": lambda s=seed: RandomForestRegressor(numTrees=30, maxDepth=6, seed=s, weightCol="weight"),
             "gbt": lambda s=seed: GBTRegressor(maxIter=15, maxDepth=4, lossType="absolute", seed=s, weightCol="weight"),
         }[backend]()
-        fitted = Pipeline(stages=[*stages, model]).fit(train)
+        models.append(Pipeline(stages=[*stages, model]).fit(train))
+    return models, columns, test, shift
+
+
+def global_model(
+    rows: DataFrame, origin: int, backend: str = "ridge", seeds: Sequence[int] = (1,), offset: str | None = None, features: Sequence[str] = FEATURES
+) -> DataFrame:
+    """A model over all series, trained on targets known at the origin, weighted by the base level; averaged over seeds.
+
+    Backends: ridge, random_forest, gbt (absolute loss). ``offset`` names a column that is taken from the target and
+    added back. Features that are null in all training rows are left out; others are filled by their median.
+    """
+    models, _, test, shift = _trained(rows, origin, backend, seeds, offset, features)
+    out = None
+    for fitted in models:
         one = fitted.transform(test).select("entity", "t", "h", "month", "base", "y", (F.col("prediction") + shift).alias("g"))
         out = one if out is None else out.unionByName(one)
     keys = ["entity", F.col("t").alias("origin"), F.col("h").cast("int").alias("h"), "month"]
     return out.groupBy(*keys).agg(F.first("y").alias("y"), (F.first("base") * F.exp(F.avg("g"))).alias("yhat"))
 
 
+def importances(rows: DataFrame, origin: int, backend: str = "gbt", seeds: Sequence[int] = (1,), features: Sequence[str] = FEATURES) -> DataFrame:
+    """(feature, share): mean importance over seeds of tree models, of a linear one its standardised weights; one-hot columns
+    count for their feature. A row for each feature."""
+    models, columns, _, _ = _trained(rows, origin, backend, seeds, None, features)
+    total: dict[str, float] = {}
+    for fitted in models:
+        last = fitted.stages[-1]
+        weights = np.abs(np.asarray(last.coefficients.toArray() if backend == "ridge" else last.featureImportances.toArray()))
+        for name, w in zip(columns, weights / max(weights.sum(), 1e-12), strict=False):
+            name = "moy" if name.startswith("moy") else name
+            total[name] = total.get(name, 0.0) + float(w) / len(models)
+    return rows.sparkSession.createDataFrame(sorted(total.items()), "feature string, share double")
+
+
 def foundation(panel: DataFrame, origins: Sequence[int], predict=None) -> DataFrame | None:
     """A slot for zero-shot models: ``predict`` maps (panel, origins) to predictions; without weights there are none."""
     return predict(panel, origins) if predict else None

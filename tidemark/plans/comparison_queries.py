@@ -11,26 +11,60 @@ from ..operators import match as J
 from ..operators import quality as Q
 from ..session import checkpointed
 from .base import SQL_PANEL, SQL_PLACES, places, query, read, setting
-from .detect_queries import FARS, SQL_EWMA, SQL_INJECTED, SQL_LABELS, _injected, _scored, sql24, sql_z, window24
+from .detect_queries import FARS, SQL_BOCPD, SQL_CUTS, SQL_EWMA, SQL_INJECTED, SQL_LABELS, _injected, _scored, sql24, sql_z, window24
+from .detect_queries import SQL_LCG
 from .forecast_queries import _CUT, _LATEST, SQL_PRED, predictions
 
 
-@query()
+_SCORES = f"""{SQL_LABELS}, {SQL_INJECTED}, {sql_z('inj')}, {SQL_EWMA}, {SQL_BOCPD}, e1 AS (SELECT entity, avg(z) AS ref FROM z WHERE t < 2 GROUP BY 1),
+cu AS (SELECT entity, ref, 1::BIGINT AS t, 0::DOUBLE AS up, 0::DOUBLE AS down FROM e1 UNION ALL
+ SELECT z.entity, ref, z.t, greatest(0, up + z.z - ref - 0.5::DOUBLE), greatest(0, down - (z.z - ref) - 0.5::DOUBLE) FROM cu JOIN z ON z.entity = cu.entity AND z.t = cu.t + 1),
+dr AS (SELECT entity, m, quantile_cont(m, 0.5) OVER (PARTITION BY entity) AS mm FROM mo), sr AS (SELECT entity, 1.4826::DOUBLE * sqrt(2) * quantile_cont(abs(m - mm), 0.5) AS s FROM dr GROUP BY 1),
+zr AS (SELECT entity, t, g / greatest(s, 0.5::DOUBLE * (SELECT quantile_cont(s, 0.5) FROM sr)) AS z FROM yo JOIN sr USING (entity)),
+sc AS (SELECT 'ewma' AS method, entity, t, score FROM ew WHERE t >= 2 UNION ALL SELECT 'cusum', entity, t, greatest(up, down) FROM cu WHERE t >= 2
+ UNION ALL SELECT 'bocpd', entity, t, run[1] + run[2] FROM bo WHERE t >= 2
+ UNION ALL SELECT 'zscore', a.entity, a.t, abs(a.z - quantile_cont(b.z, 0.5)) FROM z a JOIN z b ON a.entity = b.entity AND b.t < a.t WHERE a.t >= 2 GROUP BY a.entity, a.t, a.z
+ UNION ALL SELECT 'zscore_raw', a.entity, a.t, abs(a.z - quantile_cont(b.z, 0.5)) FROM zr a JOIN zr b ON a.entity = b.entity AND b.t < a.t WHERE a.t >= 2 GROUP BY a.entity, a.t, a.z),
+tp AS (SELECT method, entity, max(score) AS top FROM sc WHERE entity NOT IN (SELECT entity FROM lab) GROUP BY 1, 2),
+th AS (SELECT method, far, q[i] AS threshold FROM (SELECT method, quantile_cont(top, [0.95, 0.9, 0.8, 0.7]) AS q FROM tp GROUP BY 1), (VALUES (0.05::DOUBLE, 1), (0.1, 2), (0.2, 3), (0.3, 4)) v(far, i)),
+al AS (SELECT sc.method, far, entity, t FROM sc JOIN th USING (method) WHERE score > threshold),
+pe AS (SELECT th.method, th.far, lab.entity, lab.size, min(CASE WHEN t BETWEEN tau - 12 AND tau - 10 THEN t - tau + 12 END) AS delay
+ FROM lab CROSS JOIN th LEFT JOIN al ON al.method = th.method AND al.far = th.far AND al.entity = lab.entity GROUP BY 1, 2, 3, 4),
+fa AS (SELECT method, far, count(DISTINCT entity) AS n FROM al WHERE entity NOT IN (SELECT entity FROM lab) GROUP BY 1, 2)"""
+
+
+@query(f"""WITH RECURSIVE {SQL_PANEL}, {sql24()}, {_SCORES}, e AS (SELECT method, far, count(*) AS shifts, count(delay) AS hits, avg(delay) AS delay FROM pe GROUP BY 1, 2),
+r AS (SELECT method, far, hits / shifts AS recall, delay, coalesce(n, 0)::BIGINT AS n, hits / nullif(hits + coalesce(n, 0), 0) AS p FROM e LEFT JOIN fa USING (method, far))
+SELECT method, far, round(recall, 6) AS recall, round(delay, 6) AS delay, n AS false_alarms, round(2 * p * recall / nullif(p + recall, 0), 6) AS f1,
+far = 0.05 AND row_number() OVER (PARTITION BY far ORDER BY CASE WHEN method <> 'zscore_raw' THEN recall END DESC NULLS LAST, delay NULLS FIRST, method) = 1 AS best FROM r""")
 def detector_comparison(spark: SparkSession, d: str) -> DataFrame:
     """Recall, delay and false alarms of the online detectors at each rate, on the same artificial shifts; ``best`` marks
     the detector of largest recall, then smallest delay, at the lowest rate."""
     p = window24(spark, d)
     labels = D.shift_labels(p.select("entity").distinct())
-    z = checkpointed(D.local_growth(D.inject(p, labels)))  # five detectors read it; a row a series and month
-    raw = D.local_growth(D.inject(p, labels), remove_common=False)
+    shifted = D.inject(p, labels)
+    z = checkpointed(D.local_growth(shifted))  # five detectors read it; a row a series and month
+    raw = D.local_growth(shifted, remove_common=False)
     scores = {"ewma": _scored(z, D.ewma), "cusum": _scored(z, D.cusum), "zscore": D.zscore(z), "zscore_raw": D.zscore(raw)}
     bayes = D.bocpd(D.signals(z)).select("entity", F.posexplode("score").alias("t", "score")).withColumn("t", F.col("t").cast("long"))
     out = None
     for name, s in {**scores, "bocpd": bayes}.items():
+        s = checkpointed(s)
         one = D.evaluate(s, labels, D.calibrate(s, labels, FARS)).withColumn("method", F.lit(name))
         out = one if out is None else out.unionByName(one)
     rank = F.row_number().over(Window.partitionBy("far").orderBy(F.desc(F.when(F.col("method") != "zscore_raw", F.col("recall"))), "delay", "method"))
-    return out.select("method", "far", "recall", "delay", "false_alarms", "f1", ((F.col("far") == FARS[0]) & (rank == 1)).alias("best"))
+    best = ((F.col("far") == FARS[0]) & (rank == 1)).alias("best")
+    return out.select("method", "far", F.round("recall", 6).alias("recall"), F.round("delay", 6).alias("delay"), "false_alarms", F.round("f1", 6).alias("f1"), best)
+
+
+@query(f"""WITH RECURSIVE {SQL_PANEL}, {sql24()}, {_SCORES}
+SELECT far, size, count(*)::BIGINT AS shifts, count(delay)::BIGINT AS hits, round(count(delay) / count(*), 6) AS recall FROM pe WHERE method = 'ewma' GROUP BY 1, 2""")
+def recall_by_size(spark: SparkSession, d: str) -> DataFrame:
+    """How often artificial shifts of each size are caught, at each rate of false alarms."""
+    scores, labels = _injected(spark, d)
+    scores = checkpointed(scores)
+    found = D.evaluate(scores, labels, D.calibrate(scores, labels, FARS), by=("size",))
+    return found.select("far", "size", "shifts", "hits", F.round("recall", 6).alias("recall"))
 
 
 @query(f"""WITH RECURSIVE {SQL_PANEL}, {sql24()}, {SQL_LABELS}, {SQL_INJECTED}, {sql_z('inj')}, {SQL_EWMA}
@@ -42,14 +76,16 @@ def rate_calibration(spark: SparkSession, d: str) -> DataFrame:
     return D.calibrate_rate(scores, labels, (0.5, 1.0, 3.0)).withColumn("threshold", F.round("threshold", 5))
 
 
-@query()
+@query(f"""WITH RECURSIVE {SQL_PANEL}, {sql24()}, {SQL_LABELS}, {SQL_INJECTED}, {sql_z('inj')}, {SQL_CUTS},
+g AS (SELECT a.entity, greatest(0, max((b.c - a.c) / nullif(a.breaks, 0))) AS g FROM least_ a JOIN least_ b ON b.entity = a.entity AND b.breaks = 0 WHERE a.entity NOT IN (SELECT entity FROM lab) GROUP BY 1)
+SELECT far, round((SELECT quantile_cont(g, [0.95, 0.9, 0.8, 0.7]) FROM g)[i], 5) AS penalty FROM (VALUES (0.05::DOUBLE, 1), (0.1, 2), (0.2, 3), (0.3, 4)) v(far, i)""")
 def segmentation_penalty(spark: SparkSession, d: str) -> DataFrame:
     """The penalty at which a share of unshifted series shows a break, found on one table of costs."""
     p = window24(spark, d)
     labels = D.shift_labels(p.select("entity").distinct())
     z = D.signals(D.local_growth(D.inject(p, labels)))
     costs = D.segment_costs(z.join(labels.select("entity"), "entity", "left_anti"))
-    return D.calibrate_penalty(costs, FARS)
+    return D.calibrate_penalty(costs, FARS).withColumn("penalty", F.round("penalty", 5))
 
 
 @query(f"""WITH {SQL_PRED}, o AS (SELECT model, origin, avg(abs(y - yhat)) AS mae FROM pred GROUP BY 1, 2),
@@ -100,6 +136,23 @@ def event_study(spark: SparkSession, d: str) -> DataFrame:
     return E.event_effect(predictions(setting(spark, d), ("drift",)).join(ev, ["entity", "month"], "left"), "flag", ["origin"]).select("origin", F.round("effect", 6).alias("effect"), "flagged")
 
 
+@query(f"""WITH {SQL_PRED}, {SQL_PLACES}, f AS (SELECT nation, {_FLAG} AS flag, y / yhat - 1 AS r FROM pred JOIN places USING (entity) WHERE model = 'drift'),
+k AS (SELECT nation, coalesce(sum(r) FILTER (flag), 0) AS sf, count(*) FILTER (flag) AS nf, coalesce(sum(r) FILTER (NOT flag), 0) AS so, count(*) FILTER (NOT flag) AS no FROM f GROUP BY 1),
+c AS (SELECT row_number() OVER (ORDER BY nation) - 1 AS c, round(sf, 9) AS sf, nf, round(so, 9) AS so, no, count(*) OVER () AS k FROM k),
+q AS (SELECT draw, slot, {SQL_LCG.format('(draw * 1009 + slot)', 5)} AS z FROM range(200) a(draw), (SELECT c AS slot FROM c)),
+m AS (SELECT draw, sum(sf) / nullif(sum(nf), 0) - sum(so) / nullif(sum(no), 0) AS effect FROM q JOIN c ON c.c = (z // 97) % k GROUP BY 1)
+SELECT (SELECT round(sum(sf) / nullif(sum(nf), 0) - sum(so) / nullif(sum(no), 0), 6) FROM c) AS effect, round(quantile_cont(effect, 0.025), 6) AS lo, round(quantile_cont(effect, 0.975), 6) AS hi, count(*)::BIGINT AS draws FROM m""")
+def event_study_interval(spark: SparkSession, d: str) -> DataFrame:
+    """The event study's effect over all origins, with an interval from resampling whole nations (a fixed dimension of 25)."""
+    from ..operators.panel import month_idx
+
+    ev = read(spark, d, "lineitem").where("l_quantity = 50 and l_discount >= 0.09")
+    ev = ev.select(F.col("l_suppkey").alias("entity"), month_idx("l_shipdate").alias("month")).distinct().withColumn("flag", F.lit(True))
+    pred = predictions(setting(spark, d), ("drift",)).join(ev, ["entity", "month"], "left").join(places(spark, d), "entity")
+    found = E.effect_interval(pred, "flag", "nation", 200, lambda draw, slot, k: F.floor(D.lcg(draw * 1009 + slot, 5) / 97) % k)
+    return found.select(*(F.round(c, 6).alias(c) for c in ("effect", "lo", "hi")), "draws")
+
+
 @query(f"""WITH {SQL_PRED}, {SQL_PLACES}, s AS (SELECT p.*, region, nation FROM pred p JOIN places USING (entity) WHERE model IN ('drift', 'seasonal')),
 u AS (SELECT model, y, yhat, unnest(list_filter_) AS slice FROM (SELECT *, [x FOR x IN [CASE WHEN region = 'ASIA' THEN 'asia' END, CASE WHEN h = 1 THEN 'next_month' END, CASE WHEN origin >= {_CUT} THEN 'late' END, 'all'] IF x IS NOT NULL] AS list_filter_ FROM s)),
 m AS (SELECT slice, avg(abs(y - yhat)) FILTER (model = 'seasonal') AS a, avg(abs(y - yhat)) FILTER (model = 'drift') AS b, count(*) FILTER (model = 'drift')::BIGINT AS points FROM u GROUP BY 1)

@@ -80,13 +80,34 @@ def score_cusum(spark: SparkSession, d: str) -> DataFrame:
     return _scored(D.local_growth(window24(spark, d)), D.cusum).withColumn("score", F.round("score", 5))
 
 
-@query()
+SQL_BOCPD = """m0 AS (SELECT entity, avg(z) AS m FROM z WHERE t < 2 GROUP BY 1),
+bo AS (SELECT entity, m, (-1)::BIGINT AS t, [1.0::DOUBLE] AS run, [m] AS mean, [4.0::DOUBLE] AS var FROM m0 UNION ALL
+ SELECT entity, m, t, [x / list_sum(r) FOR x IN r], mean, var FROM (
+  SELECT entity, m, t, list_concat([list_sum(l) / 12.0::DOUBLE], [x * (1 - 1 / 12.0::DOUBLE) FOR x IN l]) AS r,
+   list_concat([m], [va[i] / (1 + va[i]) * (me[i] / va[i] + z) FOR i IN range(1, len(l) + 1)]) AS mean, list_concat([4.0::DOUBLE], [v / (1 + v) FOR v IN va]) AS var
+  FROM (SELECT bo.entity, bo.m, z.t, z.z, bo.mean AS me, bo.var AS va,
+   [bo.run[i] * exp(-((z.z - bo.mean[i]) ** 2) / (2 * (1 + bo.var[i]))) / sqrt(2 * pi() * (1 + bo.var[i])) FOR i IN range(1, len(bo.run) + 1)] AS l
+   FROM bo JOIN z ON z.entity = bo.entity AND z.t = bo.t + 1)))"""
+
+
+@query(f"WITH RECURSIVE {SQL_PANEL}, {sql24()}, {sql_z()}, {SQL_BOCPD} SELECT entity, t, round(CASE WHEN t >= 2 THEN run[1] + run[2] ELSE 0 END, 6) AS score FROM bo WHERE t >= 0")
 def score_bocpd(spark: SparkSession, d: str) -> DataFrame:
     found = D.bocpd(D.signals(D.local_growth(window24(spark, d))))
-    return found.select("entity", F.posexplode("score").alias("t", "score")).withColumn("score", F.round("score", 6))
+    return found.select("entity", F.posexplode("score").alias("t", "score")).select("entity", F.col("t").cast("long").alias("t"), F.round("score", 6).alias("score"))
+
 
+#: Every way to cut twelve months into one to six pieces of two months or more, and what each piece leaves of a series.
+SQL_CUTS = """pair AS (SELECT a::BIGINT AS a, b::BIGINT AS b FROM range(0, 11) x(a), range(2, 13) y(b) WHERE b - a >= 2),
+cut AS (SELECT 0::BIGINT AS place, 0 AS k, [0::BIGINT] AS ends UNION ALL SELECT b, k + 1, list_append(ends, b) FROM cut JOIN pair ON a = place WHERE k < 6),
+way AS (SELECT row_number() OVER () AS id, k - 1 AS breaks, ends FROM cut WHERE place = 12),
+piece AS (SELECT entity, a, b, sum(z * z) - sum(z) ** 2 / (b - a) AS c FROM z JOIN pair ON t >= a AND t < b GROUP BY 1, 2, 3),
+part AS (SELECT id, unnest(ends[1:len(ends) - 1]) AS a, unnest(ends[2:len(ends)]) AS b FROM way),
+cost AS (SELECT entity, id, sum(c) AS c FROM part JOIN piece USING (a, b) GROUP BY 1, 2),
+least_ AS (SELECT entity, breaks, arg_min(ends, c) AS ends, min(c) AS c FROM cost JOIN way USING (id) GROUP BY 1, 2)"""
 
-@query()
+
+@query(f"""WITH RECURSIVE {SQL_PANEL}, {sql24()}, {sql_z()}, {SQL_CUTS}
+SELECT entity, array_to_string(ends[2:len(ends) - 1], ',') AS breaks, round(c, 5) AS cost FROM least_ QUALIFY row_number() OVER (PARTITION BY entity ORDER BY c + 6 * breaks, breaks) = 1""")
 def segmentation(spark: SparkSession, d: str) -> DataFrame:
     found = D.segmentation(D.signals(D.local_growth(window24(spark, d))), penalty=6.0)
     return found.select("entity", F.array_join("breaks", ",").alias("breaks"), F.round("cost", 5).alias("cost"))
@@ -163,3 +184,32 @@ def two_key_alarm(spark: SparkSession, d: str) -> DataFrame:
     ev = li.select(F.col("l_suppkey").alias("entity"), (P.month_idx("l_shipdate") - (at.last - 23) - 12).alias("t"))
     ev = ev.union(ev.select("entity", (F.col("t") + 1).alias("t"))).distinct().withColumn("event", F.lit(True))
     return s.join(ev, ["entity", "t"], "left").select("entity", "t", X.two_key_alarm(F.col("score"), F.col("event"), 2.5, 1.2).alias("alarm"))
+
+
+@query(f"""WITH RECURSIVE {SQL_PANEL}, {sql24()}, {sql_z()}, {SQL_EWMA}, s AS (SELECT entity, t, score FROM ew UNION ALL SELECT entity, 0, 0 FROM e0),
+th AS (SELECT quantile_cont(top, 0.95) AS threshold FROM (SELECT max(score) AS top FROM ew WHERE t >= 2 GROUP BY entity))
+SELECT entity, t, round(x, 6) AS x, round(z, 5) AS z, round(score, 5) AS score, score > threshold AS alarm FROM z JOIN s USING (entity, t), th""")
+def entity_signal(spark: SparkSession, d: str) -> DataFrame:
+    """What a series' page shows: its local growth, standardised, the detector's score, and where it passes the threshold
+    that one series in twenty passes."""
+    z = D.local_growth(window24(spark, d))
+    s = _scored(z, D.ewma)
+    threshold = D.calibrate(s, s.select("entity").limit(0), (0.05,)).select("threshold")
+    both = z.join(s, ["entity", "t"]).crossJoin(F.broadcast(threshold))  # one row
+    return both.select("entity", "t", F.round("x", 6).alias("x"), F.round("z", 5).alias("z"), F.round("score", 5).alias("score"), (F.col("score") > F.col("threshold")).alias("alarm"))
+
+
+@query(f"""WITH {SQL_PANEL}, full_ AS (SELECT * FROM panel WHERE month BETWEEN (SELECT a FROM win) AND {S_LAST} AND entity IN (SELECT entity FROM panel
+WHERE month BETWEEN (SELECT a FROM win) AND {S_LAST} GROUP BY entity HAVING count(*) = {S_LAST} - (SELECT a FROM win) + 1)),
+y AS (SELECT a.entity, a.month, a.value / b.value - 1 AS g FROM full_ a JOIN full_ b ON b.entity = a.entity AND b.month = a.month - 12),
+i AS (SELECT entity, month, g - quantile_cont(g, 0.5) OVER (PARTITION BY month) AS x FROM y), c AS (SELECT entity, month, x - quantile_cont(x, 0.5) OVER (PARTITION BY entity) AS c FROM i),
+s AS (SELECT entity, 1.4826::DOUBLE * quantile_cont(abs(c), 0.5) + 1e-9::DOUBLE AS s FROM c GROUP BY 1)
+SELECT month, count(*)::BIGINT AS series, round(avg((abs(c / s) > 3)::INT), 6) AS share, round(max(abs(c / s)), 4) AS largest FROM c JOIN s USING (entity) GROUP BY 1""")
+def exploratory_z(spark: SparkSession, d: str) -> DataFrame:
+    """By month, the share of series whose growth less the common one lies more than three of their own robust spreads
+    from their median."""
+    at = setting(spark, d)
+    p = P.full_history(at.panel, ["entity"], at.first, at.last)
+    return D.exploratory_z(p).groupBy("month").agg(
+        F.count("*").alias("series"), F.round(F.avg((F.abs("z") > 3).cast("int")), 6).alias("share"), F.round(F.max(F.abs("z")), 4).alias("largest")
+    )

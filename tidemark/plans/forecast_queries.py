@@ -370,3 +370,47 @@ def forward_forecast(spark: SparkSession, d: str) -> DataFrame:
     pred = M.seasonal_drift(p, M.points(p, [at.last], HORIZONS)).join(p.select("entity", (F.col("month") + 12).alias("month"), "value"), ["entity", "month"])
     growth = F.percentile(F.ln(F.col("yhat") / F.col("value")), 0.5).over(Window.partitionBy("h"))
     return pred.select("entity", "month", F.col("h").cast("long").alias("h"), F.round("yhat", 4).alias("yhat"), growth.between(-0.5, 0.5).alias("plausible"))
+
+
+_FORWARD = f"""fw AS (SELECT s.entity, s.month + 12 AS month, s.month + 12 - {S_LAST} AS h, s.value * (SELECT sum(n.value) FROM full_panel n WHERE n.entity = s.entity AND n.month BETWEEN {S_LAST} - 2 AND {S_LAST})
+/ (SELECT sum(n.value) FROM full_panel n WHERE n.entity = s.entity AND n.month BETWEEN {S_LAST} - 14 AND {S_LAST} - 12) AS yhat FROM full_panel s WHERE s.month BETWEEN {S_LAST} - 11 AND {S_LAST} - 9)"""
+
+
+@query(f"""WITH {SQL_PRED}, {SQL_PARTS.format('pred', '', '', '')}, {_FORWARD}
+SELECT entity, fw.month::BIGINT AS month, fw.h::BIGINT AS h, round(yhat, 4) AS yhat, round(yhat * exp(lo), 3) AS lo, round(yhat * exp(hi), 3) AS hi FROM fw JOIN bd ON bd.model = 'drift' AND bd.h = fw.h""")
+def entity_forecast(spark: SparkSession, d: str) -> DataFrame:
+    """What a series' page shows ahead of its last month: the forecast and the band of its horizon."""
+    at = setting(spark, d)
+    p = full(at)
+    band = E.error_band(predictions(at, ("drift",))).select("h", "lo", "hi")  # a row a horizon
+    ahead = M.seasonal_drift(p, M.points(p, [at.last], HORIZONS)).join(F.broadcast(band), "h")
+    low, high = F.round(F.col("yhat") * (1 + F.col("lo")), 3), F.round(F.col("yhat") * (1 + F.col("hi")), 3)
+    return ahead.select("entity", "month", F.col("h").cast("long").alias("h"), F.round("yhat", 4).alias("yhat"), low.alias("lo"), high.alias("hi"))
+
+
+@query(f"""WITH {SQL_PRED} SELECT entity, model, origin, string_agg(h || '=' || printf('%.2f', yhat) || '/' || printf('%.2f', y), ';' ORDER BY h) AS points, round(avg(abs(y / yhat - 1)), 6) AS ape FROM pred
+WHERE y IS NOT NULL AND yhat IS NOT NULL GROUP BY 1, 2, 3""")
+def entity_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Each series' past windows by model: forecast and fact of every horizon, and the window's mean relative error."""
+    known = predictions(setting(spark, d)).where("y is not null and yhat is not null")
+    text = F.transform(F.array_sort(F.collect_list(F.struct("h", "yhat", "y"))), lambda r: F.format_string("%d=%.2f/%.2f", r["h"], r["yhat"], r["y"]))
+    return known.groupBy("entity", "model", "origin").agg(F.array_join(text, ";").alias("points"), F.round(F.avg(F.abs(F.col("y") / F.col("yhat") - 1)), 6).alias("ape"))
+
+
+@query()
+def ridge_covariates_forecast(spark: SparkSession, d: str) -> DataFrame:
+    """The ridge model with covariates as they were known at each month beside the panel's own features."""
+    from .join_queries import covariates
+
+    at = setting(spark, d)
+    known = covariates(spark, d).withColumnRenamed("month", "t")
+    rows = M.supervised(full(at), HORIZONS).join(known, ["entity", "t"], "left")
+    found = M.global_model(rows, at.origins[-1], "ridge", features=(*M.FEATURES, "orders_growth", "acts", "off_days"))
+    return found.select("entity", "origin", "h", "month", "y", F.round("yhat", 2).alias("yhat"))
+
+
+@query()
+def feature_importance(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of the ten most important features of the boosted trees, averaged over three seeds; a category's columns are summed."""
+    at = setting(spark, d)
+    return M.importances(M.supervised(full(at), HORIZONS), at.origins[-1], "gbt", seeds=(1, 2, 3)).orderBy(F.desc("share"), "feature").limit(10)

@@ -64,6 +64,17 @@ def active_interval_months(spark: SparkSession, d: str) -> DataFrame:
     return X.active_months(starts, ["customer"], "m", ends, "m", 3)
 
 
+@query(f"""WITH o AS (SELECT o_custkey AS customer, {MI.format('o_orderdate')} + o_orderkey % 2 AS m, o_orderpriority AS p, o_orderstatus AS f FROM orders),
+s AS (SELECT DISTINCT customer, m FROM o WHERE p = '1-URGENT'), e AS (SELECT DISTINCT customer, m AS b FROM o WHERE f = 'F'),
+i AS (SELECT s.customer, m, least(m + 3, coalesce(min(b), m + 3)) AS stop FROM s LEFT JOIN e ON e.customer = s.customer AND b > m GROUP BY 1, 2)
+SELECT DISTINCT customer, unnest(generate_series(m, stop - 1))::BIGINT AS month FROM i""")
+def acts_known_at_t(spark: SparkSession, d: str) -> DataFrame:
+    """Urgent orders, some published a month late, count as active for three months, or until a finished one is published."""
+    o = read(spark, d, "orders").select(F.col("o_custkey").alias("customer"), (P.month_idx("o_orderdate") + F.col("o_orderkey") % 2).alias("m"), "o_orderpriority", "o_orderstatus")
+    starts, ends = o.where("o_orderpriority = '1-URGENT'").select("customer", "m").distinct(), o.where("o_orderstatus = 'F'").select("customer", "m").distinct()
+    return X.known_active_months(starts, ["customer"], "m", ends, "m", 3)
+
+
 @query("""WITH q AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS prefix FROM part)
 SELECT p_partkey AS part, prefix FROM part JOIN q ON starts_with(p_name, prefix)""")
 def prefix_match(spark: SparkSession, d: str) -> DataFrame:
@@ -187,3 +198,34 @@ def gazetteer_tags(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT p_partkey AS part, array_to_string([substr(x, 1, 4) FOR x IN list_sort(string_split(lower(p_name), ' '))], ' ') AS stem FROM part""")
 def stem_keys(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").select(F.col("p_partkey").alias("part"), stem_key(F.col("p_name"), 4).alias("stem"))
+
+
+SQL_DAYS = "cal AS (SELECT day::DATE AS day FROM generate_series((SELECT min(l_shipdate) FROM lineitem), (SELECT max(l_shipdate) FROM lineitem) + INTERVAL 3 MONTH, INTERVAL 1 DAY) g(day)), off AS (SELECT (year(day) * 12 + month(day) - 1)::BIGINT AS month, count(*) FILTER (isodow(day) > 5)::BIGINT AS off_days FROM cal GROUP BY 1)"
+
+
+def covariates(spark: SparkSession, d: str) -> DataFrame:
+    """(entity, month, orders_growth, acts, off_days): covariates of a series as they were known at a month's end. Annual
+    growth of its nation's orders, published a month late; customers of the nation with an active act; and the days off of
+    the month ahead, which a calendar knows long before."""
+    p = panel(spark, d).select("entity", "month")
+    s = read(spark, d, "supplier").select(F.col("s_suppkey").alias("entity"), F.col("s_nationkey").alias("nation"))
+    o = order_months(spark, d).withColumn("orders_growth", P.log_growth(F.col("orders").cast("double"), P.lag_months("orders", 12, ["nation"]).cast("double")))
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("customer"), F.col("c_nationkey").alias("nation"))
+    acts = acts_known_at_t(spark, d).join(c, "customer").groupBy("nation", "month").agg(F.count("*").alias("acts"))
+    span = read(spark, d, "lineitem").agg(F.min("l_shipdate").cast("date").alias("a"), F.max("l_shipdate").alias("z"))
+    days = span.select(F.explode(F.sequence("a", F.to_date(F.col("z") + F.expr("INTERVAL 3 MONTH")))).alias("day"))
+    off = days.groupBy(P.month_idx("day").alias("month")).agg(F.sum((F.weekday("day") > 4).cast("long")).alias("off_days"))  # a row a month
+    joined = p.join(s, "entity").join(o.select("nation", (F.col("month") + 1).alias("month"), "orders_growth"), ["nation", "month"], "left")
+    joined = joined.join(acts, ["nation", "month"], "left").join(F.broadcast(off.withColumn("month", F.col("month") - 1)), "month", "left")
+    return joined.select("entity", "month", "orders_growth", F.coalesce("acts", F.lit(0)).alias("acts"), "off_days")
+
+
+@query(f"""WITH {SQL_PANEL}, {SQL_ORD}, {SQL_DAYS}, og AS (SELECT a.nation, a.month, ln(a.orders / b.orders) AS g FROM om a JOIN om b ON b.nation = a.nation AND b.month = a.month - 12),
+o AS (SELECT o_custkey AS customer, {MI.format('o_orderdate')} + o_orderkey % 2 AS m, o_orderpriority AS p, o_orderstatus AS f FROM orders),
+s AS (SELECT DISTINCT customer, m FROM o WHERE p = '1-URGENT'), e AS (SELECT DISTINCT customer, m AS b FROM o WHERE f = 'F'),
+i AS (SELECT s.customer, m, least(m + 3, coalesce(min(b), m + 3)) AS stop FROM s LEFT JOIN e ON e.customer = s.customer AND b > m GROUP BY 1, 2),
+ac AS (SELECT c_nationkey AS nation, month, count(*)::BIGINT AS acts FROM (SELECT DISTINCT customer, unnest(generate_series(m, stop - 1))::BIGINT AS month FROM i) JOIN customer ON c_custkey = customer GROUP BY 1, 2)
+SELECT p.entity, p.month, round(og.g, 6) AS orders_growth, coalesce(ac.acts, 0) AS acts, off_days FROM panel p JOIN supplier ON s_suppkey = p.entity LEFT JOIN og ON og.nation = s_nationkey AND og.month = p.month - 1
+LEFT JOIN ac ON ac.nation = s_nationkey AND ac.month = p.month LEFT JOIN off ON off.month = p.month + 1""")
+def covariate_features(spark: SparkSession, d: str) -> DataFrame:
+    return covariates(spark, d).withColumn("orders_growth", F.round("orders_growth", 6))

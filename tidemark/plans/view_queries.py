@@ -50,7 +50,8 @@ def entity_detail(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("entity", F.array_join(text, ";").alias("series"), F.size("a").cast("long").alias("points"))
 
 
-@query()
+@query(f"""WITH {SQL_CAT}, p AS (SELECT entity, category, '"' || category || '":[' || string_agg('{{"month":' || month || ',"value":' || value::VARCHAR || '}}', ',' ORDER BY month) || ']' AS x FROM cat GROUP BY 1, 2)
+SELECT entity, '{{' || string_agg(x, ',' ORDER BY category) || '}}' AS json FROM p GROUP BY 1""")
 def entity_json(spark: SparkSession, d: str) -> DataFrame:
     """The same as nested JSON, for a static export."""
     c = category_panel(spark, d)
@@ -117,3 +118,50 @@ def region_ranking(spark: SparkSession, d: str) -> DataFrame:
     return r.select("entity", "month", F.round(F.col("value") / F.sum("value").over(w), 6).alias("share"), F.rank().over(w.orderBy(F.desc("value"))).cast("long").alias("place"))
 
 
+_TABLES = {"lineitem": "l_shipdate", "orders": "o_orderdate", "events": "ts"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*)::BIGINT AS rows, min({c})::DATE::VARCHAR AS first, max({c})::DATE::VARCHAR AS last, ((SELECT max(ts)::DATE FROM events) - max({c})::DATE)::BIGINT AS days_behind FROM {t}" for t, c in _TABLES.items()))
+def data_status(spark: SparkSession, d: str) -> DataFrame:
+    """Rows, first and last day of the dated tables, and how far each is behind the events."""
+    out = None
+    for t, c in _TABLES.items():
+        one = read(spark, d, t).agg(F.count("*").alias("rows"), F.min(c).cast("date").alias("first"), F.max(c).cast("date").alias("last")).withColumn("table", F.lit(t))
+        out = one if out is None else out.unionByName(one)
+    newest = out.where("table = 'events'").select(F.col("last").alias("newest"))
+    return out.crossJoin(F.broadcast(newest)).select(  # a row a table
+        "table", "rows", F.col("first").cast("string").alias("first"), F.col("last").cast("string").alias("last"), F.date_diff("newest", "last").cast("long").alias("days_behind")
+    )
+
+
+@query("""WITH e AS (SELECT user_id AS entity, user_id % 10 AS region, event_type AS kind, event_id FROM events), k AS (SELECT DISTINCT kind FROM e), m AS (SELECT DISTINCT entity, region FROM e),
+o AS (SELECT entity, kind, count(DISTINCT event_id)::BIGINT AS n FROM e GROUP BY 1, 2), r AS (SELECT region, kind, count(DISTINCT event_id)::BIGINT AS n FROM e GROUP BY 1, 2)
+SELECT m.entity, k.kind, coalesce(o.n, 0) AS own, coalesce(r.n, 0) - coalesce(o.n, 0) AS regional, rank() OVER (PARTITION BY m.entity ORDER BY coalesce(o.n, 0) DESC, k.kind)::BIGINT AS place
+FROM m CROSS JOIN k LEFT JOIN o ON o.entity = m.entity AND o.kind = k.kind LEFT JOIN r ON r.region = m.region AND r.kind = k.kind""")
+def news_overview(spark: SparkSession, d: str) -> DataFrame:
+    """News about an entity and about the rest of its region, by type; the entity's types are ranked. Kinds are a handful."""
+    e = read(spark, d, "events").select(F.col("user_id").alias("entity"), (F.col("user_id") % 10).alias("region"), F.col("event_type").alias("kind"), "event_id")
+    kinds = e.select("kind").distinct().agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+    grid = e.select("entity", "region").distinct().crossJoin(F.broadcast(kinds)).select("entity", "region", F.explode("kinds").alias("kind"))
+    own = e.groupBy("entity", "kind").agg(F.countDistinct("event_id").alias("own"))
+    all_ = e.groupBy("region", "kind").agg(F.countDistinct("event_id").alias("all"))
+    both = grid.join(own, ["entity", "kind"], "left").join(all_, ["region", "kind"], "left").fillna(0, ["own", "all"])
+    place = F.rank().over(Window.partitionBy("entity").orderBy(F.desc("own"), "kind")).cast("long")
+    return both.select("entity", "kind", "own", (F.col("all") - F.col("own")).alias("regional"), place.alias("place"))
+
+
+@query("""WITH e AS (SELECT user_id AS entity, user_id % 10 AS region, event_type AS kind, (ts::DATE - DATE '2024-01-01')::BIGINT // 7 AS week, event_id FROM events),
+r AS (SELECT DISTINCT entity, region, week FROM e WHERE kind = 'signup'), n AS (SELECT * FROM e WHERE kind = 'error')
+SELECT r.entity, r.week, (SELECT count(*) FROM n WHERE n.entity = r.entity AND n.week = r.week)::BIGINT AS own_news, (SELECT count(*) FROM n WHERE n.region = r.region AND n.week = r.week)::BIGINT AS region_news,
+(SELECT coalesce(min(event_id), -1) FROM n WHERE n.entity = r.entity AND n.week = r.week) AS first_news FROM r""")
+def event_period_news(spark: SparkSession, d: str) -> DataFrame:
+    """For each registered event, the news about its entity, and about its region, in the same period (a week here)."""
+    e = read(spark, d, "events").select(
+        F.col("user_id").alias("entity"), (F.col("user_id") % 10).alias("region"), "event_type",
+        F.floor(F.date_diff("ts", F.lit("2024-01-01").cast("date")) / 7).cast("long").alias("week"), "event_id",
+    )
+    news = e.where("event_type = 'error'")
+    own = news.groupBy("entity", "week").agg(F.countDistinct("event_id").alias("own_news"), F.min("event_id").alias("first_news"))
+    regional = news.groupBy("region", "week").agg(F.countDistinct("event_id").alias("region_news"))
+    found = e.where("event_type = 'signup'").select("entity", "region", "week").distinct().join(own, ["entity", "week"], "left").join(regional, ["region", "week"], "left")
+    return found.select("entity", "week", F.coalesce("own_news", F.lit(0)).alias("own_news"), F.coalesce("region_news", F.lit(0)).alias("region_news"), F.coalesce("first_news", F.lit(-1)).alias("first_news"))
