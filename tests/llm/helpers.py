@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import zlib
+from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import xxhash
 
@@ -123,3 +125,79 @@ def quality(text: str | None) -> tuple:
 
 def held_out(doc_id) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == 0
+
+
+class _Targets(HTMLParser):
+    """Canonical links and refresh targets, by a real parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.found = []
+
+    def handle_starttag(self, tag, attrs):
+        a = {k: v or "" for k, v in attrs}
+        if tag == "link" and "canonical" in a.get("rel", "").lower().split():
+            self.found.append(a.get("href", "").strip())
+        if tag == "meta" and a.get("http-equiv", "").lower() == "refresh":
+            m = re.search(r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", a.get("content", ""))
+            if m:
+                self.found.append(m.group(1))
+
+
+def _host_path(url: str | None) -> tuple[str, str]:
+    if url is None or "://" not in url:
+        return "", ""
+    host = re.split("[/?#]", url.split("://", 1)[1], maxsplit=1)[0]
+    low = re.sub("[A-Z]", lambda m: m.group().lower(), host)
+    return low, re.split("[?#]", url.split("://", 1)[1][len(host) :], maxsplit=1)[0]
+
+
+def _form(url: str | None) -> str | None:
+    if url is None or "://" not in url:
+        return None
+    host, path = _host_path(url)
+    query = url.split("#")[0].partition("?")[2]
+    kept = "&".join(x for x in query.split("&") if not re.match("(utm_[^=&]*|ref|fbclid|gclid)=", x))
+    return host + path.rstrip("/") + ("?" + kept if kept.strip("&") else "")
+
+
+def url_verdicts(pages: list[tuple], rules) -> list[tuple]:
+    """(page, host, path, rule, verdict) with components by repeated merging."""
+
+    def rule_of(host, path):
+        fit = [(len(h + p), v == "allow", h + p) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fit) if fit else None
+
+    group: dict = {}
+    seen: list[tuple] = []
+
+    def find(x):
+        while group.setdefault(x, x) != x:
+            x = group[x]
+        return x
+
+    for _, url, html in pages:
+        if url is None or "://" not in url:
+            continue
+        seen.append((_form(url), rule_of(*_host_path(url))))
+        parser = _Targets()
+        parser.feed(html or "")
+        for ref in parser.found:
+            if not ref or ref.startswith("#") or (re.match("[A-Za-z][A-Za-z0-9+.-]*:", ref) and "://" not in ref.split("?")[0].split("#")[0][: ref.find(":") + 3]):
+                continue
+            to = urljoin(url, ref)
+            seen.append((_form(to), rule_of(*_host_path(to))))
+            a, b = find(_form(url)), find(_form(to))
+            group[max(a, b)] = min(a, b)
+    decided: dict = {}
+    for form, rule in seen:
+        if rule:
+            decided[find(form)] = decided.get(find(form), False) or rule[1]
+    out = []
+    for key, url, _ in pages:
+        host, path = _host_path(url)
+        rule = rule_of(host, path) if url and "://" in url else None
+        alias = decided.get(find(_form(url))) if _form(url) is not None else None
+        allowed = rule[1] if rule else True if alias is None else alias
+        out.append((key, host, path, rule[2] if rule else None, "allow" if allowed else "block"))
+    return out

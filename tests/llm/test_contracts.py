@@ -148,6 +148,25 @@ def test_scores(spark, tables, texts):
     assert all((r.lang_pred == "und") == (r.doc_id in blank) for r in language)
 
 
+def test_urls_against_a_parser_and_union_find(spark, tables, tmp_path):
+    """The query on its own tables, and on pages whose aliases decide: relative, encoded, query-only, chained and shared targets."""
+    from tidemark.llm.url_filter import RULES
+
+    pages = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{tables}/pages.parquet").collect()]
+    assert pairs(tuple(r) for r in QUERIES["op7_url_filter"](spark, tables).collect()) == pairs(H.url_verdicts(pages, RULES))
+    link = lambda to: f'<html><head><link rel="canonical" href="{to}"></head></html>'
+    made = [(1, "https://s.net/es/a?x=1&y=2", None), (2, "https://q.org/d/2", link("https://s.net/es/a?x=1&amp;y=2")), (3, "https://q.org/d/3", link("2")), (4, "https://q.org/d/e/4", link("../3")),
+        (5, "https://q.org/d/5", "<meta http-equiv=refresh content='0; url=4'>"), (6, "https://q.org/d/e/6?a=1", link("?b=2")), (7, "https://q.org/d/e/6?b=2", link("//s.net/fr/z")),
+        (8, "http://Q.ORG/d/2/?utm_source=x#f", ""), (9, "https://free.org/1", link("https://x.com/")), (10, "https://free.org/2", link("/1")), (11, "https://free.org/3", link("https://s.net/es/zz")),
+        (12, "https://free.org/4", link("3") + link("https://x.com/")), (13, "https://free.org/3", ""), (None, "https://alone.org/", link("#top")), (14, "https://alone.org/m", link("mailto:a@b.c"))]
+    made += [(100 + i, f"https://chain.org/{i}", link(f"/{i + 1}") if i < 80 else link("https://s.net/es/end")) for i in range(81)]
+    made += [(300 + i, f"https://many.org/{i}", link("https://s.net/fr/hub")) for i in range(200)]
+    spark.createDataFrame(made, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    rows = QUERIES["op7_url_filter"](spark, str(tmp_path)).collect()
+    assert pairs(tuple(r) for r in rows) == pairs(H.url_verdicts(made, RULES))
+    assert sum(r.rule is None and r.verdict == "block" for r in rows) > 250 and {r.verdict for r in rows if r.page_id in (9, 10, 12)} == {"allow"}
+
+
 def test_urls(spark, odd_dir):
     rows = QUERIES["op7_url_filter"](spark, odd_dir).collect()
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in rows}
