@@ -178,7 +178,7 @@ def neighbour_disambiguation(spark: SparkSession, d: str) -> DataFrame:
     return J.neighbour_region(ordered, "place", "known", ["list"]).select("entity", "region", "known", "resolved")
 
 
-@query(r"""WITH w AS (SELECT doc_id, lang, unnest(list_distinct(regexp_extract_all(text, '\b([A-Z][a-z]{6,})\b', 1))) AS w FROM documents),
+@query(r"""WITH w AS (SELECT doc_id, lang, unnest(list_distinct([x FOR x IN string_split_regex(text, '[^\p{L}]+') IF regexp_full_match(x, '[A-Z][a-z]{6,}')])) AS w FROM documents),
 n AS (SELECT w, min(lang) AS region, count(DISTINCT lang) > 1 AS ambiguous FROM w GROUP BY 1 HAVING count(*) >= 5), d AS (SELECT doc_id, any_value(text) AS text FROM documents GROUP BY 1),
 h AS (SELECT DISTINCT doc_id, w FROM w JOIN n USING (w) JOIN d USING (doc_id) WHERE NOT ambiguous OR contains(lower(text), lower(n.region)))
 SELECT w AS entity, count(*)::BIGINT AS documents, min(doc_id) AS first_doc FROM h GROUP BY 1""")
@@ -186,10 +186,11 @@ def gazetteer_tags(spark: SparkSession, d: str) -> DataFrame:
     """Documents that name an entry of a gazetteer made of frequent capitalised words of the corpus; names that two
     languages share are ambiguous and need their language's name beside them."""
     docs = read(spark, d, "documents").select("doc_id", "text", "lang")
-    word = docs.select("lang", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b([A-Z][a-z]{6,})\b"), F.lit(1)))).alias("w"))
+    words = F.filter(F.split("text", r"[^\p{L}]+"), lambda x: x.rlike("^[A-Z][a-z]{6,}$"))
+    word = docs.select("lang", F.explode(F.array_distinct(words)).alias("w"))
     names = word.groupBy("w").agg(F.count("*").alias("n"), F.min("lang").alias("region"), F.countDistinct("lang").alias("k")).where("n >= 5")
     patterns = names.select(
-        F.col("w").alias("entity"), F.substring(F.lower("w"), 1, 5).alias("stem"), F.concat(F.lit(r"\b"), "w", F.lit(r"\b")).alias("pattern"), "region", (F.col("k") > 1).alias("ambiguous")
+        F.col("w").alias("entity"), F.substring(F.lower("w"), 1, 5).alias("stem"), F.concat(F.lit(r"(?<!\p{L})"), "w", F.lit(r"(?!\p{L})")).alias("pattern"), "region", (F.col("k") > 1).alias("ambiguous")
     )
     one = docs.dropDuplicates(["doc_id"]).select("doc_id", "text")
     return J.pattern_tags(one, "text", patterns, "doc_id").groupBy("entity").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_doc"))

@@ -199,11 +199,11 @@ def category_share(spark: SparkSession, d: str) -> DataFrame:
     return m.select(*EC, F.round("mean", 8).alias("mean"), F.round(F.col("mean") / F.sum("mean").over(Window.partitionBy("entity")), 6).alias("share"))
 
 
-@query(f"""WITH {SQL_PANEL}, {SQL_PLACES} SELECT region, month, round(sum(n * value) / greatest(sum(n), 1), 4) AS weighted, round(avg(value), 4) AS plain
+@query(f"""WITH {SQL_PANEL}, {SQL_PLACES} SELECT region, month, round(sum(n * value) / greatest(sum(n), 1), 8) AS weighted, round(avg(value), 8) AS plain
 FROM panel JOIN places USING (entity) GROUP BY 1, 2""")
 def weighted_mean(spark: SparkSession, d: str) -> DataFrame:
     return panel(spark, d).join(places(spark, d), "entity").groupBy("region", "month").agg(
-        F.round(F.sum(F.col("n") * F.col("value")) / F.greatest(F.sum("n"), F.lit(1)), 4).alias("weighted"), F.round(F.avg("value"), 4).alias("plain")
+        F.round(F.sum(F.col("n") * F.col("value")) / F.greatest(F.sum("n"), F.lit(1)), 8).alias("weighted"), F.round(F.avg("value"), 8).alias("plain")
     )
 
 
