@@ -247,7 +247,7 @@ def test_pu_risk_and_slope_against_plain_sums():
         loss = lambda z, y: np.log1p(np.exp(-y * z))
         negative = sum(loss(z, -1) for z in zu) / 11 - prior * sum(loss(z, -1) for z in zp) / 7
         assert pu_quality.risk(zp, zu, prior) == pytest.approx(prior * sum(loss(z, 1) for z in zp) / 7 + max(0, negative))
-        part = (lambda a, b: pu_quality.risk(a, b, prior)) if negative >= 0 else (lambda a, b: -(loss(b, -1).mean() - prior * loss(a, -1).mean()))
+        part = (lambda a, b: pu_quality.risk(a, b, prior)) if negative >= 0 else (lambda a, b: prior * loss(a, 1).mean() - (loss(b, -1).mean() - prior * loss(a, -1).mean()))
         dp, du = pu_quality.risk_slope(zp, zu, prior)
         for i in range(7):
             step = np.eye(7)[i] * 1e-6

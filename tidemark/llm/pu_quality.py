@@ -5,7 +5,7 @@ text measures and hashed words minimises the non-negative unbiased risk
 
     prior * R+(P) + max(0, R-(U) - prior * R-(P))
 
-(logistic loss; while the second term is negative, its gradient is stepped against). Steps shrink to zero, and the model is
+(logistic loss; while the second term is negative, its gradient is stepped against as well). Steps shrink to zero, and the model is
 the mean of the iterates of the last half, so no iterate is singled out. The class prior is estimated first:
 a model tells P from U on one half of the sample; on the other half, the share of U above a threshold over that of P
 bounds the prior, and the smallest bound, with its sampling error, is taken; several halvings are averaged.
@@ -142,7 +142,7 @@ def estimate_prior(p: Sample, u: Sample, steps: int = 60, splits: int = 5) -> fl
         zp, zu = np.sort(pb.logits(model)), np.sort(ub.logits(model))
         cuts = zp[np.minimum(len(zp) - 1, ((1 - shares) * len(zp)).astype(int))]
         tail = lambda z: 1 - np.searchsorted(z, cuts, "left") / len(z)  # noqa: E731, B023
-        slack = 0.25 / np.sqrt(len(zp)) + 0.25 / np.sqrt(len(zu))
+        slack = sum(0.25 / np.sqrt(len(z)) + 2 / len(z) for z in (zp, zu))  # a few rows prove little
         found.append(((tail(zu) + slack) / tail(zp)).min())
     return float(np.clip(np.mean(found), 0.05, 0.98))
 
@@ -154,11 +154,12 @@ def risk(zp: np.ndarray, zu: np.ndarray, prior: float) -> float:
 
 
 def risk_slope(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
-    """The direction by each logit: the risk's derivative, or against that of the negative part while this is below zero."""
+    """The direction by each logit: the risk's derivative, and while the negative part is below zero, against that part's own,
+    so that P is never pushed down where U no longer speaks."""
     negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
     if negative >= 0:
         return np.full(len(zp), -prior / len(zp)), _sigmoid(zu) / len(zu)  # the logistic losses of P differ by its logit
-    return prior * _sigmoid(zp) / len(zp), -_sigmoid(zu) / len(zu)
+    return prior * (2 * _sigmoid(zp) - 1) / len(zp), -_sigmoid(zu) / len(zu)
 
 
 def fit_nnpu(p: Sample, u: Sample, prior: float, steps: int = 200) -> Model:
