@@ -62,7 +62,6 @@ SELECT far, size, count(*)::BIGINT AS shifts, count(delay)::BIGINT AS hits, roun
 def recall_by_size(spark: SparkSession, d: str) -> DataFrame:
     """How often artificial shifts of each size are caught, at each rate of false alarms."""
     scores, labels = _injected(spark, d)
-    scores = checkpointed(scores)
     found = D.evaluate(scores, labels, D.calibrate(scores, labels, FARS), by=("size",))
     return found.select("far", "size", "shifts", "hits", F.round("recall", 6).alias("recall"))
 

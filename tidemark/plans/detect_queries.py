@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import detect as D
 from ..operators import features as X
 from ..operators import panel as P
+from ..session import checkpointed
 from .base import S_24, S_LAST, SQL_CAT, SQL_PANEL, Setting, category_panel, query, read, setting
 
 
@@ -134,7 +135,7 @@ def mixed_signal(spark: SparkSession, d: str) -> DataFrame:
 def _injected(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     p = window24(spark, d)
     labels = D.shift_labels(p.select("entity").distinct())
-    return _scored(D.local_growth(D.inject(p, labels)), D.ewma), labels
+    return checkpointed(_scored(D.local_growth(D.inject(p, labels)), D.ewma)), labels  # calibration and evaluation both read it
 
 
 FARS = (0.05, 0.1, 0.2, 0.3)

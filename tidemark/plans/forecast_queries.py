@@ -18,7 +18,8 @@ MEMBERS = ("seasonal", "drift", "national")
 
 
 def full(at: Setting) -> DataFrame:
-    return P.full_history(at.panel, ["entity"], at.first, at.last)
+    """The complete series, checkpointed: every model of a query reads them."""
+    return checkpointed(P.full_history(at.panel, ["entity"], at.first, at.last))
 
 
 def national_growth(p: DataFrame) -> DataFrame:
@@ -414,3 +415,31 @@ def feature_importance(spark: SparkSession, d: str) -> DataFrame:
     """Shares of the ten most important features of the boosted trees, averaged over three seeds; a category's columns are summed."""
     at = setting(spark, d)
     return M.importances(M.supervised(full(at), HORIZONS), at.origins[-1], "gbt", seeds=(1, 2, 3)).orderBy(F.desc("share"), "feature").limit(10)
+
+
+_COMMA = "replace(printf('%.2f', {0}), '.', ',')"
+
+
+@query(f"""WITH {SQL_PRED}, m AS (SELECT model, avg(abs(y - yhat)) AS mae, count(*) AS n FROM pred WHERE y IS NOT NULL AND yhat IS NOT NULL GROUP BY 1), {_FORWARD}
+SELECT 'series' AS kind, entity || ';' || month || ';' || {_COMMA.format('value')} AS line FROM panel
+UNION ALL SELECT 'windows', entity || ';' || model || ';' || origin || ';' || h || ';' || {_COMMA.format('yhat')} FROM pred WHERE yhat IS NOT NULL
+UNION ALL SELECT 'models', model || ';' || n || ';' || {_COMMA.format('mae')} FROM m
+UNION ALL SELECT 'forecast', entity || ';' || month::BIGINT || ';' || h::BIGINT || ';' || {_COMMA.format('yhat')} FROM fw""")
+def csv_exports(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of the four exports: series, past windows, models and the forecast, with semicolons and decimal commas."""
+    from ..functions.text import decimal_comma
+
+    at = setting(spark, d)
+    p, pred = full(at), predictions(at).where("yhat is not null")
+    models = pred.where("y is not null").groupBy("model").agg(F.avg(F.abs(F.col("y") - F.col("yhat"))).alias("mae"), F.count("*").alias("n"))
+    ahead = M.seasonal_drift(p, M.points(p, [at.last], HORIZONS))
+    parts = {
+        "series": (at.panel, ("entity", "month"), "value"), "windows": (pred, ("entity", "model", "origin", "h"), "yhat"),
+        "models": (models, ("model", "n"), "mae"), "forecast": (ahead, ("entity", "month", "h"), "yhat"),
+    }
+    out = None
+    for kind, (df, keys, value) in parts.items():
+        line = F.concat_ws(";", *(F.col(k).cast("string") for k in keys), decimal_comma(F.col(value)))
+        one = df.select(F.lit(kind).alias("kind"), line.alias("line"))
+        out = one if out is None else out.unionByName(one)
+    return out

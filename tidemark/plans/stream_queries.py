@@ -44,3 +44,14 @@ def stream_ewma(spark: SparkSession, d: str) -> DataFrame:
     signal = stream(spark, d, per_trigger=None).select(F.col("user_id").alias("entity"), F.col("event_id").alias("t"), F.col("value").alias("z"))
     scores = S.run_available(S.online_ewma(signal)).where(F.col("position") >= START)
     return scores.groupBy("entity").agg(F.count("*").alias("n"), F.round(F.max("score"), 4).alias("top"), F.round(F.sum("score"), 3).alias("total"))
+
+
+@query("""WITH RECURSIVE z AS (SELECT user_id AS entity, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS t, value AS z FROM events),
+e0 AS (SELECT entity, avg(z) AS ref FROM z WHERE t < 2 GROUP BY 1 HAVING count(*) = 2), cu AS (SELECT entity, ref, 1::BIGINT AS t, 0::DOUBLE AS up, 0::DOUBLE AS down FROM e0 UNION ALL
+SELECT z.entity, ref, z.t, greatest(0, up + z.z - ref - 0.5::DOUBLE), greatest(0, down - (z.z - ref) - 0.5::DOUBLE) FROM cu JOIN z ON z.entity = cu.entity AND z.t = cu.t + 1)
+SELECT entity, count(*)::BIGINT AS n, round(max(greatest(up, down)), 3) AS top FROM cu WHERE t >= 2 GROUP BY 1""")
+def stream_cusum(spark: SparkSession, d: str) -> DataFrame:
+    """The cumulative-sum detector carried along a stream, in one batch like ``stream_ewma``."""
+    signal = stream(spark, d, per_trigger=None).select(F.col("user_id").alias("entity"), F.col("event_id").alias("t"), F.col("value").alias("z"))
+    scores = S.run_available(S.online_cusum(signal)).where(F.col("position") >= START)
+    return scores.groupBy("entity").agg(F.count("*").alias("n"), F.round(F.max("score"), 3).alias("top"))

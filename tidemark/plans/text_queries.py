@@ -155,8 +155,8 @@ def embedding_classifier_cv(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     rows = read(spark, d, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"), F.col("label").cast("double").alias("label"))
-    per = F.count("*").over(Window.partitionBy("label"))
-    rows = rows.withColumn("weight", 1 / per).withColumn("fold", F.crc32(F.col("vec_id").cast("string")) % 3)
+    sizes = rows.groupBy("label").agg((1 / F.count("*")).alias("weight"))  # a row a label
+    rows = rows.join(F.broadcast(sizes), "label").withColumn("fold", F.crc32(F.col("vec_id").cast("string")) % 3)
     out = None
     for fold in range(3):
         model = LogisticRegression(weightCol="weight", regParam=0.01, maxIter=30, family="multinomial").fit(rows.where(F.col("fold") != fold))

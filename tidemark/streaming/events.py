@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.detect import ALPHA, START
+from ..operators.detect import ALPHA, SLACK, START
 
 
 def source(spark: SparkSession, folder: str, pattern: str, schema, per_trigger: int | None = 8) -> DataFrame:
@@ -71,6 +71,31 @@ def online_ewma(signal: DataFrame, key: str = "entity") -> DataFrame:
     )
 
 
+def online_cusum(signal: DataFrame, key: str = "entity", slack: float = SLACK) -> DataFrame:
+    """Two-sided cumulative sums (key, t, score, position) as values arrive, as in the batch detector; the state of a series is
+    its count, its reference (the mean of the first values) and both sums. Order as for ``online_ewma``."""
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    kind = signal.schema[key].dataType.simpleString()
+
+    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen, ref, up, down = state.get if state.exists else (0, 0.0, 0.0, 0.0)
+        rows = []
+        for t, z in sorted((t, z) for f in frames for t, z in zip(f["t"], f["z"], strict=True)):
+            if seen < START:
+                ref += z / START
+            else:
+                up, down = max(0.0, up + (z - ref) - slack), max(0.0, down - (z - ref) - slack)
+            rows.append((k[0], t, max(up, down), seen))
+            seen += 1
+        state.update((seen, ref, up, down))
+        yield pd.DataFrame(rows, columns=[key, "t", "score", "position"])
+
+    return signal.groupBy(key).applyInPandasWithState(
+        step, f"`{key}` {kind}, t long, score double, position long", "seen long, ref double, up double, down double", "append", GroupStateTimeout.NoTimeout
+    )
+
+
 def upsert_days(folder: str, day: str = "day"):
     """A foreachBatch sink that replaces whole days: late files rewrite only the days they touch."""
 
