@@ -76,7 +76,7 @@ class Sample:
 
     def __post_init__(self):
         self.sizes = np.array([len(w) for w in self.words], np.int64)
-        self.flat = np.concatenate([*self.words, np.zeros(0, np.int64)]).astype(np.int64)
+        self.flat = np.concatenate([*self.words, np.zeros(0, "<u2")]).astype(np.int64)
         self.row = np.repeat(np.arange(len(self.words)), self.sizes)
         self.value = 1 / np.sqrt(np.maximum(self.sizes, 1))[self.row] if len(self.flat) else np.zeros(0)
 
@@ -205,7 +205,8 @@ def fit(
     rows = [r for r in rows if r["positive"]], [r for r in rows if not r["positive"]]
     if not all(rows):
         return None
-    p, u = (Sample(np.array([r["dense"] for r in part]), [np.frombuffer(r["words"], "<u2").astype(np.int64) for r in part]) for part in rows)
+    p, u = (Sample(np.array([r["dense"] for r in part]), [np.frombuffer(r["words"], "<u2") for r in part]) for part in rows)
+    del rows  # the samples hold their own arrays, and views of the buckets' bytes
     return fit_nnpu(p, u, estimate_prior(p, u))
 
 
