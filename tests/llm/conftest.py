@@ -31,12 +31,17 @@ def odd_dir(spark, tmp_path_factory, sf_dir) -> str:
         (3, 0, "user", "very long " * 3000), (3, 1, "assistant", "short"), (4, 0, "assistant", "answer " * 1500), (4, 0, "assistant", "answer " * 1500)]
     turns += [(10 + i, j, "user" if j % 2 == 0 else "assistant", "word " * (10 + 7 * i % 90)) for i in range(60) for j in range(4)]
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as tokens", "2 as loss", "3 as n").write.parquet(f"{folder}/conversations.parquet")
+    nan, inf = float("nan"), float("inf")
+    vectors = [(i, [float((i * k) % 7) / 3 - 1 for k in range(1, 7)]) for i in range(40)] + [(3, [float((3 * k) % 7) / 3 - 1 for k in range(1, 7)])] * 30
+    vectors += [(100, None), (101, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (102, [nan, 0.0, 0.0, 0.0, 0.0, 0.0]), (103, [inf, 0.0, 0.0, 0.0, 0.0, 0.0]), (104, []),
+        (105, [1.0, 2.0]), (106, [1.5, -2.0]), (107, [-0.001, 0.25]), (108, [0.0]), (108, [-0.0]), (None, [0.5] * 6), (109, [3e38] * 6), (110, [-3e38, 1.0, 0.0, 0.0, 0.0, 0.0])]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").selectExpr("*", "1 as k", "2 as v", "3 as n", "4 as component", "5 as dims").write.parquet(f"{folder}/embeddings.parquet")
     return str(folder)
 
 
 @pytest.fixture(scope="session")
 def empty_dir(spark, odd_dir, tmp_path_factory) -> str:
     folder = tmp_path_factory.mktemp("none")
-    for name in ("documents", "labels", "benchmark", "pages", "conversations"):
+    for name in ("documents", "labels", "benchmark", "pages", "conversations", "embeddings"):
         spark.read.parquet(f"{odd_dir}/{name}.parquet").limit(0).write.parquet(f"{folder}/{name}.parquet")
     return str(folder)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_crf, packing, pii, pu_quality, quality_rules, secrets, simhash, token_store, url_filter
+from . import best_fit, decontaminate, filter_audit, language_crf, packing, pii, pu_quality, quality_rules, secrets, simhash, token_store, url_filter, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_language": language_crf.op9_language,
         "op10_token_store": token_store.op10_token_store,
+        "op11_whitening": whitening.op11_whitening,
+        "op12_best_fit": best_fit.op12_best_fit,
+        "op13_filter_audit": filter_audit.op13_filter_audit,
         "packed_conversations": packing.packed_conversations,
     }
 
@@ -32,4 +35,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_secrets": secrets.SQL,
         "op7_url_filter": url_filter.SQL,
         "op8_decontaminate": decontaminate.SQL,
+        "op13_filter_audit": filter_audit.SQL,
     }
