@@ -175,17 +175,6 @@ def as_of_first_day(df: DataFrame, date: str) -> DataFrame:
     return df.withColumn(date, F.add_months(F.trunc(date, "month"), -1))
 
 
-def excel_sheet(spark: SparkSession, path: str, sheet: str | int, schema: str) -> DataFrame:
-    """One sheet of one small workbook, read on the driver; needs an Excel library for pandas."""
-    import pandas as pd
-
-    try:
-        frame = pd.read_excel(path, sheet_name=sheet, header=None)
-    except ImportError as e:
-        raise RuntimeError("reading Excel needs openpyxl") from e
-    return spark.createDataFrame(frame, schema)
-
-
 def latest_file(spark: SparkSession, folder: str, pattern: str) -> str:
     """Path of the file that sorts last among those that match."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,3 +102,32 @@ def _path(spark: SparkSession, path: str):
 def _hadoop(spark: SparkSession, path: str):
     target = _path(spark, path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def write_files(files: DataFrame, folder: str) -> DataFrame:
+    """Files of (name, content), one for each row, in a folder that all executors share: (name, bytes), to be counted or collected.
+
+    A file is written under a private name and renamed, so a retried or speculative task only replaces it by an equal one.
+    The folder needs a file system that ``pyarrow.fs`` knows.
+    """
+    from pyarrow import fs as stores
+
+    hadoop, target = _hadoop(files.sparkSession, folder)
+    uri = hadoop.makeQualified(target).toString()
+    uri = uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
+    store, root = stores.FileSystem.from_uri(uri)
+    store.create_dir(root, recursive=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = stores.FileSystem.from_uri(uri)
+        for batch in batches:
+            sizes = []
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content"), strict=True):
+                private, data = f"{root}/.{name}.{uuid.uuid4().hex}", content.as_buffer()
+                with store.open_output_stream(private) as out:
+                    out.write(data)
+                store.move(private, f"{root}/{name}")
+                sizes.append(data.size)
+            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(sizes, pa.int64())], names=["name", "bytes"])
+
+    return files.select("name", "content").mapInArrow(run, "name string, bytes long")
