@@ -316,11 +316,54 @@ def test_pu_sample_counts_ids_however_often_they_are_repeated(spark, monkeypatch
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, quality int")
     seen = []
-    monkeypatch.setattr(pu_quality, "estimate_prior", lambda p, u: 0.5)
-    monkeypatch.setattr(pu_quality, "fit_nnpu", lambda p, u, prior: seen.append((len(p.words), len(u.words))))
-    sizes = _collected(monkeypatch, docs)
+    monkeypatch.setattr(pu_quality, "_train", lambda rows: seen.append((rows.where("positive").count(), rows.where("not positive").count())))
     pu_quality.fit(docs, labels, positives=10, unlabelled=20)
-    assert seen == [(10, 20)] and max(sizes) == 30
+    assert seen == [(10, 20)]
+    seen.clear()
+    pu_quality.fit(docs, labels, positives=10, unlabelled=20, words=12)  # three words each
+    pu_quality.fit(docs, labels, positives=10, unlabelled=20, words=1)
+    assert seen == [(4, 4), (1, 1)]
+
+
+def test_pu_fit_collects_nothing_but_weights(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet") for n in ("documents", "labels"))
+    sizes = _collected(monkeypatch, docs)
+    assert pu_quality.fit(docs, labels) is not None
+    assert max(sizes, default=0) <= 1
+
+
+def test_pu_sample_steps_are_those_of_plain_rows(monkeypatch):
+    rng = np.random.default_rng(6)
+    words = [rng.choice(pu_quality.BUCKETS, n, replace=False).astype("<u2") for n in (0, 3, 1, 40, 7, 0)]
+    dense = rng.normal(size=(6, len(pu_quality.MEASURES)))
+    model, by_row = pu_quality.Model(rng.normal(size=dense.shape[1]), rng.normal(size=pu_quality.BUCKETS), 0.5), rng.normal(size=6)
+    for entries in (1, 8, 1 << 18):
+        monkeypatch.setattr(pu_quality, "ENTRIES", entries)
+        for rows in (np.arange(6), np.array([4, 1, 3]), np.array([], int)):
+            got = pu_quality.Sample(dense, words).part(rows)
+            assert np.allclose(got.logits(model), [dense[i] @ model.dense + model.words[words[i]].sum() / max(1, len(words[i])) ** 0.5 for i in rows])
+            want = np.zeros(pu_quality.BUCKETS)
+            for k, i in enumerate(rows):
+                want[words[i]] += by_row[k] / max(1, len(words[i])) ** 0.5
+            assert np.allclose(got.gradient(by_row[: len(rows)]), np.r_[dense[rows].T @ by_row[: len(rows)], want])
+
+
+def test_pu_sample_of_wordy_texts_stays_small():
+    """Ten thousand rows of four thousand words: two bytes each, halves two more, and a step a bounded block."""
+    import tracemalloc
+
+    rng = np.random.default_rng(7)
+    words = [np.arange(i % 4000, i % 4000 + 4000, dtype="<u2") for i in range(10_000)]
+    dense = rng.normal(size=(10_000, len(pu_quality.MEASURES)))
+    model = pu_quality.Model(np.zeros(dense.shape[1]), np.zeros(pu_quality.BUCKETS), 0.5)
+    tracemalloc.start()
+    whole = pu_quality.Sample(dense, words)
+    halves = [whole.part(np.arange(k, 10_000, 2)) for k in (0, 1)]
+    for s in halves:
+        s.gradient(s.logits(model))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 260e6
 
 
 # simhash

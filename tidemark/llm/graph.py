@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -17,6 +17,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     whole trees are hooked at once; then pointers are replaced by the pointers of their targets. Rounds grow with the
     logarithm of the longest path. They end when nothing moves, as they must: pointers only get smaller.
     All minima are pre-aggregated before their shuffle, so a node with very many neighbours is no hot spot.
+    A round's tables are deleted when the next round has been written; the last one stays, as the result reads it.
     """
     both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     if both.isEmpty():
@@ -31,10 +32,12 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         stepped = written(hooks.groupBy("node").agg(F.min("to").alias("to")))
         ahead = stepped.select(F.col("node").alias("at"), F.col("to").alias("further"))
         jumped = written(stepped.join(ahead, F.col("to.node") == F.col("at")).select("node", F.least("to", "further").alias("to")))
-        moved = jumped.join(state.select("node", F.col("to.node").alias("was")), "node").where("to.node <> was")
+        settled = jumped.join(state.select("node", F.col("to.node").alias("was")), "node").where("to.node <> was").isEmpty()
+        discard(state, stepped)
         state = jumped
-        if moved.isEmpty():
+        if settled:
             break
-    settled = state.select("node", F.col("to.weight").alias("label"), F.lit(True).alias("in"))
-    joined = nodes.join(settled, "node", "left")
+    discard(both)
+    found = state.select("node", F.col("to.weight").alias("label"), F.lit(True).alias("in"))
+    joined = nodes.join(found, "node", "left")
     return joined.select("node", F.when(F.col("in"), F.col("label")).otherwise(F.col("weight")).alias("label"))

@@ -11,8 +11,9 @@ a model tells P from U on one half of the sample; on the other half, the share o
 bounds the prior, and the smallest bound, with its sampling error, is taken; several halvings are averaged.
 
 The fit uses at most ``positives`` and ``unlabelled`` ids (bounds, by hashed id; parameters of ``fit``), one row for each
-however often it is repeated. Texts become feature rows on the executors, 32 KB each at most; only those bounded rows reach
-the driver. Every document is scored.
+however often it is repeated, and of either kind as many as have ``words`` distinct words in all (hashed, 32 KB a row at most). Texts become feature rows
+on the executors, and one task fits the model to these bounded rows; only its weights reach the driver. A (row, word) costs two bytes,
+halves of the sample two more, and steps are made in blocks of rows. Every document is scored.
 
 Cases: a null text is empty and is scored like any other (its measures are zero); labels of absent documents, null
 labels and repeated label rows are harmless; without positives or unlabelled rows every score is 0.5; an empty
@@ -27,10 +28,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, table, utf8_slices
+from .common import discard, held_out, table, utf8_slices, written
 from .quality_rules import Doc
 
 BUCKETS = 1 << 14
@@ -67,28 +68,49 @@ def hashed_words(doc: Doc) -> np.ndarray:
     return np.array(sorted({zlib.crc32(w.lower()) % BUCKETS for w in set(doc.words)}), "<u2")
 
 
-@dataclass
+#: (row, word) entries of a sample that a step works on at a time.
+ENTRIES = 1 << 18
+
+
 class Sample:
-    """Feature rows: dense measures, and hashed words as bucket lists."""
+    """Feature rows: dense measures, and hashed words as buckets of all rows one after the other (two bytes each)."""
 
-    dense: np.ndarray
-    words: list[np.ndarray]
+    def __init__(self, dense: np.ndarray, words: list[np.ndarray]):
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        self._hold(dense, np.concatenate([*words, np.zeros(0, "<u2")]).astype("<u2", copy=False), sizes)
 
-    def __post_init__(self):
-        self.sizes = np.array([len(w) for w in self.words], np.int64)
-        self.flat = np.concatenate([*self.words, np.zeros(0, "<u2")]).astype(np.int64)
-        self.row = np.repeat(np.arange(len(self.words)), self.sizes)
-        self.value = 1 / np.sqrt(np.maximum(self.sizes, 1))[self.row] if len(self.flat) else np.zeros(0)
+    def _hold(self, dense: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.dense, self.flat, self.sizes = dense, flat, sizes
+        self.bounds = np.r_[0, np.cumsum(sizes)]
+        self.value = 1 / np.sqrt(np.maximum(sizes, 1))
+
+    def __len__(self) -> int:
+        return len(self.sizes)
 
     def part(self, rows: np.ndarray) -> Sample:
-        return Sample(self.dense[rows], [self.words[i] for i in rows.tolist()])
+        out = Sample.__new__(Sample)
+        out._hold(self.dense[rows], np.concatenate([self.flat[self.bounds[i] : self.bounds[i + 1]] for i in rows.tolist()] or [self.flat[:0]]), self.sizes[rows])
+        return out
+
+    def _blocks(self) -> Iterator[tuple[int, int]]:
+        """Ranges of rows with ``ENTRIES`` entries at most, or of one row."""
+        at = 0
+        while at < len(self):
+            end = max(at + 1, int(np.searchsorted(self.bounds, self.bounds[at] + ENTRIES, "right")) - 1)
+            yield at, end
+            at = end
 
     def logits(self, model: Model) -> np.ndarray:
-        lexical = np.bincount(self.row, self.value * model.words[self.flat], len(self.words)) if len(self.flat) else 0
-        return self.dense @ model.dense + lexical
+        out = self.dense @ model.dense
+        for a, b in self._blocks():
+            row = np.repeat(np.arange(b - a), self.sizes[a:b])
+            out[a:b] += self.value[a:b] * np.bincount(row, model.words[self.flat[self.bounds[a] : self.bounds[b]]], b - a)
+        return out
 
     def gradient(self, by_row: np.ndarray) -> np.ndarray:
-        lexical = np.bincount(self.flat, self.value * by_row[self.row], BUCKETS) if len(self.flat) else np.zeros(BUCKETS)
+        lexical, scaled = np.zeros(BUCKETS), self.value * by_row
+        for a, b in self._blocks():
+            lexical += np.bincount(self.flat[self.bounds[a] : self.bounds[b]], np.repeat(scaled[a:b], self.sizes[a:b]), BUCKETS)
         return np.r_[self.dense.T @ by_row, lexical]
 
 
@@ -130,12 +152,12 @@ def _descend(p: Sample, u: Sample, slope, steps: int, rate: float, decay: float)
 def estimate_prior(p: Sample, u: Sample, steps: int = 60, splits: int = 5) -> float:
     """The share of positives in U, averaged over random halvings: a model learns to tell P from U on one half; on the
     other, the smallest ratio of the tail masses of U and P, over tails that hold at least 30 % of P, bounds the share."""
-    if min(len(p.words), len(u.words)) < 2:
+    if min(len(p), len(u)) < 2:
         return 0.5
     found, shares = [], np.linspace(0.3, 1, 29)
     for seed in range(splits):
         rng = np.random.default_rng(seed)
-        at_p, at_u = rng.permutation(len(p.words)), rng.permutation(len(u.words))
+        at_p, at_u = rng.permutation(len(p)), rng.permutation(len(u))
         pa_, ua, pb, ub = p.part(at_p[::2]), u.part(at_u[::2]), p.part(at_p[1::2]), u.part(at_u[1::2])
         slope = lambda zp, zu: ((_sigmoid(zp) - 1) / len(zp), _sigmoid(zu) / len(zu))
         model = _descend(pa_, ua, slope, steps, 0.1, 1e-3)
@@ -169,29 +191,47 @@ def fit_nnpu(p: Sample, u: Sample, prior: float, steps: int = 200) -> Model:
     return model
 
 
-def _features(rows: DataFrame, text: str) -> list:
+def _features(rows: DataFrame, text: str) -> DataFrame:
+    """(place, positive, n, dense, words): n distinct hashed words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in utf8_slices(batch, text):
                 found = [Doc(t) for t in texts]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("place"),
-                        part.column("positive"),
-                        pa.array([measures(d) for d in found], pa.list_(pa.float64())),
-                        pa.array([hashed_words(d).tobytes() for d in found], pa.binary()),
-                    ],
-                    names=["place", "positive", "dense", "words"],
-                )
+                words = [hashed_words(d) for d in found]
+                columns = [part.column("place"), part.column("positive"), pa.array(map(len, words), pa.int64()), pa.array([measures(d) for d in found], pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([w.tobytes() for w in words], pa.binary())], names=["place", "positive", "n", "dense", "words"])
+
+    schema = f"place {rows.schema['place'].dataType.simpleString()}, positive boolean, n long, dense array<double>, words binary"
+    return rows.select("place", "positive", text).mapInArrow(run, schema)
 
-    schema = f"place {rows.schema['place'].dataType.simpleString()}, positive boolean, dense array<double>, words binary"
-    return rows.select("place", "positive", text).mapInArrow(run, schema).collect()
+
+def _train(rows: DataFrame) -> Model | None:
+    """The model that one task fits to bounded feature rows; None without rows of either kind."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dense: dict[bool, list] = {True: [], False: []}
+        words: dict[bool, list] = {True: [], False: []}
+        for batch in batches:
+            for positive, d, w in zip(batch.column("positive").to_pylist(), batch.column("dense").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                dense[positive].append(d)
+                words[positive].append(np.frombuffer(w, "<u2"))
+        if dense[True] and dense[False]:
+            p, u = (Sample(np.array(dense[k]), words.pop(k)) for k in (True, False))
+            model = fit_nnpu(p, u, estimate_prior(p, u))
+            yield pa.RecordBatch.from_pydict({"dense": [model.dense.tolist()], "words": [model.words.tolist()], "prior": [model.prior]})
+
+    # in one order, so that the halves of the prior's estimate don't hang on the shuffle
+    ordered = rows.select("place", "positive", "dense", "words").repartition(1).sortWithinPartitions("place", "positive")
+    found = ordered.mapInArrow(run, "dense array<double>, words array<double>, prior double").first()
+    return Model(np.array(found["dense"]), np.array(found["words"]), found["prior"]) if found else None
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled: int = 6000, text: str = "text", key: str = "doc_id"
+    docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled: int = 6000, words: int = 4_000_000, text: str = "text", key: str = "doc_id"
 ) -> Model | None:
-    """A model from at most ``positives`` trusted and ``unlabelled`` other ids, none of the held-out fold, a row for each."""
+    """A model from at most ``positives`` trusted and ``unlabelled`` other ids, none of the held-out fold, a row for each, and of
+    both as many (one at least) as have ``words`` distinct words in all."""
     order = F.xxhash64(F.col(key).cast("string"))
     trusted = labels.where((F.col("quality") == 1) & ~held_out(F.col(key))).select(key).distinct()
     some_p = trusted.orderBy(order, key).limit(positives).withColumn("positive", F.lit(True))
@@ -200,14 +240,13 @@ def fit(
     chosen = F.broadcast(some_p.unionByName(some_u))  # at most positives + unlabelled ids
     rows = docs.select(key, text).join(chosen, key).groupBy(key, "positive")
     rows = rows.agg(F.min(F.struct(F.xxhash64(text).alias("h"), F.col(text).alias("t"))).alias("one"))  # of repeated ids, too
-    rows = _features(rows.select(F.col(key).alias("place"), "positive", F.col("one.t").alias(text)), text)
-    rows = sorted(rows, key=lambda r: r["place"])  # the halves of the prior's estimate don't hang on the shuffle
-    rows = [r for r in rows if r["positive"]], [r for r in rows if not r["positive"]]
-    if not all(rows):
-        return None
-    p, u = (Sample(np.array([r["dense"] for r in part]), [np.frombuffer(r["words"], "<u2") for r in part]) for part in rows)
-    del rows  # the samples hold their own arrays, and views of the buckets' bytes
-    return fit_nnpu(p, u, estimate_prior(p, u))
+    rows = written(_features(rows.select(F.col(key).alias("place"), "positive", F.col("one.t").alias(text)), text))
+    inside = Window.partitionBy("positive").orderBy(F.xxhash64(F.col("place").cast("string")), "place").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("n").over(inside), F.lit(0))  # over positives + unlabelled rows at most
+    kept = rows.select("place", "positive", (before + F.col("n")).alias("upto"), before.alias("before")).where((F.col("upto") <= words) | (F.col("before") == 0))
+    model = _train(rows.join(kept, ["place", "positive"], "left_semi"))
+    discard(rows)
+    return model
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text", key: str = "doc_id") -> DataFrame:

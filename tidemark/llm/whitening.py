@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import discard, table, written
 
 SCALE = 256
 COMPONENTS = 4
@@ -320,6 +320,7 @@ def fit(vectors: DataFrame, vector: str = "embedding", components: int = COMPONE
         w.moments = np.zeros((k + 1, k))
     for r in distinct.mapInArrow(moments, "dims int, i int, j int, v double").groupBy("dims", "i", "j").agg(F.sum("v").alias("v")).collect():
         found[r["dims"]].moments[r["i"], r["j"]] = r["v"]
+    discard(distinct)
     for w in found.values():
         mean, second, some = w.moments[0] / w.n, w.moments[1:] / w.n, w.values > 0
         off = np.abs(second - np.outer(mean, mean) - np.eye(len(w.values)))[np.ix_(some, some)]
