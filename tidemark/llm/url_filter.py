@@ -11,7 +11,7 @@ knows neither, only absolute targets and those that start with a slash, so it is
 Only built-in functions are used. A few rules (up to ``IN_ROW``) are matched in the row, as one expression. More, or rules
 that are a table (host, path, verdict), of any number, are matched by an equi-join: a url meets them under each suffix of its host and each
 length of path that some rule of that suffix has. Both ways give the same. Html is read once; everything after that
-works on urls. Components are those of distinct url forms that have an edge.
+works on urls. All work on a url or a page is linear in its length, or nearly (dot segments: n log n). Components are those of distinct url forms that have an edge.
 
 Cases: a null url, or one without ``://``, has an empty host and path and no rule; it is allowed, and joins no component.
 Null html has no edges. Repeated rows get equal results; an empty table gives an empty result; extra columns are not passed on.
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, table
 from .graph import components
+from .spans import let, running
 
 #: Rules that are matched in the row; more of them make a table.
 IN_ROW = 64
@@ -76,10 +77,11 @@ def rule_hits(urls: DataFrame, rules: DataFrame) -> DataFrame:
     plain = plain.groupBy("suffix", "head").agg(F.max("allow").alias("allow"))
     sizes = plain.groupBy("suffix").agg(F.array_sort(F.collect_set(F.length("head"))).alias("sizes"))
     labels = F.split("host", r"\.")
-    places = F.sequence(F.lit(1), F.size(labels))
+    most = plain.agg(F.coalesce(F.max(F.size(F.split("suffix", r"\."))), F.lit(1)).alias("most"))  # one row: longer suffixes can't match
+    places = F.sequence(F.greatest(F.size(labels) - F.col("most") + 1, F.lit(1)), F.size(labels))
     suffixes = F.transform(places, lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
     seen = urls.where("host <> ''").select("host", "path").distinct()
-    hosts = seen.select("host").distinct().select("host", F.explode(suffixes).alias("suffix")).join(sizes, "suffix")
+    hosts = seen.select("host").distinct().crossJoin(F.broadcast(most)).select("host", F.explode(suffixes).alias("suffix")).join(sizes, "suffix")
     heads = seen.join(hosts, "host").select("host", "path", "suffix", F.explode("sizes").alias("n")).where(F.col("n") <= F.length("path"))
     heads = heads.select("host", "path", "suffix", F.substring("path", F.lit(1), F.col("n")).alias("head"))
     rule = F.concat("suffix", "head")
@@ -89,10 +91,11 @@ def rule_hits(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
 def normal_form(url: Column) -> Column:
     """Host in lower case, path and query, without tracking parameters, fragment and trailing slash; null if no ``://``."""
-    query = F.regexp_extract(url, r"(?s)^.*?://[^?#]*\?([^#]*)", 1)
+    rest = F.substring(url, F.instr(url, "://") + 3, F.length(url))  # a later :// is part of the query or the fragment
+    query = F.regexp_extract(rest, r"^[^?#]*+\?([^#]*)", 1)
     query = F.regexp_replace(F.concat(F.lit("&"), query), rf"&(?:{_TRACKING})=[^&]*", "")
-    form = F.concat(host_of(url), F.regexp_replace(path_of(url), "/+$", ""), F.regexp_replace(query, "^&*", "?"))
-    return F.when(url.contains("://"), F.regexp_replace(form, r"\?$", ""))
+    form = F.concat(host_of(url), F.rtrim(path_of(url), F.lit("/")), F.regexp_replace(query, "^&*", "?"))
+    return F.when(url.contains("://"), F.regexp_replace(form, r"\?\z", ""))
 
 
 def _attribute(tag: Column, name: str) -> Column:
@@ -118,16 +121,34 @@ def decoded(value: Column) -> Column:
 
 
 def _without_dots(path: Column) -> Column:
-    """An absolute path without its segments . and .."""
-    some = F.split(path, "/")
-    kept = F.aggregate(
-        F.slice(some, 2, F.size(some)),
-        F.array().cast("array<string>"),
-        lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x))),
-    )
-    slash = F.when((F.size(kept) > 0) & path.rlike(r"/\.\.?$"), F.lit("/")).otherwise(F.lit(""))
-    plain = F.concat(F.lit("/"), F.array_join(kept, "/"), slash)
-    return F.when(path.rlike(r"/\.\.?(?:/|$)"), plain).otherwise(path)
+    """An absolute path without its segments . and ..
+
+    A name goes when a later .. climbs out of it, that is, when the depth falls below the name's own later on. Depths are running sums that
+    can't fall below the root's, so what was lacking there so far is added back.
+    """
+
+    def kept(some: Column) -> Column:
+        steps = F.transform(some, lambda x: F.when(x == "..", -1).when(x == ".", 0).otherwise(1))
+
+        def of_sums(sums: Column) -> Column:
+            lacking = running(F.transform(sums, lambda x: F.least(x, F.lit(0))), F.least, F.lit(0))
+
+            def of_depths(depths: Column) -> Column:
+                lowest = F.reverse(running(F.reverse(depths), F.least, F.lit(1 << 30)))  # from here on
+                rows = F.arrays_zip(some.alias("x"), depths.alias("d"), lowest.alias("l"))
+                return F.transform(F.filter(rows, lambda r: ~r["x"].isin(".", "..") & (r["l"] >= r["d"])), lambda r: r["x"])
+
+            return let(F.zip_with(sums, lacking, lambda a, b: a - b), of_depths)
+
+        return let(running(steps, lambda a, b: a + b, F.lit(0)), of_sums)
+
+    segments = F.slice(F.split(path, "/"), 2, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))
+
+    def joined(some: Column) -> Column:
+        slash = F.when((F.size(some) > 0) & path.rlike(r"/\.\.?\z"), F.lit("/")).otherwise(F.lit(""))
+        return F.concat(F.lit("/"), F.array_join(some, "/"), slash)
+
+    return F.when(path.rlike(r"/\.\.?(?:/|\z)"), let(let(segments, kept), joined)).otherwise(path)
 
 
 def resolved(ref: Column, url: Column) -> Column:
@@ -137,19 +158,20 @@ def resolved(ref: Column, url: Column) -> Column:
     folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_extract(path, "(?s)^(.*/)", 1))
     whole = (
         F.when(ref.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), ref)
-        .when(ref.rlike("^(?:[A-Za-z][A-Za-z0-9+.-]*:|#|$)"), F.lit(None))
+        .when(ref.rlike(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:|#|\z)"), F.lit(None))
         .when(ref.startswith("//"), F.concat(scheme, F.lit(":"), ref))
         .when(ref.startswith("/"), F.concat(root, ref))
         .when(ref.startswith("?"), F.concat(root, path, ref))
         .otherwise(F.concat(root, folder, ref))
     )
-    part = lambda k: F.regexp_extract(whole, r"(?s)^(.*?://[^/?#]*)([^?#]*)(.*)$", k)
-    return F.when(whole.rlike(r"/\.\.?(?:[/?#]|$)"), F.concat(part(1), _without_dots(part(2)), part(3))).otherwise(whole)
+    part = lambda k: F.regexp_extract(whole, r"(?s)^(.*?://[^/?#]*)([^?#]*)(.*)\z", k)
+    return F.when(whole.rlike(r"/\.\.?(?:[/?#]|\z)"), F.concat(part(1), _without_dots(part(2)), part(3))).otherwise(whole)
 
 
 def targets(url: Column, html: Column) -> Column:
     """Absolute urls that a page names as its canonical form or refreshes to. Relative ones are resolved against its url."""
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
+    closed = F.left(html, F.length(html) - F.length(F.substring_index(html, ">", -1)))  # so that every tag in it ends
+    tags = F.regexp_extract_all(closed, F.lit(r"(?is)<(?:link|meta)\b[^>]*+>"), F.lit(0))
     tags = F.filter(tags, lambda x: x.rlike(r"(?i)\brel\s*=\s*[\"']?canonical\b|\bhttp-equiv\s*=\s*[\"']?refresh\b"))
     raw = F.transform(
         tags,
@@ -230,7 +252,7 @@ WITH RECURSIVE p AS (
   SELECT r, target, u, regexp_replace(
     translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
     || regexp_replace(regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '/+$', '')
-    || regexp_replace(regexp_replace('&' || regexp_extract(u, '(?s)^.*?://[^?#]*\?([^#]*)', 1), '&(?:utm_[^=&]*|ref|fbclid|gclid)=[^&]*', '', 'g'), '^&*', '?'),
+    || regexp_replace(regexp_replace('&' || regexp_extract(substr(u, strpos(u, '://') + 3), '^[^?#]*\?([^#]*)', 1), '&(?:utm_[^=&]*|ref|fbclid|gclid)=[^&]*', '', 'g'), '^&*', '?'),
     '\?$', '') AS node
   FROM urls WHERE u IS NOT NULL
 ), e AS (
