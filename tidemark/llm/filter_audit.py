@@ -9,8 +9,9 @@ again. Two more tensors count the documents of good quality and the toxic ones.
 The filters are one letter each (``FILTERS``): A under 50 words, B few distinct words, C many capitals, D symbols, E a
 text that a smaller id has already, anywhere in the table. Texts are compared by their SHA-256.
 
-Hot parts and texts: counts and smallest ids are pre-aggregated before they are shuffled; the joins that bring the smallest id of a
-text and the labels back to the rows are plain shuffles on both sides, so that Spark can split a hot key. Per part at most
+Hot parts and texts: counts and smallest ids are pre-aggregated before they are shuffled. Copies of a text meet its smallest id by text and
+id together, so they are spread over tasks. What is joined to the rows has been written before, so that both sides are plain
+shuffles and an id of very many rows can be split as well. Per part at most
 32 rows of counts meet, however many documents it has, and parts are contracted in batches on the executors.
 
 Cases: a null text is empty, and so identical to an empty one; a null source is the part "", as an empty one is; a null id is
@@ -70,12 +71,14 @@ def judged(docs: DataFrame, text: str = "text", key: str = "doc_id", part: str =
 def counts(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", part: str = "source") -> DataFrame:
     """(part, bits, n, good, toxic): documents of each part by what they fail, those of quality 1, and the toxic ones."""
     rows = written(judged(docs, text, key, part))
-    first = rows.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("digest", "first")
-    again = rows.join(first, "digest", "left").select("id", "part", (F.col("bits") + F.coalesce((F.col("id") > F.col("first")).cast("int"), F.lit(0)) * 16).alias("bits"))
+    first = rows.where("id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.lit(True).alias("first"))
+    # met by text and id, so that the copies of a text are spread over tasks; who isn't the first has a smaller id before it
+    again = rows.where("id is not null").join(written(first), ["digest", "id"], "left")
+    again = again.select("id", "part", (F.col("bits") + F.when(F.col("first"), 0).otherwise(16)).alias("bits"))
     marks = labels.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("id"))
     marks = marks.agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
-    named = again.where("id is not null").join(marks, "id", "left").select("part", "bits", "good", "toxic")
-    unnamed = again.where("id is null").select("part", "bits", F.lit(0).alias("good"), F.lit(0).alias("toxic"))  # no join, so no hot null
+    named = again.join(written(marks), "id", "left").select("part", "bits", "good", "toxic")
+    unnamed = rows.where("id is null").select("part", "bits", F.lit(0).alias("good"), F.lit(0).alias("toxic"))  # no join, so no hot null
     sums = [F.count("*").alias("n"), *(F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("good", "toxic"))]
     return named.unionByName(unnamed).groupBy("part", "bits").agg(*sums)
 
