@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+from .quantiles import medians, quantiles, sum_quantiles
+
 POINT = ("entity", "origin", "h", "month")
 
 
@@ -88,7 +91,7 @@ def greedy_selection(pred: DataFrame, known_until: int, max_members: int = 12, g
     known = pred.where((F.col("month") <= known_until) & F.col("y").isNotNull())
     models = sorted(r[0] for r in known.select("model").distinct().collect())
     rows = known.groupBy(*POINT).agg(F.first("y").alias("y"), F.map_from_entries(F.collect_list(F.struct("model", "yhat"))).alias("m"))
-    rows = rows.where(F.size("m") == len(models)).cache()
+    rows = checkpointed(rows.where(F.size("m") == len(models)))
     chosen, best = [], float("inf")
     for _ in range(max_members):
         total = sum((F.col("m")[c] for c in chosen), F.lit(0.0))
@@ -98,30 +101,29 @@ def greedy_selection(pred: DataFrame, known_until: int, max_members: int = 12, g
             break
         chosen.append(pick)
         best = found[pick]
-    rows.unpersist()
     return chosen
 
 
-def _parts(pred: DataFrame, by: Sequence[str]) -> DataFrame:
-    """r = ln(y / yhat) split into the median of its origin and horizon, and the rest."""
-    known = pred.where("y > 0 and yhat > 0").withColumn("r", F.ln(F.col("y") / F.col("yhat")))
-    return known.withColumn("common", F.percentile("r", 0.5).over(Window.partitionBy(*by, "origin", "h"))).withColumn("own", F.col("r") - F.col("common"))
+def _parts(pred: DataFrame, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """r = ln(y / yhat) split into its median over an origin and horizon, and the rest: (by, h, own), and (by, origin, h, common), a row an origin."""
+    known = checkpointed(pred.where("y > 0 and yhat > 0").select(*by, "origin", "h", F.ln(F.col("y") / F.col("yhat")).alias("r")))
+    common = checkpointed(medians(known, "r", [*by, "origin", "h"], "common"))
+    own = known.join(common, [*by, "origin", "h"]).select(*by, "h", (F.col("r") - F.col("common")).alias("own"))
+    return own, common
 
 
 def error_band(pred: DataFrame, by: Sequence[str] = ("model",), levels: tuple[float, float] = (0.1, 0.9)) -> DataFrame:
     """(by, h, lo, hi): quantiles of all sums of own and common errors, so a common miss of few origins widens the band.
 
-    The sums are (points of a horizon) x (its origins): the common errors, a number per origin, are collected to an array.
+    The sums, (points of a horizon) x (its origins), are not listed: they are selected from a histogram of the own errors.
     """
-    parts = _parts(pred, by)
-    common = parts.groupBy(*by, "h", "origin").agg(F.first("common").alias("c")).groupBy(*by, "h").agg(F.collect_list("c").alias("cs"))
-    sums = parts.join(F.broadcast(common), [*by, "h"]).select(*by, "h", F.explode(F.transform("cs", lambda c: F.col("own") + c)).alias("s"))
-    found = sums.groupBy(*by, "h").agg(F.percentile("s", list(levels)).alias("q"))
+    own, common = _parts(pred, by)
+    found = sum_quantiles(own, "own", common, "common", levels, [*by, "h"])
     return found.select(*by, "h", F.expm1(F.col("q")[0]).alias("lo"), F.expm1(F.col("q")[1]).alias("hi"))
 
 
 def raw_band(pred: DataFrame, by: Sequence[str] = ("model",), levels: tuple[float, float] = (0.1, 0.9)) -> DataFrame:
-    found = pred.where("y is not null").groupBy(*by, "h").agg(F.percentile(F.col("y") / F.col("yhat") - 1, list(levels)).alias("q"))
+    found = quantiles(pred.where("y is not null"), F.col("y") / F.col("yhat") - 1, levels, [*by, "h"])
     return found.select(*by, "h", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import panel as P
+from .quantiles import medians
 
 #: Months between a series' own month and the first month it may be used, by series.
 AS_OF_LAG = {
@@ -34,7 +35,7 @@ def recent_growth(panel: DataFrame, keys: Sequence[str] = ("entity",)) -> DataFr
         P.log_growth(c("value"), c("v1")).alias("mom"),
         P.log_growth(c("v11"), c("v12")).alias("seas_step"),
     )
-    common = v.groupBy("month").agg(F.percentile("g1", 0.5).alias("common"))
+    common = medians(v, "g1", ["month"], "common")
     before = common.select((c("month") + 1).alias("month"), c("common").alias("common_before"))
     return v.join(F.broadcast(common), "month", "left").join(F.broadcast(before), "month", "left")
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import panel as P
+from .quantiles import medians
 
 
 def rolling_origins(last: int, horizon: int, windows: int, step: int = 1) -> list[int]:
@@ -81,10 +82,10 @@ def common_factor(panel: DataFrame, k: float | None = None) -> DataFrame:
     ``panel`` needs a region column for the latter; series without a region take the national factor.
     """
     levels = panel.withColumn("l", F.ln("value"))
-    nat = levels.groupBy("month").agg(F.percentile("l", 0.5).alias("nat"))
+    nat = medians(levels, "l", ["month"], "nat")
     if k is None:
         return levels.join(F.broadcast(nat), "month").select("entity", "month", "l", F.col("nat").alias("f"))
-    reg = levels.where("region is not null").groupBy("region", "month").agg(F.percentile("l", 0.5).alias("reg"))
+    reg = medians(levels.where("region is not null"), "l", ["region", "month"], "reg")
     size = levels.where("region is not null").groupBy("region").agg(F.countDistinct("entity").alias("n"))
     local = reg.join(size, "region").join(F.broadcast(nat), "month")
     local = local.select("region", "month", (F.col("nat") + (F.col("reg") - F.col("nat")) * F.col("n") / (F.col("n") + k)).alias("mix"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import medians
+
 
 def panel_gate(panel: DataFrame, previous: DataFrame | None = None, min_entities: int = 1800, drop: float = 0.05, jump: float = 0.001) -> DataFrame:
     """(check, value, limit, ok) of a panel (entity, month, value): entities, duplicates, jumps, drop against before."""
@@ -54,9 +56,9 @@ def reconcile_sources(a: DataFrame, b: DataFrame, keys: Sequence[str], value: st
     """How far two sources of one figure differ: median and largest percent difference, and correlation, by group."""
     both = a.select(*keys, F.col(value).alias("_a")).join(b.select(*keys, F.col(value).alias("_b")), list(keys))
     both = both.withColumn("_d", F.abs(F.try_divide(F.col("_a"), F.col("_b")) - 1) * 100)
-    return both.groupBy(*by).agg(
-        F.count("*").alias("n"), F.percentile("_d", 0.5).alias("median_pct"), F.max("_d").alias("max_pct"), F.corr("_a", "_b").alias("corr")
-    )
+    found = both.groupBy(*by).agg(F.count("*").alias("n"), F.max("_d").alias("max_pct"), F.corr("_a", "_b").alias("corr"))
+    middle = medians(both, "_d", by, "median_pct")  # a row a group
+    return found.join(F.broadcast(middle), list(by), "left") if by else found.crossJoin(F.broadcast(middle))
 
 
 def manifest(spark, folder: str, pattern: str = "*") -> DataFrame:

@@ -9,6 +9,7 @@ from ..operators import evaluate as E
 from ..operators import forecast as M
 from ..operators import panel as P
 from ..operators.detect import lcg
+from ..operators.quantiles import medians
 from ..session import checkpointed
 from .base import S_FIRST, S_LAST, SQL_CAT, SQL_FULL, SQL_PANEL, SQL_PLACES, Setting, category_panel, places, query, setting
 from .detect_queries import SQL_LCG
@@ -369,8 +370,9 @@ def forward_forecast(spark: SparkSession, d: str) -> DataFrame:
     at = setting(spark, d)
     p = full(at)
     pred = M.seasonal_drift(p, M.points(p, [at.last], HORIZONS)).join(p.select("entity", (F.col("month") + 12).alias("month"), "value"), ["entity", "month"])
-    growth = F.percentile(F.ln(F.col("yhat") / F.col("value")), 0.5).over(Window.partitionBy("h"))
-    return pred.select("entity", "month", F.col("h").cast("long").alias("h"), F.round("yhat", 4).alias("yhat"), growth.between(-0.5, 0.5).alias("plausible"))
+    growth = medians(pred, F.ln(F.col("yhat") / F.col("value")), ["h"], "growth")  # a row a horizon
+    pred = pred.join(F.broadcast(growth), "h", "left")
+    return pred.select("entity", "month", F.col("h").cast("long").alias("h"), F.round("yhat", 4).alias("yhat"), F.col("growth").between(-0.5, 0.5).alias("plausible"))
 
 
 _FORWARD = f"""fw AS (SELECT s.entity, s.month + 12 AS month, s.month + 12 - {S_LAST} AS h, s.value * (SELECT sum(n.value) FROM full_panel n WHERE n.entity = s.entity AND n.month BETWEEN {S_LAST} - 2 AND {S_LAST})

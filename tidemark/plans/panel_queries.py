@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import panel as P
+from ..operators.quantiles import medians, quantiles
 from .base import MI, SQL_CAT, SQL_FULL, SQL_PANEL, SQL_PLACES, category_panel, panel, places, query, read, setting
 
 E, EC = ["entity"], ["entity", "category"]
@@ -268,7 +269,18 @@ def seasonal_profile(spark: SparkSession, d: str) -> DataFrame:
     year = F.floor(F.col("month") / 12).cast("long")
     r = panel(spark, d).withColumn("year", year)
     r = r.withColumn("x", F.col("value") / F.avg("value").over(Window.partitionBy("entity", "year")))
-    return r.groupBy("year", (F.col("month") % 12 + 1).alias("moy")).agg(F.round(F.percentile("x", 0.5), 6).alias("profile"), F.count("*").alias("n"))
+    r = r.select("year", (F.col("month") % 12 + 1).alias("moy"), "x")
+    middle = medians(r, "x", ["year", "moy"], "profile")  # a row a month
+    return r.groupBy("year", "moy").agg(F.count("*").alias("n")).join(F.broadcast(middle), ["year", "moy"]).withColumn("profile", F.round("profile", 6))
+
+
+@query("""SELECT l_returnflag AS flag, round(quantile_cont(l_extendedprice, 0.1), 6) AS p10, round(quantile_cont(l_extendedprice, 0.5), 6) AS p50, round(quantile_cont(l_extendedprice, 0.999), 6) AS p999 FROM lineitem GROUP BY 1
+UNION ALL SELECT 'all', round(quantile_cont(l_extendedprice, 0.1), 6), round(quantile_cont(l_extendedprice, 0.5), 6), round(quantile_cont(l_extendedprice, 0.999), 6) FROM lineitem""")
+def price_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    """Exact quantiles of all lines, and of three flags: groups that grow with the table, so they are always refined, never gathered."""
+    li, levels = read(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), "l_extendedprice"), [0.1, 0.5, 0.999]
+    both = quantiles(li, "l_extendedprice", levels, ["flag"], small=0).unionByName(quantiles(li, "l_extendedprice", levels, small=0).withColumn("flag", F.lit("all")))
+    return both.select("flag", *(F.round(F.col("q")[k], 6).alias(n) for k, n in enumerate(("p10", "p50", "p999"))))
 
 
 @query(f"""WITH m AS (SELECT {MI.format('o_orderdate')} AS month, avg(o_totalprice) v FROM orders GROUP BY 1)
