@@ -9,10 +9,12 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import evaluate as E
 from tidemark.operators import forecast as M
 from tidemark.plans.base import setting
 from tidemark.plans.catalog import QUERIES
 from tidemark.plans.forecast_queries import HORIZONS, full, predictions
+from tidemark.session import checkpointed
 
 
 @pytest.fixture(scope="module")
@@ -139,15 +141,43 @@ def test_trees_learn_a_step(spark, backend):
     assert sum(shares.values()) == pytest.approx(1) and shares["a"] > 0.8 and set(shares) == {"a", "b", "moy"}
 
 
-@pytest.mark.parametrize("name", ["ridge_forecast", "random_forest_forecast", "gbt_forecast", "ridge_covariates_forecast"])
-def test_learned_forecasts_cover_the_last_origin(spark, sf_dir, at, name):
+@pytest.mark.parametrize("name", ["ridge_forecast", "random_forest_forecast", "gbt_forecast", "gbt_offset_forecast", "ridge_covariates_forecast"])
+def test_learned_forecasts_cover_every_origin(spark, sf_dir, at, name):
     got = QUERIES[name](spark, sf_dir).toPandas()
     entities = full(at).select("entity").distinct().count()
-    assert set(got.origin) == {at.origins[-1]} and set(got.h) == set(HORIZONS) and len(got) == entities * len(HORIZONS)
-    naive = predictions(at, ("naive",)).where(F.col("origin") == at.origins[-1]).toPandas()
+    assert set(got.origin) == set(at.origins) and set(got.h) == set(HORIZONS) and len(got) == entities * len(HORIZONS) * len(at.origins)
+    naive = predictions(at, ("naive",)).toPandas()
     assert (got.y - got.yhat).abs().mean() < 1.2 * (naive.y - naive.yhat).abs().mean()
 
 
+def test_learned_metrics_cover_all_cuts(spark, sf_dir):
+    m = QUERIES["learned_metrics"](spark, sf_dir).toPandas()
+    assert len(m) == 4 * (1 + 3 + 7) and m[m.h.eq(-1) & m.origin.eq(-1)].n.nunique() == 1 and (m.mae > 0).all()
+
+
+def test_learned_models_on_targets_that_they_have_not_seen(spark):
+    """At a size where there are rows enough to learn from: on targets they haven't seen, both beat the seasonal model's error, and in what the
+    trees are fitted for (the absolute error of the log growth) they beat the ridge model. Growth is noise here, so no growth at all is hard to beat in that."""
+    d = "/root/testdata/sf0.01"
+    at = setting(spark, d)
+    rows = checkpointed(M.supervised(full(at), HORIZONS))
+    pred = predictions(at, ("seasonal",))
+    for name in ("ridge", "gbt"):
+        pred = pred.unionByName(M.global_model(rows, at.origins, name).withColumn("model", F.lit(name)).select(pred.columns))
+    error = E.shared_points(checkpointed(pred).where("y > 0 and yhat > 0")).groupBy("model").agg(F.avg(F.abs(F.ln(F.col("y") / F.col("yhat")))).alias("e"), F.avg(F.abs(F.col("y") - F.col("yhat"))).alias("mae"))
+    found = {r.model: r for r in error.collect()}
+    assert found["gbt"].e < found["ridge"].e
+    assert max(found["gbt"].mae, found["ridge"].mae) < found["seasonal"].mae
+
+
+def test_seeds_are_averaged_and_an_offset_is_given_back(spark, at):
+    rows = M.supervised(full(at), (1,)).withColumn("level", F.lit(0.25))
+    one, two, both = (M.global_model(rows, at.origins[-1], "gbt", seeds=s).toPandas().set_index("entity").yhat for s in ((1,), (2,), (1, 2)))
+    assert not np.allclose(one, two) and np.allclose(np.log(both), (np.log(one) + np.log(two)) / 2)
+    shifted = M.global_model(rows, at.origins[-1], "gbt", seeds=(1,), offset="level").toPandas().set_index("entity").yhat
+    assert np.allclose(shifted, one)
+
+
 def test_covariates_reach_the_model(spark, at):
     rows = M.supervised(full(at), (1,)).withColumn("hint", F.coalesce("g", F.lit(0.0)))
     plain = M.global_model(rows, at.origins[-1], "ridge").toPandas()

@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from . import panel as P
+from .boosting import boosted
 from .quantiles import medians
 
 
@@ -212,7 +214,7 @@ def _trained(rows: DataFrame, origin: int, backend: str, seeds: Sequence[int], o
     """Fitted pipelines, one a seed; the names of their input columns; the rows to predict; and the offset."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, VectorAssembler
-    from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+    from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 
     shift = F.col(offset) if offset else F.lit(0.0)
     rows = rows.withColumn("label", F.col("g") - shift).withColumns({c: F.col(c).cast("double") for c in features})
@@ -237,43 +239,51 @@ def _trained(rows: DataFrame, origin: int, backend: str, seeds: Sequence[int], o
         model = {
             "ridge": lambda: LinearRegression(regParam=0.1, elasticNetParam=0.0, weightCol="weight"),
             "random_forest": lambda s=seed: RandomForestRegressor(numTrees=30, maxDepth=6, seed=s, weightCol="weight"),
-            "gbt": lambda s=seed: GBTRegressor(maxIter=15, maxDepth=4, lossType="absolute", seed=s, weightCol="weight"),
         }[backend]()
         models.append(Pipeline(stages=[*stages, model]).fit(train))
     return models, columns, test, shift
 
 
 def global_model(
-    rows: DataFrame, origin: int, backend: str = "ridge", seeds: Sequence[int] = (1,), offset: str | None = None, features: Sequence[str] = FEATURES
+    rows: DataFrame, origin: int | Sequence[int], backend: str = "ridge", seeds: Sequence[int] = (1,), offset: str | None = None, features: Sequence[str] = FEATURES
 ) -> DataFrame:
-    """A model over all series, trained on targets known at the origin, weighted by the base level; averaged over seeds.
+    """A model over all series for each origin, trained on targets known at it, weighted by the base level; averaged over seeds.
 
-    Backends: ridge, random_forest, gbt (absolute loss). ``offset`` names a column that is taken from the target and
-    added back. Features that are null in all training rows are left out; others are filled by their median.
+    Backends: ridge, random_forest, gbt (absolute loss on histograms, all origins and seeds in the same passes). ``offset`` names a column that is
+    taken from the target and added back. Features that are null in all training rows are left out; others are filled by their median (trees of
+    gbt send missing values where they do better).
     """
-    models, _, test, shift = _trained(rows, origin, backend, seeds, offset, features)
-    out = None
-    for fitted in models:
-        one = fitted.transform(test).select("entity", "t", "h", "month", "base", "y", (F.col("prediction") + shift).alias("g"))
-        out = one if out is None else out.unionByName(one)
+    origins = [origin] if isinstance(origin, int) else sorted(origin)
+    wanted = list(dict.fromkeys(["entity", "t", "h", "month", "base", "y", "g", *features, *([offset] if offset else [])]))
+    rows = checkpointed(rows.select(wanted).where((F.col("month") <= max(origins)) & F.col("g").isNotNull() | F.col("t").isin(origins)))  # every fit reads them
+    if backend == "gbt":
+        shift = F.coalesce(F.col(offset).cast("double"), F.lit(0.0)) if offset else F.lit(0.0)
+        some = rows.withColumn("_shift", shift).withColumn("_target", F.col("g") - F.col("_shift"))
+        found, _ = boosted(some, origins, features, seeds, target="_target")
+        out = found.where("base > 0").select("entity", "t", "h", "month", "base", "y", (F.col("prediction") + F.col("_shift")).alias("g"))
+    else:
+        out = None
+        for at in origins:
+            models, _, test, shift = _trained(rows, at, backend, seeds, offset, features)
+            for fitted in models:
+                one = fitted.transform(test).select("entity", "t", "h", "month", "base", "y", (F.col("prediction") + shift).alias("g"))
+                out = one if out is None else out.unionByName(one)
     keys = ["entity", F.col("t").alias("origin"), F.col("h").cast("int").alias("h"), "month"]
     return out.groupBy(*keys).agg(F.first("y").alias("y"), (F.first("base") * F.exp(F.avg("g"))).alias("yhat"))
 
 
 def importances(rows: DataFrame, origin: int, backend: str = "gbt", seeds: Sequence[int] = (1,), features: Sequence[str] = FEATURES) -> DataFrame:
-    """(feature, share): mean importance over seeds of tree models, of a linear one its standardised weights; one-hot columns
-    count for their feature. A row for each feature."""
-    models, columns, _, _ = _trained(rows, origin, backend, seeds, None, features)
+    """(feature, share): shares of the gain of trees, mean over seeds; of a linear model its standardised weights, one-hot columns
+    counted for their feature. A row for each feature."""
     total: dict[str, float] = {}
-    for fitted in models:
-        last = fitted.stages[-1]
-        weights = np.abs(np.asarray(last.coefficients.toArray() if backend == "ridge" else last.featureImportances.toArray()))
-        for name, w in zip(columns, weights / max(weights.sum(), 1e-12), strict=False):
-            name = "moy" if name.startswith("moy") else name
-            total[name] = total.get(name, 0.0) + float(w) / len(models)
+    if backend == "gbt":
+        _, total = boosted(rows, [origin], features, seeds)
+    else:
+        models, columns, _, _ = _trained(checkpointed(rows), origin, backend, seeds, None, features)
+        for fitted in models:
+            last = fitted.stages[-1]
+            weights = np.abs(np.asarray(last.coefficients.toArray() if backend == "ridge" else last.featureImportances.toArray()))
+            for name, w in zip(columns, weights / max(weights.sum(), 1e-12), strict=False):
+                name = "moy" if name.startswith("moy") else name
+                total[name] = total.get(name, 0.0) + float(w) / len(models)
     return rows.sparkSession.createDataFrame(sorted(total.items()), "feature string, share double")
-
-
-def foundation(panel: DataFrame, origins: Sequence[int], predict=None) -> DataFrame | None:
-    """A slot for zero-shot models: ``predict`` maps (panel, origins) to predictions; without weights there are none."""
-    return predict(panel, origins) if predict else None

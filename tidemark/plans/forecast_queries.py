@@ -335,19 +335,33 @@ def cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return found.select(*(F.round(c, 4).alias(c) for c in ("lo", "mean", "hi")), "draws")
 
 
-def _ml(backend: str):
+def _ml(name: str, backend: str, **options):
     def run(spark: SparkSession, d: str) -> DataFrame:
         at = setting(spark, d)
-        found = M.global_model(M.supervised(full(at), HORIZONS), at.origins[-1], backend)
+        found = M.global_model(M.supervised(full(at), HORIZONS), at.origins, backend, **options)
         return found.select("entity", "origin", "h", "month", "y", F.round("yhat", 2).alias("yhat"))
 
-    run.__name__ = f"{backend}_forecast"
+    run.__name__ = f"{name}_forecast"
     run.__module__ = __name__
     return query()(run)
 
 
-for _backend in ("ridge", "random_forest", "gbt"):
-    _ml(_backend)
+for _name, _options in {"ridge": {}, "random_forest": {}, "gbt": {"seeds": (1, 2)}}.items():
+    _ml(_name, _name, **_options)
+#: What the trees learn is how a series' growth differs from the common one.
+_ml("gbt_offset", "gbt", offset="common")
+
+
+@query()
+def learned_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """The learned models beside the closed-form ones, on the points that all of them have: overall, by horizon and by origin."""
+    at = setting(spark, d)
+    pred, rows = predictions(at, ("seasonal", "drift")), checkpointed(M.supervised(full(at), HORIZONS))
+    for name, options in {"ridge": {}, "gbt": {"seeds": (1, 2)}}.items():
+        one = M.global_model(rows, at.origins, name, **options).withColumn("model", F.lit(name))
+        pred = pred.unionByName(one.select(pred.columns))
+    m = E.metric_cuts(E.shared_points(checkpointed(pred).where("y is not null")))
+    return m.select("model", F.col("h").cast("long").alias("h"), "origin", "n", *(F.round(c, k).alias(c) for c, k in {"mae": 4, "wape": 6, "r2": 5, "r2_within": 5}.items()))
 
 
 @query()
@@ -408,7 +422,7 @@ def ridge_covariates_forecast(spark: SparkSession, d: str) -> DataFrame:
     at = setting(spark, d)
     known = covariates(spark, d).withColumnRenamed("month", "t")
     rows = M.supervised(full(at), HORIZONS).join(known, ["entity", "t"], "left")
-    found = M.global_model(rows, at.origins[-1], "ridge", features=(*M.FEATURES, "orders_growth", "acts", "off_days"))
+    found = M.global_model(rows, at.origins, "ridge", features=(*M.FEATURES, "orders_growth", "acts", "off_days"))
     return found.select("entity", "origin", "h", "month", "y", F.round("yhat", 2).alias("yhat"))
 
 
