@@ -106,12 +106,13 @@ def priority_fill(spark: SparkSession, d: str) -> DataFrame:
     return J.priority_fill(read(spark, d, "nation").select(F.col("n_nationkey").alias("nation")), sources, "value")
 
 
-@query("""WITH u AS (SELECT s_nationkey AS nation, s_acctbal AS v, 0 AS p, s_suppkey AS id FROM supplier WHERE s_acctbal > 7000 UNION ALL SELECT c_nationkey, c_acctbal, 1, c_custkey FROM customer WHERE c_acctbal > 9000)
-SELECT nation, v AS balance FROM u QUALIFY row_number() OVER (PARTITION BY nation ORDER BY p, id) = 1""")
+@query("""WITH u AS (SELECT s_nationkey AS nation, s_suppkey AS number, s_acctbal AS balance, 0 AS p FROM supplier UNION ALL SELECT c_nationkey, c_custkey, c_acctbal, 1 FROM customer)
+SELECT nation, number, balance FROM u QUALIFY row_number() OVER (PARTITION BY nation, number ORDER BY p) = 1""")
 def priority_union(spark: SparkSession, d: str) -> DataFrame:
-    s = read(spark, d, "supplier").where("s_acctbal > 7000").select(F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("balance"), F.col("s_suppkey").alias("id"))
-    c = read(spark, d, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance"), F.col("c_custkey").alias("id"))
-    return J.priority_union([s, c], ["nation"], "id").select("nation", "balance")
+    """Of a nation's suppliers and customers with one number, the supplier."""
+    shown = lambda df, k, key: df.select(F.col(f"{k}_nationkey").alias("nation"), F.col(key).alias("number"), F.col(f"{k}_acctbal").alias("balance"))
+    s, c = shown(read(spark, d, "supplier"), "s", "s_suppkey"), shown(read(spark, d, "customer"), "c", "c_custkey")
+    return J.priority_union([s, c], ["nation", "number"], "balance").select("nation", "number", "balance")
 
 
 @query(f"WITH {SQL_PANEL}, {SQL_NP}, {SQL_ORD} SELECT nation, month, value, price FROM np FULL JOIN om USING (nation, month)")
@@ -119,14 +120,14 @@ def full_outer_covariates(spark: SparkSession, d: str) -> DataFrame:
     return nation_panel(spark, d).join(order_months(spark, d), ["nation", "month"], "full").select("nation", "month", "value", "price")
 
 
-@query(f"""WITH {SQL_PANEL}, {SQL_PLACES}, own AS (SELECT entity, month, n::DOUBLE AS w FROM panel WHERE n >= 10), rg AS (SELECT region, month, count(*)::DOUBLE AS w FROM panel JOIN places USING (entity) WHERE n >= 12 GROUP BY 1, 2),
+@query(f"""WITH {SQL_PANEL}, {SQL_PLACES}, own AS (SELECT entity, month, n::DOUBLE AS w FROM panel), rg AS (SELECT region, month, count(*)::DOUBLE AS w FROM panel JOIN places USING (entity) GROUP BY 1, 2),
 u AS (SELECT entity, month, w FROM own UNION ALL SELECT entity, month, 0.3::DOUBLE * w FROM rg JOIN places USING (region))
 SELECT entity, month, round(sum(w), 6) AS w FROM u GROUP BY 1, 2""")
 def region_share_join(spark: SparkSession, d: str) -> DataFrame:
     """Own counts at full weight, a region's at 0.3 for each of its members."""
     p, pl = panel(spark, d), places(spark, d).select("entity", "region")
-    own = p.where("n >= 10").select("entity", "month", F.lit("x").alias("kind"), F.col("n").cast("double").alias("w"))
-    regional = p.where("n >= 12").join(pl, "entity").groupBy("region", "month").agg(F.lit("x").alias("kind"), F.count("*").cast("double").alias("w"))
+    own = p.select("entity", "month", F.lit("x").alias("kind"), F.col("n").cast("double").alias("w"))
+    regional = p.join(pl, "entity").groupBy("region", "month").agg(F.lit("x").alias("kind"), F.count("*").cast("double").alias("w"))
     return X.weighted_mentions(own, regional, pl).select("entity", "month", F.round("w", 6).alias("w"))
 
 

@@ -317,14 +317,14 @@ def latest_complete_year(spark: SparkSession, d: str) -> DataFrame:
     return p.join(F.broadcast(years), "year").groupBy("entity").agg(F.round(F.avg("value"), 8).alias("mean"), F.count("*").alias("months"))
 
 
-@query("""SELECT p_partkey AS part, p_type AS label FROM part WHERE regexp_matches(lower(p_type), 'economy|promo') AND regexp_matches(lower(p_brand), '#[1-3]')""")
+@query("""SELECT p_partkey AS part, p_type AS label, regexp_matches(lower(p_type), 'economy|promo') AND regexp_matches(lower(p_brand), '#[1-3]') AS kept FROM part""")
 def label_filters(spark: SparkSession, d: str) -> DataFrame:
-    """Each pattern must match one of the label columns it names."""
-    p = read(spark, d, "part").select("p_partkey", "p_type", "p_brand")
+    """All parts, split by whether each pattern matches one of the label columns that it names."""
+    p, kept = read(spark, d, "part"), F.lit(True)
     patterns = {"economy|promo": ["p_type"], "#[1-3]": ["p_brand"]}
     for pattern, cols in patterns.items():
-        p = p.where(F.exists(F.array(*(F.lower(c) for c in cols)), lambda c: c.rlike(pattern)))
-    return p.select(F.col("p_partkey").alias("part"), F.col("p_type").alias("label"))
+        kept &= F.exists(F.array(*(F.lower(c) for c in cols)), lambda c: c.rlike(pattern))
+    return p.select(F.col("p_partkey").alias("part"), F.col("p_type").alias("label"), kept.alias("kept"))
 
 
 @query(f"""WITH {SQL_PANEL}, z AS (SELECT entity, month, ln(value / lag(value) OVER (PARTITION BY entity ORDER BY month)) x FROM panel)
@@ -355,18 +355,18 @@ def month_gaps(spark: SparkSession, d: str) -> DataFrame:
     return P.densify(p, E).select("entity", "month").join(p, ["entity", "month"], "left_anti")
 
 
-@query("""SELECT 'order' AS kind, o_orderkey AS key, NULL::DOUBLE AS quantity, o_totalprice AS price FROM orders WHERE o_orderstatus = 'P'
-UNION ALL SELECT 'line', l_orderkey, l_quantity, NULL FROM lineitem WHERE l_quantity > 49""")
+@query("""SELECT 'order' AS kind, o_orderkey AS key, NULL::DOUBLE AS quantity, o_totalprice AS price FROM orders
+UNION ALL SELECT 'line', l_orderkey, l_quantity, NULL FROM lineitem""")
 def concatenated_frames(spark: SparkSession, d: str) -> DataFrame:
-    o = read(spark, d, "orders").where("o_orderstatus = 'P'").select(F.lit("order").alias("kind"), F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("price"))
-    li = read(spark, d, "lineitem").where("l_quantity > 49").select(F.lit("line").alias("kind"), F.col("l_orderkey").alias("key"), F.col("l_quantity").alias("quantity"))
+    o = read(spark, d, "orders").select(F.lit("order").alias("kind"), F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("price"))
+    li = read(spark, d, "lineitem").select(F.lit("line").alias("kind"), F.col("l_orderkey").alias("key"), F.col("l_quantity").alias("quantity"))
     return o.unionByName(li, allowMissingColumns=True)
 
 
-@query("""SELECT c_nationkey AS nation FROM customer WHERE c_acctbal > 9000 UNION SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000""")
+@query("""SELECT c_nationkey AS nation, round(c_acctbal / 100)::BIGINT AS hundreds FROM customer UNION SELECT s_nationkey, round(s_acctbal / 100)::BIGINT FROM supplier""")
 def union_distinct(spark: SparkSession, d: str) -> DataFrame:
-    c = read(spark, d, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("nation"))
-    return c.union(read(spark, d, "supplier").where("s_acctbal > 5000").select("s_nationkey")).distinct()
+    shown = lambda k: (F.col(f"{k}_nationkey").alias("nation"), F.round(F.col(f"{k}_acctbal") / 100).cast("long").alias("hundreds"))
+    return read(spark, d, "customer").select(*shown("c")).union(read(spark, d, "supplier").select(*shown("s"))).distinct()
 
 
 @query("""WITH t AS (SELECT DISTINCT o_custkey, unnest(regexp_extract_all(o_orderpriority, '[A-Z]{3,}')) AS root FROM orders WHERE o_custkey IS NOT NULL),

@@ -185,15 +185,17 @@ def source_dump_dedup(spark: SparkSession, d: str) -> DataFrame:
     return found.select("id", "customer", "price", F.regexp_extract("place", '"lat": *([0-9.]+)', 1).alias("lat"))
 
 
-@query(f"""WITH {SQL_PANEL}, s AS (SELECT entity, month % 12 AS m, round(avg(value), 4) AS value FROM panel WHERE month % 12 IN (0, 5, 11) GROUP BY 1, 2)
-SELECT entity, CASE m WHEN 0 THEN 'jan' WHEN 5 THEN 'jun' ELSE 'dec' END AS date, value FROM s""")
+_MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+
+
+@query(f"""WITH {SQL_PANEL}, s AS (SELECT entity, month % 12 AS m, round(avg(value), 4) AS value FROM panel GROUP BY 1, 2)
+SELECT entity, {list(_MONTHS)}[m::INT + 1] AS date, value FROM s""")
 def source_melt(spark: SparkSession, d: str) -> DataFrame:
-    """A wide sheet of three months with decimal commas and dashes, melted to rows."""
-    names = {0: "jan", 5: "jun", 11: "dec"}
+    """A wide sheet of twelve months with decimal commas and dashes, melted to rows."""
     p = panel(spark, d).withColumn("m", F.col("month") % 12)
-    wide = p.groupBy("entity").pivot("m", list(names)).agg(F.round(F.avg("value"), 4))
-    shown = wide.select("entity", *(F.coalesce(T.decimal_comma(F.col(str(k)), 4), F.lit("-")).alias(v) for k, v in names.items()))
-    return R.melted(shown, ["entity"], list(names.values()))
+    wide = p.groupBy("entity").pivot("m", list(range(12))).agg(F.round(F.avg("value"), 4))
+    shown = wide.select("entity", *(F.coalesce(T.decimal_comma(F.col(str(k)), 4), F.lit("-")).alias(v) for k, v in enumerate(_MONTHS)))
+    return R.melted(shown, ["entity"], list(_MONTHS))
 
 
 @query(f"""WITH {SQL_PANEL} SELECT entity, month, value FROM panel WHERE n > 1""")
