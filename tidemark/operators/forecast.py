@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpointed
 from . import panel as P
+from . import smoothing
 from .boosting import boosted
 from .quantiles import medians
 
@@ -127,34 +128,10 @@ def reconcile(wide: DataFrame, method: str, keys: Sequence[str]) -> DataFrame:
     return spread.withColumn("reconciled", F.col("yhat") + F.col("_gap") * share).drop("_v", "_gap")
 
 
-def _ets_fit(y: np.ndarray, horizon: int) -> np.ndarray:
-    """The best of simple, trended and damped exponential smoothing by AICc, over a grid of weights; additive errors."""
-    best, n = (np.inf, None), len(y)
-    grid = np.array([0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9])
-    for trend, phi in ((False, 0.0), (True, 1.0), (True, 0.9)):
-        betas = grid[:4] if trend else np.array([0.0])
-        a, b = (x.ravel() for x in np.meshgrid(grid, betas))
-        level, slope = np.full(len(a), y[0]), np.full(len(a), (y[min(3, n - 1)] - y[0]) / max(1, min(3, n - 1)) if trend else 0.0)
-        sse = np.zeros(len(a))
-        for v in y[1:]:
-            expect = level + phi * slope
-            e = v - expect
-            sse += e * e
-            level, slope = expect + a * e, phi * slope + a * b * e
-        i, k = int(sse.argmin()), 5 if trend and phi < 1 else 4 if trend else 2
-        if n - k - 2 <= 0:
-            continue
-        score = n * np.log(max(sse[i], 1e-12) / n) + 2 * k + 2 * k * (k + 1) / (n - k - 1)
-        if score < best[0]:
-            steps = np.cumsum(phi ** np.arange(1, horizon + 1)) if trend else np.zeros(horizon)
-            best = (score, level[i] + slope[i] * steps)
-    return best[1] if best[1] is not None else np.repeat(y[-1], horizon)
-
-
 def ets_deviation(factors: DataFrame, origins: Sequence[int], horizon: int, window: int = 3, min_train: int = 12) -> DataFrame:
     """Exponential smoothing of each series' deviation from the common factor, plus the factor's own forecast.
 
-    (entity, origin, h, month, yhat). A series and origin are one row with its history as an array.
+    (entity, origin, h, month, yhat). A series and origin are one row with its history as an array; histories of a batch are fitted together.
     """
     hist = factors.withColumn("origin", F.explode(F.array(*map(F.lit, origins)))).where("month <= origin")
     hist = hist.groupBy("entity", "origin").agg(F.array_sort(F.collect_list(F.struct("month", (F.col("l") - F.col("f")).alias("d")))).alias("a"))
@@ -163,7 +140,7 @@ def ets_deviation(factors: DataFrame, origins: Sequence[int], horizon: int, wind
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"entity": frame["entity"], "origin": frame["origin"], "d": [_ets_fit(np.asarray(x), horizon) for x in frame["d"]]})
+            yield pd.DataFrame({"entity": frame["entity"], "origin": frame["origin"], "d": list(smoothing.forecast(frame["d"].tolist(), horizon)[0])})
 
     dev = hist.mapInPandas(run, f"entity {kind}, origin long, d array<double>")
     dev = dev.select("entity", "origin", F.posexplode("d").alias("h", "dev")).withColumn("h", F.col("h") + 1).withColumn("month", F.col("origin") + F.col("h"))
