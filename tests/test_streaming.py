@@ -67,3 +67,23 @@ def test_stored_table_of_many_files_in_any_order(spark, tmp_path):
         got, want = (sorted(map(tuple, getattr(Q, name)(spark, f"{tmp_path}/{x}").collect())) for x in ("many", "single"))
         assert got == want and len(got) == {"stream_tumbling": 25, "stream_dedup": 50, "stream_session": 50, "stream_ewma": 2}[name]
     assert got[1] == (1, 23, 0.0, 0.0)  # a constant series keeps its values
+
+
+def test_online_bocpd_equals_batch_and_its_state_stays_short(spark):
+    rng = np.random.default_rng(8)
+    z = np.concatenate([rng.normal(size=(3, 40)), rng.normal(6, 1, size=(3, 40))], axis=1)
+    rows = [(e, t, float(z[e, t])) for e in range(3) for t in range(80)] + [(9, 0, 1.0), (8, 0, 1.0), (8, 79, 2.0)]
+    df = spark.createDataFrame(rows, "entity long, t long, z double")
+    parts = [df.where((F.col("t") >= a) & (F.col("t") < b)) for a, b in ((0, 1), (1, 30), (30, 55), (55, 80))]
+    got = {(r.entity, r.t): (r.score, r.position) for r in S.run_waves(parts, S.online_bocpd).collect()}
+    want = detect.bocpd_batch(z)
+    assert len(got) == len(rows) and got[9, 0] == got[8, 0] == (0.0, 0) and got[8, 79] == (0.0, 1)
+    assert max(abs(got[e, t][0] - want[e, t]) for e in range(3) for t in range(80)) < 1e-9
+    assert want[:, 40].min() > 0.5  # the shift is seen at once
+    run, mean, var, longest = np.ones((1, 1)), z[:1, :2].mean(keepdims=True), np.full((1, 1), detect.PRIOR_VAR), 0
+    for t in range(80):
+        run, mean, var = detect.bocpd_step(run, mean, var, z[:1, t : t + 1], z[:1, :2].mean(keepdims=True))
+        likely = run[0] >= 1e-15
+        run, mean, var = run[:, likely], mean[:, likely], var[:, likely]
+        longest = max(longest, len(run[0])) if t > 60 else longest
+    assert longest < 60  # lengths from before the shift are gone; there would be 81

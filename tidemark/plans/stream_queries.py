@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import detect as D
 from ..operators.detect import START
+from ..operators.quantiles import quantiles
 from ..streaming import events as S
-from .base import query, read
+from ..session import checkpointed
+from .base import SQL, query, read
+from .detect_queries import window24
 
 
 def stream(spark: SparkSession, d: str, per_trigger: int | None = 8) -> DataFrame:
@@ -15,6 +19,17 @@ def stream(spark: SparkSession, d: str, per_trigger: int | None = 8) -> DataFram
     return found.withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need an instant
 
 
+def waves(signal: DataFrame, count: int = 3) -> list[DataFrame]:
+    """A signal (.., t) cut in time into parts of about equally many rows."""
+    q = quantiles(signal, "t", [k / count for k in range(1, count)]).first()
+    cuts = [-float("inf"), *(q["q"] if q else []), float("inf")]
+    return [signal.where((F.col("t") > a) & (F.col("t") <= b)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def signal_waves(spark: SparkSession, d: str) -> list[DataFrame]:
+    return waves(read(spark, d, "events").select(F.col("user_id").alias("entity"), F.col("event_id").alias("t"), F.col("value").alias("z")))
+
+
 @query("""SELECT event_type, date_trunc('day', ts)::TIMESTAMP AS start, count(*)::BIGINT AS n FROM events GROUP BY 1, 2""")
 def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
     """Daily counts; in complete mode, so the days that the watermark hasn't closed are there too."""
@@ -40,9 +55,8 @@ e0 AS (SELECT entity, avg(z) AS level FROM z WHERE t < 2 GROUP BY 1), ew AS (SEL
 SELECT z.entity, z.t, 0.3::DOUBLE * z.z + 0.7::DOUBLE * ew.level, abs(z.z - ew.level) FROM ew JOIN z ON z.entity = ew.entity AND z.t = ew.t + 1)
 SELECT entity, count(*)::BIGINT AS n, round(max(score), 4) AS top, round(sum(score), 3) AS total FROM ew WHERE t >= 2 GROUP BY 1""")
 def stream_ewma(spark: SparkSession, d: str) -> DataFrame:
-    """All files in one batch, which sorts each series: a stored table's files need not be in the order of t."""
-    signal = stream(spark, d, per_trigger=None).select(F.col("user_id").alias("entity"), F.col("event_id").alias("t"), F.col("value").alias("z"))
-    scores = S.run_available(S.online_ewma(signal)).where(F.col("position") >= START)
+    """The detector's state carried over three runs, a third of the events each, in their order."""
+    scores = S.run_waves(signal_waves(spark, d), S.online_ewma).where(F.col("position") >= START)
     return scores.groupBy("entity").agg(F.count("*").alias("n"), F.round(F.max("score"), 4).alias("top"), F.round(F.sum("score"), 3).alias("total"))
 
 
@@ -51,7 +65,13 @@ e0 AS (SELECT entity, avg(z) AS ref FROM z WHERE t < 2 GROUP BY 1 HAVING count(*
 SELECT z.entity, ref, z.t, greatest(0, up + z.z - ref - 0.5::DOUBLE), greatest(0, down - (z.z - ref) - 0.5::DOUBLE) FROM cu JOIN z ON z.entity = cu.entity AND z.t = cu.t + 1)
 SELECT entity, count(*)::BIGINT AS n, round(max(greatest(up, down)), 3) AS top FROM cu WHERE t >= 2 GROUP BY 1""")
 def stream_cusum(spark: SparkSession, d: str) -> DataFrame:
-    """The cumulative-sum detector carried along a stream, in one batch like ``stream_ewma``."""
-    signal = stream(spark, d, per_trigger=None).select(F.col("user_id").alias("entity"), F.col("event_id").alias("t"), F.col("value").alias("z"))
-    scores = S.run_available(S.online_cusum(signal)).where(F.col("position") >= START)
+    """The cumulative-sum detector's state carried over three runs like ``stream_ewma``."""
+    scores = S.run_waves(signal_waves(spark, d), S.online_cusum).where(F.col("position") >= START)
     return scores.groupBy("entity").agg(F.count("*").alias("n"), F.round(F.max("score"), 3).alias("top"))
+
+
+@query(SQL["score_bocpd"])
+def stream_bocpd(spark: SparkSession, d: str) -> DataFrame:
+    """Bayesian detection carried over three runs of four months each: the same scores as all months at once give."""
+    z = checkpointed(D.local_growth(window24(spark, d)).select("entity", F.col("t").cast("long").alias("t"), "z"))
+    return S.run_waves(waves(z), S.online_bocpd).select("entity", "t", F.round("score", 6).alias("score"))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.detect import ALPHA, SLACK, START
+from ..operators.detect import ALPHA, PRIOR_VAR, SLACK, START, bocpd_step
 
 
 def source(spark: SparkSession, folder: str, pattern: str, schema, per_trigger: int | None = 8) -> DataFrame:
@@ -96,6 +97,56 @@ def online_cusum(signal: DataFrame, key: str = "entity", slack: float = SLACK) -
     )
 
 
+def online_bocpd(signal: DataFrame, key: str = "entity", least: float = 1e-15) -> DataFrame:
+    """Probabilities (key, t, score, position) that a series' run is one value old at most, as values arrive, as in the batch detector.
+
+    The state of a series is its count, its first values and the posterior of its run lengths with their means and variances. Run lengths
+    less likely than ``least`` are dropped, so the state stays short however long the series gets. Order as for ``online_ewma``.
+    """
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    kind = signal.schema[key].dataType.simpleString()
+
+    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen, first, *posterior = state.get if state.exists else (0, [], [], [], [])
+        first, (run, mean, var) = list(first), (np.array(x, float)[None] for x in posterior)
+        rows = []
+        for t, z in sorted((t, z) for f in frames for t, z in zip(f["t"], f["z"], strict=True)):
+            score, new = 0.0, [z]
+            if seen < START:
+                first.append(z)
+                new = first if len(first) == START else []  # the prior's mean is that of the first values
+                run, mean, var = (np.array([[x]]) for x in (1.0, sum(first) / len(first), PRIOR_VAR))
+            for x in new:
+                run, mean, var = bocpd_step(run, mean, var, np.array([[x]]), np.array([[sum(first) / START]]))
+            if seen >= START:
+                score = float(run[0, :2].sum())
+                likely = run[0] >= least
+                likely[:2] = True
+                run, mean, var = run[:, likely], mean[:, likely], var[:, likely]
+            rows.append((k[0], t, score, seen))
+            seen += 1
+        state.update((seen, first, *(x[0].tolist() for x in (run, mean, var))))
+        yield pd.DataFrame(rows, columns=[key, "t", "score", "position"])
+
+    held = "seen long, first array<double>, run array<double>, mean array<double>, var array<double>"
+    return signal.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, t long, score double, position long", held, "append", GroupStateTimeout.NoTimeout)
+
+
+def run_waves(waves: Sequence[DataFrame], build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Waves of rows that land one after the other in a folder, each worked off by a run of its own that goes on from the
+    state and the ledger of the one before, as a daily job does; then all that the runs wrote, as a table."""
+    spark = waves[0].sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='stream-')}"
+    root = f"{base.rstrip('/')}/waves-{uuid.uuid4().hex}"
+    for wave in waves:
+        wave.write.mode("append").parquet(f"{root}/landing")
+        made = build(spark.readStream.schema(wave.schema).parquet(f"{root}/landing"))
+        writer = made.writeStream.option("checkpointLocation", f"{root}/ledger").trigger(availableNow=True)
+        writer.outputMode("append").format("parquet").option("path", f"{root}/out").start().awaitTermination()
+    return spark.read.schema(made.schema).parquet(f"{root}/out")
+
+
 def upsert_days(folder: str, day: str = "day"):
     """A foreachBatch sink that replaces whole days: late files rewrite only the days they touch."""
 
