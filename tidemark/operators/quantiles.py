@@ -114,7 +114,7 @@ def quantiles(
 
 
 def sum_quantiles(
-    values: DataFrame, value: str, shifts: DataFrame, shift: str, levels: Sequence[float], by: Sequence[str] = (), name: str = "q", bins: int = BINS, gather: int = SMALL
+    values: DataFrame, value: str, shifts: DataFrame, shift: str, levels: Sequence[float], by: Sequence[str] = (), name: str = "q", bins: int = BINS, gather: int = 2 * GATHER
 ) -> DataFrame:
     """(by, name array<double>): exact quantiles of all sums of a value and a shift of the same group. Shifts are few (an origin each).
 
