@@ -34,8 +34,9 @@ def test_same_rows_as_sql(spark, sf_dir, duck, name):
 
 def test_every_other_query_has_a_test_of_its_own():
     assert {n for n in QUERIES if n not in SQL} == {
-        "greedy_selection", "ridge_forecast", "random_forest_forecast", "gbt_forecast", "gbt_offset_forecast", "learned_metrics", "ridge_covariates_forecast", "ets_forecast", "fourier_trend_forecast", "embedding_classifier_cv", "classifier_report", "feature_importance"
-    }  # fmt: skip; in test_learned.py
+        "greedy_selection", "ridge_forecast", "random_forest_forecast", "gbt_forecast", "gbt_offset_forecast", "learned_metrics", "ridge_covariates_forecast", "ets_forecast", "fourier_trend_forecast", "embedding_classifier_cv", "classifier_report", "feature_importance",
+        "changepoint_trend_forecast", "trend_changes", "null_test_runs", "null_test_summary"
+    }  # fmt: skip; in test_learned.py, test_trend.py, test_nulltest.py
 
 
 def test_entry():

@@ -79,6 +79,15 @@ def seasonal_national(panel: DataFrame, pts: DataFrame, national: DataFrame, lag
     return out.withColumn("yhat", F.col("base") * (1 + F.col("growth"))).drop("base", "growth")
 
 
+def constant_growth(panel: DataFrame, pts: DataFrame, keys: Sequence[str] = ("entity",)) -> DataFrame:
+    """The value a year before, times exp of one number: the median annual log growth of all series and months known at the origin."""
+    grown = panel.withColumn("g", P.log_growth(F.col("value"), P.lag_months("value", 12, keys))).where("g is not null").select("month", "g")
+    origins = pts.select("origin").distinct()  # a few rows
+    one = medians(grown.join(F.broadcast(origins), F.col("month") <= F.col("origin")), "g", ["origin"], "growth")
+    out = _year_before(pts, panel, keys).join(F.broadcast(one), "origin", "left")
+    return out.withColumn("yhat", F.col("base") * F.exp("growth")).drop("base", "growth")
+
+
 def common_factor(panel: DataFrame, k: float | None = None) -> DataFrame:
     """(entity, month, l, f): log level and its common factor, the national median, or the regional one shrunk by n/(n + k).
 
@@ -150,11 +159,17 @@ def ets_deviation(factors: DataFrame, origins: Sequence[int], horizon: int, wind
     return out.select("entity", "origin", "h", "month", (F.col("yhat") * F.exp(F.col("dev") - F.col("last"))).alias("yhat"))
 
 
-def fourier_trend(panel: DataFrame, origins: Sequence[int], horizon: int, order: int = 3, min_train: int = 24) -> DataFrame:
-    """A straight trend plus yearly Fourier terms on log levels, by least squares for each series and origin."""
-    hist = panel.withColumn("origin", F.explode(F.array(*map(F.lit, origins)))).where("month <= origin and value > 0")
+def log_histories(panel: DataFrame, origins: Sequence[int], min_train: int) -> DataFrame:
+    """(entity, origin, m, l): months and log levels of a series up to each origin, as arrays bounded by the calendar."""
+    hist = panel.withColumn("origin", F.explode(F.array(*(F.lit(o).cast("long") for o in origins)))).where("month <= origin and value > 0")
     hist = hist.groupBy("entity", "origin").agg(F.array_sort(F.collect_list(F.struct("month", F.ln("value").alias("l")))).alias("a"))
     hist = hist.select("entity", "origin", F.transform("a", lambda r: r["month"]).alias("m"), F.transform("a", lambda r: r["l"]).alias("l"))
+    return hist.where(F.size("l") >= min_train)
+
+
+def fourier_trend(panel: DataFrame, origins: Sequence[int], horizon: int, order: int = 3, min_train: int = 24) -> DataFrame:
+    """A straight trend plus yearly Fourier terms on log levels, by least squares for each series and origin."""
+    hist = log_histories(panel, origins, min_train)
     kind = panel.schema["entity"].dataType.simpleString()
 
     def design(m: np.ndarray, origin: int) -> np.ndarray:
@@ -169,7 +184,7 @@ def fourier_trend(panel: DataFrame, origins: Sequence[int], horizon: int, order:
                 out.append(np.exp(design(origin + np.arange(1.0, horizon + 1), origin) @ beta))
             yield pd.DataFrame({"entity": frame["entity"], "origin": frame["origin"], "f": out})
 
-    fit = hist.where(F.size("l") >= min_train).mapInPandas(run, f"entity {kind}, origin long, f array<double>")
+    fit = hist.mapInPandas(run, f"entity {kind}, origin long, f array<double>")
     out = fit.select("entity", "origin", F.posexplode("f").alias("h", "yhat"))
     return out.select("entity", "origin", (F.col("h") + 1).alias("h"), (F.col("origin") + F.col("h") + 1).alias("month"), "yhat")
 

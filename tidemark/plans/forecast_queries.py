@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate as E
 from ..operators import forecast as M
+from ..operators import nulltest as N
 from ..operators import panel as P
+from ..operators import trend as T
 from ..operators.detect import lcg
 from ..operators.quantiles import medians
 from ..session import checkpointed
@@ -376,6 +378,53 @@ def fourier_trend_forecast(spark: SparkSession, d: str) -> DataFrame:
     return M.fourier_trend(full(at), at.origins, 3).withColumn("yhat", F.round("yhat", 4))
 
 
+@query()
+def changepoint_trend_forecast(spark: SparkSession, d: str) -> DataFrame:
+    at = setting(spark, d)
+    return T.changepoint_trend(full(at), at.origins, 3).withColumn("yhat", F.round("yhat", 4))
+
+
+@query()
+def trend_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Each series' slope at the end of the window, as log level a year; how often it has changed, and when last."""
+    at = setting(spark, d)
+    found = T.trend_fits(full(at), [at.last], 3)
+    last = F.array_max(F.transform("changes", lambda c: c["month"]))
+    return found.select("entity", F.round("slope", 5).alias("slope"), F.size("changes").cast("long").alias("changes"), last.alias("last_change"))
+
+
+@query(f"""WITH {SQL_PANEL}, {SQL_FULL}, {SQL_PTS}, gr AS (SELECT a.month, ln(a.value / b.value) AS g FROM full_panel a JOIN full_panel b ON b.entity = a.entity AND b.month = a.month - 12 WHERE a.value > 0 AND b.value > 0),
+md AS (SELECT o AS origin, quantile_cont(g, 0.5) AS m FROM gr JOIN {_origins()} a(o) ON month <= o GROUP BY 1)
+SELECT pts.entity, origin, h, pts.month, round(b.value * exp(m), 4) AS yhat FROM pts JOIN md USING (origin) JOIN full_panel b ON b.entity = pts.entity AND b.month = pts.month - 12""")
+def constant_growth_forecast(spark: SparkSession, d: str) -> DataFrame:
+    """The reference that knows one number: the median growth of all series up to the origin."""
+    at = setting(spark, d)
+    p = full(at)
+    found = M.constant_growth(p, M.points(p, at.origins, HORIZONS))
+    return found.select("entity", "origin", F.col("h").cast("long").alias("h"), "month", F.round("yhat", 4).alias("yhat"))
+
+
+def _null_predictions(spark: SparkSession, d: str) -> DataFrame:
+    at = setting(spark, d)
+    p = full(at)
+    return checkpointed(N.null_predictions(M.supervised(p, HORIZONS), p, at.origins))
+
+
+@query()
+def null_test_runs(spark: SparkSession, d: str) -> DataFrame:
+    """The error of a learned model on real data, on noise in place of its features, on shuffled targets, and of three references."""
+    found = N.runs(_null_predictions(spark, d))
+    return found.select("scenario", F.col("repeat").cast("long").alias("repeat"), "n", F.round("mae", 3).alias("mae"), F.round("r2_within", 5).alias("r2_within"))
+
+
+@query()
+def null_test_summary(spark: SparkSession, d: str) -> DataFrame:
+    """How often spoilt data do as well as real ones, and what the model gains over the references."""
+    found = N.summary(_null_predictions(spark, d))
+    digits = {"mae_real": 3, "mae": 3, "best": 3, "p": 6, "skill": 5, "share_better": 5}
+    return found.select("versus", "repeats", *(F.round(c, k).alias(c) for c, k in digits.items()))
+
+
 @query(f"""WITH {SQL_PANEL}, {SQL_FULL}, f AS (SELECT s.entity, s.month + 12 AS month, s.month + 12 - {S_LAST} AS h, s.value * (SELECT sum(n.value) FROM full_panel n WHERE n.entity = s.entity AND n.month BETWEEN {S_LAST} - 2 AND {S_LAST})
 / (SELECT sum(n.value) FROM full_panel n WHERE n.entity = s.entity AND n.month BETWEEN {S_LAST} - 14 AND {S_LAST} - 12) AS yhat, s.value FROM full_panel s WHERE s.month BETWEEN {S_LAST} - 11 AND {S_LAST} - 9)
 SELECT entity, month::BIGINT AS month, h::BIGINT AS h, round(yhat, 4) AS yhat, quantile_cont(ln(yhat / value), 0.5) OVER (PARTITION BY h) BETWEEN -0.5 AND 0.5 AS plausible FROM f""")
