@@ -254,3 +254,41 @@ def test_root_overlap_counts_every_member(spark):
     rows = [(i, r) for i in range(1000) for r in ("A", "B") + (("C",) if i % 4 == 0 else ())] + [(5, "A"), (2000, "D"), (None, "A"), (None, "D")]
     got = sorted(map(tuple, root_overlap(spark.createDataFrame(rows, "o_custkey long, root string")).collect()))
     assert got == [("A", "B", 1000), ("A", "C", 250), ("A", "D", 0), ("B", "C", 250), ("B", "D", 0), ("C", "D", 0)]
+
+
+def test_roots_resolve_to_one_target(spark):
+    """Exact before prefix, all roots needed, one common target only."""
+    own = [("saha", 1), ("sahalin", 2), ("mosk", 3), ("moskovsk", 4), ("krasnodarsk", 5), ("krasnoyarsk", 6), ("altai", 7), ("gorn", 7), ("altai", 8), ("uud", 9), (None, 10)]
+    dictionary = spark.createDataFrame(own, "root string, target long")
+    asked = {
+        "exact": ["sahalin"], "exact beats prefix": ["saha"], "prefix": ["krasnodarskiy"], "two by prefix": ["krasno"], "two targets": ["altai"],
+        "second root decides": ["altai", "gorn"], "foreign root": ["altai", "gorn", "xyzw"], "no common": ["sahalin", "gorn"], "short": ["uuda"], "short exact": ["uud"],
+        "twice": ["uud", "uud"], "null inside": ["uud", None], "none": [], "null": None,
+    }
+    df = spark.createDataFrame(list(asked.items()), "name string, roots array<string>")
+    got = {r["name"]: r["target"] for r in match.resolve_by_roots(df, dictionary, "name", "target").collect()}
+    assert got == {"exact": 2, "exact beats prefix": 1, "prefix": 5, "second root decides": 7, "short exact": 9, "twice": 9, "null inside": 9}
+    assert match.resolve_by_roots(df.limit(0), dictionary, "name", "target").count() == match.resolve_by_roots(df, dictionary.limit(0), "name", "target").count() == 0
+
+
+def test_forecast_interval_sees_the_past_only(spark):
+    rng = np.random.default_rng(6)
+    z = rng.normal(size=12)
+    z[8] += 9
+
+    def scored(v):
+        df = spark.createDataFrame([(1, t, float(x)) for t, x in enumerate(v)], "entity long, t long, z double")
+        return detect.forecast_interval(df).orderBy("t").toPandas()
+
+    got = scored(z)
+    level, e = z[:2].mean(), list(z[:2] - z[:2].mean())
+    for t in range(2, 12):
+        lo, mid, hi = np.quantile(e, [0.1, 0.5, 0.9])
+        e.append(z[t] - level)
+        width = max(hi - lo, 1)
+        assert got.outside[t] == pytest.approx(max(e[-1] - hi, lo - e[-1], 0) / width) and got.off_median[t] == pytest.approx(abs(e[-1] - mid) / width)
+        level = 0.3 * z[t] + 0.7 * level
+    assert (got.outside[:2] == 0).all() and got.outside[4:].idxmax() == 8  # two or three errors make no good interval yet
+    other = z.copy()
+    other[9:] = 50
+    assert scored(other)[:9].equals(got[:9])

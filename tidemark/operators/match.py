@@ -148,3 +148,25 @@ def assign_events(events: DataFrame, dictionary: DataFrame) -> DataFrame:
     none = F.lit(None).cast(dictionary.schema["entity"].dataType)
     region = left.join(dictionary.select("region").distinct(), "region").withColumn("entity", none).withColumn("level", F.lit("region"))
     return exact.select(cols).unionByName(prefix.select(cols)).unionByName(region.select(cols))
+
+
+def resolve_by_roots(names: DataFrame, dictionary: DataFrame, key: str, target: str, least: int = 4) -> DataFrame:
+    """(key, target) of names that their roots resolve to one target.
+
+    ``names``: key, roots (array); ``dictionary``: root, target. A root stands for the targets that have exactly this root; if none has, for those
+    one of whose roots begins with it or with which it begins, both of ``least`` letters or more. A name resolves if every
+    root of it stands for some target and exactly one target is common to all. Nulls and names without roots resolve to nothing.
+    """
+    own = dictionary.where("root is not null").select("root", target).distinct()
+    known = F.array_sort(F.array_distinct(F.filter("roots", lambda r: r.isNotNull())))
+    sets = names.select(known.alias("_set")).where(F.size("_set") > 0).distinct()  # as many as there are different names
+    asked = sets.select("_set", F.explode("_set").alias("root"))
+    roots = asked.select("root").distinct()
+    exact = roots.join(own, "root")
+    head = lambda c: F.substring(c, 1, least)
+    rest = roots.join(exact, "root", "left_anti").where(F.length("root") >= least).withColumn("_head", head("root"))
+    near = rest.join(own.select(F.col("root").alias("_own"), target, head("root").alias("_head")).where(F.length("_own") >= least), "_head")
+    near = near.where(F.col("_own").startswith(F.col("root")) | F.col("root").startswith(F.col("_own"))).select("root", target).distinct()
+    hits = asked.join(exact.unionByName(near), "root").groupBy("_set", target).agg(F.count("*").alias("_hits"))
+    common = hits.where("_hits = size(_set)").groupBy("_set").agg(F.min(target).alias(target), F.count("*").alias("_k")).where("_k = 1")
+    return names.select(key, known.alias("_set")).join(common.drop("_k"), "_set").select(key, target)

@@ -11,18 +11,19 @@ from ..operators import match as J
 from ..operators import quality as Q
 from ..session import checkpointed
 from .base import SQL_PANEL, SQL_PLACES, places, query, read, setting
-from .detect_queries import FARS, SQL_BOCPD, SQL_CUTS, SQL_EWMA, SQL_INJECTED, SQL_LABELS, _injected, _scored, sql24, sql_z, window24
+from .detect_queries import FARS, SQL_BOCPD, SQL_CUTS, SQL_EWMA, SQL_INJECTED, SQL_INTERVAL, SQL_LABELS, _injected, _scored, sql24, sql_z, window24
 from .detect_queries import SQL_LCG
 from .forecast_queries import _CUT, _LATEST, SQL_PRED, predictions
 
 
-_SCORES = f"""{SQL_LABELS}, {SQL_INJECTED}, {sql_z('inj')}, {SQL_EWMA}, {SQL_BOCPD}, e1 AS (SELECT entity, avg(z) AS ref FROM z WHERE t < 2 GROUP BY 1),
+_SCORES = f"""{SQL_LABELS}, {SQL_INJECTED}, {sql_z('inj')}, {SQL_EWMA}, {SQL_BOCPD}, {SQL_INTERVAL}, e1 AS (SELECT entity, avg(z) AS ref FROM z WHERE t < 2 GROUP BY 1),
 cu AS (SELECT entity, ref, 1::BIGINT AS t, 0::DOUBLE AS up, 0::DOUBLE AS down FROM e1 UNION ALL
  SELECT z.entity, ref, z.t, greatest(0, up + z.z - ref - 0.5::DOUBLE), greatest(0, down - (z.z - ref) - 0.5::DOUBLE) FROM cu JOIN z ON z.entity = cu.entity AND z.t = cu.t + 1),
 dr AS (SELECT entity, m, quantile_cont(m, 0.5) OVER (PARTITION BY entity) AS mm FROM mo), sr AS (SELECT entity, 1.4826::DOUBLE * sqrt(2) * quantile_cont(abs(m - mm), 0.5) AS s FROM dr GROUP BY 1),
 zr AS (SELECT entity, t, g / greatest(s, 0.5::DOUBLE * (SELECT quantile_cont(s, 0.5) FROM sr)) AS z FROM yo JOIN sr USING (entity)),
 sc AS (SELECT 'ewma' AS method, entity, t, score FROM ew WHERE t >= 2 UNION ALL SELECT 'cusum', entity, t, greatest(up, down) FROM cu WHERE t >= 2
  UNION ALL SELECT 'bocpd', entity, t, run[1] + run[2] FROM bo WHERE t >= 2
+ UNION ALL SELECT 'interval', entity, t, outside FROM fi UNION ALL SELECT 'forecast_median', entity, t, off_median FROM fi
  UNION ALL SELECT 'zscore', a.entity, a.t, abs(a.z - quantile_cont(b.z, 0.5)) FROM z a JOIN z b ON a.entity = b.entity AND b.t < a.t WHERE a.t >= 2 GROUP BY a.entity, a.t, a.z
  UNION ALL SELECT 'zscore_raw', a.entity, a.t, abs(a.z - quantile_cont(b.z, 0.5)) FROM zr a JOIN zr b ON a.entity = b.entity AND b.t < a.t WHERE a.t >= 2 GROUP BY a.entity, a.t, a.z),
 tp AS (SELECT method, entity, max(score) AS top FROM sc WHERE entity NOT IN (SELECT entity FROM lab) GROUP BY 1, 2),
@@ -43,12 +44,14 @@ def detector_comparison(spark: SparkSession, d: str) -> DataFrame:
     p = window24(spark, d)
     labels = D.shift_labels(p.select("entity").distinct())
     shifted = D.inject(p, labels)
-    z = checkpointed(D.local_growth(shifted))  # five detectors read it; a row a series and month
+    z = checkpointed(D.local_growth(shifted))  # six detectors read it; a row a series and month
     raw = D.local_growth(shifted, remove_common=False)
     scores = {"ewma": _scored(z, D.ewma), "cusum": _scored(z, D.cusum), "zscore": D.zscore(z), "zscore_raw": D.zscore(raw)}
     bayes = D.bocpd(D.signals(z)).select("entity", F.posexplode("score").alias("t", "score")).withColumn("t", F.col("t").cast("long"))
+    ahead = checkpointed(D.forecast_interval(z))
+    scores |= {"bocpd": bayes} | {name: ahead.select("entity", "t", F.col(c).alias("score")) for name, c in {"interval": "outside", "forecast_median": "off_median"}.items()}
     out = None
-    for name, s in {**scores, "bocpd": bayes}.items():
+    for name, s in scores.items():
         s = checkpointed(s)
         one = D.evaluate(s, labels, D.calibrate(s, labels, FARS)).withColumn("method", F.lit(name))
         out = one if out is None else out.unionByName(one)

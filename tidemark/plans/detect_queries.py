@@ -68,6 +68,18 @@ def _scored(z: DataFrame, score) -> DataFrame:
     return D.signals(z).select("entity", F.posexplode(score(F.col("z"))).alias("t", "score")).withColumn("t", F.col("t").cast("long"))
 
 
+SQL_INTERVAL = """le AS (SELECT z.entity, z.t, z.z - CASE WHEN z.t < 2 THEN e0.level ELSE ew.level END AS e FROM z JOIN e0 USING (entity) LEFT JOIN ew ON ew.entity = z.entity AND ew.t = z.t - 1),
+lq AS (SELECT a.entity, a.t, a.e, quantile_cont(b.e, 0.1) AS lo, quantile_cont(b.e, 0.5) AS mid, quantile_cont(b.e, 0.9) AS hi FROM le a JOIN le b ON b.entity = a.entity AND b.t < a.t WHERE a.t >= 2 GROUP BY a.entity, a.t, a.e),
+fi AS (SELECT entity, t, greatest(e - hi, lo - e, 0) / greatest(hi - lo, 1) AS outside, abs(e - mid) / greatest(hi - lo, 1) AS off_median FROM lq)"""
+
+
+@query(f"""WITH RECURSIVE {SQL_PANEL}, {sql24()}, {sql_z()}, {SQL_EWMA}, {SQL_INTERVAL} SELECT z.entity, z.t, round(coalesce(outside, 0), 5) AS outside, round(coalesce(off_median, 0), 5) AS off_median
+FROM z LEFT JOIN fi ON fi.entity = z.entity AND fi.t = z.t""")
+def score_forecast_interval(spark: SparkSession, d: str) -> DataFrame:
+    found = D.forecast_interval(D.local_growth(window24(spark, d)))
+    return found.select("entity", "t", F.round("outside", 5).alias("outside"), F.round("off_median", 5).alias("off_median"))
+
+
 @query(f"WITH RECURSIVE {SQL_PANEL}, {sql24()}, {sql_z()}, {SQL_EWMA} SELECT entity, t, round(score, 5) AS score FROM ew UNION ALL SELECT entity, 0, 0 FROM e0")
 def score_ewma(spark: SparkSession, d: str) -> DataFrame:
     return _scored(D.local_growth(window24(spark, d)), D.ewma).withColumn("score", F.round("score", 5))

@@ -179,6 +179,36 @@ def neighbour_disambiguation(spark: SparkSession, d: str) -> DataFrame:
     return J.neighbour_region(ordered, "place", "known", ["list"]).select("entity", "region", "known", "resolved")
 
 
+_LABEL = """CASE c_custkey % 6 WHEN 0 THEN title WHEN 1 THEN array_to_string([substr(x, 1, 4) FOR x IN string_split(title, ' ')], ' ') WHEN 2 THEN string_split(title, ' ')[1]
+WHEN 3 THEN array_to_string([x || 'S' FOR x IN string_split(title, ' ')], ' ') WHEN 4 THEN title || ' ' || c_mktsegment ELSE array_to_string(list_reverse(string_split(title, ' ')), '  ') END"""
+
+
+@query(f"""WITH na AS (SELECT n_nationkey, r_name || ' ' || n_name AS title FROM nation JOIN region ON r_regionkey = n_regionkey),
+nm AS (SELECT c_custkey AS customer, {_LABEL} AS label FROM customer JOIN na ON n_nationkey = c_nationkey),
+own AS (SELECT DISTINCT n_nationkey AS nation, unnest(string_split(title, ' ')) AS root FROM na), ak AS (SELECT DISTINCT customer, root FROM (SELECT customer, unnest(string_split(label, ' ')) AS root FROM nm) WHERE root <> ''),
+rt AS (SELECT DISTINCT root FROM ak), ex AS (SELECT root, nation FROM rt JOIN own USING (root)),
+ca AS (SELECT * FROM ex UNION SELECT rt.root, nation FROM rt JOIN own ON starts_with(own.root, rt.root) OR starts_with(rt.root, own.root) WHERE rt.root NOT IN (SELECT root FROM ex) AND least(length(own.root), length(rt.root)) >= 4),
+ht AS (SELECT customer, nation, count(*) AS hits FROM ak JOIN ca USING (root) GROUP BY 1, 2), sz AS (SELECT customer, count(*) AS k FROM ak GROUP BY 1),
+un AS (SELECT customer, min(nation) AS nation FROM ht JOIN sz USING (customer) WHERE hits = k GROUP BY 1 HAVING count(*) = 1)
+SELECT customer, label, un.nation::BIGINT AS nation FROM nm LEFT JOIN un USING (customer)""")
+def root_resolution(spark: SparkSession, d: str) -> DataFrame:
+    """Customers' places (region and nation), some cut, inflected, shortened, turned around or with a foreign word, resolved to nations by the
+    roots of the names: a region's words stand for all its nations."""
+    nation = read(spark, d, "nation").join(F.broadcast(read(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    nation = nation.select(F.col("n_nationkey").alias("nation"), F.concat_ws(" ", "r_name", "n_name").alias("title"))  # a fixed dimension of 25
+    words = F.split("title", " ")
+    k = F.col("c_custkey") % 6
+    label = (
+        F.when(k == 0, F.col("title")).when(k == 1, F.array_join(F.transform(words, lambda w: F.substring(w, 1, 4)), " ")).when(k == 2, words[0])
+        .when(k == 3, F.array_join(F.transform(words, lambda w: F.concat(w, F.lit("S"))), " ")).when(k == 4, F.concat_ws(" ", "title", "c_mktsegment"))
+        .otherwise(F.array_join(F.reverse(words), "  "))
+    )
+    places_ = read(spark, d, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("nation")).select(F.col("c_custkey").alias("customer"), label.alias("label"))
+    roots = places_.select("customer", F.filter(F.split("label", " "), lambda w: w != "").alias("roots"))
+    found = J.resolve_by_roots(roots, nation.select(F.explode(words).alias("root"), "nation"), "customer", "nation")
+    return places_.join(found, "customer", "left").select("customer", "label", F.col("nation").cast("long").alias("nation"))
+
+
 @query(r"""WITH w AS (SELECT doc_id, lang, unnest(list_distinct([x FOR x IN string_split_regex(text, '[^\p{L}]+') IF regexp_full_match(x, '[A-Z][a-z]{6,}')])) AS w FROM documents),
 n AS (SELECT w, min(lang) AS region, count(DISTINCT lang) > 1 AS ambiguous FROM w GROUP BY 1 HAVING count(*) >= 5), d AS (SELECT doc_id, any_value(text) AS text FROM documents GROUP BY 1),
 h AS (SELECT DISTINCT doc_id, w FROM w JOIN n USING (w) JOIN d USING (doc_id) WHERE NOT ambiguous OR contains(lower(text), lower(n.region)))
