@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import gazetteer as G
 from ..functions import text as T
 from ..operators import features as X
 from .base import query, read
@@ -82,6 +83,28 @@ def region_tags(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", F.array_join(X.region_tags(F.col("text"), REGIONS, CITIES), ",").alias("regions"))
 
 
+#: Endings of the synthetic corpus' words.
+LATIN = {"name": {"e": "e es en", "a": "a as", "": "s en er"}}
+_FORMS = "CASE WHEN ends_with(w, 'e') THEN [w, w || 's', w || 'n'] WHEN ends_with(w, 'a') THEN [w, w || 's'] ELSE [w, w || 's', w || 'en', w || 'er'] END"
+
+
+@query(rf"""WITH cw AS (SELECT lang, unnest(list_distinct([x FOR x IN string_split_regex(text, '[^\p{{L}}]+') IF regexp_full_match(x, '[A-Z][a-z]{{6,}}')])) AS w FROM documents),
+nm AS (SELECT w, min(lang) AS region FROM cw GROUP BY 1 HAVING count(*) >= 5), fo AS (SELECT DISTINCT unnest({_FORMS}) AS form, w AS entity, region FROM nm),
+sh AS (SELECT form, count(DISTINCT entity) > 1 AS ambiguous FROM fo GROUP BY 1), tk AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ёЁ', 'еЕ'), '[\p{{L}}\p{{N}}_-]+')) AS form FROM documents),
+oc AS (SELECT doc_id, form, count(*) AS n FROM tk GROUP BY 1, 2), rg AS (SELECT DISTINCT doc_id, form AS region FROM oc WHERE form IN (SELECT region FROM nm)),
+hi AS (SELECT doc_id, fo.entity, fo.region, ambiguous, n FROM oc JOIN fo USING (form) JOIN sh USING (form))
+SELECT doc_id, entity, sum(n)::BIGINT AS n FROM hi WHERE NOT ambiguous OR (doc_id, region) IN (SELECT (doc_id, region) FROM rg) GROUP BY 1, 2""")
+def gazetteer_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """How often each document names each frequent capitalised word of the corpus, in any of its forms; every text is scanned once for
+    all of them. A form that two words share needs the word's language named beside it."""
+    docs = read(spark, d, "documents").select("doc_id", "text", "lang")
+    words = F.array_distinct(F.filter(F.split("text", r"[^\p{L}]+"), lambda x: x.rlike("^[A-Z][a-z]{6,}$")))
+    names = docs.select("lang", F.explode(words).alias("name")).groupBy("name").agg(F.count("*").alias("n"), F.min("lang").alias("region")).where("n >= 5")
+    names = names.select(F.col("name").alias("entity"), "name", F.lit("name").alias("kind"), "region")
+    regions = names.select(F.col("region").alias("entity"), F.col("region").alias("name"), F.lit("code").alias("kind"), "region").distinct()
+    return G.mentions(docs, "doc_id", "text", G.compiled(names, LATIN), G.compiled(regions, {}))
+
+
 SQL_EV = """ev AS (SELECT user_id AS entity, event_type AS kind, (ts::DATE - DATE '2024-01-01')::BIGINT AS day, value, json_extract_string(props, '$.k')::DOUBLE AS k, event_id FROM events)"""
 
 
