@@ -81,9 +81,13 @@ def decimal_comma(value: Column, digits: int = 2) -> Column:
     return F.replace(F.format_string(f"%.{digits}f", value), F.lit("."), F.lit(","))
 
 
+#: The common entities, in the order in which they are decoded.
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+
+
 def html_text(html: Column) -> Column:
     """Tags out, the common entities decoded, white space collapsed."""
     out = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->|<[^>]+>", " ")
-    for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+    for a, b in ENTITIES:
         out = F.replace(out, F.lit(a), F.lit(b))
     return F.trim(F.regexp_replace(out, r"\s+", " "))

@@ -64,8 +64,13 @@ def page_links(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(r"""SELECT page_id, trim(regexp_replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&'), '\s+', ' ', 'g')) AS title,
-length(regexp_extract(html, '<title>([^<]*)</title>', 1))::BIGINT AS raw_chars FROM pages""")
+_TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
+_DECODED = _TITLE
+for _entity, _char in T.ENTITIES:
+    _DECODED = f"replace({_DECODED}, '{_entity}', '{_sql(_char)}')"
+
+
+@query(rf"SELECT page_id, trim(regexp_replace({_DECODED}, '[\s\x0B]+', ' ', 'g')) AS title, length({_TITLE})::BIGINT AS raw_chars FROM pages")
 def page_titles(spark: SparkSession, d: str) -> DataFrame:
     raw = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
     return read(spark, d, "pages").select("page_id", T.html_text(raw).alias("title"), F.length(raw).cast("long").alias("raw_chars"))
