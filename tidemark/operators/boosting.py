@@ -2,9 +2,11 @@
 
 Features are cut once, at quantiles of the rows that the earliest origin knows, and become one byte each. A *group* is an origin with a seed: its model is
 trained on the rows whose target month is known at the origin, weighted, with a share of the rows drawn anew for each tree. All groups go through
-the same passes over the binned rows, which are checkpointed once. A level of the trees is one pass: every task adds up counts, weights and signs of the residuals
-by group, node, feature and bin; Spark sums these rows, and only the sums (groups x nodes x features x bins, whatever the number of rows) reach
-the driver, which picks the splits. A row carries its groups' predictions so far, which are brought up to date with each tree and checkpointed.
+the same passes over the binned rows, which are packed into blocks: a block is one row of a Spark table that holds some ten thousand rows by column, in order of
+their months, so that a pass costs copies of arrays and what an origin knows is the first part of a block. A level of the trees is one pass: every task adds up counts,
+weights and signs of the residuals by group, node, feature and bin; Spark sums these rows, and only the sums (groups x nodes x features x bins, whatever the
+number of rows) reach the driver, which picks the splits. A block carries its groups' predictions so far; they are brought up to date with each
+tree, and the table before is deleted.
 
 Missing values have a bin of their own, and a split sends them to the side where they do better. A leaf's value is the weighted median of its
 residuals, found exactly by refining histograms of them in further passes. Weights are scaled to a mean of one in each group, so that the penalty
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import delete, stored
 from .quantiles import quantiles
 
 
@@ -55,15 +57,19 @@ class Tree:
         return cls(np.full(n, -1), np.zeros(n, int), np.zeros(n, bool), np.zeros(n))
 
     def descend(self, codes: np.ndarray, missing: int, levels: int) -> np.ndarray:
-        """The place of each row among the nodes of a level."""
-        at = np.zeros(len(codes), np.int64)
-        rows = np.arange(len(codes))
-        for _ in range(levels):
-            f = self.feature[at]
-            code = codes[rows, np.maximum(f, 0)]
-            left = (f < 0) | np.where(code == missing, self.missing_left[at], code <= self.cut[at])
-            at = 2 * at + 2 - left
-        return at - (2**levels - 1)
+        """The place of each row among the nodes of a level; ``codes`` by feature, then row. Node by node, as comparisons of bytes are cheap."""
+        at = np.zeros(codes.shape[1], np.uint16)
+        for level in range(levels):
+            right = np.zeros(codes.shape[1], bool)
+            for node in range(2**level):
+                i = 2**level - 1 + node
+                if (f := self.feature[i]) >= 0:
+                    goes = codes[f] > self.cut[i]
+                    if self.missing_left[i]:
+                        goes &= codes[f] != missing
+                    right |= goes & (at == node)
+            at = 2 * at + right
+        return at.astype(np.intp)
 
 
 @dataclass
@@ -72,7 +78,7 @@ class Ensemble:
     trees: list[Tree] = field(default_factory=list)
 
     def predict(self, codes: np.ndarray, missing: int, depth: int, rate: float) -> np.ndarray:
-        out = np.full(len(codes), np.nan if self.start is None else self.start)
+        out = np.full(codes.shape[1], np.nan if self.start is None else self.start)
         for t in self.trees:
             out += rate * t.values[t.descend(codes, missing, depth)]
         return out
@@ -90,11 +96,15 @@ def drawn(keys: np.ndarray, seed: int, tree: int, share: float) -> np.ndarray:
     return (x >> np.uint64(11)).astype(float) < share * 2**53
 
 
-def binned(rows: DataFrame, features: Sequence[str], known: str, bins: int) -> tuple[DataFrame, int]:
-    """``rows`` with ``codes`` (a byte a feature), cut at quantiles of the rows for which ``known`` holds; and the code of missing values."""
+def edges_of(rows: DataFrame, features: Sequence[str], known: str, bins: int) -> dict[int, np.ndarray]:
+    """Each feature's cuts, at quantiles of the rows for which ``known`` holds. ``rows`` is a stored table."""
     long = F.array(*(F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("x")) for i, c in enumerate(features)))
-    cuts = quantiles(rows.where(known).select(F.inline(long)), "x", [k / bins for k in range(1, bins)], ["i"]).collect()  # features x bins
-    edges = {r["i"]: np.unique(r["q"]) for r in cuts}
+    cuts = quantiles(rows.where(known).select(F.inline(long)), "x", [k / bins for k in range(1, bins)], ["i"], reread=True).collect()  # features x bins
+    return {r["i"]: np.unique(r["q"]) for r in cuts}
+
+
+def coded(rows: DataFrame, features: Sequence[str], edges: dict[int, np.ndarray], bins: int) -> DataFrame:
+    """``rows`` with ``codes``, a byte a feature: the bin of its value, or ``bins`` where it is missing."""
     names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,91 +117,143 @@ def binned(rows: DataFrame, features: Sequence[str], known: str, bins: int) -> t
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), data], names=[*names, "codes"])
 
     schema = ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes), "codes binary"])
-    return rows.mapInArrow(run, schema), bins
+    return rows.mapInArrow(run, schema)
+
+
+def binned(rows: DataFrame, features: Sequence[str], known: str, bins: int) -> tuple[DataFrame, int]:
+    """``rows`` with ``codes``, cut at quantiles of the rows for which ``known`` holds; and the code of missing values."""
+    return coded(rows, features, edges_of(rows, features, known, bins), bins), bins
+
+
+def by_feature(column: pa.Array, features: int) -> np.ndarray:
+    """Codes of a batch of rows, by feature, then row."""
+    return np.ascontiguousarray(np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, features).T)
+
+
+#: The columns of a block, and what its bytes are.
+KINDS = {"codes": np.uint8, "month": np.int32, "target": np.float64, "weight": np.float64, "key": np.int64}
+BLOCK_SCHEMA = ", ".join(f"{c} binary" for c in KINDS)
+#: Few blocks a file, so that neither a writer nor a reader holds many at once.
+STORAGE = {"maxRecordsPerFile": "8", "parquet.enable.dictionary": "false", "compression": "lz4_raw"}
+
+
+def packed(rows: DataFrame, features: int, size: int = 1 << 15) -> DataFrame:
+    """Rows (codes, month, target, weight, key) in blocks of ``size`` or a little more, each in order of its months."""
+
+    def block(parts: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
+        whole = {c: np.concatenate([p[c] for p in parts], axis=-1) for c in KINDS}
+        order = np.argsort(whole["month"], kind="stable")
+        return pa.RecordBatch.from_pydict({c: pa.array([np.ascontiguousarray(x[..., order]).tobytes()], pa.binary()) for c, x in whole.items()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, n = [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            own = {c: b.column(c).to_numpy(zero_copy_only=False).astype(k) for c, k in KINDS.items() if c != "codes"}
+            parts.append(own | {"codes": by_feature(b.column("codes"), features)})
+            n += b.num_rows
+            if n >= size:
+                yield block(parts)
+                parts, n = [], 0
+        if parts:
+            yield block(parts)
+
+    return rows.mapInArrow(run, BLOCK_SCHEMA)
 
 
 @dataclass
-class _Rows:
-    codes: np.ndarray
-    month: np.ndarray
+class _Block:
+    codes: np.ndarray  #: (feature, row)
+    month: np.ndarray  #: ascending
     target: np.ndarray
     weight: np.ndarray
     key: np.ndarray
-    made: np.ndarray | None  #: (row, group): predictions so far
+    made: np.ndarray | None  #: (group, row): predictions so far; None before the first tree
 
 
 class Trainer:
     """Trees of all groups (origin, seed) on rows (codes, month, target, weight, key), which hold only what may be learned from."""
 
     def __init__(self, rows: DataFrame, features: int, missing: int, groups: Sequence[tuple[int, int]], params: Params):
-        self.rows, self.features, self.missing, self.groups, self.params = rows, features, missing, list(groups), params
+        self.features, self.missing, self.groups, self.params = features, missing, list(groups), params
+        self.blocks, self.folder = stored(packed(rows, features), **STORAGE)
         self.models = [Ensemble() for _ in self.groups]
         self.scale = [1.0] * len(self.groups)
         self.bounds = np.zeros((2, len(self.groups)))  # between which a group's residuals lie
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "rows"}  # what tasks need
+        return {k: v for k, v in self.__dict__.items() if k != "blocks"}  # what tasks need
 
-    def _batches(self, batches: Iterator[pa.RecordBatch]) -> Iterator[_Rows]:
+    def _read(self, batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
         for b in batches:
-            codes = np.frombuffer(b"".join(b.column("codes").to_pylist()), np.uint8).reshape(b.num_rows, self.features)
-            made = np.frombuffer(b"".join(b.column("made").to_pylist())).reshape(b.num_rows, -1) if "made" in b.schema.names else None
-            yield _Rows(codes, *(b.column(c).to_numpy(zero_copy_only=False) for c in ("month", "target", "weight", "key")), made)
-
-    def _seen(self, r: _Rows, group: int, tree: int | None) -> np.ndarray:
-        """Rows that a group's tree sees; all that its origin knows where no tree is meant."""
-        origin, seed = self.groups[group]
-        some = np.flatnonzero(r.month <= origin)
-        return some if tree is None else some[drawn(r.key[some], seed, tree, self.params.share)]
-
-    def _summed(self, run, columns: str, by: Sequence[str], **aggregates) -> list:
+            for i in range(b.num_rows):
+                own = {c: np.frombuffer(b.column(c)[i].as_buffer(), k) for c, k in KINDS.items()}
+                own["codes"] = own["codes"].reshape(self.features, -1)
+                made = np.frombuffer(b.column("made")[i].as_buffer()).reshape(len(self.groups), -1) if "made" in b.schema.names else None
+                yield _Block(**own, made=made)
+
+    def _parts(self, r: _Block, number: int | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(group, codes, weights, residuals) of the rows that each group's tree sees; without a number all that its origin knows, with targets."""
+        seen: dict[int, tuple] = {}
+        for g, (origin, seed) in enumerate(self.groups):
+            if number is not None and self.models[g].start is None:
+                continue
+            if seed not in seen:
+                some = slice(None) if number is None or self.params.share >= 1 else np.flatnonzero(drawn(r.key, seed, number, self.params.share))
+                seen[seed] = some, r.codes[:, some], r.month[some], r.weight[some], r.target[some]
+            some, codes, month, weight, x = seen[seed]
+            if end := int(np.searchsorted(month, origin, "right")):  # months ascend
+                x = x[:end]
+                if number is not None:
+                    x = x - (self.models[g].start if r.made is None else r.made[g, :end] if isinstance(some, slice) else r.made[g].take(some[:end]))
+                yield g, codes[:, :end], weight[:end] / self.scale[g], x
+
+    def _summed(self, run, columns: str, by: Sequence[str], **aggregates) -> pa.Table:
         """The rows that ``run`` makes of each task, aggregated: as many as there are keys."""
-        return self.rows.mapInArrow(run, columns).groupBy(*by).agg(*(a.alias(k) for k, a in aggregates.items())).collect()
-
-    def _residual(self, r: _Rows, group: int, some: np.ndarray) -> np.ndarray:
-        return r.target[some] - r.made[some, group]
+        return self.blocks.mapInArrow(run, columns).groupBy(*by).agg(*(a.alias(k) for k, a in aggregates.items())).toArrow()
 
-    def _advanced(self, trees: list[Tree] | None) -> None:
-        """Bring the rows' predictions up to date with a tree of each group; with none, with the start."""
-        p, columns = self.params, ["codes", "month", "target", "weight", "key"]
+    def _advanced(self, trees: list[Tree]) -> None:
+        """Bring the rows' predictions up to date with a tree of each group."""
+        p = self.params
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                (r,) = self._batches([b])
-                if trees is None:
-                    made = np.tile([np.nan if m.start is None else m.start for m in self.models], (b.num_rows, 1))
-                else:
-                    steps = [t.values[t.descend(r.codes, self.missing, p.depth)] for t in trees]
-                    made = r.made + p.rate * np.stack(steps, axis=1)
-                data = pa.array([x.tobytes() for x in made], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), data], names=[*columns, "made"])
-
-        self.rows = checkpointed(self.rows.mapInArrow(run, "codes binary, month long, target double, weight double, key long, made binary"))
+                for i, r in enumerate(self._read([b])):
+                    made = np.empty((len(trees), len(r.month)))
+                    for g, (t, m) in enumerate(zip(trees, self.models, strict=True)):
+                        start = r.made[g] if r.made is not None else np.nan if m.start is None else m.start
+                        made[g] = start + p.rate * t.values[t.descend(r.codes, self.missing, p.depth)]
+                    own = {c: b.column(c).slice(i, 1) for c in KINDS}
+                    yield pa.RecordBatch.from_pydict(own | {"made": pa.array([made.tobytes()], pa.binary())})
+
+        before = self.folder
+        self.blocks, self.folder = stored(self.blocks.mapInArrow(run, f"{BLOCK_SCHEMA}, made binary"), **STORAGE)
+        delete(self.blocks, before)
 
     def _level(self, trees: list[Tree], number: int, level: int) -> np.ndarray:
         """(group, node, feature, bin, (rows, weight, weighted signs)) of a level of the trees being grown."""
-        shape = (len(self.groups), 2**level, self.features, self.missing + 1, 3)
+        nodes, bins = 2**level, self.missing + 1
+        shape = (len(self.groups), self.features, 3, nodes, bins)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(shape)
-            for r in self._batches(batches):
-                for g in range(len(self.groups)):
-                    if self.models[g].start is None or not len(some := self._seen(r, g, number)):
-                        continue
-                    codes, w = r.codes[some], r.weight[some] / self.scale[g]
-                    sign = w * np.sign(self._residual(r, g, some))
-                    node = trees[g].descend(codes, self.missing, level)
-                    cell = ((node[:, None] * self.features + np.arange(self.features)) * shape[3] + codes).ravel()
-                    for k, v in enumerate((np.ones(len(w)), w, sign)):
-                        total[g, ..., k] += np.bincount(cell, np.repeat(v, self.features), int(np.prod(shape[1:4]))).reshape(shape[1:4])
-            cells = total.reshape(-1, 3)
-            at = np.flatnonzero(cells[:, 0])
-            yield pa.RecordBatch.from_pydict({"cell": at, "n": cells[at, 0], "w": cells[at, 1], "s": cells[at, 2]})
-
-        out = np.zeros((int(np.prod(shape[:4])), 3))
-        for r in self._summed(run, "cell long, n double, w double, s double", ["cell"], n=F.sum("n"), w=F.sum("w"), s=F.sum("s")):
-            out[r["cell"]] = r["n"], r["w"], r["s"]
-        return out.reshape(shape)
+            total = np.zeros((2, *shape))
+            for r in self._read(batches):
+                for g, codes, w, x in self._parts(r, number):
+                    at = ((np.sign(x) + 1).astype(np.intp) * nodes + trees[g].descend(codes, self.missing, level)) * bins
+                    for f in range(self.features):
+                        cell = at + codes[f]
+                        total[0, g, f] += np.bincount(cell, minlength=3 * nodes * bins).reshape(shape[2:])
+                        total[1, g, f] += np.bincount(cell, w, 3 * nodes * bins).reshape(shape[2:])
+            n, w = total.sum(axis=3)
+            s = total[1, :, :, 2] - total[1, :, :, 0]
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_pydict({"cell": at, "n": n.ravel()[at], "w": w.ravel()[at], "s": s.ravel()[at]})
+
+        out = np.zeros((len(self.groups) * self.features * nodes * bins, 3))
+        found = self._summed(run, "cell long, n double, w double, s double", ["cell"], n=F.sum("n"), w=F.sum("w"), s=F.sum("s"))
+        out[found["cell"].to_numpy()] = np.column_stack([found[c].to_numpy() for c in "nws"])
+        return out.reshape(len(self.groups), self.features, nodes, bins, 3).swapaxes(1, 2)
 
     def _split(self, tree: Tree, level: int, sums: np.ndarray) -> None:
         """The best split of each node of a level from (node, feature, bin, 3)."""
@@ -209,81 +271,103 @@ class Trainer:
                 at = 2**level - 1 + node
                 tree.feature[at], tree.cut[at], tree.missing_left[at], tree.gain[at] = f, cut, side == 1, gain[node][f, cut, side]
 
-    def _medians(self, leaf_of, leaves: int, number: int | None, bins: int = 512) -> np.ndarray:
+    def _medians(self, leaf_of, leaves: int, number: int | None, bins: int = 512, listed: int = 50_000) -> np.ndarray:
         """(group, leaf): the lower weighted median of the residuals (without ``number``: of the targets); NaN where there are none.
 
         ``leaf_of(group, codes)`` gives the rows' leaves. Each pass counts the residuals between a leaf's bounds in bins and keeps the bin
-        in which half of the weight is reached, until a leaf's bounds meet. Without bounds the first pass only finds them.
+        in which half of the weight is reached, until a leaf's bounds meet; when ``listed`` residuals at most are left in all, they are listed. Without
+        bounds the first pass only finds them.
         """
         size = len(self.groups) * leaves
-        low, high = np.full(size, -np.inf), np.full(size, np.inf)
+        low, high, left = np.full(size, -np.inf), np.full(size, np.inf), np.full(size, np.inf)
         if number is not None:
             slack = 1e-9 * (1 + np.abs(self.bounds))  # the bounds are sums, which are rounded
             low, high = np.repeat(self.bounds[0] - slack[0], leaves), np.repeat(self.bounds[1] + slack[1], leaves)
         below, whole = np.zeros(size), np.full(size, np.nan)
         first = True
         while first or (low < high).any():
+            few = left[low < high].sum() <= listed
             bounds = (low.copy(), high.copy(), not np.isfinite(low).any())
 
-            def run(batches: Iterator[pa.RecordBatch], bounds=bounds) -> Iterator[pa.RecordBatch]:
+            def inside(r: _Block, bounds=bounds) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+                lo, hi, _ = bounds
+                for g, codes, w, x in self._parts(r, number):
+                    own = slice(g * leaves, (g + 1) * leaves)
+                    lo_, hi_ = lo[own], hi[own]
+                    if not (lo_ < hi_).any():
+                        continue
+                    leaf = leaf_of(g, codes)
+                    least, most = lo_[lo_ < hi_].min(), hi_[lo_ < hi_].max()
+                    if not first:  # most rows lie outside of all bounds
+                        some = np.flatnonzero((x >= least) & (x <= most))
+                        leaf, x, w = leaf[some], x[some], w[some]
+                    some = np.flatnonzero((lo_[leaf] < hi_[leaf]) & (x >= lo_[leaf]) & (x <= hi_[leaf]))
+                    if len(some):
+                        yield g * leaves + leaf[some], x[some], w[some]
+
+            def histogram(batches: Iterator[pa.RecordBatch], bounds=bounds) -> Iterator[pa.RecordBatch]:
                 lo, hi, all_of_it = bounds
-                found: dict[int, tuple[float, float, float]] = {}
-                for r in self._batches(batches):
-                    for g in range(len(self.groups)):
-                        if number is not None and self.models[g].start is None or not len(some := self._seen(r, g, number)):
-                            continue
-                        leaf = g * leaves + leaf_of(g, r.codes[some])
-                        x = r.target[some] if number is None else self._residual(r, g, some)
-                        inside = (lo[leaf] < hi[leaf]) & (x >= lo[leaf]) & (x <= hi[leaf])
-                        leaf, x, w = leaf[inside], x[inside], r.weight[some][inside] / self.scale[g]
-                        if not len(x):
-                            continue
-                        cell = leaf * bins
+                n, weight, least, most = np.zeros(size * bins, np.int64), np.zeros(size * bins), np.full(size * bins, np.inf), np.full(size * bins, -np.inf)
+                scale = None if all_of_it else np.divide(bins, hi - lo, where=lo < hi, out=np.zeros(size))
+                for r in self._read(batches):
+                    for leaf, x, w in inside(r):
+                        g = leaf[0] // leaves  # of one group
+                        own = slice(g * leaves * bins, (g + 1) * leaves * bins)
+                        cell = (leaf - g * leaves) * bins
                         if not all_of_it:
-                            cell = cell + np.minimum((x - lo[leaf]) / (hi[leaf] - lo[leaf]) * bins, bins - 1).astype(np.int64)
-                        order = np.lexsort((x, cell))
-                        cell, x, w = cell[order], x[order], w[order]
-                        starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-                        ends = np.r_[starts[1:], len(cell)] - 1
-                        for c, v, a, b in zip(cell[starts].tolist(), np.add.reduceat(w, starts).tolist(), x[starts].tolist(), x[ends].tolist(), strict=True):
-                            v0, a0, b0 = found.get(c, (0.0, np.inf, -np.inf))
-                            found[c] = v0 + v, min(a0, a), max(b0, b)
-                kinds = {"cell": pa.int64(), "w": pa.float64(), "a": pa.float64(), "b": pa.float64()}
-                columns = list(zip(*((c, *v) for c, v in found.items()), strict=True)) or [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
-
-            cells: dict[int, list] = {}
-            for r in self._summed(run, "cell long, w double, a double, b double", ["cell"], w=F.sum("w"), a=F.min("a"), b=F.max("b")):
-                cells.setdefault(r["cell"] // bins, []).append((r["cell"], r["w"], r["a"], r["b"]))
-            for leaf in range(size):
-                if low[leaf] < high[leaf]:
-                    if leaf not in cells:
-                        low[leaf] = high[leaf] = np.nan
-                        continue
-                    if np.isnan(whole[leaf]):
-                        whole[leaf] = sum(x[1] for x in cells[leaf])
-                    if number is None and first:  # one cell: of all targets
-                        self.bounds[:, leaf] = cells[leaf][0][2:]
-                    for _, w, a, b in sorted(cells[leaf]):
-                        if below[leaf] + w >= whole[leaf] / 2 * (1 - 1e-12) or b == max(x[3] for x in cells[leaf]):
-                            low[leaf], high[leaf] = a, b
-                            break
-                        below[leaf] += w
+                            cell = cell + np.minimum((x - lo[leaf]) * scale[leaf], bins - 1).astype(np.intp)
+                        n[own] += np.bincount(cell, minlength=leaves * bins)
+                        weight[own] += np.bincount(cell, w, leaves * bins)
+                        np.minimum.at(least[own], cell, x)
+                        np.maximum.at(most[own], cell, x)
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_pydict({"cell": at, "n": n[at], "w": weight[at], "a": least[at], "b": most[at]})
+
+            def listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for r in self._read(batches):
+                    for leaf, x, w in inside(r):
+                        yield pa.RecordBatch.from_pydict({"cell": leaf * bins, "n": np.ones(len(x), np.int64), "w": w, "a": x, "b": x})
+
+            found = self._summed(
+                listing if few else histogram, "cell long, n long, w double, a double, b double", ["cell", "a"] if few else ["cell"],
+                n=F.sum("n"), w=F.sum("w"), b=F.max("b"), **({} if few else {"a": F.min("a")}),
+            )
+            cell, n, w, a, b = (found[c].to_numpy() for c in ("cell", "n", "w", "a", "b"))
+            order = np.lexsort((a, cell))
+            cell, n, w, a, b = (x[order] for x in (cell // bins, n, w, a, b))
+            for leaf in np.flatnonzero(low < high).tolist():
+                begin, end = np.searchsorted(cell, [leaf, leaf + 1])
+                if begin == end:
+                    low[leaf] = high[leaf] = np.nan
+                    continue
+                if np.isnan(whole[leaf]):
+                    whole[leaf] = w[begin:end].sum()
+                if number is None and first:  # one cell: of all targets
+                    self.bounds[:, leaf] = a[begin], b[begin]
+                upto = below[leaf] + np.cumsum(w[begin:end])
+                k = min(int(np.searchsorted(upto, whole[leaf] / 2 * (1 - 1e-12))), end - begin - 1)
+                below[leaf] = upto[k - 1] if k else below[leaf]
+                low[leaf], high[leaf], left[leaf] = a[begin + k], b[begin + k], n[begin + k]
             first = False
         return low.reshape(len(self.groups), leaves)
 
     def train(self) -> list[Ensemble]:
         counts: dict[int, tuple[int, float]] = {}
         origins = sorted({o for o, _ in self.groups})
-        at = self.rows.select(F.explode(F.array(*map(F.lit, origins))).alias("origin"), "month", "weight").where("month <= origin")
-        for r in at.groupBy("origin").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).collect():  # a row an origin
-            counts[r["origin"]] = r["n"], r["w"]
+
+        def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for r in self._read(batches):
+                ends = np.searchsorted(r.month, origins, "right")
+                yield pa.RecordBatch.from_pydict({"origin": origins, "n": ends, "w": [float(r.weight[:e].sum()) for e in ends]})
+
+        for r in self._summed(known, "origin long, n long, w double", ["origin"], n=F.sum("n"), w=F.sum("w")).to_pylist():
+            if r["n"]:
+                counts[r["origin"]] = r["n"], r["w"]
         self.scale = [counts[o][1] / counts[o][0] if o in counts else 1.0 for o, _ in self.groups]
-        start = self._medians(lambda g, codes: np.zeros(len(codes), np.int64), 1, None)[:, 0]
+        start = self._medians(lambda g, codes: np.zeros(codes.shape[1], np.intp), 1, None)[:, 0]
         for model, value in zip(self.models, start.tolist(), strict=True):
             model.start = None if np.isnan(value) else value
         self.bounds -= np.nan_to_num(start)
-        self._advanced(None)
         p = self.params
         for number in range(p.trees):
             trees = [Tree.empty(p.depth) for _ in self.groups]
@@ -300,6 +384,7 @@ class Trainer:
                     self.bounds[1, g] -= p.rate * tree.values.min()
             if number < p.trees - 1:
                 self._advanced(trees)
+        delete(self.blocks, self.folder)
         return self.models
 
 
@@ -310,21 +395,22 @@ def boosted(
     """``rows`` of the origins (their month ``made`` is an origin) with ``prediction``, the mean over seeds of the models trained at it; and the features' shares of the gain."""
     params, origins = params or Params(), sorted(origins)
     groups = [(o, s) for o in origins for s in seeds]
-    data, missing = binned(rows, features, f"{made} <= {origins[0]}", params.bins)
-    data = checkpointed(data.withColumn("_key", F.xxhash64(*key)))
-    learn = data.where(F.col(target).isNotNull() & (F.col(weight) > 0) & (F.col(month) <= origins[-1]))
-    learn = learn.select("codes", F.col(month).cast("long").alias("month"), F.col(target).cast("double").alias("target"), F.col(weight).cast("double").alias("weight"), F.col("_key").alias("key"))
-    models = Trainer(checkpointed(learn), len(features), missing, groups, params).train()
+    missing, edges = params.bins, edges_of(rows, features, f"{made} <= {origins[0]}", params.bins)
+    learn = rows.where(F.col(target).isNotNull() & (F.col(weight) > 0) & (F.col(month) <= origins[-1]))
+    given = {"_month": F.col(month).cast("long"), "_target": F.col(target).cast("double"), "_weight": F.col(weight).cast("double"), "_key": F.xxhash64(*key)}
+    learn = learn.select(*(F.col(c).cast("double").alias(f"_f{i}") for i, c in enumerate(features)), *(c.alias(k) for k, c in given.items()))
+    learn = coded(learn, [f"_f{i}" for i in range(len(features))], edges, missing).select("codes", *(F.col(k).alias(k[1:]) for k in given))
+    models = Trainer(learn, len(features), missing, groups, params).train()
     by_origin = {o: [m for (at, _), m in zip(groups, models, strict=True) if at == o] for o in origins}
     names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            codes = np.frombuffer(b"".join(b.column("codes").to_pylist()), np.uint8).reshape(b.num_rows, len(features))
+            codes = by_feature(b.column("codes"), len(features))
             at, out = b.column(made).to_numpy(zero_copy_only=False), np.full(b.num_rows, np.nan)
             for o in np.unique(at).tolist():
                 some = at == o
-                out[some] = np.mean([m.predict(codes[some], missing, params.depth, params.rate) for m in by_origin[o]], axis=0)
+                out[some] = np.mean([m.predict(codes[:, some], missing, params.depth, params.rate) for m in by_origin[o]], axis=0)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(out, from_pandas=True)], names=[*names, "prediction"])
 
     schema = ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes), "prediction double"])
@@ -333,4 +419,4 @@ def boosted(
         for t in m.trees:
             np.add.at(gains, t.feature[t.feature >= 0], t.gain[t.feature >= 0])
     shares = dict(zip(features, (gains / max(gains.sum(), 1e-300)).tolist(), strict=True))
-    return data.where(F.col(made).isin(list(origins))).select(*names, "codes").mapInArrow(run, schema), shares
+    return coded(rows.where(F.col(made).isin(list(origins))), features, edges, missing).mapInArrow(run, schema), shares

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import checkpointed, stored
 from . import panel as P
 from . import smoothing
 from .boosting import boosted
@@ -247,7 +247,7 @@ def global_model(
     """
     origins = [origin] if isinstance(origin, int) else sorted(origin)
     wanted = list(dict.fromkeys(["entity", "t", "h", "month", "base", "y", "g", *features, *([offset] if offset else [])]))
-    rows = checkpointed(rows.select(wanted).where((F.col("month") <= max(origins)) & F.col("g").isNotNull() | F.col("t").isin(origins)))  # every fit reads them
+    rows, _ = stored(rows.select(wanted).where((F.col("month") <= max(origins)) & F.col("g").isNotNull() | F.col("t").isin(origins)))  # every fit reads them
     if backend == "gbt":
         shift = F.coalesce(F.col(offset).cast("double"), F.lit(0.0)) if offset else F.lit(0.0)
         some = rows.withColumn("_shift", shift).withColumn("_target", F.col("g") - F.col("_shift"))
@@ -269,7 +269,8 @@ def importances(rows: DataFrame, origin: int, backend: str = "gbt", seeds: Seque
     counted for their feature. A row for each feature."""
     total: dict[str, float] = {}
     if backend == "gbt":
-        _, total = boosted(rows, [origin], features, seeds)
+        wanted = list(dict.fromkeys(["entity", "t", "h", "month", "base", "g", *features]))
+        _, total = boosted(stored(rows.select(wanted).where((F.col("month") <= origin) & F.col("g").isNotNull() | (F.col("t") == origin)))[0], [origin], features, seeds)
     else:
         models, columns, _, _ = _trained(checkpointed(rows), origin, backend, seeds, None, features)
         for fitted in models:

@@ -75,16 +75,18 @@ def _meet(values: DataFrame, bounds: DataFrame) -> DataFrame:
 
 
 def quantiles(
-    df: DataFrame, value: Column | str, levels: Sequence[float], by: Sequence[str] = (), name: str = "q", small: int = SMALL, bins: int = BINS, gather: int = GATHER
-) -> DataFrame:
-    """(by, name array<double>): the exact quantiles of each group, as ``percentile`` has them."""
+    df: DataFrame, value: Column | str, levels: Sequence[float], by: Sequence[str] = (), name: str = "q", small: int = SMALL, bins: int = BINS, gather: int = GATHER,
+    reread: bool = False,
+) -> DataFrame:
+    """(by, name array<double>): the exact quantiles of each group, as ``percentile`` has them. With ``reread`` each pass reads ``df`` itself, which
+    should be a stored table then; else its values are written once."""
     values = _known(df, F.col(value) if isinstance(value, str) else value, by)
     stats = checkpointed(values.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")))
     if stats.where(F.col("n") > small).isEmpty():
         rows = values.groupBy("g").agg(F.percentile("v", list(levels)).alias(name))
         return rows.select(*(F.col("g").getField(c).alias(c) for c in by), name)
 
-    values = checkpointed(values)
+    values = values if reread else checkpointed(values)
     state = _ranks(stats, levels, F.col("n")).select("g", "level", "part", "rank", "lo", "hi", "n", F.lit(0).cast("long").alias("before"), F.lit(False).alias("log"))
     settled = (F.col("lo") == F.col("hi")) | (F.col("n") <= gather)
     done = None

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +30,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ckpt-"))
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, **options: str) -> tuple[DataFrame, str]:
+    """``df`` written to a folder of its own in ``spark.checkpoint.dir`` and read again, and the folder. In columns, so that a reader takes
+    what it needs; for tables that are read often, or replaced, so that the folder can be deleted."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ckpt-"))
+        root = spark.sparkContext.getCheckpointDir()
+    folder = f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.options(**options).parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder), folder
+
+
+def delete(df: DataFrame, folder: str) -> None:
+    """Delete a folder that ``stored`` wrote and nothing reads any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
