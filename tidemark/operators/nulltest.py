@@ -2,6 +2,9 @@
 
 A fit needs only sums over its rows (features by features and by target), so a row of every scenario and repeat is added up where
 it lies, partial sums meet in one aggregate, and each fit is solved from one small matrix. No fit's rows ever meet in a task.
+
+Rows are moved twice, whatever the number of origins and repeats: once as they are, and once into random buckets of one target month each, in which targets are
+shuffled. Noise and shuffles are made in the task that adds up, so no row is written for a repeat.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import checkpointed, stored
 from . import evaluate as E
 from .forecast import constant_growth
 
@@ -62,17 +65,78 @@ def _variants(rows: DataFrame, repeats: int) -> tuple[DataFrame, DataFrame]:
     return real, many.withColumn("x", _design(draws, month))
 
 
+def _sums(x: np.ndarray, g: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Weighted sums of features by features and by target."""
+    return (x * w[:, None]).T @ np.column_stack([x, g])
+
+
+def _table(total: dict[tuple, np.ndarray]) -> Iterator[pd.DataFrame]:
+    if total:
+        yield pd.DataFrame([(*fit, m.ravel()) for fit, m in total.items()], columns=[*FIT, "m"])
+
+
 def _add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Sums of a task's rows, a matrix for each fit. Fits and features are few, whatever the rows."""
     total: dict[tuple, np.ndarray] = {}
     for frame in frames:
         for fit, part in frame.groupby(list(FIT)):
-            x = np.stack(part["x"].to_numpy())
-            both = np.column_stack([x, part["g"].to_numpy()])
-            one = (x * part["w"].to_numpy()[:, None]).T @ both
+            one = _sums(np.stack(part["x"].to_numpy()), part["g"].to_numpy(), part["w"].to_numpy())
             total[fit] = total[fit] + one if fit in total else one
-    if total:
-        yield pd.DataFrame([(*fit, m.ravel()) for fit, m in total.items()], columns=[*FIT, "m"])
+    yield from _table(total)
+
+
+def mixed(keys: np.ndarray, *salt: int) -> np.ndarray:
+    """Random 64 bits for each key, by a hash of it and the salt."""
+    with np.errstate(over="ignore"):
+        x = keys.astype(np.uint64)
+        for s in salt:
+            x = x + np.uint64(0x9E3779B97F4A7C15) * np.uint64(s + 1)
+            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+            x ^= x >> np.uint64(31)
+    return x
+
+
+def cycled(values: np.ndarray, keys: np.ndarray, *salt: int) -> np.ndarray:
+    """``values`` moved around one random cycle: every row takes its successor's in an order by hashes of the keys."""
+    order = np.lexsort((keys, mixed(keys, *salt)))
+    out = np.empty_like(values)
+    out[order] = np.roll(values[order], -1)
+    return out
+
+
+def _parts(known: DataFrame, origins: Sequence[int], repeats: int, stats: dict[int, dict], whole: bool, month: str) -> DataFrame:
+    """(FIT, m): partial sums of the fits whose targets are shuffled in buckets: among all of a bucket's rows that an origin knows (``whole``), or
+    among those of one target month. ``known``: bucket, key, month, moy, base, g and features; a bucket's rows are one frame."""
+    scenario = "shuffled_target" if whole else "shuffled_within_month"
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values([month, "_key"])
+        total: dict[tuple, np.ndarray] = {}
+        for o in origins:
+            some = frame[frame[month] <= o]
+            if not len(some):
+                continue
+            at, key, g, m = stats[o], some["_key"].to_numpy(), some["g"].to_numpy(), some[month].to_numpy()
+            scaled = [np.nan_to_num((some[c].to_numpy(float) - at[f"m_{c}"]) / at[f"d_{c}"]) if at[f"m_{c}"] is not None and at[f"d_{c}"] else np.zeros(len(some)) for c in NUMERIC]
+            x = np.column_stack([np.ones(len(some)), *scaled, some["moy"].to_numpy()[:, None] == np.arange(12)])
+            xw = (x * (some["base"].to_numpy() / at["_base"])[:, None]).T
+            own = xw @ x
+            starts = [0] if whole else np.flatnonzero(np.r_[True, m[1:] != m[:-1]]).tolist()
+            groups = [slice(a, b) for a, b in zip(starts, [*starts[1:], len(m)], strict=True)]
+            for k in range(1, repeats + 1):
+                moved = np.concatenate([cycled(g[i], key[i], k, o, int(whole)) for i in groups])
+                total[scenario, k, o] = np.column_stack([own, xw @ moved])
+        return pd.DataFrame([(*fit, v.ravel()) for fit, v in total.items()], columns=[*FIT, "m"])
+
+    return known.groupBy("_bucket").applyInPandas(run, "scenario string, repeat int, origin long, m array<double>")
+
+
+def _bucketed(known: DataFrame, by: Sequence[str], size: int) -> DataFrame:
+    """Rows with ``_bucket``: each group of ``by`` is cut into buckets of about ``size`` rows by a hash of the row's key."""
+    sizes = known.groupBy(*by).agg(F.greatest(F.ceil(F.count("*") / size), F.lit(1)).alias("_k"))  # a row a month, or one row
+    met = known.join(F.broadcast(sizes), list(by)) if by else known.crossJoin(F.broadcast(sizes))
+    return met.withColumn("_bucket", F.xxhash64(F.lit("bucket"), *by, F.pmod(F.xxhash64("_key"), "_k"))).drop("_k")
 
 
 def _solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -87,24 +151,27 @@ def _solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame.assign(beta=out)
 
 
-def fits(train: DataFrame) -> DataFrame:
-    """(scenario, repeat, origin, beta) from rows (scenario, repeat, origin, x, g, w)."""
+def fits(train: DataFrame, more: Sequence[DataFrame] = ()) -> DataFrame:
+    """(scenario, repeat, origin, beta) from rows (scenario, repeat, origin, x, g, w), and from partial sums of other fits."""
     schema = "scenario string, repeat int, origin long"
     parts = train.select(*FIT, "x", "g", "w").mapInPandas(_add, f"{schema}, m array<double>")
+    for other in more:
+        parts = parts.unionByName(other)
     cells = parts.select(*FIT, F.posexplode("m").alias("at", "v")).groupBy(*FIT, "at").agg(F.sum("v").alias("v"))
     whole = cells.groupBy(*FIT).agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("m"))
     return whole.select(*FIT, F.transform("m", lambda c: c["v"]).alias("m")).mapInPandas(_solve, f"{schema}, beta array<double>")
 
 
-def null_predictions(rows: DataFrame, panel: DataFrame, origins: Sequence[int], repeats: int = 5) -> DataFrame:
+def null_predictions(rows: DataFrame, panel: DataFrame, origins: Sequence[int], repeats: int = 5, size: int = 100_000) -> DataFrame:
     """(model, scenario, repeat, entity, origin, h, month, y, yhat) of the points that have a fact.
 
     ``rows`` are ``forecast.supervised``'s. Scenarios: real; noise_features (every feature a draw, in training and prediction);
     shuffled_target (among an origin's training rows); shuffled_within_month (among those of one target month, so that only the
-    differences between series are lost). Targets after an origin are never touched. Beside them the references seasonal, constant
+    differences between series are lost); targets change places within random buckets of about ``size`` rows. Targets after an origin are never touched. Beside them the references seasonal, constant
     and drift on the same points. Missing features take the training mean of their origin.
     """
-    rows = checkpointed(rows.where((F.col("base") > 0) & (F.col("t") <= max(origins))))
+    used = list(dict.fromkeys([*ROW, "month", "moy", "base", "y", "g", *NUMERIC]))
+    rows, _ = stored(rows.where((F.col("base") > 0) & (F.col("t") <= max(origins))).select(used))
     at = rows.withColumn("origin", F.explode(F.array(*(F.lit(o).cast("long") for o in origins))))
     known = at.where((F.col("month") <= F.col("origin")) & F.col("g").isNotNull())
     means = [F.avg(c).alias(f"m_{c}") for c in NUMERIC] + [F.stddev_pop(c).alias(f"d_{c}") for c in NUMERIC]
@@ -119,11 +186,11 @@ def null_predictions(rows: DataFrame, panel: DataFrame, origins: Sequence[int],
     real, noisy = _variants(standard(known), repeats)
     train = real.withColumn("scenario", F.lit("real")).withColumn("repeat", F.lit(0)).select(columns)
     train = train.unionByName(noisy.withColumn("scenario", F.lit("noise_features")).select(columns))
-    many = real.select("origin", *ROW, "month", "x", "g", "w").withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
-    for scenario, group in {"shuffled_target": [], "shuffled_within_month": ["month"]}.items():
-        one = shuffled(many, ["repeat", "origin", *group], ROW, "g")
-        train = train.unionByName(one.withColumn("scenario", F.lit(scenario)).select(columns))
-    beta = checkpointed(fits(train))  # origins x (1 + 3 x repeats) rows of 21 numbers
+    found = {r["origin"]: r.asDict() for r in stats.collect()}  # a row an origin
+    some = rows.where(F.col("g").isNotNull() & (F.col("month") <= max(found, default=0)))
+    some = some.select(F.xxhash64(*ROW).alias("_key"), "month", F.col("moy").cast("int").alias("moy"), "base", "g", *(F.col(c).cast("double").alias(c) for c in NUMERIC))
+    shuffles = [_parts(_bucketed(some, by, size), sorted(found), repeats, found, not by, "month") for by in ([], ["month"])]
+    beta = checkpointed(fits(train, shuffles))  # origins x (1 + 3 x repeats) rows of 21 numbers
 
     point = [*E.POINT, "base", "y"]
     asked = at.where((F.col("t") == F.col("origin")) & F.col("y").isNotNull())

@@ -12,7 +12,7 @@ from ..operators import panel as P
 from ..operators import trend as T
 from ..operators.detect import lcg
 from ..operators.quantiles import medians
-from ..session import checkpointed
+from ..session import checkpointed, stored
 from .base import S_FIRST, S_LAST, SQL_CAT, SQL_FULL, SQL_PANEL, SQL_PLACES, Setting, category_panel, places, query, setting
 from .detect_queries import SQL_LCG
 
@@ -407,7 +407,7 @@ def constant_growth_forecast(spark: SparkSession, d: str) -> DataFrame:
 def _null_predictions(spark: SparkSession, d: str) -> DataFrame:
     at = setting(spark, d)
     p = full(at)
-    return checkpointed(N.null_predictions(M.supervised(p, HORIZONS), p, at.origins))
+    return stored(N.null_predictions(M.supervised(p, HORIZONS), p, at.origins))[0]
 
 
 @query()
