@@ -63,6 +63,21 @@ def pattern_tags(texts: DataFrame, text: str, patterns: DataFrame, key: str) ->
     return hit.select(key, F.col("p.entity").alias("entity")).distinct()
 
 
+def word_tags(texts: DataFrame, text: str, words: Column, names: DataFrame, key: str) -> DataFrame:
+    """(key, entity) where an entity's name is among a text's ``words``, an array without repeats.
+
+    ``names``: entity, region, ambiguous; an entity is its own name, one word. An ambiguous name counts only with its region's name in the
+    text, too. Words meet names in an equi-join; a text is read where it lies and never compared with names one by one. Regions with an ambiguous
+    name are few.
+    """
+    regions = names.where("ambiguous").select("region").distinct().agg(F.collect_set("region").alias("_regions"))  # one row
+    low = F.lower(F.col(text))
+    told = F.filter("_regions", lambda r: low.contains(F.lower(r)))
+    found = texts.crossJoin(F.broadcast(regions)).select(key, told.alias("_told"), words.alias("_words"))
+    found = found.select(key, "_told", F.explode("_words").alias("entity")).join(names, "entity")
+    return found.where(~F.col("ambiguous") | F.array_contains("_told", F.col("region"))).select(key, "entity").distinct()
+
+
 def _pieces(length: Column, cutoff: float) -> Column:
     """array<struct<i, start, size>>: the pieces into which a title of ``length`` is cut, one more than the most edits that
     a name as similar as ``cutoff`` can differ by, so that one piece at least is in the name unchanged."""
