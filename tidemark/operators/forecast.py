@@ -13,6 +13,7 @@ from ..session import checkpointed, stored
 from . import panel as P
 from . import smoothing
 from .boosting import boosted
+from .forest import forest
 from .quantiles import medians
 
 
@@ -202,6 +203,9 @@ def supervised(panel: DataFrame, horizons: Sequence[int]) -> DataFrame:
 FEATURES = ("g1", "g2", "g3", "drift3", "mom", "common", "common_before", "h", "moy")
 
 
+TREES = {"random_forest": forest, "gbt": boosted}
+
+
 def _trained(rows: DataFrame, origin: int, backend: str, seeds: Sequence[int], offset: str | None, features: Sequence[str]) -> tuple[list, list[str], DataFrame, Column]:
     """Fitted pipelines, one a seed; the names of their input columns; the rows to predict; and the offset."""
     from pyspark.ml import Pipeline
@@ -241,17 +245,17 @@ def global_model(
 ) -> DataFrame:
     """A model over all series for each origin, trained on targets known at it, weighted by the base level; averaged over seeds.
 
-    Backends: ridge, random_forest, gbt (absolute loss on histograms, all origins and seeds in the same passes). ``offset`` names a column that is
-    taken from the target and added back. Features that are null in all training rows are left out; others are filled by their median (trees of
+    Backends: ridge, random_forest, gbt (absolute loss on histograms); the trees of all origins and seeds grow in the same passes. ``offset`` names a column
+    that is taken from the target and added back. Features that are null in all training rows are left out; others are filled by their median (trees of
     gbt send missing values where they do better).
     """
     origins = [origin] if isinstance(origin, int) else sorted(origin)
     wanted = list(dict.fromkeys(["entity", "t", "h", "month", "base", "y", "g", *features, *([offset] if offset else [])]))
     rows, _ = stored(rows.select(wanted).where((F.col("month") <= max(origins)) & F.col("g").isNotNull() | F.col("t").isin(origins)))  # every fit reads them
-    if backend == "gbt":
+    if backend != "ridge":
         shift = F.coalesce(F.col(offset).cast("double"), F.lit(0.0)) if offset else F.lit(0.0)
         some = rows.withColumn("_shift", shift).withColumn("_target", F.col("g") - F.col("_shift"))
-        found, _ = boosted(some, origins, features, seeds, target="_target")
+        found, _ = TREES[backend](some, origins, features, seeds, target="_target")
         out = found.where("base > 0").select("entity", "t", "h", "month", "base", "y", (F.col("prediction") + F.col("_shift")).alias("g"))
     else:
         out = None
@@ -268,9 +272,9 @@ def importances(rows: DataFrame, origin: int, backend: str = "gbt", seeds: Seque
     """(feature, share): shares of the gain of trees, mean over seeds; of a linear model its standardised weights, one-hot columns
     counted for their feature. A row for each feature."""
     total: dict[str, float] = {}
-    if backend == "gbt":
+    if backend != "ridge":
         wanted = list(dict.fromkeys(["entity", "t", "h", "month", "base", "g", *features]))
-        _, total = boosted(stored(rows.select(wanted).where((F.col("month") <= origin) & F.col("g").isNotNull() | (F.col("t") == origin)))[0], [origin], features, seeds)
+        _, total = TREES[backend](stored(rows.select(wanted).where((F.col("month") <= origin) & F.col("g").isNotNull() | (F.col("t") == origin)))[0], [origin], features, seeds)
     else:
         models, columns, _, _ = _trained(checkpointed(rows), origin, backend, seeds, None, features)
         for fitted in models:
