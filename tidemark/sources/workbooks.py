@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import number
+from ..session import checkpointed, stored
 
 #: The names by which exports mark periods, and that of a yearly figure.
 MONTH_NAMES = ("январь", "февраль", "март", "апрель", "май", "июнь", "июль", "август", "сентябрь", "октябрь", "ноябрь", "декабрь")
@@ -253,17 +254,18 @@ def crosstab(rows: DataFrame, period: str = PERIOD, head: int = 10) -> DataFrame
     periods; further rows without labels are dimensions of the columns; what stands left of the first year labels the rows. Without a row of periods, a label column
     that holds nothing else is the period, or else the title must say that the figures are yearly. Long: from the fourth row on, one column
     holds years, one periods, the last one the value, all others dimensions. A sheet is known by its file, so sheets of
-    both layouts may be mixed. Years and periods are found by aggregates a sheet and column; cells meet their column's header in a join.
+    both layouts may be mixed. Years and periods are found by aggregates a sheet and column; cells meet their column's header in a join. The rows
+    are written once, as each of these steps reads them.
     """
     key = [F.coalesce("book", F.lit("")).alias("book") if c == "book" else F.col(c) for c in _SHEET]
-    rows = rows.select(*key, "row", F.transform("values", lambda x: F.when(~_blank(x), F.trim(x))).alias("v"))
+    rows, _ = stored(rows.select(*key, "row", F.transform("values", lambda x: F.when(~_blank(x), F.trim(x))).alias("v")))  # each file is opened once
     keys = list(_SHEET)
     is_year, is_period = (lambda x: x.rlike("^[0-9]{4}$")), (lambda x: x.rlike(period))
     known = F.filter("v", lambda x: x.isNotNull())
     years = (F.size(known) > 0) & F.forall(known, is_year)
     first = F.array_position(F.transform("v", lambda x: x.isNotNull()), F.lit(True)).cast("int") - 1
     year_rows = rows.where((F.col("row") < head) & years).groupBy(*keys).agg(F.min(F.struct("row", first.alias("first"))).alias("y"))
-    year_rows = year_rows.select(*keys, F.col("y.row").alias("year_row"), F.col("y.first").alias("first"))  # a row a sheet
+    year_rows = checkpointed(year_rows.select(*keys, F.col("y.row").alias("year_row"), F.col("y.first").alias("first")))  # a row a sheet
     wide = rows.join(year_rows, keys)
     labelled = F.exists(F.slice("v", F.lit(1), F.col("first")), lambda x: x.isNotNull())
     right = F.filter(F.slice("v", F.col("first") + 1, F.greatest(F.size("v") - F.col("first"), F.lit(0))), lambda x: x.isNotNull())
@@ -271,7 +273,7 @@ def crosstab(rows: DataFrame, period: str = PERIOD, head: int = 10) -> DataFrame
     body_row = F.min(F.when((F.col("row") > F.col("year_row")) & labelled, F.col("row")))
     has_periods = F.coalesce(F.bool_or(F.when(below, ~labelled & (F.size(right) > 0) & F.forall(right, is_period))), F.lit(False))
     title = F.max(F.when(F.col("row") == 0, F.get("v", F.lit(0))))
-    shape = wide.groupBy(*keys, "year_row", "first").agg(body_row.alias("body_row"), has_periods.alias("has_periods"), title.alias("title"))
+    shape = checkpointed(wide.groupBy(*keys, "year_row", "first").agg(body_row.alias("body_row"), has_periods.alias("has_periods"), title.alias("title")))
     wide = wide.drop("year_row", "first").join(shape, keys)
 
     # the header of each column: every header row's last value up to it
