@@ -118,8 +118,9 @@ def region_tags(text: Column, aliases: Mapping[str, str], special: Mapping[str,
 
 
 def weighted_mentions(own: DataFrame, regional: DataFrame, members: DataFrame, share: float = 0.3) -> DataFrame:
-    """Entity rows at full weight plus region rows that reach each member of the region at ``share``."""
-    reach = regional.join(members, "region").withColumn("w", F.col("w") * share)
+    """Entity rows at full weight plus region rows that reach each member of the region at ``share``. Region rows are aggregated: regions x months x kinds;
+    they go to where the members are, so that no region's members meet in a task."""
+    reach = members.join(F.broadcast(regional), "region").withColumn("w", F.col("w") * share)
     cols = ["entity", "month", "kind", "w"]
     return own.select(cols).unionByName(reach.select(cols)).groupBy("entity", "month", "kind").agg(F.sum("w").alias("w"))
 
