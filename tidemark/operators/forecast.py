@@ -138,10 +138,24 @@ def reconcile(wide: DataFrame, method: str, keys: Sequence[str]) -> DataFrame:
     return spread.withColumn("reconciled", F.col("yhat") + F.col("_gap") * share).drop("_v", "_gap")
 
 
-def ets_deviation(factors: DataFrame, origins: Sequence[int], horizon: int, window: int = 3, min_train: int = 12) -> DataFrame:
+def _gathered(frames: Iterator[pd.DataFrame], block: int) -> Iterator[pd.DataFrame]:
+    """The same rows in frames of ``block`` rows or somewhat more."""
+    held, size = [], 0
+    for frame in frames:
+        held.append(frame)
+        size += len(frame)
+        if size >= block:
+            yield pd.concat(held, ignore_index=True)
+            held, size = [], 0
+    if size:
+        yield pd.concat(held, ignore_index=True)
+
+
+def ets_deviation(factors: DataFrame, origins: Sequence[int], horizon: int, window: int = 3, min_train: int = 12, block: int = 30_000) -> DataFrame:
     """Exponential smoothing of each series' deviation from the common factor, plus the factor's own forecast.
 
-    (entity, origin, h, month, yhat). A series and origin are one row with its history as an array; histories of a batch are fitted together.
+    (entity, origin, h, month, yhat). A series and origin are one row with its history as an array; about ``block`` histories are fitted together, so
+    that the last ones of a fit, which take many short steps, are few beside the others.
     """
     hist = factors.withColumn("origin", F.explode(F.array(*map(F.lit, origins)))).where("month <= origin")
     hist = hist.groupBy("entity", "origin").agg(F.array_sort(F.collect_list(F.struct("month", (F.col("l") - F.col("f")).alias("d")))).alias("a"))
@@ -149,10 +163,10 @@ def ets_deviation(factors: DataFrame, origins: Sequence[int], horizon: int, wind
     kind = factors.schema["entity"].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in _gathered(frames, block):
             yield pd.DataFrame({"entity": frame["entity"], "origin": frame["origin"], "d": list(smoothing.forecast(frame["d"].tolist(), horizon)[0])})
 
-    dev = hist.mapInPandas(run, f"entity {kind}, origin long, d array<double>")
+    dev = checkpointed(hist.mapInPandas(run, f"entity {kind}, origin long, d array<double>"))  # read twice, fitted once
     dev = dev.select("entity", "origin", F.posexplode("d").alias("h", "dev")).withColumn("h", F.col("h") + 1).withColumn("month", F.col("origin") + F.col("h"))
     base = factor_only(factors, dev.select("entity", "origin", "h", "month"), window)
     at = factors.select("entity", F.col("month").alias("origin"), (F.col("l") - F.col("f")).alias("last"))
