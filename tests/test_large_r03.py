@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from tidemark.functions.ratio import sorted_words, token_sort_ratio
 from tidemark.operators import forecast as M
+from tidemark.operators import match as J
 from tidemark.operators import smoothing as S
 
 
@@ -33,3 +36,26 @@ def test_smoothing_is_fitted_once(spark):
     whole, small = M.ets_deviation(factors, [24_020, 24_025], 3), M.ets_deviation(factors, [24_020, 24_025], 3, block=2)
     assert "MapInPandas" not in whole._jdf.queryExecution().toString()
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, small.collect())) and whole.count() == 30
+
+
+def test_names_of_one_region_that_share_most_of_their_letters_are_not_compared_with_all(spark):
+    """Against all pairs; and what meets before the ratio decides stays near what is similar, though 600 titles share all but four digits."""
+    numbers = np.random.default_rng(4).choice(10_000, 600, replace=False).tolist()
+    titles = [(n, 1, f"Trade house Supplier 00000{n:04d}") for n in numbers] + [(90_000, 2, "Trade house Supplier 000000007"), (90_001, 1, ""), (90_002, None, "x")]
+    names = [(f"yTrade house Supplier 00000{n:04d}", 1) for n in numbers[:40]] + [("Trade hose Suplier 000000007", 2), ("rade house upplier 000000007", 1), (None, 1), ("", 1), ("Trade house Supplier 000000007 or more", 2)]
+    left, right = spark.createDataFrame(names, "name string, region int"), spark.createDataFrame(titles, "entity long, region int, title string")
+    for cutoff in (92, 80, 97):  # two edits; six, so pieces; none
+        got = {(r["name"], r["entity"]): r["score"] for r in J.similar_names(left, right, ["region"], cutoff).collect()}
+        every = left.join(right, "region").withColumn("score", token_sort_ratio(F.col("name"), F.col("title"))).where(F.col("score") >= cutoff)
+        assert got == {(r["name"], r["entity"]): r["score"] for r in every.collect()} and (len(got) > 40 or cutoff == 97)
+    a = left.withColumn("_x", sorted_words(F.col("name"))).withColumn("_n", F.length("_x"))
+    b = right.withColumn("_y", sorted_words(F.col("title"))).withColumn("_len", F.length("_y"))
+    assert J._met_by_remains(a, b, ["region"], 92).distinct().count() < 40 * 60
+
+
+def test_a_common_stem_is_counted_once(spark):
+    """Names whose stems are those of all titles of their region: as many candidates, without a row for each."""
+    titles = spark.createDataFrame([(i, 1, f"Supplier house 0000001{i:03d}") for i in range(300)] + [(5, 1, "Supplier house 0000001777")], "entity long, region int, title string")
+    names = spark.createDataFrame([(f"Suppliers houses 0000009{i:03d}", 1) for i in range(20)], "name string, region int")
+    got = J.cascade_match(names, titles)
+    assert {(r["entity"], r["match"], r["candidates"]) for r in got.collect()} == {(None, "ambiguous", 300)} and got.count() == 20

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ratio import sorted_words, token_sort_ratio
 from ..functions.text import norm_key, stem_key
+from ..session import checkpointed
 
 
 def unique_only(right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -87,24 +88,62 @@ def _pieces(length: Column, cutoff: float) -> Column:
     return F.transform(F.sequence(F.lit(0), count - 1), row)
 
 
+#: Edits up to which names meet by what remains when letters are deleted; a name of n letters has about n ** 2 / 2 such remains at two.
+DELETED = 2
+
+
+def _edits(longer: Column, cutoff: float) -> Column:
+    """The most edits that names can differ by at a ratio of ``cutoff``, the longer one having that many letters."""
+    return F.floor(longer * (100 - cutoff) / 100 + 1e-9).cast("int")
+
+
+def _remains(x: Column, deleted: Column) -> Column:
+    """All that can remain of a text when ``deleted`` letters (none, one or two) are deleted."""
+    n = F.length(x)
+    head, tail = lambda i: F.substring(x, F.lit(1), i - 1), lambda i: F.substring(x, i + 1, n)
+    one = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(head(i), tail(i)))
+    both = lambda i, j: F.concat(head(i), F.substring(x, i + 1, j - i - 1), tail(j))
+    two = F.flatten(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.transform(F.sequence(i + 1, n), lambda j: both(i, j))))
+    return F.when(deleted == 0, F.array(x)).when(deleted == 1, one).otherwise(two)
+
+
+def _met_by_remains(a: DataFrame, b: DataFrame, on: Sequence[str], cutoff: float) -> DataFrame:
+    """Pairs of ``a`` (.., _x, _n) and ``b`` (.., _y, _len) that may differ by ``DELETED`` edits at most.
+
+    Where k edits are allowed at the longer one's length m, the same m - k letters remain of both when each is cut down to that, if there are no more edits than k.
+    What is common to all names of a group is no key by itself, so those that meet are alike as a whole.
+    """
+    pairs = a.select("_n").distinct().crossJoin(F.broadcast(b.select("_len").distinct()))  # lengths, few
+    pairs = pairs.withColumn("_m", F.greatest("_n", "_len")).withColumn("_k", _edits(F.col("_m"), cutoff)).where((F.abs(F.col("_n") - F.col("_len")) <= F.col("_k")) & (F.col("_k") <= DELETED))
+
+    def keyed(rows: DataFrame, text: str, size: str) -> DataFrame:
+        cuts = pairs.select(size, "_m", (F.col("_k") - F.col("_m") + F.col(size)).alias("_d")).distinct()
+        keys = F.transform(_remains(F.col(text), F.col("_d")), lambda r: F.xxhash64("_m", r))  # a chance hit is found out by the ratio
+        return rows.join(F.broadcast(cuts), size).withColumn("_key", F.explode(F.array_distinct(keys))).drop("_m", "_d", text, size)
+
+    return keyed(a, "_x", "_n").join(keyed(b, "_y", "_len"), [*on, "_key"]).drop("_key")
+
+
 def similar_names(left: DataFrame, right: DataFrame, on: Sequence[str], cutoff: float) -> DataFrame:
     """Pairs of ``left`` (name) and ``right`` (title) that share ``on`` and whose token-sort ratio is at least ``cutoff``.
 
-    No pair is lost: a title's sorted words are cut into more pieces than the edits allowed, and a name offers, for each
-    length that its partner may have, all its substrings where such a piece may lie. These meet in an equi-join, and
-    the ratio decides.
+    No pair is lost. Up to two allowed edits, sorted words meet by what remains of them when letters are deleted. Above that, a title's sorted
+    words are cut into more pieces than the edits allowed, and a name offers, for each length that its partner may have, all its substrings where such a
+    piece may lie; pieces that most titles share meet often there. These meet in an equi-join, and the ratio decides.
     """
     a = left.withColumn("_x", sorted_words(F.col("name"))).withColumn("_n", F.length("_x"))
     b = right.withColumn("_y", sorted_words(F.col("title"))).withColumn("_len", F.length("_y"))
-    kept = b.select("*", F.explode(_pieces(F.col("_len"), cutoff)).alias("_p"))
+    low, high = lambda n: F.ceil(n * cutoff / 100 - 1e-9).cast("int"), lambda n: F.floor(n * 100 / cutoff + 1e-9).cast("int")
+    kept = b.where(_edits(high(F.col("_len")), cutoff) > DELETED).select("*", F.explode(_pieces(F.col("_len"), cutoff)).alias("_p"))
     kept = kept.select(*right.columns, "_len", F.col("_p.i").alias("_i"), F.substring("_y", F.col("_p.start") + 1, F.col("_p.size")).alias("_s"))
-    low, high = F.ceil(F.col("_n") * cutoff / 100 - 1e-9).cast("int"), F.floor(F.col("_n") * 100 / cutoff + 1e-9).cast("int")
-    offered = a.select("*", F.explode(F.sequence(low, high)).alias("_len")).select("*", F.explode(_pieces(F.col("_len"), cutoff)).alias("_p"))
+    offered = a.select("*", F.explode(F.sequence(low(F.col("_n")), high(F.col("_n")))).alias("_len")).where(_edits(F.greatest("_n", "_len"), cutoff) > DELETED)
+    offered = offered.select("*", F.explode(_pieces(F.col("_len"), cutoff)).alias("_p"))
     reach = F.floor(F.col("_len") * (100 - cutoff) / cutoff + 1e-9).cast("int")
     first, end = F.greatest(F.col("_p.start") - reach, F.lit(0)), F.least(F.col("_p.start") + reach, F.col("_n") - F.col("_p.size"))
     places = F.when(end >= first, F.sequence(first, end)).otherwise(F.array().cast("array<int>"))
     offered = offered.withColumn("_at", F.explode(places)).select(*left.columns, "_len", F.col("_p.i").alias("_i"), F.substring("_x", F.col("_at") + 1, F.col("_p.size")).alias("_s"))
-    met = offered.join(kept, [*on, "_len", "_i", "_s"]).drop("_len", "_i", "_s").distinct()
+    by_pieces = offered.join(kept, [*on, "_len", "_i", "_s"]).drop("_len", "_i", "_s")
+    met = _met_by_remains(a, b, on, cutoff).unionByName(by_pieces).distinct()
     return met.withColumn("score", token_sort_ratio(F.col("name"), F.col("title"))).where(F.col("score") >= cutoff)
 
 
@@ -117,21 +156,19 @@ def cascade_match(names: DataFrame, dictionary: DataFrame, cutoff: float = 92) -
     left = names.select("name", "region").distinct()
     found = None
 
-    def settle(pairs: DataFrame, how: str) -> DataFrame:
-        best = pairs.groupBy("name", "region").agg(F.max("score").alias("_top"))
-        best = pairs.join(best, ["name", "region"]).where("score = _top")
-        return best.groupBy("name", "region").agg(
-            F.min("entity").alias("entity"), F.countDistinct("entity").alias("candidates"), F.max("score").alias("score"), F.lit(how).alias("match")
-        )
-
     steps = (("exact", lambda c: c), ("normalised", norm_key), ("stem", stem_key))
     for how, key in steps:
         a = left.withColumn("_k", key(F.col("name")))
-        b = dictionary.select("entity", "region", key(F.col("title")).alias("_k"))
-        done = settle(a.join(b, ["region", "_k"]).withColumn("score", F.lit(100.0)), how)
+        # a key's entities are one row before names meet it: a stem may be common to a whole region
+        b = dictionary.select("entity", "region", key(F.col("title")).alias("_k")).groupBy("region", "_k").agg(F.min("entity").alias("entity"), F.countDistinct("entity").alias("candidates"))
+        done = a.join(b, ["region", "_k"]).select("name", "region", "entity", "candidates", F.lit(100.0).alias("score"), F.lit(how).alias("match"))
         found = done if found is None else found.unionByName(done)
         left = left.join(done.select("name", "region"), ["name", "region"], "left_anti")
-    found = found.unionByName(settle(similar_names(left, dictionary.select("entity", "region", "title"), ["region"], cutoff), "fuzzy"))
+    pairs = checkpointed(similar_names(left, dictionary.select("region", "title").distinct(), ["region"], cutoff))
+    top = pairs.groupBy("name", "region").agg(F.max("score").alias("_top"))
+    best = pairs.join(top, ["name", "region"]).where("score = _top").join(dictionary.select("entity", "region", "title"), ["region", "title"])
+    fuzzy = best.groupBy("name", "region").agg(F.min("entity").alias("entity"), F.countDistinct("entity").alias("candidates"), F.max("score").alias("score"), F.lit("fuzzy").alias("match"))
+    found = found.unionByName(fuzzy)
     unsure = F.col("candidates") > 1
     return found.select(
         "name", "region", F.when(~unsure, F.col("entity")).alias("entity"), F.when(unsure, "ambiguous").otherwise(F.col("match")).alias("match"), "score", "candidates"
