@@ -59,3 +59,34 @@ def test_a_common_stem_is_counted_once(spark):
     names = spark.createDataFrame([(f"Suppliers houses 0000009{i:03d}", 1) for i in range(20)], "name string, region int")
     got = J.cascade_match(names, titles)
     assert {(r["entity"], r["match"], r["candidates"]) for r in got.collect()} == {(None, "ambiguous", 300)} and got.count() == 20
+
+
+def test_ridge_of_all_origins_takes_the_passes_of_one(spark):
+    """With missing values, a feature that only later origins know, and months unseen before: each origin against the closed form."""
+    rng, rows = np.random.default_rng(3), []
+    for i in range(400):
+        a, t = float(rng.normal(5, 2)), 24_000 + i % 8
+        rows.append((i, t, 1, t + 1, float(rng.uniform(1, 9)), 0.3 * a + float(rng.normal()), None if i % 5 == 0 else a, float(rng.normal()) if t > 24_004 else None, 2.0, float(t % 12)))
+    df = spark.createDataFrame(rows, "entity long, t long, h int, month long, base double, g double, a double, b double, c double, moy double").withColumn("y", F.lit(1.0))
+    jobs = {}
+    for origins in ([24_003], [24_003, 24_005, 24_006]):
+        spark.sparkContext.setJobGroup(f"ridge {len(origins)}", "")
+        got = {(r["origin"], r["entity"]): r["yhat"] for r in M.global_model(df, origins, "ridge", features=("a", "b", "c", "moy")).collect()}
+        jobs[len(origins)] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"ridge {len(origins)}"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] == jobs[3] and len(got) == 150
+    for o in origins:
+        x = np.array([[np.nan if v is None else v for v in r[6:9]] + [float(r[9] == m) for m in range(12)] for r in rows])
+        known, g, w = np.array([r[3] <= o for r in rows]), np.array([r[5] for r in rows]), np.array([r[4] for r in rows])
+        for k in range(3):
+            own = np.sort(x[known & ~np.isnan(x[:, k]), k])
+            x[np.isnan(x[:, k]), k] = own[(len(own) - 1) // 2] if len(own) else 0.0
+        mean, w = np.average(x[known], axis=0, weights=w[known]), w[known]
+        d, e = x[known] - mean, g[known] - np.average(g[known], weights=w)
+        sd, se = np.sqrt(np.average(d**2, axis=0, weights=w)), np.sqrt(np.average(e**2, weights=w))
+        use = sd > 1e-9
+        z = d[:, use] / sd[use]
+        beta = np.linalg.solve((z * w[:, None]).T @ z / w.sum() + 0.1 / se * np.eye(use.sum()), (z * w[:, None]).T @ e / w.sum()) / sd[use]
+        for r, v in zip(rows, x, strict=True):
+            if r[1] == o:
+                assert np.isclose(got[o, r[0]], r[4] * np.exp(np.average(g[known], weights=w) + (v - mean)[use] @ beta))

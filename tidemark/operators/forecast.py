@@ -15,6 +15,7 @@ from . import smoothing
 from .boosting import boosted
 from .forest import forest
 from .quantiles import medians
+from .ridge import ridge
 
 
 def rolling_origins(last: int, horizon: int, windows: int, step: int = 1) -> list[int]:
@@ -266,18 +267,13 @@ def global_model(
     origins = [origin] if isinstance(origin, int) else sorted(origin)
     wanted = list(dict.fromkeys(["entity", "t", "h", "month", "base", "y", "g", *features, *([offset] if offset else [])]))
     rows, _ = stored(rows.select(wanted).where((F.col("month") <= max(origins)) & F.col("g").isNotNull() | F.col("t").isin(origins)))  # every fit reads them
-    if backend != "ridge":
-        shift = F.coalesce(F.col(offset).cast("double"), F.lit(0.0)) if offset else F.lit(0.0)
-        some = rows.withColumn("_shift", shift).withColumn("_target", F.col("g") - F.col("_shift"))
-        found, _ = TREES[backend](some, origins, features, seeds, target="_target")
-        out = found.where("base > 0").select("entity", "t", "h", "month", "base", "y", (F.col("prediction") + F.col("_shift")).alias("g"))
+    shift = F.coalesce(F.col(offset).cast("double"), F.lit(0.0)) if offset and backend != "ridge" else F.col(offset).cast("double") if offset else F.lit(0.0)
+    some = rows.withColumn("_shift", shift).withColumn("_target", F.col("g") - F.col("_shift"))
+    if backend == "ridge":  # no draws: one model, whatever the seeds
+        found = ridge(some, origins, features, target="_target")
     else:
-        out = None
-        for at in origins:
-            models, _, test, shift = _trained(rows, at, backend, seeds, offset, features)
-            for fitted in models:
-                one = fitted.transform(test).select("entity", "t", "h", "month", "base", "y", (F.col("prediction") + shift).alias("g"))
-                out = one if out is None else out.unionByName(one)
+        found, _ = TREES[backend](some, origins, features, seeds, target="_target")
+    out = found.where("base > 0").select("entity", "t", "h", "month", "base", "y", (F.col("prediction") + F.col("_shift")).alias("g"))
     keys = ["entity", F.col("t").alias("origin"), F.col("h").cast("int").alias("h"), "month"]
     return out.groupBy(*keys).agg(F.first("y").alias("y"), (F.first("base") * F.exp(F.avg("g"))).alias("yhat"))
 
