@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from tidemark.functions import gazetteer as G
 from tidemark.functions.ratio import sorted_words, token_sort_ratio
 from tidemark.operators import forecast as M
 from tidemark.operators import match as J
@@ -90,3 +91,11 @@ def test_ridge_of_all_origins_takes_the_passes_of_one(spark):
         for r, v in zip(rows, x, strict=True):
             if r[1] == o:
                 assert np.isclose(got[o, r[0]], r[4] * np.exp(np.average(g[known], weights=w) + (v - mean)[use] @ beta))
+
+
+def test_texts_are_scanned_in_small_pieces(spark):
+    """More texts in a batch than are held at a time; no frame of a whole batch's texts is made."""
+    texts = spark.range(700, numPartitions=1).select("id", F.when(F.col("id") % 7 != 3, F.concat(F.lit("ab "), F.col("id"), F.lit(" ab"))).alias("t"))
+    got = G.occurrences(texts, "id", "t", spark.createDataFrame([("ab",), ("699",)], "form string"))
+    assert "MapInArrow" in got._jdf.queryExecution().toString() and G.TEXTS < 700
+    assert {tuple(r) for r in got.collect()} == {(i, "ab", 2) for i in range(700) if i % 7 != 3} | {(699, "699", 1)}

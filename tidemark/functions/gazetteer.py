@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +25,8 @@ ENDINGS = {
 UNITS = {"district": "район района району районом районе округ округа округу округом округе"}
 #: Forms that one block may hold, in characters; a block's automaton takes some tens of bytes for each.
 BLOCK = 4_000_000
+#: Texts whose forms are held at a time.
+TEXTS = 256
 
 
 def spelled(text: Column) -> Column:
@@ -77,7 +79,7 @@ def occurrences(texts: DataFrame, key: str, text: str, form_table: DataFrame, bl
         part = own.where(F.pmod(F.xxhash64("form"), F.lit(blocks)) == i).toPandas()["form"].tolist()  # about ``block`` characters
         shared = spark.sparkContext.broadcast(part)
 
-        def scan(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             import ahocorasick
 
             machine = ahocorasick.Automaton()
@@ -86,18 +88,20 @@ def occurrences(texts: DataFrame, key: str, text: str, form_table: DataFrame, bl
             if len(machine):
                 machine.make_automaton()
             inside = lambda c: c.isalnum() or c in "_-"
-            for frame in frames:
-                rows = []
-                for k, text in zip(frame["k"], frame["text"], strict=True):
+            for piece in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
+                keys, found, counts = [], [], []
+                for k, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
                     seen: dict[str, int] = {}
                     for end, form in machine.iter(text) if len(machine) else ():
                         start = end + 1 - len(form)
                         if not (start and inside(text[start - 1])) and not (end + 1 < len(text) and inside(text[end + 1])):
                             seen[form] = seen.get(form, 0) + 1
-                    rows += [(k, form, n) for form, n in seen.items()]
-                yield pd.DataFrame(rows, columns=["k", "form", "n"])
+                    keys += [k] * len(seen)
+                    found += seen.keys()
+                    counts += seen.values()
+                yield pa.RecordBatch.from_arrays([pa.array(keys, piece.schema.field(0).type), pa.array(found, pa.string()), pa.array(counts, pa.int64())], ["k", "form", "n"])
 
-        one = read.mapInPandas(scan, f"k {kind}, form string, n long")
+        one = read.mapInArrow(scan, f"k {kind}, form string, n long")
         out = one if out is None else out.unionByName(one)
     return out.withColumnRenamed("k", key)
 
