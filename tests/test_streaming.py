@@ -87,3 +87,29 @@ def test_online_bocpd_equals_batch_and_its_state_stays_short(spark):
         run, mean, var = run[:, likely], mean[:, likely], var[:, likely]
         longest = max(longest, len(run[0])) if t > 60 else longest
     assert longest < 60  # lengths from before the shift are gone; there would be 81
+
+
+def test_series_share_calls_and_states(spark, tmp_path):
+    """Many series in few blocks, over three runs that not all series are in: as each by itself, and a state for a block, not for a series.
+    Keys are large, null, or texts."""
+    rng = np.random.default_rng(5)
+    z = {None if e == 7 else 2**60 + e: rng.normal(size=5 + e % 9).tolist() for e in range(40)}
+    rows = [(k, t, v) for k, values in z.items() for t, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "entity long, t long, z double")
+    parts = [df.where((F.col("t") >= a) & (F.col("t") < b)) for a, b in ((0, 1), (1, 6), (6, 99))]
+    series = spark.createDataFrame(list(z.items()), "entity long, z array<double>")
+    for online, batch in ((S.online_cusum, detect.cusum), (S.online_ewma, detect.ewma)):
+        got = {(r.entity, r.t): r for r in S.run_waves(parts, lambda s, f=online: f(s, blocks=7)).collect()}
+        want = series.select("entity", F.posexplode(batch(F.col("z"))).alias("t", "s")).collect()
+        assert len(got) == len(want) == len(rows) and all(abs(got[r.entity, r.t].score - r.s) < 1e-9 and got[r.entity, r.t].position == r.t for r in want)
+    alone = detect.bocpd_batch(np.array([z[None]]))[0]
+    got = {(r.entity, r.t): r.score for r in S.run_waves(parts, lambda s: S.online_bocpd(s, blocks=7)).collect()}
+    assert len(got) == len(rows) and max(abs(got[None, t] - x) for t, x in enumerate(alone)) < 1e-9
+
+    named = df.withColumn("entity", F.concat(F.lit("n "), F.col("entity")))
+    named.write.parquet(f"{tmp_path}/z")
+    stream = S.online_cusum(spark.readStream.schema(named.schema).parquet(f"{tmp_path}/z"), blocks=7)
+    run = stream.writeStream.option("checkpointLocation", f"{tmp_path}/ledger").trigger(availableNow=True).format("parquet").option("path", f"{tmp_path}/out").start()
+    run.awaitTermination()
+    assert run.lastProgress["stateOperators"][0]["numRowsTotal"] <= 7
+    assert {r.entity for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {k and f"n {k}" for k in z}

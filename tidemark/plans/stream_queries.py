@@ -20,8 +20,8 @@ def stream(spark: SparkSession, d: str, per_trigger: int | None = 8) -> DataFram
 
 
 def waves(signal: DataFrame, count: int = 3) -> list[DataFrame]:
-    """A signal (.., t) cut in time into parts of about equally many rows."""
-    q = quantiles(signal, "t", [k / count for k in range(1, count)]).first()
+    """A signal (.., t), a stored table, cut in time into parts of about equally many rows."""
+    q = quantiles(signal, "t", [k / count for k in range(1, count)], reread=True).first()
     cuts = [-float("inf"), *(q["q"] if q else []), float("inf")]
     return [signal.where((F.col("t") > a) & (F.col("t") <= b)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 

@@ -44,74 +44,101 @@ def sessions(events: DataFrame, keys: list[str], ts: str = "ts", gap: str = "6 h
     return win.select(*keys, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def online_ewma(signal: DataFrame, key: str = "entity") -> DataFrame:
-    """Scores (key, t, score, position) as values arrive: the state of a series is its count, sum of first values and level.
+#: Blocks that series are dealt out to by their key's hash.
+BLOCKS = 4096
 
-    Values of a series must arrive in the order of t across batches; within a batch they are sorted.
+
+def _online(signal: DataFrame, key: str, held: Sequence[tuple[str, str]], step: Callable, blocks: int) -> DataFrame:
+    """Scores (key, t, score, position) as values arrive, of a detector that goes on with a series by ``step(state, values)``: the state
+    is None at first and then what ``held`` names, count first; values (t, z) are sorted; it returns the state and the scores.
+
+    A group is a block of series and its state holds theirs, as a call and a stored state for each series cost far more than its few values.
+    A block's values of a batch are held by a task; ``blocks`` stays as it is as long as the ledger lives. In Python a key is its text,
+    which tells null from other keys whatever the type.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-    kind = signal.schema[key].dataType.simpleString()
+    def work(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        names, *fields = state.get if state.exists else ([], *([] for _ in held))
+        states = dict(zip(names, zip(*fields, strict=True), strict=True))
+        values = {}
+        for f in frames:
+            for k, t, z in zip(f["series"].tolist(), f["t"].tolist(), f["z"].tolist(), strict=True):
+                values.setdefault(k, []).append((t, z))
+        series, ts, scores, positions = [], [], [], []
+        for k, found in values.items():
+            found.sort()
+            before = states.get(k)
+            states[k], made = step(before, found)
+            seen = before[0] if before else 0
+            series += [k] * len(found)
+            ts += [t for t, _ in found]
+            scores += made
+            positions += range(seen, seen + len(found))
+        state.update((list(states), *(list(x) for x in zip(*states.values(), strict=True))))
+        yield pd.DataFrame({"series": series, "t": ts, "score": scores, "position": positions})
+
+    rows = signal.select(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"), F.col(key).cast("string").alias("series"), "t", "z")
+    kept = ", ".join(["series array<string>", *(f"{name} array<{kind}>" for name, kind in held)])
+    made = rows.groupBy("block").applyInPandasWithState(
+        work, "series string, t long, score double, position long", kept, "append", GroupStateTimeout.NoTimeout
+    )
+    return made.select(F.col("series").cast(signal.schema[key].dataType).alias(key), "t", "score", "position")
 
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, level = state.get if state.exists else (0, 0.0)
-        rows = []
-        for t, z in sorted((t, z) for f in frames for t, z in zip(f["t"], f["z"], strict=True)):
+
+def online_ewma(signal: DataFrame, key: str = "entity", blocks: int = BLOCKS) -> DataFrame:
+    """Scores (key, t, score, position) as values arrive: the state of a series is its count, sum of first values and level.
+
+    Values of a series must arrive in the order of t across batches; within a batch they are sorted.
+    """
+
+    def step(state: tuple | None, values: list[tuple[int, float]]) -> tuple[tuple, list[float]]:
+        seen, level = state or (0, 0.0)
+        scores = []
+        for _, z in values:
             if seen < START:
                 level += z / START
-                rows.append((k[0], t, 0.0, seen))
+                scores.append(0.0)
             else:
-                rows.append((k[0], t, abs(z - level), seen))
+                scores.append(abs(z - level))
                 level = ALPHA * z + (1 - ALPHA) * level
             seen += 1
-        state.update((seen, level))
-        yield pd.DataFrame(rows, columns=[key, "t", "score", "position"])
+        return (seen, level), scores
 
-    return signal.groupBy(key).applyInPandasWithState(
-        step, f"`{key}` {kind}, t long, score double, position long", "seen long, level double", "append", GroupStateTimeout.NoTimeout
-    )
+    return _online(signal, key, [("seen", "long"), ("level", "double")], step, blocks)
 
 
-def online_cusum(signal: DataFrame, key: str = "entity", slack: float = SLACK) -> DataFrame:
+def online_cusum(signal: DataFrame, key: str = "entity", slack: float = SLACK, blocks: int = BLOCKS) -> DataFrame:
     """Two-sided cumulative sums (key, t, score, position) as values arrive, as in the batch detector; the state of a series is
     its count, its reference (the mean of the first values) and both sums. Order as for ``online_ewma``."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-    kind = signal.schema[key].dataType.simpleString()
-
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, ref, up, down = state.get if state.exists else (0, 0.0, 0.0, 0.0)
-        rows = []
-        for t, z in sorted((t, z) for f in frames for t, z in zip(f["t"], f["z"], strict=True)):
+    def step(state: tuple | None, values: list[tuple[int, float]]) -> tuple[tuple, list[float]]:
+        seen, ref, up, down = state or (0, 0.0, 0.0, 0.0)
+        scores = []
+        for _, z in values:
             if seen < START:
                 ref += z / START
             else:
                 up, down = max(0.0, up + (z - ref) - slack), max(0.0, down - (z - ref) - slack)
-            rows.append((k[0], t, max(up, down), seen))
+            scores.append(max(up, down))
             seen += 1
-        state.update((seen, ref, up, down))
-        yield pd.DataFrame(rows, columns=[key, "t", "score", "position"])
+        return (seen, ref, up, down), scores
 
-    return signal.groupBy(key).applyInPandasWithState(
-        step, f"`{key}` {kind}, t long, score double, position long", "seen long, ref double, up double, down double", "append", GroupStateTimeout.NoTimeout
-    )
+    return _online(signal, key, [("seen", "long"), ("ref", "double"), ("up", "double"), ("down", "double")], step, blocks)
 
 
-def online_bocpd(signal: DataFrame, key: str = "entity", least: float = 1e-15) -> DataFrame:
+def online_bocpd(signal: DataFrame, key: str = "entity", least: float = 1e-15, blocks: int = BLOCKS) -> DataFrame:
     """Probabilities (key, t, score, position) that a series' run is one value old at most, as values arrive, as in the batch detector.
 
     The state of a series is its count, its first values and the posterior of its run lengths with their means and variances. Run lengths
     less likely than ``least`` are dropped, so the state stays short however long the series gets. Order as for ``online_ewma``.
     """
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    kind = signal.schema[key].dataType.simpleString()
 
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, first, *posterior = state.get if state.exists else (0, [], [], [], [])
+    def step(state: tuple | None, values: list[tuple[int, float]]) -> tuple[tuple, list[float]]:
+        seen, first, *posterior = state or (0, [], [], [], [])
         first, (run, mean, var) = list(first), (np.array(x, float)[None] for x in posterior)
-        rows = []
-        for t, z in sorted((t, z) for f in frames for t, z in zip(f["t"], f["z"], strict=True)):
+        scores = []
+        for _, z in values:
             score, new = 0.0, [z]
             if seen < START:
                 first.append(z)
@@ -124,13 +151,12 @@ def online_bocpd(signal: DataFrame, key: str = "entity", least: float = 1e-15) -
                 likely = run[0] >= least
                 likely[:2] = True
                 run, mean, var = run[:, likely], mean[:, likely], var[:, likely]
-            rows.append((k[0], t, score, seen))
+            scores.append(score)
             seen += 1
-        state.update((seen, first, *(x[0].tolist() for x in (run, mean, var))))
-        yield pd.DataFrame(rows, columns=[key, "t", "score", "position"])
+        return (seen, first, *(x[0].tolist() for x in (run, mean, var))), scores
 
-    held = "seen long, first array<double>, run array<double>, mean array<double>, var array<double>"
-    return signal.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, t long, score double, position long", held, "append", GroupStateTimeout.NoTimeout)
+    held = [("seen", "long"), *((name, "array<double>") for name in ("first", "run", "mean", "var"))]
+    return _online(signal, key, held, step, blocks)
 
 
 def run_waves(waves: Sequence[DataFrame], build: Callable[[DataFrame], DataFrame]) -> DataFrame:
