@@ -17,17 +17,18 @@ AS_OF_LAG = {
 }
 
 
-def recent_growth(panel: DataFrame, keys: Sequence[str] = ("entity",)) -> DataFrame:
-    """Year-over-year growth at t, t-1, t-2, three-month drift, month change, seasonal step, and the common growth.
+def recent_growth(panel: DataFrame, keys: Sequence[str] = ("entity",), keep: Sequence[str] = ()) -> DataFrame:
+    """Year-over-year growth at t, t-1, t-2, three-month drift, month change, seasonal step, and the common growth; columns to ``keep`` beside them.
 
     All lags share one sort by (keys, month). The common growth is a median by month: a table as long as the calendar.
     """
     lag = {k: P.lag_months("value", k, keys) for k in (1, 2, 11, 12, 13, 14)}
-    v = panel.select(*keys, "month", "value", *(c.alias(f"v{k}") for k, c in lag.items()))
+    v = panel.select(*keys, "month", "value", *keep, *(c.alias(f"v{k}") for k, c in lag.items()))
     c = F.col
     v = v.select(
         *keys,
         "month",
+        *keep,
         P.log_growth(c("value"), c("v12")).alias("g1"),
         P.log_growth(c("v1"), c("v13")).alias("g2"),
         P.log_growth(c("v2"), c("v14")).alias("g3"),

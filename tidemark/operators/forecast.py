@@ -206,13 +206,17 @@ def fourier_trend(panel: DataFrame, origins: Sequence[int], horizon: int, order:
 
 
 def supervised(panel: DataFrame, horizons: Sequence[int]) -> DataFrame:
-    """Rows (entity, t, h) with features known at t and the target g = ln y(t+h) - ln y(t+h-12), null while unknown."""
+    """Rows (entity, t, h) with features known at t and the target g = ln y(t+h) - ln y(t+h-12), null while unknown. A horizon is 12 at most.
+
+    Facts and bases are frames over the sort that the features' lags have, too. ``panel`` has a row a series and month.
+    """
     from .features import recent_growth
 
-    rows = recent_growth(panel).withColumnRenamed("month", "t").withColumn("h", F.explode(F.array(*map(F.lit, horizons))))
+    ahead = (F.struct(F.lit(h).alias("h"), P.lag_months("value", 12 - h, ["entity"]).alias("base"), P.lag_months("value", -h, ["entity"]).alias("y")) for h in horizons if h <= 12)
+    rows = recent_growth(panel.withColumn("_ahead", F.array(*ahead)), keep=["_ahead"]).withColumnRenamed("month", "t")
+    rows = rows.select("*", F.inline("_ahead")).drop("_ahead")
     rows = rows.withColumn("month", F.col("t") + F.col("h")).withColumn("moy", (F.col("month") % 12).cast("double"))
-    rows = _year_before(rows, panel, ["entity"])
-    return with_fact(rows, panel).withColumn("g", P.log_growth(F.col("y"), F.col("base")))
+    return rows.withColumn("g", P.log_growth(F.col("y"), F.col("base")))
 
 
 FEATURES = ("g1", "g2", "g3", "drift3", "mom", "common", "common_before", "h", "moy")

@@ -1,20 +1,22 @@
 """Is a learned forecast better than chance? A ridge model is fitted again and again on spoilt data, all fits in one job.
 
-A fit needs only sums over its rows (features by features and by target), so a row of every scenario and repeat is added up where
-it lies, partial sums meet in one aggregate, and each fit is solved from one small matrix. No fit's rows ever meet in a task.
+A fit needs only sums over its rows (features by features and by target), so the rows of every scenario and repeat are added up where
+they lie, partial sums meet in one aggregate, and each fit is solved from one small matrix. No fit's rows ever meet in a task.
 
 Rows are moved twice, whatever the number of origins and repeats: once as they are, and once into random buckets of one target month each, in which targets are
-shuffled. Noise and shuffles are made in the task that adds up, so no row is written for a repeat.
+shuffled. Noise and shuffles are made by column in the task that adds up, so no row is written, nor handed to Python, for an origin or a repeat. Noise in training and
+in prediction are the same function of the row (``Draws``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..session import checkpointed, stored
 from . import evaluate as E
@@ -25,6 +27,7 @@ NUMERIC = ("g1", "g2", "g3", "drift3", "mom", "common", "common_before", "h")
 RIDGE = 0.1
 ROW = ("entity", "t", "h")
 FIT = ("scenario", "repeat", "origin")
+BLOCK = 4096  #: rows whose columns stay in a core's cache
 
 
 def shuffled(rows: DataFrame, group: Sequence[str], key: Sequence[str], value: str, size: int = 100_000) -> DataFrame:
@@ -46,23 +49,87 @@ def shuffled(rows: DataFrame, group: Sequence[str], key: Sequence[str], value: s
     return moved.select(rows.columns)
 
 
-def noise(*parts: Column | str) -> Column:
-    """A standard normal draw that depends on its arguments only (Box-Muller on two hashes)."""
-    unit = lambda salt: (F.pmod(F.xxhash64(F.lit(salt), *parts), F.lit(2**31)) + 0.5) / 2**31
-    return F.sqrt(-2 * F.ln(unit(1))) * F.cos(2 * np.pi * unit(2))
+def _keys(rows: DataFrame) -> list[Column]:
+    """The columns of ROW as integers."""
+    return [F.col(c) if isinstance(rows.schema[c].dataType, IntegralType) else F.xxhash64(c) for c in ROW]
 
 
-def _design(numeric: Sequence[Column], moy: Column) -> Column:
-    return F.array(F.lit(1.0), *numeric, *((moy == k).cast("double") for k in range(12)))
+_PRIMES = tuple(np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 
-def _variants(rows: DataFrame, repeats: int) -> tuple[DataFrame, DataFrame]:
-    """(real, noise) of rows with standardised features s_*: x is the vector of a row, in the second one for each repeat."""
-    real = rows.withColumn("x", _design([F.col(f"s_{c}") for c in NUMERIC], F.col("moy")))
-    many = rows.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
-    draws = [noise(F.lit(c), "repeat", "origin", *ROW) for c in NUMERIC]
-    month = F.pmod(F.xxhash64(F.lit("moy"), "repeat", "origin", *ROW), F.lit(12))
-    return real, many.withColumn("x", _design(draws, month))
+def _turned(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+
+class Draws:
+    """Standard normal draws (Box-Muller on two hashes) and months for a frame's rows, which depend on feature, repeat, origin and the row's key only.
+
+    The hashes are Spark's ``xxhash64``. It goes on from column to column, and its state after the columns before a row's key (salt, feature, repeat, origin) is given. Rows
+    that share the first columns of the key share that part of the hash: it is taken once for each of them.
+    """
+
+    def __init__(self, keys: Sequence[np.ndarray]):
+        p1, p2, *_ = _PRIMES
+        self.levels, above = [], np.zeros(len(keys[0]), np.intp)
+        for i, key in enumerate(keys):
+            wide, x = key.dtype.itemsize > 4, key.astype(np.int64).view(np.uint64)
+            with np.errstate(over="ignore"):
+                x = _turned(x * p2, 31) * p1 if wide else (x & np.uint64(0xFFFFFFFF)) * p1
+            if i < len(keys) - 1:
+                found, own = np.unique(key, return_inverse=True)
+                _, first, own = np.unique(above * len(found) + own, return_index=True, return_inverse=True)
+                self.levels.append((above[first], x[first], wide))
+                above = own
+            else:
+                self.levels.append((above, x, wide))
+
+    def hashes(self, starts: np.ndarray, n: int) -> Iterator[np.ndarray]:
+        """The hashes of the first ``n`` rows, for each of the starts."""
+        state = starts[:, None]
+        for above, x, wide in self.levels[:-1]:
+            state = self._step(np.take(state, above, axis=1), x, wide)
+        above, x, wide = self.levels[-1]
+        for own in state:
+            yield self._step(np.take(own, above[:n]), x[:n], wide)
+
+    @staticmethod
+    def _step(h: np.ndarray, x: np.ndarray, wide: bool) -> np.ndarray:
+        """The states ``h`` after one more column, in place."""
+        p1, p2, p3, p4, p5 = _PRIMES
+        bytes_, turn, factor, more = (8, 27, p1, p4) if wide else (4, 23, p2, p3)
+        h += p5 + np.uint64(bytes_)
+        h ^= x
+        some = h >> np.uint64(64 - turn)
+        h <<= np.uint64(turn)
+        h |= some
+        h *= factor
+        h += more
+        for shift, factor in ((33, p2), (29, p3), (32, None)):
+            h ^= np.right_shift(h, np.uint64(shift), out=some)
+            if factor:
+                h *= factor
+        return h
+
+    def normal(self, starts: np.ndarray, n: int) -> Iterator[np.ndarray]:
+        """Standard normal draws from pairs of starts (salts one and two of a feature)."""
+        hashes = self.hashes(starts, n)
+        for first in hashes:
+            length, turn = (((h & np.uint64(2**31 - 1)).view(np.int64) + 0.5) * 2.0**-31 for h in (first, next(hashes)))
+            length = np.log(length, out=length)
+            length *= -2
+            turn *= 2 * np.pi
+            yield np.sqrt(length, out=length) * np.cos(turn, out=turn)
+
+    def months(self, start: np.ndarray, n: int) -> np.ndarray:
+        return next(self.hashes(start, n)).view(np.int64) % 12
+
+
+def _starts(origins: DataFrame, repeats: int) -> dict[tuple[int, int], np.ndarray]:
+    """(repeat, origin) -> states of the hash before a row's key: two a feature, then the month's."""
+    salts = [(F.lit(salt), F.lit(c)) for c in NUMERIC for salt in (1, 2)] + [(F.lit("moy"),)]
+    many = origins.select("origin", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat"))
+    found = many.select("repeat", "origin", F.array(*(F.xxhash64(*s, "repeat", "origin") for s in salts)).alias("s")).collect()  # repeats x origins
+    return {(r["repeat"], r["origin"]): np.array(r["s"], np.int64).view(np.uint64) for r in found}
 
 
 def _sums(x: np.ndarray, g: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -97,12 +164,91 @@ def mixed(keys: np.ndarray, *salt: int) -> np.ndarray:
     return x
 
 
+def _order(hashes: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The order by hash, then key. The first bits of the hashes are sorted with the places below them, which takes half as long as an argsort."""
+    bits = np.uint64(max(len(hashes) - 1, 1).bit_length())
+    packed = np.sort(hashes >> bits << bits | np.arange(len(hashes), dtype=np.uint64))
+    if ((packed[1:] ^ packed[:-1]) >> bits == 0).any():  # the first bits don't tell
+        return np.lexsort((keys, hashes))
+    return (packed & ((np.uint64(1) << bits) - np.uint64(1))).view(np.int64)
+
+
+def _cycle(values: np.ndarray, keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    order = _order(hashes, keys)
+    out, ranked = np.empty_like(values), values[order]
+    out[order[:-1]], out[order[-1:]] = ranked[1:], ranked[:1]
+    return out
+
+
 def cycled(values: np.ndarray, keys: np.ndarray, *salt: int) -> np.ndarray:
     """``values`` moved around one random cycle: every row takes its successor's in an order by hashes of the keys."""
-    order = np.lexsort((keys, mixed(keys, *salt)))
-    out = np.empty_like(values)
-    out[order] = np.roll(values[order], -1)
-    return out
+    return _cycle(values, keys, mixed(keys, *salt))
+
+
+def _scaled(frame: pd.DataFrame, at: dict, n: int) -> list[np.ndarray]:
+    """The features of the first ``n`` rows, standardised as an origin knows them; missing ones are zero, their mean."""
+    known = lambda c: at[f"m_{c}"] is not None and at[f"d_{c}"]
+    return [np.nan_to_num((frame[c].to_numpy(float)[:n] - at[f"m_{c}"]) / at[f"d_{c}"]) if known(c) else np.zeros(n) for c in NUMERIC]
+
+
+def _design(numeric: Iterable[np.ndarray], moy: np.ndarray) -> np.ndarray:
+    """(1, features, months of the year) by row."""
+    x = np.empty((1 + len(NUMERIC) + 12, len(moy)))
+    x[0], x[1 + len(NUMERIC) :] = 1, moy == np.arange(12)[:, None]
+    for i, column in enumerate(numeric, 1):
+        x[i] = column
+    return x
+
+
+def _variants(frame: pd.DataFrame, draws: Draws, at: dict, starts: dict[tuple[int, int], np.ndarray], n: int) -> Iterator[tuple[str, int, np.ndarray]]:
+    """(scenario, repeat, design) of the first ``n`` rows as an origin knows them: real features, then noise in their place."""
+    yield "real", 0, _design(_scaled(frame, at, n), frame["moy"].to_numpy()[:n])
+    for (k, o), s in starts.items():
+        if o == at["origin"]:
+            yield "noise_features", k, _design(draws.normal(s[:-1], n), draws.months(s[-1:], n))
+
+
+def _draws(frame: pd.DataFrame) -> Draws:
+    return Draws([frame[f"k{i}"].to_numpy() for i in range(len(ROW))])
+
+
+def _own_parts(known: DataFrame, origins: Sequence[int], stats: dict[int, dict], starts: dict[tuple[int, int], np.ndarray]) -> DataFrame:
+    """(FIT, m): a task's partial sums of the fits whose targets stay, on the features and on noise in their place. ``known``: the columns of ROW as k0,
+    k1, .., month, moy, base, g and features. Rows are in order of their months, so that what an origin knows is the first part of a frame."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[tuple, np.ndarray] = {}
+        for frame in (f.iloc[i : i + BLOCK] for f in frames for i in range(0, len(f), BLOCK)):
+            frame = frame.sort_values("month", kind="stable")
+            draws, month = _draws(frame), frame["month"].to_numpy()
+            for o in origins:
+                if n := int(np.searchsorted(month, o, "right")):
+                    w, g = frame["base"].to_numpy()[:n] / stats[o]["_base"], frame["g"].to_numpy()[:n]
+                    for scenario, repeat, x in _variants(frame, draws, stats[o], starts, n):
+                        xw = x * w
+                        total[scenario, repeat, o] = total.get((scenario, repeat, o), 0.0) + np.column_stack([xw @ x.T, xw @ g])
+        yield from _table(total)
+
+    return known.mapInPandas(run, "scenario string, repeat int, origin long, m array<double>")
+
+
+def _predicted(asked: DataFrame, beta: dict[tuple, np.ndarray], stats: dict[int, dict], starts: dict[tuple[int, int], np.ndarray], fits: Sequence[tuple[str, int]]) -> DataFrame:
+    """(POINT, y, yhats): points with the predictions of each fit. ``asked``: the columns of POINT as at_*, y, k0, k1, .., moy, base and features."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in frames:
+            for o, frame in whole.groupby("at_origin"):
+                out = np.empty((len(fits), len(frame)))
+                for scenario, repeat, x in _variants(frame, _draws(frame), stats[o], starts, len(frame)):
+                    for i, fit in enumerate(fits):  # targets are shuffled in training only
+                        if fit == (scenario, repeat) or scenario == "real" and fit[0] != "noise_features":
+                            out[i] = frame["base"].to_numpy() * np.exp(beta[*fit, o] @ x)
+                yield frame[point].assign(yhats=list(out.T))
+
+    point = [*(f"at_{c}" for c in E.POINT), "y"]
+    schema = ", ".join(f"{c} {asked.schema[c].dataType.simpleString()}" for c in point)
+    made = asked.mapInPandas(run, f"{schema}, yhats array<double>")
+    return made.select(*(F.col(f"at_{c}").alias(c) for c in E.POINT), "y", "yhats")
 
 
 def _parts(known: DataFrame, origins: Sequence[int], repeats: int, stats: dict[int, dict], whole: bool, month: str) -> DataFrame:
@@ -112,21 +258,26 @@ def _parts(known: DataFrame, origins: Sequence[int], repeats: int, stats: dict[i
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values([month, "_key"])
+        key, g, m, moy, base = (frame[c].to_numpy() for c in ("_key", "g", month, "moy", "base"))
         total: dict[tuple, np.ndarray] = {}
+        mixed_keys = [mixed(key, k) for k in range(1, repeats + 1)]
         for o in origins:
-            some = frame[frame[month] <= o]
-            if not len(some):
+            n = int(np.searchsorted(m, o, "right"))  # months ascend
+            if not n:
                 continue
-            at, key, g, m = stats[o], some["_key"].to_numpy(), some["g"].to_numpy(), some[month].to_numpy()
-            scaled = [np.nan_to_num((some[c].to_numpy(float) - at[f"m_{c}"]) / at[f"d_{c}"]) if at[f"m_{c}"] is not None and at[f"d_{c}"] else np.zeros(len(some)) for c in NUMERIC]
-            x = np.column_stack([np.ones(len(some)), *scaled, some["moy"].to_numpy()[:, None] == np.arange(12)])
-            xw = (x * (some["base"].to_numpy() / at["_base"])[:, None]).T
-            own = xw @ x
-            starts = [0] if whole else np.flatnonzero(np.r_[True, m[1:] != m[:-1]]).tolist()
-            groups = [slice(a, b) for a, b in zip(starts, [*starts[1:], len(m)], strict=True)]
-            for k in range(1, repeats + 1):
-                moved = np.concatenate([cycled(g[i], key[i], k, o, int(whole)) for i in groups])
-                total[scenario, k, o] = np.column_stack([own, xw @ moved])
+            x = _design(_scaled(frame, stats[o], n), moy[:n])
+            xw = x * (base[:n] / stats[o]["_base"])
+            own = xw @ x.T
+            starts = [0] if whole else np.flatnonzero(np.r_[True, m[1:n] != m[: n - 1]]).tolist()
+            groups = [slice(a, b) for a, b in zip(starts, [*starts[1:], n], strict=True)]
+            moved = np.empty((repeats, n))
+            for k, own_keys in enumerate(mixed_keys):
+                hashes = mixed(own_keys[:n], o, int(whole))
+                for i in groups:
+                    moved[k, i] = _cycle(g[i], key[i], hashes[i])
+            sums = xw @ moved.T
+            for k in range(repeats):
+                total[scenario, k + 1, o] = np.column_stack([own, sums[:, k]])
         return pd.DataFrame([(*fit, v.ravel()) for fit, v in total.items()], columns=[*FIT, "m"])
 
     return known.groupBy("_bucket").applyInPandas(run, "scenario string, repeat int, origin long, m array<double>")
@@ -151,12 +302,14 @@ def _solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame.assign(beta=out)
 
 
-def fits(train: DataFrame, more: Sequence[DataFrame] = ()) -> DataFrame:
-    """(scenario, repeat, origin, beta) from rows (scenario, repeat, origin, x, g, w), and from partial sums of other fits."""
+def fits(train: DataFrame) -> DataFrame:
+    """(scenario, repeat, origin, beta) from rows (scenario, repeat, origin, x, g, w)."""
+    return solved(train.select(*FIT, "x", "g", "w").mapInPandas(_add, "scenario string, repeat int, origin long, m array<double>"))
+
+
+def solved(parts: DataFrame) -> DataFrame:
+    """(scenario, repeat, origin, beta) from partial sums of the fits."""
     schema = "scenario string, repeat int, origin long"
-    parts = train.select(*FIT, "x", "g", "w").mapInPandas(_add, f"{schema}, m array<double>")
-    for other in more:
-        parts = parts.unionByName(other)
     cells = parts.select(*FIT, F.posexplode("m").alias("at", "v")).groupBy(*FIT, "at").agg(F.sum("v").alias("v"))
     whole = cells.groupBy(*FIT).agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("m"))
     return whole.select(*FIT, F.transform("m", lambda c: c["v"]).alias("m")).mapInPandas(_solve, f"{schema}, beta array<double>")
@@ -176,30 +329,26 @@ def null_predictions(rows: DataFrame, panel: DataFrame, origins: Sequence[int],
     known = at.where((F.col("month") <= F.col("origin")) & F.col("g").isNotNull())
     means = [F.avg(c).alias(f"m_{c}") for c in NUMERIC] + [F.stddev_pop(c).alias(f"d_{c}") for c in NUMERIC]
     stats = checkpointed(known.groupBy("origin").agg(F.avg("base").alias("_base"), *means))  # a row an origin
+    found = {r["origin"]: r.asDict() for r in stats.collect()}
+    starts = _starts(stats, repeats)
 
-    def standard(df: DataFrame) -> DataFrame:
-        df = df.join(F.broadcast(stats), "origin")
-        scaled = {f"s_{c}": F.coalesce(F.try_divide(F.col(c) - F.col(f"m_{c}"), F.col(f"d_{c}")), F.lit(0.0)) for c in NUMERIC}
-        return df.withColumns(scaled).withColumn("w", F.col("base") / F.col("_base"))
-
-    columns = [*FIT, "x", "g", "w"]
-    real, noisy = _variants(standard(known), repeats)
-    train = real.withColumn("scenario", F.lit("real")).withColumn("repeat", F.lit(0)).select(columns)
-    train = train.unionByName(noisy.withColumn("scenario", F.lit("noise_features")).select(columns))
-    found = {r["origin"]: r.asDict() for r in stats.collect()}  # a row an origin
+    learn = ["base", F.col("moy").cast("int").alias("moy"), *(F.col(c).cast("double").alias(c) for c in NUMERIC)]
+    keys = [c.alias(f"k{i}") for i, c in enumerate(_keys(rows))]
     some = rows.where(F.col("g").isNotNull() & (F.col("month") <= max(found, default=0)))
-    some = some.select(F.xxhash64(*ROW).alias("_key"), "month", F.col("moy").cast("int").alias("moy"), "base", "g", *(F.col(c).cast("double").alias(c) for c in NUMERIC))
-    shuffles = [_parts(_bucketed(some, by, size), sorted(found), repeats, found, not by, "month") for by in ([], ["month"])]
-    beta = checkpointed(fits(train, shuffles))  # origins x (1 + 3 x repeats) rows of 21 numbers
-
-    point = [*E.POINT, "base", "y"]
-    asked = at.where((F.col("t") == F.col("origin")) & F.col("y").isNotNull())
-    real, noisy = _variants(standard(asked), repeats)
-    level = F.col("base") * F.exp(F.aggregate(F.zip_with("x", "beta", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
-    spoilt = noisy.join(F.broadcast(beta.where("scenario = 'noise_features'")), ["origin", "repeat"])
-    other = real.join(F.broadcast(beta.where("scenario <> 'noise_features'")), "origin")
+    parts = _own_parts(some.select(*keys, "month", "g", *learn), sorted(found), found, starts)
+    some = some.select(F.xxhash64(*ROW).alias("_key"), "month", "g", *learn)
+    for by in ([], ["month"]):
+        parts = parts.unionByName(_parts(_bucketed(some, by, size), sorted(found), repeats, found, not by, "month"))
+    beta = {tuple(r[c] for c in FIT): np.array(r["beta"]) for r in solved(parts).collect()}  # origins x (1 + 3 x repeats) rows of 21 numbers
+
+    asked = rows.where(F.col("t").isin(list(origins)) & F.col("y").isNotNull()).withColumn("origin", F.col("t").cast("long"))
+    fitted = [("real", 0), *((scenario, k) for scenario in SPOILT for k in range(1, repeats + 1))]
+    given = asked.where(F.col("origin").isin(list(found))).select(*(F.col(c).alias(f"at_{c}") for c in E.POINT), "y", *keys, *learn)
+    out = _predicted(given, beta, found, starts, fitted).select(*E.POINT, "y", F.posexplode("yhats").alias("at", "yhat"))
+    which = F.array(*(F.struct(F.lit(scenario).alias("scenario"), F.lit(k).alias("repeat")) for scenario, k in fitted))[F.col("at")]
     shown = ["scenario", "repeat", *E.POINT, "y"]
-    out = other.select(*FIT[:2], *point, level.alias("yhat")).unionByName(spoilt.select(*FIT[:2], *point, level.alias("yhat"))).select(*shown, "yhat")
+    out = out.select(which["scenario"].alias("scenario"), which["repeat"].alias("repeat"), *shown[2:], "yhat")
+    point = [*E.POINT, "base", "y"]
     simple = asked.select(*point, F.coalesce("drift3", "g1", F.lit(0.0)).alias("drift"))
     constant = constant_growth(panel, asked.select(*E.POINT)).select(*E.POINT, F.col("yhat").alias("constant"))
     simple = simple.join(constant, list(E.POINT), "left").select(
