@@ -5,7 +5,8 @@ trained on the rows whose target month is known at the origin, weighted, with a
 the same passes over the binned rows, which are packed into blocks: a block is one row of a Spark table that holds some ten thousand rows by column, in order of
 their months, so that a pass costs copies of arrays and what an origin knows is the first part of a block. A level of the trees is one pass: every task adds up counts,
 weights and signs of the residuals by group, node, feature and bin; Spark sums these rows, and only the sums (groups x nodes x features x bins, whatever the
-number of rows) reach the driver, which picks the splits. A block carries its groups' predictions so far; they are brought up to date with each
+number of rows) reach the driver, which picks the splits. Features of few bins are counted together, and their sums taken from the joint counts. A block carries
+its groups' predictions so far and the signs of their residuals, which are all that a level reads; both are brought up to date with each
 tree, and the table before is deleted.
 
 Missing values have a bin of their own, and a split sends them to the side where they do better. A leaf's value is the weighted median of its
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import delete, stored
-from .quantiles import quantiles
+from .quantiles import column_ranks
 
 
 @dataclass(frozen=True)
@@ -98,9 +99,15 @@ def drawn(keys: np.ndarray, seed: int, tree: int, share: float) -> np.ndarray:
 
 def edges_of(rows: DataFrame, features: Sequence[str], known: str, bins: int) -> dict[int, np.ndarray]:
     """Each feature's cuts, at quantiles of the rows for which ``known`` holds. ``rows`` is a stored table."""
-    long = F.array(*(F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("x")) for i, c in enumerate(features)))
-    cuts = quantiles(rows.where(known).select(F.inline(long)), "x", [k / bins for k in range(1, bins)], ["i"], reread=True).collect()  # features x bins
-    return {r["i"]: np.unique(r["q"]) for r in cuts}
+    levels = [k / bins for k in range(1, bins)]
+    ends = lambda n: sorted({int(f(p * (n - 1))) for p in levels for f in (np.floor, np.ceil)})
+    out = {}
+    for i, (n, found) in enumerate(column_ranks(rows.where(known), features, ends)[0]):
+        if n:
+            value, places = dict(zip(ends(n), found, strict=True)), [p * (n - 1) for p in levels]
+            cuts = [(value[int(np.floor(x))], value[int(np.ceil(x))], x - np.floor(x)) for x in places]
+            out[i] = np.unique([low if low == high else (1 - part) * low + part * high for low, high, part in cuts])
+    return out
 
 
 def coded(rows: DataFrame, features: Sequence[str], edges: dict[int, np.ndarray], bins: int) -> DataFrame:
@@ -166,10 +173,60 @@ def packed(rows: DataFrame, features: int, size: int = 1 << 15) -> DataFrame:
 class _Block:
     codes: np.ndarray  #: (feature, row)
     month: np.ndarray  #: ascending
-    target: np.ndarray
     weight: np.ndarray
     key: np.ndarray
-    made: np.ndarray | None  #: (group, row): predictions so far; None before the first tree
+    target: np.ndarray | None = None  #: None where signs are read in its place
+    made: np.ndarray | None = None  #: (group, row): predictions so far; None before the first tree
+    signs: np.ndarray | None = None  #: (group, row): of the residuals, from 0 to 2
+
+
+@dataclass
+class Joint:
+    """Some features whose codes are counted as one number. ``values``: the codes that each of them has."""
+
+    features: list[int]
+    values: list[np.ndarray]
+
+    @property
+    def shape(self) -> tuple[int, ...]:
+        return tuple(len(v) for v in self.values)
+
+    def code(self, codes: np.ndarray, bins: int, cells: int) -> np.ndarray:
+        """The number of each row's combination, times ``cells``."""
+        out, step = np.zeros(codes.shape[1], np.intp), cells
+        for f, values in reversed(list(zip(self.features, self.values, strict=True))):
+            place = np.zeros(bins, np.intp)
+            place[values] = np.arange(len(values)) * step
+            out += place[codes[f]]
+            step *= len(values)
+        return out
+
+
+def joints(values: Sequence[np.ndarray], most: int = 1200) -> list[Joint]:
+    """The features, by the codes that each has, in sets that have ``most`` combinations or one feature: that of most codes, then such as there is room for."""
+    order, out = sorted(range(len(values)), key=lambda f: len(values[f])), []
+    while order:
+        own = [order.pop()]
+        while fitting := [f for f in order if np.prod([len(values[i]) for i in (*own, f)]) <= most]:
+            order.remove(fitting[-1])
+            own.append(fitting[-1])
+        out.append(Joint(own, [values[f] for f in own]))
+    return out
+
+
+def near(x: np.ndarray, low: np.ndarray, high: np.ndarray, cells: int = 1024) -> np.ndarray:
+    """Places of all values that lie between a low and its high, where it is above it, and of few others: values are looked up in a table of cells."""
+    low, high = low[low < high], high[low < high]
+    least, most = low.min(), high.max()
+    some = np.flatnonzero((x >= least) & (x <= most))
+    if not np.isfinite(most - least):
+        return some
+    scale = cells / (most - least)
+    cell = lambda v: np.minimum((v - least) * scale, cells - 1).astype(np.intp)  # noqa: E731  never falls where values rise
+    held = np.zeros(cells, bool)
+    for a, b in zip(cell(low), cell(high), strict=True):
+        held[a : b + 1] = True
+    return some[held[cell(x[some])]]
 
 
 class Trainer:
@@ -180,6 +237,7 @@ class Trainer:
         self.blocks, self.folder = stored(packed(rows, features), **STORAGE)
         self.models = [Ensemble() for _ in self.groups]
         self.scale = [1.0] * len(self.groups)
+        self.joints: list[Joint] = []
         self.bounds = np.zeros((2, len(self.groups)))  # between which a group's residuals lie
 
     def __getstate__(self) -> dict:
@@ -188,30 +246,53 @@ class Trainer:
     def _read(self, batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
         for b in batches:
             for i in range(b.num_rows):
-                own = {c: np.frombuffer(b.column(c)[i].as_buffer(), k) for c, k in KINDS.items()}
+                own = {c: np.frombuffer(b.column(c)[i].as_buffer(), k) for c, k in KINDS.items() if c in b.schema.names}
                 own["codes"] = own["codes"].reshape(self.features, -1)
-                made = np.frombuffer(b.column("made")[i].as_buffer()).reshape(len(self.groups), -1) if "made" in b.schema.names else None
-                yield _Block(**own, made=made)
-
-    def _parts(self, r: _Block, number: int | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(group, codes, weights, residuals) of the rows that each group's tree sees; without a number all that its origin knows, with targets."""
+                for c, k in (("made", np.float64), ("signs", np.uint8)):
+                    if c in b.schema.names:
+                        own[c] = np.frombuffer(b.column(c)[i].as_buffer(), k).reshape(len(self.groups), -1)
+                yield _Block(**own)
+
+    def _seen(self, r: _Block, number: int | None) -> Iterator[tuple[int, slice | np.ndarray, np.ndarray, np.ndarray, int]]:
+        """(group, rows, codes, weights, end): the rows that each group's tree sees, of which the first, up to the end, are known at its origin; without a
+        number all rows. What groups of one seed share is made once."""
         seen: dict[int, tuple] = {}
         for g, (origin, seed) in enumerate(self.groups):
             if number is not None and self.models[g].start is None:
                 continue
             if seed not in seen:
                 some = slice(None) if number is None or self.params.share >= 1 else np.flatnonzero(drawn(r.key, seed, number, self.params.share))
-                seen[seed] = some, r.codes[:, some], r.month[some], r.weight[some], r.target[some]
-            some, codes, month, weight, x = seen[seed]
+                seen[seed] = some, np.ascontiguousarray(r.codes[:, some]), r.month[some], r.weight[some]
+            some, codes, month, weight = seen[seed]
             if end := int(np.searchsorted(month, origin, "right")):  # months ascend
-                x = x[:end]
-                if number is not None:
-                    x = x - (self.models[g].start if r.made is None else r.made[g, :end] if isinstance(some, slice) else r.made[g].take(some[:end]))
-                yield g, codes[:, :end], weight[:end] / self.scale[g], x
+                yield g, some, codes, weight, end
 
-    def _summed(self, run, columns: str, by: Sequence[str], **aggregates) -> pa.Table:
-        """The rows that ``run`` makes of each task, aggregated: as many as there are keys."""
-        return self.blocks.mapInArrow(run, columns).groupBy(*by).agg(*(a.alias(k) for k, a in aggregates.items())).toArrow()
+    def _parts(self, r: _Block, number: int | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(group, codes, weights, residuals) of the rows that each group's tree sees; without a number all that its origin knows, with targets."""
+        of = lambda x, some, end: x[:end] if isinstance(some, slice) else x.take(some[:end])
+        for g, some, codes, weight, end in self._seen(r, number):
+            x = of(r.target, some, end)
+            if number is not None:
+                x = x - (self.models[g].start if r.made is None else of(r.made[g], some, end))
+            yield g, codes[:, :end], weight[:end] / self.scale[g], x
+
+    def _signs(self, r: _Block, number: int, cells: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
+        """(group, codes, weights, signs of the residuals from 0 to 2, joint codes times ``cells``) of the rows that each group's tree sees."""
+        joint: dict[int, list[np.ndarray]] = {}  # by seed
+        for g, some, codes, weight, end in self._seen(r, number):
+            if (seed := self.groups[g][1]) not in joint:
+                joint[seed] = [j.code(codes, self.missing + 1, cells) for j in self.joints]
+            if r.signs is None:
+                signs = (np.sign(r.target[some][:end] - self.models[g].start) + 1).astype(np.uint8)
+            else:
+                signs = r.signs[g][some][:end]
+            yield g, codes[:, :end], weight[:end] / self.scale[g], signs, [c[:end] for c in joint[seed]]
+
+    def _summed(self, run, columns: str, by: Sequence[str], read: Sequence[str] = (), **aggregates) -> pa.Table:
+        """The rows that ``run`` makes of each task, aggregated: as many as there are keys. Tasks get the columns to ``read``, or all that residuals need."""
+        names = self.blocks.columns
+        blocks = self.blocks.select(*(read if set(read) <= set(names) and read else [c for c in names if c != "signs"]))
+        return blocks.mapInArrow(run, columns).groupBy(*by).agg(*(a.alias(k) for k, a in aggregates.items())).toArrow()
 
     def _advanced(self, trees: list[Tree]) -> None:
         """Bring the rows' predictions up to date with a tree of each group."""
@@ -220,15 +301,16 @@ class Trainer:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for i, r in enumerate(self._read([b])):
-                    made = np.empty((len(trees), len(r.month)))
+                    made, signs = np.empty((len(trees), len(r.month))), np.empty((len(trees), len(r.month)), np.uint8)
                     for g, (t, m) in enumerate(zip(trees, self.models, strict=True)):
                         start = r.made[g] if r.made is not None else np.nan if m.start is None else m.start
                         made[g] = start + p.rate * t.values[t.descend(r.codes, self.missing, p.depth)]
+                        signs[g] = (r.target >= made[g]).view(np.uint8) + (r.target > made[g])
                     own = {c: b.column(c).slice(i, 1) for c in KINDS}
-                    yield pa.RecordBatch.from_pydict(own | {"made": pa.array([made.tobytes()], pa.binary())})
+                    yield pa.RecordBatch.from_pydict(own | {c: pa.array([x.tobytes()], pa.binary()) for c, x in (("made", made), ("signs", signs))})
 
-        before = self.folder
-        self.blocks, self.folder = stored(self.blocks.mapInArrow(run, f"{BLOCK_SCHEMA}, made binary"), **STORAGE)
+        before, names = self.folder, [c for c in self.blocks.columns if c != "signs"]
+        self.blocks, self.folder = stored(self.blocks.select(names).mapInArrow(run, f"{BLOCK_SCHEMA}, made binary, signs binary"), **STORAGE)
         delete(self.blocks, before)
 
     def _level(self, trees: list[Tree], number: int, level: int) -> np.ndarray:
@@ -238,20 +320,26 @@ class Trainer:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((2, *shape))
+            held = [np.zeros((2, len(self.groups), *j.shape, 3, nodes)) for j in self.joints]
             for r in self._read(batches):
-                for g, codes, w, x in self._parts(r, number):
-                    at = ((np.sign(x) + 1).astype(np.intp) * nodes + trees[g].descend(codes, self.missing, level)) * bins
-                    for f in range(self.features):
-                        cell = at + codes[f]
-                        total[0, g, f] += np.bincount(cell, minlength=3 * nodes * bins).reshape(shape[2:])
-                        total[1, g, f] += np.bincount(cell, w, 3 * nodes * bins).reshape(shape[2:])
+                for g, codes, w, signs, joint in self._signs(r, number, 3 * nodes):
+                    at = signs.astype(np.intp) * nodes + trees[g].descend(codes, self.missing, level)
+                    for code, sums in zip(joint, held, strict=True):
+                        cell = code + at
+                        for k, weights in enumerate((None, w)):
+                            own = sums[k, g].ravel()  # a view
+                            own += np.bincount(cell, weights, own.size)
+            for j, sums in zip(self.joints, held, strict=True):
+                for i, (f, values) in enumerate(zip(j.features, j.values, strict=True)):
+                    of = sums.sum(axis=tuple(2 + x for x in range(len(j.features)) if x != i))  # (.., group, value, sign, node)
+                    total[:, :, f][..., values] = np.moveaxis(of, 2, -1)
             n, w = total.sum(axis=3)
             s = total[1, :, :, 2] - total[1, :, :, 0]
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_pydict({"cell": at, "n": n.ravel()[at], "w": w.ravel()[at], "s": s.ravel()[at]})
 
         out = np.zeros((len(self.groups) * self.features * nodes * bins, 3))
-        found = self._summed(run, "cell long, n double, w double, s double", ["cell"], n=F.sum("n"), w=F.sum("w"), s=F.sum("s"))
+        found = self._summed(run, "cell long, n double, w double, s double", ["cell"], [c for c in KINDS if c != "target"] + ["signs"], n=F.sum("n"), w=F.sum("w"), s=F.sum("s"))
         out[found["cell"].to_numpy()] = np.column_stack([found[c].to_numpy() for c in "nws"])
         return out.reshape(len(self.groups), self.features, nodes, bins, 3).swapaxes(1, 2)
 
@@ -286,7 +374,7 @@ class Trainer:
         below, whole = np.zeros(size), np.full(size, np.nan)
         first = True
         while first or (low < high).any():
-            few = left[low < high].sum() <= listed
+            few, first_ = left[low < high].sum() <= listed, first
             bounds = (low.copy(), high.copy(), not np.isfinite(low).any())
 
             def inside(r: _Block, bounds=bounds) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -296,11 +384,11 @@ class Trainer:
                     lo_, hi_ = lo[own], hi[own]
                     if not (lo_ < hi_).any():
                         continue
-                    leaf = leaf_of(g, codes)
-                    least, most = lo_[lo_ < hi_].min(), hi_[lo_ < hi_].max()
-                    if not first:  # most rows lie outside of all bounds
-                        some = np.flatnonzero((x >= least) & (x <= most))
-                        leaf, x, w = leaf[some], x[some], w[some]
+                    if (lo_ == lo_[0]).all() and (hi_ == hi_[0]).all() and x.min() >= lo_[0] and x.max() <= hi_[0]:  # a tree's first pass
+                        yield g * leaves + leaf_of(g, codes), x, w
+                        continue
+                    some = near(x, lo_, hi_)  # most rows lie outside of all bounds
+                    leaf, x, w = leaf_of(g, codes[:, some]), x[some], w[some]
                     some = np.flatnonzero((lo_[leaf] < hi_[leaf]) & (x >= lo_[leaf]) & (x <= hi_[leaf]))
                     if len(some):
                         yield g * leaves + leaf[some], x[some], w[some]
@@ -315,7 +403,9 @@ class Trainer:
                         own = slice(g * leaves * bins, (g + 1) * leaves * bins)
                         cell = (leaf - g * leaves) * bins
                         if not all_of_it:
-                            cell = cell + np.minimum((x - lo[leaf]) * scale[leaf], bins - 1).astype(np.intp)
+                            same = first_ and number is not None  # the leaves of a group have the same bounds
+                            low_, scale_ = (lo[g * leaves], scale[g * leaves]) if same else (lo[leaf], scale[leaf])
+                            cell = cell + np.minimum((x - low_) * scale_, bins - 1).astype(np.intp)
                         n[own] += np.bincount(cell, minlength=leaves * bins)
                         weight[own] += np.bincount(cell, w, leaves * bins)
                         np.minimum.at(least[own], cell, x)
@@ -363,6 +453,18 @@ class Trainer:
         for r in self._summed(known, "origin long, n long, w double", ["origin"], n=F.sum("n"), w=F.sum("w")).to_pylist():
             if r["n"]:
                 counts[r["origin"]] = r["n"], r["w"]
+        bins = self.missing + 1
+
+        def occurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen = np.zeros((self.features, bins), np.int64)
+            for r in self._read(batches):
+                seen += [np.bincount(c, minlength=bins) for c in r.codes]
+            at = np.flatnonzero(seen)
+            yield pa.RecordBatch.from_pydict({"cell": at, "n": seen.ravel()[at]})
+
+        held = np.zeros((self.features, bins), bool)
+        held.ravel()[self._summed(occurring, "cell long, n long", ["cell"], [c for c in KINDS if c != "target"], n=F.sum("n"))["cell"].to_numpy()] = True
+        self.joints = joints([np.flatnonzero(x) for x in held])
         self.scale = [counts[o][1] / counts[o][0] if o in counts else 1.0 for o, _ in self.groups]
         start = self._medians(lambda g, codes: np.zeros(codes.shape[1], np.intp), 1, None)[:, 0]
         for model, value in zip(self.models, start.tolist(), strict=True):

@@ -12,14 +12,19 @@ moved by each shift, bounds the rank from both sides; bins whose moved bounds li
 Bins are linear. Where a pass leaves most values in one bin, the next one's are logarithmic, signs apart, so values of any
 spread take few passes: a linear pass divides the range by the number of bins, a logarithmic one divides its logarithm.
 
+``column_ranks`` selects in many columns of one table at once, and in growing parts of its rows. There the values' bits, in their order, take the place of bins:
+a pass tells eight of the 64 bits apart, so values of any spread take eight passes at most.
+
 Cases: nulls and NaN are left out; a group without any other value gives no row; infinities are values like others; null
 keys are a group; a level may be 0 or 1; ties of any number are one value with its count.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -173,3 +178,110 @@ def _listed(own: DataFrame, moves: DataFrame, ranks: DataFrame, moved: DataFrame
 def medians(df: DataFrame, value: Column | str, by: Sequence[str] = (), name: str = "median") -> DataFrame:
     """(by, name): each group's exact median."""
     return quantiles(df, value, [0.5], by).select(*by, F.col("q")[0].alias(name))
+
+
+def _ordered(x: np.ndarray) -> np.ndarray:
+    """Unsigned integers in the order of the values; both zeros are one."""
+    i = (x + 0.0).view(np.int64)
+    return (i ^ ((i >> 63) & np.int64(2**63 - 1))).view(np.uint64) ^ np.uint64(1 << 63)
+
+
+def _value(key: int) -> float:
+    i = np.array([key], np.uint64) ^ np.uint64(1 << 63)
+    i = i.view(np.int64)
+    return float((i ^ ((i >> 63) & np.int64(2**63 - 1))).view(np.float64)[0])
+
+
+def column_ranks(
+    df: DataFrame, columns: Sequence[str], ranks: Callable[[int], Sequence[int]], part: str | None = None, parts: int = 1, top: int = 12, bits: int = 8, listed: int = 100_000
+) -> list[list[tuple[int, list[float]]]]:
+    """For each k below ``parts`` and each column: how many values there are in rows whose ``part`` (an int) is k at most, and those of the ``ranks`` (of
+    the count, from 0). ``df`` is a stored table, which each pass reads; a pass costs arrays, whatever the number of ranks and parts."""
+    df = df.select(*(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)), (F.col(part) if part else F.lit(0)).cast("int").alias("part"))
+    sign = np.uint64(1 << 63)
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for b in batches:
+            own = b.column("part").to_numpy()
+            for c in range(len(columns)):
+                x = b.column(f"x{c}").to_numpy(zero_copy_only=False)
+                some = np.flatnonzero(x == x)
+                if len(some):
+                    yield c, own[some].astype(np.intp), _ordered(x[some])
+
+    def passed(starts: list[np.ndarray], left: int, wide: int, few: bool) -> pa.Table:
+        """(cell, n, a, b): values and their bounds by part, column, interval (``starts``, each of 2^left keys) and the next ``wide`` bits; if ``few`` by value."""
+        cells = [parts * len(s) << wide for s in starts]
+
+        def within(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+            for c, own, key in values(batches):
+                if left == 64:
+                    yield c, own << wide | (key >> np.uint64(64 - wide)).astype(np.intp), key
+                elif len(starts[c]):
+                    at = np.maximum(np.searchsorted(starts[c], key, "right") - 1, 0)
+                    off = key - starts[c][at]  # far off below the first start
+                    some = np.flatnonzero(off >> np.uint64(left) == 0)
+                    inner = (off[some] >> np.uint64(left - wide)).astype(np.intp)
+                    yield c, (own[some] * len(starts[c]) + at[some]) << wide | inner, key[some]
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = [np.zeros(size, np.int64) for size in cells]
+            low, high = [np.full(size, 2**64 - 1, np.uint64) for size in cells], [np.zeros(size, np.uint64) for size in cells]
+            for c, cell, key in within(batches):
+                n[c] += np.bincount(cell, minlength=cells[c])
+                np.minimum.at(low[c], cell, key)
+                np.maximum.at(high[c], cell, key)
+            for c in range(len(columns)):
+                at = np.flatnonzero(n[c])
+                yield pa.RecordBatch.from_pydict({"c": np.full(len(at), c), "cell": at, "n": n[c][at], "a": (low[c][at] ^ sign).view(np.int64), "b": (high[c][at] ^ sign).view(np.int64)})
+
+        def listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for c, cell, key in within(batches):
+                a = (key ^ sign).view(np.int64)
+                yield pa.RecordBatch.from_pydict({"c": np.full(len(a), c), "cell": cell, "n": np.ones(len(a), np.int64), "a": a, "b": a})
+
+        by = ["c", "cell", "a"] if few else ["c", "cell"]
+        found = df.mapInArrow(listing if few else count, "c long, cell long, n long, a long, b long").groupBy(*by)
+        return found.agg(F.sum("n").alias("n"), F.max("b").alias("b"), *([] if few else [F.min("a").alias("a")])).toArrow()
+
+    counts = np.zeros((parts, len(columns)), np.int64)
+    done: dict[tuple[int, int, int], int] = {}
+    starts, left, wide, few = [np.zeros(1, np.uint64) for _ in columns], 64, top, False
+    open_: dict[int, list[tuple[int, int, int, int]]] = {}  # column -> (part, rank, interval, values of the part below it)
+    first = True
+    while first or any(open_.values()):
+        table = passed(starts, left, wide, few)
+        c, cell, n = (table[x].to_numpy() for x in ("c", "cell", "n"))
+        a, b = ((table[x].to_numpy().view(np.uint64) ^ sign) for x in ("a", "b"))
+        rest, inside, new_starts = {}, 0, []
+        for col in range(len(columns)):
+            own = np.flatnonzero(c == col)
+            place = cell[own] % (len(starts[col]) << wide)  # interval and bits
+            own_part, interval = cell[own] // (len(starts[col]) << wide), place >> wide
+            if first:
+                for k in range(parts):
+                    counts[k, col] = n[own][own_part <= k].sum()
+                open_[col] = [(k, int(r), 0, 0) for k in range(parts) if counts[k, col] for r in ranks(int(counts[k, col]))]
+            order = np.lexsort((a[own], place))
+            own, place, own_part, interval = own[order], place[order], own_part[order], interval[order]
+            rest[col] = []
+            for k, r, at, below in open_[col]:
+                some = np.flatnonzero((interval == at) & (own_part <= k))
+                spot = place[some] if not few else np.arange(len(some))
+                upto = below + np.cumsum(n[own[some]])
+                hit = int(np.searchsorted(upto, r, "right"))
+                same = some[spot == spot[hit]]
+                least, most = int(a[own[same]].min()), int(b[own[same]].max())
+                if least == most:
+                    done[k, col, r] = least
+                else:
+                    ahead = np.flatnonzero(spot == spot[hit])[0]
+                    start = least >> (left - wide) << (left - wide)
+                    rest[col].append((k, r, start, int(upto[ahead - 1]) if ahead else below))
+            ends = sorted({x[2] for x in rest[col]})
+            inside += sum(int(n[own[(a[own] >= np.uint64(e)) & (a[own] <= np.uint64(e + (1 << (left - wide)) - 1))]].sum()) for e in ends)
+            new_starts.append(np.array(ends, np.uint64))
+            rest[col] = [(k, r, ends.index(start), below) for k, r, start, below in rest[col]]
+        open_, starts, left, first = rest, new_starts, left - wide, False
+        wide, few = min(bits, left), inside <= listed
+    return [[(int(counts[k, c]), [_value(done[k, c, int(r)]) for r in ranks(int(counts[k, c]))] if counts[k, c] else []) for c in range(len(columns))] for k in range(parts)]

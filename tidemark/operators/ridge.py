@@ -4,7 +4,7 @@ A fit needs only weighted sums of features by features and by target. Rows are a
 origin's sums are those of its part and of all parts before. A missing value is a zero with a mark beside it, so the sums serve every
 origin's own medians. What reaches the driver depends on origins and features, not on rows.
 
-The model: features filled by their median in an origin's rows (as near as approximate quantiles are: a thousandth in rank), months of the year as indicators, weighted
+The model: features filled by their median in an origin's rows (the lower one, exact, however the rows are stored), months of the year as indicators, weighted
 least squares with a penalty on the weights of standardised inputs, relative to the target's deviation. Features without a value or without variance have no weight.
 """
 
@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import column_ranks
+
 PENALTY = 0.1
 MONTHS = 12
 #: A variance below this share of the mean square is rounding.
@@ -45,16 +47,17 @@ def _solved(total: np.ndarray, shift: np.ndarray, penalty: float) -> tuple[float
 def ridge(rows: DataFrame, origins: Sequence[int], features: Sequence[str], target: str = "g", penalty: float = PENALTY) -> DataFrame:
     """The rows at the origins (t) with a base, and ``prediction``, which is null where an origin knows no target.
 
-    ``rows``: t, month, base (the weight), the target and the features; ``moy`` among them is a month of the year, from 0. Two passes, whatever the
-    number of origins: medians and scales, and sums.
+    ``rows``, a stored table: t, month, base (the weight), the target and the features; ``moy`` among them is a month of the year, from 0. Few passes, whatever
+    the number of origins: scales, medians, and sums.
     """
     origins, numeric = sorted(origins), [c for c in features if c != "moy"]
     clean = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in numeric}
     known = rows.where((F.col("month") <= origins[-1]) & F.col(target).isNotNull() & (F.col("base") > 0))
     moy = F.col("moy").cast("int") if "moy" in features else F.lit(-1)
     known = known.select("month", "base", F.col(target).alias("target"), moy.alias("moy"), *(clean[c].alias(f"x{i}") for i, c in enumerate(numeric)))
-    found = [F.percentile_approx(F.when(F.col("month") <= o, F.col(f"x{i}")), 0.5, 1000).alias(f"m{i}_{k}") for k, o in enumerate(origins) for i in range(len(numeric))]
-    row = known.agg(F.lit(0), *found, *(f(f"x{i}").alias(f"{n}{i}") for n, f in (("a", F.avg), ("d", F.stddev_pop)) for i in range(len(numeric)))).first()
+    first = sum(((F.col("month") > o).cast("int") for o in origins[:-1]), F.lit(0))  # the first origin that knows a row
+    medians = column_ranks(known.withColumn("part", first), [f"x{i}" for i in range(len(numeric))], lambda n: [(n - 1) // 2], "part", len(origins))
+    row = known.agg(F.lit(0), *(f(f"x{i}").alias(f"{n}{i}") for n, f in (("a", F.avg), ("d", F.stddev_pop)) for i in range(len(numeric)))).first()
     centre = np.array([row[f"a{i}"] or 0.0 for i in range(len(numeric))])
     width = np.array([row[f"d{i}"] or 1.0 for i in range(len(numeric))])
     size = 2 + 2 * len(numeric) + MONTHS
@@ -79,7 +82,7 @@ def ridge(rows: DataFrame, origins: Sequence[int], features: Sequence[str], targ
     models = []
     for k, total in enumerate(np.cumsum(parts, axis=0).reshape(len(origins), size, size)):
         if total[0, 0] > 0:
-            middle = np.array([c if (m := row[f"m{i}_{k}"]) is None else m for i, c in enumerate(centre)])
+            middle = np.array([medians[k][i][1][0] if medians[k][i][0] else c for i, c in enumerate(centre)])
             start, w = _solved(total, (middle - centre) / width, penalty)
             own = w[: len(numeric)] / width
             models.append((origins[k], float(start - own @ centre), own.tolist(), middle.tolist(), w[len(numeric) :].tolist()))
